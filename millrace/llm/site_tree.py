@@ -171,7 +171,9 @@ def importance(pages: DataFrame, host: str = "host", html: str = "html") -> Data
 
     rows = pages.select(F.col(host).alias("host"), of(F.col(html)).alias("n")).select("host", F.explode("n").alias("n")).select("host", "n.node", "n.content")
     counted = rows.groupBy("host", "node", "content").agg(F.count("*").alias("c"))
-    both = counted.unionByName(counted.select(F.lit(None).cast("string").alias("host"), "node", "content", "c")).groupBy("host", "node", "content").agg(F.sum("c").alias("c"))
+    # every count stands for its host and for all hosts merged; the pages are parsed once
+    merged = F.explode(F.array("host", F.lit(None).cast("string")))
+    both = counted.withColumn("host", merged).groupBy("host", "node", "content").agg(F.sum("c").alias("c"))
     sums = both.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.ln("c")).alias("s"))
     entropy = F.ln("pages") - F.col("s") / F.col("pages")
     return sums.select("host", "node", "pages", F.when(F.col("pages") > 1, entropy / F.ln("pages")).otherwise(F.lit(1.0)).alias("importance"))
@@ -188,7 +190,8 @@ def low_nodes(weights: DataFrame, least: float = LEAST_IMPORTANCE, least_pages:
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
     """pages with text, its main text, instead of html."""
     hosted = pages.withColumn("host", host_of(F.col(url)))
-    low = materialize(low_nodes(importance(hosted, "host", html), least), "low")
+    weights = materialize(importance(hosted, "host", html), "weights")
+    low = materialize(low_nodes(weights, least), "low")
     if low.count() <= BROADCAST_ROWS:
         met = hosted.join(F.broadcast(low), "host", "left")
     else:

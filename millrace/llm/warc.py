@@ -237,7 +237,9 @@ def normalise(archives: DataFrame, again: DataFrame, folder: str) -> DataFrame:
         _write(f"{folder}/index/{name}.jsonl", lambda sink: sink.write("".join(f"{x}\n" for x in index).encode()))
         return pa.table({"archive": [name], "records": pa.array([len(index)], pa.int64()), "bytes": pa.array([size[0]], pa.int64())})
 
-    return both.groupBy("archive").applyInArrow(run, "archive string, records long, bytes long")
+    # a number of partitions of its own: the rows are few, the archives behind them are not
+    n = max(1, archives.count())
+    return both.repartition(n, "archive").groupBy("archive").applyInArrow(run, "archive string, records long, bytes long")
 
 
 def _record(head: bytes, block) -> Iterator[bytes]:

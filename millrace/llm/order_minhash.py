@@ -111,13 +111,20 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buck
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     near = materialize(neighbours(docs), "neighbours")
-    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = keyed.join(near.withColumnRenamed("doc_id", "id").withColumnRenamed("h", "k"), F.expr("doc_id <=> id and h = k"))
+    # a row's key is (i, z, h): its id or 0, whether that is null, the hash of its text. Keys are as good as unique, so
+    # they are dealt out by number: there is no skew for AQE to split
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["i", "z", "h"]
+    named = lambda name: [F.coalesce(f"{name}_id", F.lit(0)).alias("i"), F.col(f"{name}_id").isNull().alias("z"), F.col(f"{name}_h").alias("h")]
+    keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    by = near.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), "h", "n", "next_id", "next_h", "prev_id", "prev_h", "prev_n")
+    placed = keyed.repartition(n, *key).join(by.repartition(n, *key), key)
     # the head of each document that its predecessor's edit takes, once for each
-    heads = placed.select("prev_id", "prev_h", F.expr("left(text, cast(prev_n div 4 as int))").alias("head")).dropDuplicates(["prev_id", "prev_h"])
-    met = placed.select("doc_id", "h", "text", "n", "next_id", "next_h").join(heads, F.expr("doc_id <=> prev_id and h = prev_h"))
+    heads = placed.select(*named("prev"), F.expr("left(text, cast(prev_n div 4 as int))").alias("head")).repartition(n, *key).dropDuplicates(key)
+    met = placed.select(*key, "text", "n", "next_id", "next_h").join(heads, key)
     edited = met.withColumn("edited", F.expr("concat(left(text, cast(n - n div 4 as int)), head)"))
-    prints = materialize(edited.select("doc_id", "h", "n", "next_id", "next_h", F.sha2("edited", 256).alias("edited_sha256"), tuples(F.col("text")).alias("a"), tuples(F.col("edited")).alias("e")), "omh")
-    following = prints.groupBy(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h")).agg(F.first("a").alias("f"))
-    out = prints.join(following, F.expr("next_id <=> f_id and next_h = f_h"))
-    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("f")).alias("near_next"))
+    prints = materialize(edited.select(*key, "n", "next_id", "next_h", F.sha2("edited", 256).alias("edited_sha256"), tuples(F.col("text")).alias("a"), tuples(F.col("edited")).alias("e")), "omh")
+    following = prints.select(*key, F.col("a").alias("f")).repartition(n, *key).dropDuplicates(key)
+    whole = F.when(~F.col("own_z"), F.col("own_i")).alias("doc_id")
+    out = prints.select(*named("next"), F.col("i").alias("own_i"), F.col("z").alias("own_z"), "n", "edited_sha256", "a", "e").repartition(n, *key).join(following, key)
+    return out.select(whole, F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("f")).alias("near_next"))

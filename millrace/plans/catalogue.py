@@ -1,4 +1,794 @@
-"""Registered queries of the core operators: name -> (query, oracle SQL or None)."""
+"""Registered queries of the core operators: name -> (query, oracle SQL or None).
+
+Names start with the inventory id. Stand-ins for retrieval inputs: embeddings with
+vec_id % 10 = 0 are queries, the others the corpus; equal labels are relevant (2 where
+vec_id % 3 agrees too); vec_id % 2 is the dataset, vec_id % 3 the modality.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from millrace.functions import text as T
+from millrace.functions import vectors as V
+from millrace.operators import contrastive as C
+from millrace.operators import identity as I
+from millrace.operators import lexical as L
+from millrace.operators import report, views
+from millrace.operators import retrieval as R
+from millrace.sources import embeddings as E
+from millrace.sources import jsonl as J
 
 QUERIES: dict = {}
 FLAGSHIP = "A05_ndcg"
+KS = [1, 5, 10]
+
+
+def reg(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = (f, sql)
+        return f
+
+    return keep
+
+
+def table(s, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def vecs(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("d"), F.col("embedding").alias("vec"), "label")
+
+
+def qs(s, d):
+    return vecs(s, d).where("d % 10 = 0").withColumnRenamed("d", "q")
+
+
+def corpus(s, d):
+    return vecs(s, d).where("d % 10 <> 0")
+
+
+def gold(s, d):
+    return qs(s, d).select("q", "label").join(corpus(s, d).select("d", "label"), "label").select("q", "d", F.when(F.col("q") % 3 == F.col("d") % 3, 2.0).otherwise(1.0).alias("rel"))
+
+
+def ranked(s, d, k=10):
+    return R.search(qs(s, d), corpus(s, d), k)
+
+
+def r6(c: str):
+    return F.round(c, 6).alias(c)
+
+
+# --- retrieval and metrics ---
+UNIT = "n as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n), s as (select a.vec_id as q, b.vec_id as d, list_dot_product(a.v, b.v) as score from u a, u b where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0), rk as (select *, row_number() over (partition by q order by score desc, d) as rank from s), g as (select a.vec_id as q, b.vec_id as d, case when a.vec_id % 3 = b.vec_id % 3 then 2.0 else 1.0 end as rel from u a join u b on a.label = b.label where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0)"
+MET = UNIT + ", ks(k) as (values (1), (5), (10)), qk as (select distinct a.vec_id as q, k from u a, ks where a.vec_id % 10 = 0), hit as (select rk.q, rk.rank, g.rel, count(*) over (partition by rk.q order by rk.rank) as nth from rk join g on g.q = rk.q and g.d = rk.d where rk.rank <= 10), idl as (select q, rel, row_number() over (partition by q order by rel desc) as r from g), per as (select qk.q, qk.k, (select count(*) from hit where hit.q = qk.q and rank <= qk.k) as h, (select count(*) from g where g.q = qk.q) as p, coalesce((select sum(rel / log2(rank + 1)) from hit where hit.q = qk.q and rank <= qk.k), 0) as dcg, (select sum(rel / log2(r + 1)) from idl where idl.q = qk.q and r <= qk.k) as idcg, coalesce((select max(1.0 / rank) from hit where hit.q = qk.q and rank <= qk.k), 0) as rr, coalesce((select sum(nth::double / rank) from hit where hit.q = qk.q and rank <= qk.k), 0) as ap from qk)"
+
+
+def metrics(s, d) -> DataFrame:
+    q = gold(s, d).select("q").distinct()
+    return R.per_query(ranked(s, d), gold(s, d), q, KS)
+
+
+for _id, _m, _sql in [
+    ("A03_recall", "recall", "case when p = 0 then 0 else h::double / p end"),
+    ("A04_precision", "precision", "h::double / k"),
+    ("A05_ndcg", "ndcg", "coalesce(dcg / idcg, 0)"),
+    ("A06_mrr", "mrr", "rr"),
+    ("A07_map", "map", "coalesce(ap / least(p, k), 0)"),
+    ("A08_success", "success", "case when h > 0 then 1.0 else 0.0 end"),
+]:
+    reg(_id, f"with {MET} select q, k, round({_sql}, 6) as {_m} from per where p > 0")(lambda s, d, m=_m: metrics(s, d).select("q", "k", r6(m)))
+
+MEANS = "avg(case when p = 0 then 0 else h::double / p end) as recall, avg(coalesce(dcg / idcg, 0)) as ndcg, avg(rr) as mrr, count(*) as queries"
+
+
+@reg("A09_means", f"with {MET} select k, round(avg(h::double / p), 6) as recall, round(avg(coalesce(dcg / idcg, 0)), 6) as ndcg, round(avg(rr), 6) as mrr, count(*) as queries from per where p > 0 group by k")
+def a09(s, d):
+    return R.means(metrics(s, d), "k").select("k", r6("recall"), r6("ndcg"), r6("mrr"), "queries")
+
+
+def per_dataset(s, d):
+    return R.means(metrics(s, d).withColumn("dataset", F.col("q") % 20), "dataset", "k")
+
+
+_PD = f"with {MET}, ds as (select q % 20 as dataset, k, avg(h::double / p) as recall, avg(coalesce(dcg / idcg, 0)) as ndcg, count(*) as n from per where p > 0 group by 1, 2)"
+
+
+@reg("A10_macro", _PD + " select k, round(avg(recall), 6) as recall, round(avg(ndcg), 6) as ndcg from ds group by k")
+def a10(s, d):
+    return R.macro(per_dataset(s, d)).select("k", r6("recall"), r6("ndcg"))
+
+
+@reg("A11_micro", _PD + " select k, round(sum(recall * n) / sum(n), 6) as recall, round(sum(ndcg * n) / sum(n), 6) as ndcg from ds group by k")
+def a11(s, d):
+    return R.micro(per_dataset(s, d)).select("k", r6("recall"), r6("ndcg"))
+
+
+@reg("A12_cross_dataset_rate", f"with {UNIT}, ks(k) as (values (1), (5), (10)) select k, count(*) as total, round(avg(case when (q // 10) % 2 <> d % 2 then 1.0 else 0.0 end), 6) as rate from rk join ks on rank <= k group by k")
+def a12(s, d):
+    return R.foreign_rate(ranked(s, d), KS, F.floor(F.col("q") / 10) % 2, F.col("d") % 2).select("k", "total", r6("rate"))
+
+
+@reg("T01_topk", f"with {UNIT} select q, d, round(score, 6) as score, rank from rk where rank <= 10")
+def t01(s, d):
+    return ranked(s, d).select("q", "d", r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@reg("J03_similarity", f"with {UNIT} select q, count(*) as n, round(avg(score), 6) as mean, round(max(score), 6) as best from s group by q")
+def j03(s, d):
+    return R.scores(qs(s, d), corpus(s, d)).groupBy("q").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("best"))
+
+
+@reg("W01_rank", f"with {UNIT} select q, d, rank from rk where rank <= 3")
+def w01(s, d):
+    return R.best_k(R.scores(qs(s, d), corpus(s, d)), 3).select("q", "d", F.col("rank").cast("long").alias("rank"))
+
+
+@reg("W02_document_rank", f"with {UNIT}, m as (select q, d // 2 as doc, max(score) as score from s group by 1, 2) select q, doc, rank from (select *, row_number() over (partition by q order by score desc, doc) as rank from m) where rank <= 10")
+def w02(s, d):
+    merged = R.best_per_document(R.scores(qs(s, d), corpus(s, d)).withColumn("d", F.floor(F.col("d") / 2).cast("long")))
+    return R.best_k(merged, 10).select("q", F.col("d").alias("doc"), F.col("rank").cast("long").alias("rank"))
+
+
+@reg("W03_running_hits", f"with {MET} select q, rank, nth from hit")
+def w03(s, d):
+    hits = ranked(s, d).join(gold(s, d), ["q", "d"])
+    return hits.select("q", F.col("rank").cast("long").alias("rank"), F.count("*").over(Window.partitionBy("q").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)).alias("nth"))
+
+
+@reg("W04_ideal_gain", f"with {MET} select q, round(sum(rel / log2(r + 1)), 6) as idcg from idl where r <= 10 group by q")
+def w04(s, d):
+    w = Window.partitionBy("q").orderBy(F.desc("rel"))
+    return gold(s, d).withColumn("r", F.row_number().over(w)).where("r <= 10").groupBy("q").agg(F.round(F.sum(F.col("rel") / F.log2(F.col("r") + 1)), 6).alias("idcg"))
+
+
+@reg("A01_max_relevance", "select vec_id // 4 as q, label as d, max(vec_id % 4)::double as rel from embeddings group by 1, 2")
+def a01(s, d):
+    rows = vecs(s, d).select(F.floor(F.col("d") / 4).cast("long").alias("q"), F.col("label").alias("d"), (F.col("d") % 4).alias("rel"))
+    return R.relevance(rows)
+
+
+@reg("A02_duplicate_profile", "with c as (select label, count(*) as c from embeddings group by label) select sum(c)::bigint as n_rows, count(*) as unique_docs, max(c) as max_dup, (sum(c) - count(*))::bigint as surplus from c")
+def a02(s, d):
+    return R.duplicate_profile(vecs(s, d), "label")
+
+
+@reg("A14_strict_rank", f"with {UNIT}, b as (select s.q, max(score) as best from s join g using (q, d) group by s.q) select s.q, count(*) filter (where g.d is null and score > best) + 1 as rank from s join b on b.q = s.q left join g on g.q = s.q and g.d = s.d group by s.q")
+def a14(s, d):
+    return R.strict_rank(R.scores(qs(s, d), corpus(s, d)), gold(s, d))
+
+
+@reg("J01_query_status", "select status, count(*) as n from (select case when vec_id % 7 = 0 then 'null_id' when label >= 8 then 'no_qrels' when vec_id % 5 = 0 then 'failed' else 'evaluated' end as status from embeddings) group by status")
+def j01(s, d):
+    v = vecs(s, d)
+    rows = v.select(F.when(F.col("d") % 7 != 0, F.col("d")).alias("q"), (F.col("d") % 5 != 0).alias("ok"))
+    return R.query_status(rows, v.where("label < 8").select(F.col("d").alias("q"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@reg("A13_counters", "select count(*) filter (where label >= 8) as no_qrels, count(*) filter (where label < 8 and vec_id % 5 = 0) as failed, count(*) filter (where label < 8 and vec_id % 5 <> 0) as evaluated from embeddings")
+def a13(s, d):
+    v = vecs(s, d)
+    st = R.query_status(v.select(F.col("d").alias("q"), (F.col("d") % 5 != 0).alias("ok")), v.where("label < 8").select(F.col("d").alias("q")))
+    return st.agg(*(F.count_if(F.col("status") == x).alias(x) for x in ("no_qrels", "failed", "evaluated")))
+
+
+@reg("J02_gold_in_corpus", "select a.vec_id as q, count(*) as gold, count(*) filter (where b.vec_id % 4 <> 0) as kept from embeddings a join embeddings b on a.label = b.label where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0 group by 1")
+def j02(s, d):
+    g = R.gold_in_corpus(gold(s, d), corpus(s, d).where("d % 4 <> 0"))
+    return g.groupBy("q").agg(F.count("*").alias("gold"), F.count_if("in_corpus").alias("kept"))
+
+
+@reg("J04_hits", f"with {UNIT} select rk.q, rk.d, coalesce(rel, 0)::double as rel from rk left join g on g.q = rk.q and g.d = rk.d where rank <= 5")
+def j04(s, d):
+    return ranked(s, d, 5).join(gold(s, d), ["q", "d"], "left").select("q", "d", F.coalesce("rel", F.lit(0.0)).alias("rel"))
+
+
+@reg("K05_run_file", f"with {UNIT} select q, string_agg(d::varchar, ',' order by rank) as docs from rk where rank <= 5 group by q")
+def k05(s, d):
+    return R.run_file(ranked(s, d), 5).select("q", F.array_join(F.transform("docs", lambda x: x["d"].cast("string")), ",").alias("docs"))
+
+
+@reg("U01_union_namespaced", "select 'a::' || vec_id as d, 'a' as dataset from embeddings where vec_id % 2 = 0 union all select 'b::' || vec_id, 'b' from embeddings where vec_id % 3 = 0")
+def u01(s, d):
+    v = vecs(s, d).select("d")
+    return E.union_corpora({"a": v.where("d % 2 = 0"), "b": v.where("d % 3 = 0")})
+
+
+@reg("S07_success_mask", "select count(*) as n from embeddings where vec_id % 11 <> 0 and list_dot_product(embedding, embedding) > 0")
+def s07(s, d):
+    return R.usable(vecs(s, d).withColumn("d", F.when(F.col("d") % 11 != 0, F.col("d"))), "d", "vec").agg(F.count("*").alias("n"))
+
+
+QUERIES["F12_usable"] = QUERIES["S07_success_mask"]
+
+
+@reg("S06_embedding_set", "select count(*) as n, max(len(embedding))::int as dim, count(distinct vec_id) as ids from embeddings")
+def s06(s, d):
+    v = table(s, d, "embeddings")
+    return v.agg(F.count("*").alias("n"), F.lit(E.check_dims(v)).alias("dim"), F.countDistinct("vec_id").alias("ids"))
+
+
+# --- scans, filters, records (conversations as JSON lines) ---
+def conv_lines(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.struct(F.col("text").alias("content"), F.concat(F.lit("u"), F.col("turn")).alias("id")).alias("q"), F.array(F.col("role")).alias("pos"), F.col("conv_id").alias("cluster_id"))).alias("line"))
+
+
+@reg("S01_jsonl_scan", "select conv_id, turn, role from conversations")
+def s01(s, d):
+    return J.parsed(conv_lines(s, d)).select("conv_id", "turn", J.field(F.col("v"), "pos", "array<string>")[0].alias("role"))
+
+
+@reg("S02_multi_file", "select * from (select 0 as f, conv_id as id from conversations union all select 1, doc_id from documents) order by f, id limit 700")
+def s02(s, d):
+    both = table(s, d, "conversations").select(F.lit(0).alias("f"), F.col("conv_id").alias("id")).unionByName(table(s, d, "documents").select(F.lit(1).alias("f"), F.col("doc_id").alias("id")))
+    return J.head(both, 700, "f", "id")
+
+
+QUERIES["T07_head"] = QUERIES["S02_multi_file"]
+
+
+@reg("S03_prescan", "select count(*)::bigint as n, (select count(*) from (select conv_id from conversations group by 1 having count(*) > 1)) as duplicated from conversations")
+def s03(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("c"))
+    return c.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 1).alias("duplicated"))
+
+
+@reg("S04_shards", "select doc_id % 4 as rank, count(*) as n from documents group by 1")
+def s04(s, d):
+    return table(s, d, "documents").groupBy((F.col("doc_id") % 4).alias("rank")).agg(F.count("*").alias("n"))
+
+
+@reg("S05_qrels", "select 'q' || label as q, 'd' || vec_id as d, case vec_id % 4 when 0 then 3.0 when 1 then 1.0 when 2 then 2.0 else 1.0 end as rel from embeddings")
+def s05(s, d):
+    q, i = F.concat(F.lit("q"), F.col("label")), F.concat(F.lit("d"), F.col("d"))
+    one = F.to_json(F.struct(q.alias("qid"), i.alias("doc_id"), F.lit(3).alias("score")))
+    flat = F.concat(q, F.lit("\t"), i)
+    maps = F.to_json(F.struct(q.alias("query_id"), F.create_map(i, F.lit(2)).alias("docs")))
+    many = F.to_json(F.struct(q.alias("query_id"), F.array(i).alias("positive_ids")))
+    m = F.col("d") % 4
+    return J.qrels(vecs(s, d).select(F.when(m == 0, one).when(m == 1, flat).when(m == 2, maps).otherwise(many).alias("line")))
+
+
+@reg("F01_record", "select conv_id, turn, text, 'u' || turn as uid from conversations where length(text) > 0")
+def f01(s, d):
+    r = J.parsed(conv_lines(s, d)).select("conv_id", "turn", J.record(J.pick(F.col("v"), J.QUERY)).alias("r"))
+    return r.select("conv_id", "turn", "r.text", "r.uid").where("text is not null")
+
+
+@reg("F02_records", "select conv_id, turn, 1 as n, role as first_text from conversations")
+def f02(s, d):
+    r = J.parsed(conv_lines(s, d)).select("conv_id", "turn", J.records(J.pick(F.col("v"), J.POSITIVE)).alias("r"))
+    return r.select("conv_id", "turn", F.size("r").alias("n"), F.col("r")[0]["text"].alias("first_text"))
+
+
+@reg("F03_example", "select conv_id::varchar as group_id, count(*) as n, count(distinct role) as roles, min('default') as task from conversations where conv_id <> 0 group by 1")
+def f03(s, d):
+    x = J.examples(J.parsed(conv_lines(s, d)))
+    return x.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n"), F.countDistinct(F.col("positive_views")[0]["text"]).alias("roles"), F.min("task").alias("task"))
+
+
+@reg("F04_modality", "select doc_id, case when doc_id % 3 = 0 then 'text' when doc_id % 3 = 1 then 'image' else 'mixed' end as modality from documents")
+def f04(s, d):
+    m = F.col("doc_id") % 3
+    images = F.when(m > 0, F.array(F.lit("a.png"))).otherwise(F.array().cast("array<string>"))
+    return table(s, d, "documents").select("doc_id", views.modality(F.when(m != 1, F.lit("x")), images).alias("modality"))
+
+
+@reg("F05_instruction", "select conv_id, turn, case when role = 'user' and turn % 2 = 0 then 'Q mixed' when role = 'user' then 'Q' when turn % 5 = 0 then 'own' end as instruction from conversations")
+def f05(s, d):
+    t = {"user": "Q", "user_mixed": "Q mixed", "system": ""}
+    c = table(s, d, "conversations")
+    own = F.when((F.col("role") != "user") & (F.col("turn") % 5 == 0), "own")
+    return c.select("conv_id", "turn", views.instruction(t, F.col("role"), F.when(F.col("turn") % 2 == 0, "mixed").otherwise("text"), own).alias("instruction"))
+
+
+@reg("F06_placeholders", "select doc_id, case when doc_id % 3 = 1 then 'a b' when doc_id % 3 = 0 then 'plain' end as text, case when doc_id % 3 = 2 then 'placeholder count' end as error from documents")
+def f06(s, d):
+    m = F.col("doc_id") % 3
+    p = T.placeholders(F.when(m == 0, "plain").otherwise("a <image> b"), m.cast("int"))
+    return table(s, d, "documents").select("doc_id", p["text"].alias("text"), p["error"].alias("error"))
+
+
+@reg("F07_normalised_text", "select doc_id, nullif(trim(lang), 'en') as lang from documents")
+def f07(s, d):
+    return table(s, d, "documents").select("doc_id", F.nullif(T.strip(F.concat(F.lit(" "), "lang", F.lit("\n"))), F.lit("en")).alias("lang"))
+
+
+@reg("F08_usability", "select doc_id, n_chars >= 500 as usable, least(doc_id % 6, 4)::int as images from documents")
+def f08(s, d):
+    imgs = F.slice(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 6).cast("int") + 1), lambda i: i), 2, 4)
+    return table(s, d, "documents").select("doc_id", (F.col("n_chars") >= 500).alias("usable"), F.size(imgs).alias("images"))
+
+
+@reg("F10_validation", "select reason, count(*) as n from (select case when length(text) < 200 then 'short' when lang <> 'en' then 'language' when n_chars > 5000 then 'long' else 'ok' end as reason from documents) group by reason")
+def f10(s, d):
+    c = F.when(F.char_length("text") < 200, "short").when(F.col("lang") != "en", "language").when(F.col("n_chars") > 5000, "long").otherwise("ok")
+    return table(s, d, "documents").groupBy(c.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@reg("F11_buckets", "select bucket, count(*) as n from (select 'even' as bucket from embeddings where vec_id % 2 = 0 union all select 'third' from embeddings where vec_id % 3 = 0 union all select 'all' from embeddings) group by bucket")
+def f11(s, d):
+    i = F.col("d")
+    named = F.array(F.when(i % 2 == 0, "even"), F.when(i % 3 == 0, "third"), F.lit("all"))
+    return vecs(s, d).select(F.explode(named).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@reg("F13_view_count", "select conv_id, count(*)::int as n from conversations group by conv_id")
+def f13(s, d):
+    return table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("v")).select("conv_id", F.size("v").alias("n"))
+
+
+@reg("F14_text_slot", "select conv_id, text from (select conv_id, text, row_number() over (partition by conv_id order by turn, role, text) as k from conversations) where k = 2")
+def f14(s, d):
+    got = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("v"))
+    return got.select("conv_id", F.get("v", F.lit(1))["text"].alias("text")).where("text is not null")
+
+
+@reg("F15_punctuation", "select distinct source, case when source in ('src1', 'src2') then source || '!' else source || '.' end as instruction from documents")
+def f15(s, d):
+    c = F.when(F.col("source").isin("src1", "src2"), F.concat("source", F.lit("!"))).otherwise(F.col("source"))
+    return table(s, d, "documents").select("source", T.punctuated(c).alias("instruction")).distinct()
+
+
+@reg("F16_conversation", "select doc_id, 'system:text:S|user:' || case when doc_id % 2 = 0 then 'image:i|user:text:' || lang else 'text:' || lang end as said from documents")
+def f16(s, d):
+    none = F.array().cast("array<string>")
+    c = views.conversation(F.lit("S"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("i"))).otherwise(none), none)
+    return table(s, d, "documents").select("doc_id", F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["role"], x["kind"], x["value"])), "|").alias("said"))
+
+
+@reg("F17_prompt", "select doc_id, case when doc_id % 2 = 0 then 'Query: ' || lang else lang end as prompt from documents")
+def f17(s, d):
+    return table(s, d, "documents").select("doc_id", T.prompt(F.when(F.col("doc_id") % 2 == 0, "Query:").otherwise(""), F.col("lang")).alias("prompt"))
+
+
+@reg("F18_dataset_filter", "select source, count(*) as n from documents where source in ('src0', 'src3') group by source")
+def f18(s, d):
+    return table(s, d, "documents").where(F.col("source").isin("src0", "src3")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@reg("S12_paths", "select page_id, url as path from pages union all select page_id, '/root/img/' || page_id || '.png' from pages")
+def s12(s, d):
+    p = table(s, d, "pages")
+    both = p.select("page_id", "url").unionByName(p.select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".png")).alias("url")))
+    return both.select("page_id", T.resolve_path(F.col("url"), "/root/img/").alias("path"))
+
+
+# --- identity ---
+def recs(s, d):
+    return table(s, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("declared"), F.sha2("text", 256).alias("content"), "doc_id")
+
+
+@reg("U08_components", """with recursive e as (select case when doc_id % 2 = 0 then source end as a, sha256(text) as b from documents),
+lab as (select distinct b, coalesce(min(a) over (partition by b), b) as l from e),
+joined as (select distinct e.a, lab.l from e join lab on lab.b = e.b where e.a is not null and lab.l <> e.a),
+reach(a, r) as (select a, a from (select distinct a from e where a is not null) union select r2.l, reach.r from reach join (select a, l from joined union select l, a from joined) r2 on r2.a = reach.a),
+rep as (select a, min(r) as c from reach group by a)
+select lab.b as content, coalesce(rep.c, lab.l) as canonical from lab left join rep on rep.a = lab.l""")
+def u08(s, d):
+    return I.canonical(recs(s, d)).where(F.length("node") == 64).select(F.col("node").alias("content"), "canonical")
+
+
+@reg("A24_component_stats", None)
+def a24(s, d):
+    return I.component_stats(I.canonical(recs(s, d)))
+
+
+@reg("J06_canonical_join", None)
+def j06(s, d):
+    c = I.canonical(recs(s, d))
+    return recs(s, d).join(c, F.col("content") == F.col("node")).select("doc_id", "canonical")
+
+
+@reg("J07_relations", "select lang as query, source as doc, count(*) over (partition by lang) as positives from (select distinct lang, source from documents)")
+def j07(s, d):
+    r = I.relations(table(s, d, "documents"), "lang", "source")
+    return r.withColumn("positives", F.count("*").over(Window.partitionBy("query")))
+
+
+@reg("A23_relation_stats", "with r as (select distinct conv_id, role from conversations), p as (select conv_id, count(*) as n from r group by 1) select count(*) as queries, count(*) filter (where n > 1) as multi_positive, max(n) as max_positives, round(avg(n), 6) as mean_positives, (select count(conv_id) - count(distinct conv_id) from conversations) as duplicate_rows from p")
+def a23(s, d):
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("query"), F.col("role").alias("doc"))
+    return I.relation_stats(I.relations(c), c).withColumn("mean_positives", F.round("mean_positives", 6))
+
+
+@reg("U02_record_dedup", "with f as (select text, min(doc_id) as first from documents group by text), s as (select text, first, dense_rank() over (order by first) - 1 as slot from f) select doc_id, first, slot from documents join s using (text)")
+def u02(s, d):
+    return I.first_of_each(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id")
+
+
+QUERIES["J15_inverse_index"] = QUERIES["U02_record_dedup"]
+QUERIES["U03_pool_dedup"] = QUERIES["U02_record_dedup"]
+
+
+@reg("J05_row_ids", "select vec_id, row_number() over (order by vec_id) - 1 as row_idx from embeddings")
+def j05(s, d):
+    return table(s, d, "embeddings").select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("row_idx"))
+
+
+@reg("J08_pool_sampling", None)
+def j08(s, d):
+    docs = table(s, d, "documents")
+    rel = docs.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("doc"))
+    return L.sampled(docs.select(F.col("doc_id").alias("row")), docs.select(F.col("doc_id").alias("doc")), rel, 3)
+
+
+QUERIES["N01_random_negatives"] = QUERIES["J08_pool_sampling"]
+
+
+@reg("J09_shared_keys", "select a.doc_id as i, b.doc_id as j from documents a join documents b on a.text = b.text and a.doc_id <> b.doc_id")
+def j09(s, d):
+    k = table(s, d, "documents").select("doc_id", T.content_key(F.col("text")).alias("k"))
+    return k.alias("a").join(k.alias("b"), "k").where("a.doc_id <> b.doc_id").select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"))
+
+
+# --- lexical mining (English documents up to 1500 characters) ---
+LEX = "t as (select doc_id as row, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) as token from benchmark_rows), n as (select count(distinct row) as n from t), f as (select token, count(*) as df, ln(1 + max(n) / count(*)) as idf from t, n group by token having count(*) <= greatest(20, floor(max(n) * 0.3))), w as (select row, sum(idf * idf) as w from t join f using (token) group by row), p as (select a.row as i, b.row as j, sum(f.idf * f.idf) as dot from t a join t b on a.token = b.token and a.row < b.row join f on f.token = a.token where f.df >= 2 group by 1, 2), sc as (select p.i, p.j, 2 * dot / (x.w + y.w) as f1, dot / sqrt(x.w * y.w) as cosine from p join w x on x.row = p.i join w y on y.row = p.j), dr as (select i, j, f1 from sc union all select j, i, f1 from sc)"
+LEX = "benchmark_rows as (select item_id as doc_id, text from benchmark), " + LEX
+
+
+def lex(s, d):
+    posts = L.postings(table(s, d, "benchmark"), "item_id")
+    return posts, L.frequencies(posts)
+
+
+@reg("A19_idf", f"with {LEX} select token, df, round(idf, 6) as idf from f")
+def a19(s, d):
+    return lex(s, d)[1].select("token", "df", r6("idf"))
+
+
+@reg("A20_row_weights", f"with {LEX} select row, round(w, 6) as w, round(sqrt(w), 6) as norm from w")
+def a20(s, d):
+    return L.weights(*lex(s, d)).select("row", r6("w"), r6("norm"))
+
+
+@reg("J10_token_join", f"with {LEX} select i, j, round(f1, 6) as score from sc")
+def j10(s, d):
+    return L.similar(*lex(s, d)).select("i", "j", r6("score"))
+
+
+@reg("A21_cosine", f"with {LEX} select i, j, round(cosine, 6) as score from sc")
+def a21(s, d):
+    return L.similar(*lex(s, d), measure="cosine").select("i", "j", r6("score"))
+
+
+@reg("J11_blocked_join", f"with {LEX} select i, j, round(f1, 6) as score from sc where i % 3 = j % 3")
+def j11(s, d):
+    posts, freq = lex(s, d)
+    block = posts.select("row", (F.col("row") % 3).alias("block")).distinct()
+    return L.similar(posts, freq, block=block).select("i", "j", r6("score"))
+
+
+@reg("J12_band", f"with {LEX} select i, j, round(f1, 6) as score from sc where f1 between 0.05 and 0.2")
+def j12(s, d):
+    return L.banded(L.similar(*lex(s, d)), 0.05, 0.2).select("i", "j", r6("score"))
+
+
+@reg("J13_exclusion", f"with {LEX} select i, j, round(f1, 6) as score from dr where (i + j) % 5 <> 0")
+def j13(s, d):
+    pairs = L.directed(L.similar(*lex(s, d)))
+    return L.excluded(pairs, pairs.where("(i + j) % 5 = 0")).select("i", "j", r6("score"))
+
+
+@reg("W05_top_similar", f"with {LEX} select i, j, rank from (select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr) where rank <= 5")
+def w05(s, d):
+    pairs = L.directed(L.similar(*lex(s, d))).withColumn("score", F.round("score", 9))
+    return L.top(pairs, 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
+
+
+_BAND = f"with {LEX}, r as (select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr), b as (select *, count(*) over (partition by i) as n from r where rank <= 20) select i, j, rank from b where rank > round_even(greatest(n - 10, 0) * 0.5, 0) and rank <= round_even(greatest(n - 10, 0) * 0.5, 0) + 10"
+
+
+@reg("W06_difficulty_band", _BAND)
+def w06(s, d):
+    pairs = L.directed(L.similar(*lex(s, d))).withColumn("score", F.round("score", 9))
+    return L.difficulty_band(L.top(pairs, 20), 10, 0.5).select("i", "j", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES["N04_mined_pick"] = QUERIES["W06_difficulty_band"]
+
+
+@reg("W07_rare_token", f"with {LEX}, k as (select t.row, token, row_number() over (partition by t.row order by df, token) as r, count(*) over (partition by t.row) as c from t join f using (token)) select row, token from k where r = least(3, c)")
+def w07(s, d):
+    return L.rarest_token(*lex(s, d), 3)
+
+
+@reg("W08_blocks", "select item_id, (row_number() over (order by md5(text), item_id) - 1) // 16 as block from benchmark")
+def w08(s, d):
+    w = Window.orderBy(F.md5("text"), "item_id")
+    return table(s, d, "benchmark").select("item_id", F.floor((F.row_number().over(w) - 1) / 16).cast("long").alias("block"))
+
+
+@reg("A22_mining_stats", f"with {LEX}, c as (select i, count(*) as n from dr where f1 between 0.05 and 0.9 group by i) select (select count(*) from c) as covered, (select count(distinct row) from t) as all_rows, round((select avg(n) from c), 6) as mean_candidates, (select count(*) from dr where f1 > 0.9) as dropped_duplicates")
+def a22(s, d):
+    posts, freq = lex(s, d)
+    pairs = L.directed(L.similar(posts, freq))
+    c = L.banded(pairs, 0.05, 0.9).groupBy("i").agg(F.count("*").alias("n")).agg(F.count("*").alias("covered"), F.round(F.avg("n"), 6).alias("mean_candidates"))
+    return c.crossJoin(posts.agg(F.countDistinct("row").alias("all_rows"))).crossJoin(pairs.agg(F.count_if(F.col("score") > 0.9).alias("dropped_duplicates")))
+
+
+@reg("T05_hardest_pairs", f"with {LEX} select i, j, round(f1, 6) as score from sc order by round(f1, 9) desc, i, j limit 20")
+def t05(s, d):
+    return L.similar(*lex(s, d)).withColumn("o", F.round("score", 9)).orderBy(F.desc("o"), "i", "j").limit(20).select("i", "j", r6("score"))
+
+
+@reg("U07_merged_rounds", f"with {LEX} select i, j, round(f1, 6) as score from sc where i % 3 = j % 3 or i % 5 = j % 5")
+def u07(s, d):
+    posts, freq = lex(s, d)
+    block = lambda m: posts.select("row", (F.col("row") % m).alias("block")).distinct()
+    return L.merged_rounds(*(L.similar(posts, freq, block=block(m)) for m in (3, 5))).select("i", "j", r6("score"))
+
+
+# --- views and arrays ---
+@reg("W09_view_groups", "with c as (select conv_id, count(*) as n from conversations group by 1) select conv_id, unnest(range(0, ((n + 1) // 2)::bigint))::int as grp from c")
+def w09(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("v"))
+    return views.chunks(c, "v", 2).select("conv_id", F.col("group").alias("grp"))
+
+
+@reg("A25_view_histogram", "with c as (select count(*) as n from conversations group by conv_id) select max(n) as max_views, round(avg(n), 6) as mean_views, sum((n + 1) // 2)::bigint as expanded from c")
+def a25(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return c.agg(F.max("n").alias("max_views"), F.round(F.avg("n"), 6).alias("mean_views"), F.sum(F.ceil(F.col("n") / 2)).alias("expanded"))
+
+
+@reg("N02_cyclic_fill", "select vec_id, list_transform(range(0, 5), lambda i: (vec_id + i % 3)::bigint)::varchar as filled from embeddings")
+def n02(s, d):
+    v, _ = views.padded(F.array(F.col("d"), F.col("d") + 1, F.col("d") + 2), 5)
+    return vecs(s, d).select(F.col("d").alias("vec_id"), F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ", "), F.lit("]")).alias("filled"))
+
+
+@reg("N03_mined_share", "select vec_id, least(8, round_even(8 * (vec_id % 11) / 10.0, 0))::bigint as mined from embeddings")
+def n03(s, d):
+    return vecs(s, d).select(F.col("d").alias("vec_id"), F.least(F.lit(8), F.bround(F.lit(8) * (F.col("d") % 11) / F.lit(10.0))).cast("long").alias("mined"))
+
+
+@reg("N05_row_negatives", "select a.vec_id as i, b.vec_id as j from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.label <> b.label and a.label <> (b.label + 1) % 10")
+def n05(s, d):
+    a = vecs(s, d).select("d", F.array("label", (F.col("label") + 1) % 10).alias("k"), "label")
+    b = vecs(s, d).select((F.col("d") - 1).alias("d"), F.col("d").alias("j"), F.array(F.col("label"), (F.col("label") + 1) % 10).alias("kb"))
+    return a.join(b, "d").where(~F.arrays_overlap(F.array("label"), "kb")).select(F.col("d").alias("i"), "j")
+
+
+@reg("U04_ordered_union", "select conv_id, array_to_string(list_sort(list_distinct(list(role))), ',') as roles from conversations group by conv_id")
+def u04(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("role")).alias("r"))
+    return c.select("conv_id", F.array_join(F.array_distinct(F.concat("r", "r")), ",").alias("roles"))
+
+
+@reg("U05_difference", "select doc_id from documents where doc_id not in (select doc_id from labels)")
+def u05(s, d):
+    return table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@reg("U06_overlap", "select vec_id, (label = vec_id % 10 or label = vec_id % 7) as overlaps from embeddings")
+def u06(s, d):
+    i = F.col("d")
+    return vecs(s, d).select(i.alias("vec_id"), F.arrays_overlap(F.array(F.col("label").cast("long")), F.array(i % 10, i % 7)).alias("overlaps"))
+
+
+@reg("W10_length_batches", "select doc_id, (row_number() over (order by length(text), doc_id) - 1) // 32 as batch from documents")
+def w10(s, d):
+    w = Window.orderBy(F.char_length("text"), "doc_id")
+    return table(s, d, "documents").select("doc_id", F.floor((F.row_number().over(w) - 1) / 32).cast("long").alias("batch"))
+
+
+@reg("W11_weighted_pooling", "select vec_id, round((embedding[1]::double + 2 * embedding[3]::double) / 3, 6) as x from embeddings")
+def w11(s, d):
+    e = F.transform("vec", lambda x: x.cast("double"))
+    states = F.array(F.slice(e, 1, 2), F.slice(e, 5, 2), F.slice(e, 3, 2))
+    p = views.pool(states, F.array(F.lit(True), F.lit(False), F.lit(True)), "weighted")
+    return vecs(s, d).select(F.col("d").alias("vec_id"), F.round(p[0], 6).alias("x"))
+
+
+@reg("A30_token_counts", "select source, sum(len(list_filter(regexp_split_to_array(trim(text, e' \\n'), '\\s+'), lambda x: x <> '')))::bigint as tokens from documents group by source")
+def a30(s, d):
+    return table(s, d, "documents").groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))).alias("tokens"))
+
+
+# --- vectors, calibration ---
+@reg("V01_normalise", "with n as (select vec_id, list_transform(embedding, lambda x: x::double * 3) as v from embeddings) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as x from n")
+def v01(s, d):
+    return vecs(s, d).select(F.col("d").alias("vec_id"), F.round(V.normalise(V.scale(F.col("vec"), 3))[0], 6).alias("x"))
+
+
+_TR = "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), m as (select vec_id, dim, v[1:dim] as c from n, (values (8), (16), (64)) t(dim))"
+
+
+@reg("K03_matryoshka", _TR + " select vec_id, dim, round(c[dim] / sqrt(list_dot_product(c, c)), 6) as last from m")
+def k03(s, d):
+    dims, _ = E.matryoshka_dims([8, 16, 128], 64)
+    u = E.unpacked(vecs(s, d), dims, "vec")
+    return u.select(F.col("d").alias("vec_id"), "dim", F.round(F.element_at("vec", -1), 6).alias("last"))
+
+
+QUERIES["X07_matryoshka_setup"] = QUERIES["K03_matryoshka"]
+_FUSE = "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n), m as (select a.vec_id, list_transform(list_zip(a.v, b.v), lambda z: 0.3 * z[2] + 0.7 * z[1]) as v from u a join u b on b.vec_id = a.vec_id + 1)"
+
+
+@reg("V02_late_fusion", _FUSE + " select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as x from m")
+def v02(s, d):
+    b = vecs(s, d).select((F.col("d") - 1).alias("d"), F.col("vec").alias("img"))
+    return vecs(s, d).join(b, "d").select(F.col("d").alias("vec_id"), F.round(V.fuse(F.col("vec"), F.col("img"), 0.3)[0], 6).alias("x"))
+
+
+_MEAN = "with p as (select label as bucket, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select bucket, i, avg(x) as m from p group by 1, 2)"
+
+
+@reg("A18_mean_vector", _MEAN + " select bucket, round(max(m) filter (where i = 1), 6) as first, round(sum(m), 6) as total from m group by bucket")
+def a18(s, d):
+    m = C.mean_vector(vecs(s, d), "label")
+    return m.select(F.col("label").alias("bucket"), F.round(F.col("mean")[0], 6).alias("first"), F.round(V.total(F.col("mean")), 6).alias("total"))
+
+
+QUERIES["S09_calibration_means"] = QUERIES["A18_mean_vector"]
+QUERIES["K10_means_table"] = QUERIES["A18_mean_vector"]
+
+
+@reg("J16_mean_shift", _MEAN + ", g as (select bucket, list(m order by i) as mv from m group by bucket), s as (select vec_id, list_transform(list_zip(embedding, mv), lambda z: z[1]::double - z[2]) as v from embeddings join g on bucket = label) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as x from s")
+def j16(s, d):
+    m = C.mean_vector(vecs(s, d), "label").select("label", "mean")
+    return vecs(s, d).join(F.broadcast(m), "label").select(F.col("d").alias("vec_id"), F.round(V.shift(F.col("vec"), F.col("mean"))[0], 6).alias("x"))
+
+
+@reg("A32_min_cosine", "select round(min(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))), 6) as min_cos from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def a32(s, d):
+    a = vecs(s, d).withColumnRenamed("d", "id")
+    return C.min_pair_cosine(a, a.withColumn("id", F.col("id") - 1)).select(r6("min_cos"))
+
+
+@reg("A27_collapse", "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings where vec_id % 5 = 0), u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n), c as (select list_dot_product(a.v, b.v) as c from u a join u b on a.vec_id < b.vec_id), x as (select unnest(v) as x, generate_subscripts(v, 1) as i from u), sd as (select stddev_samp(x) as s from x group by i) select round(avg(c), 6) as mean_cos, round(max(c), 6) as max_cos, round((select avg(s) from sd), 6) as std from c")
+def a27(s, d):
+    return C.collapse(vecs(s, d).where("d % 5 = 0"), "d").select(r6("mean_cos"), r6("max_cos"), r6("std"))
+
+
+# --- contrastive ---
+def batch(s, d):
+    """Anchors and candidates of one batch of 16 vectors: logit 20 x cosine, target by equal label."""
+    v = vecs(s, d).withColumn("b", F.floor(F.col("d") / 16))
+    a = v.select("b", F.col("d").alias("anchor"), F.col("vec").alias("x"), F.col("label").alias("la"))
+    c = v.select("b", F.col("d").alias("cand"), F.col("vec").alias("y"), F.col("label").alias("lc"))
+    return a.join(c, "b").where("anchor <> cand").select("b", "anchor", "cand", "la", "lc", (V.dot(V.normalise(F.col("x")), V.normalise(F.col("y"))) * 20).alias("logit"), (F.col("la") == F.col("lc")).alias("target"))
+
+
+_NCE = "with n as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n), p as (select a.vec_id as anchor, b.vec_id as cand, 20 * list_dot_product(a.v, b.v) as x, a.label = b.label as t, a.label % 5 = b.label % 5 and a.label <> b.label as m from u a join u b on a.vec_id // 16 = b.vec_id // 16 and a.vec_id <> b.vec_id)"
+
+
+def nce(s, d):
+    pairs = C.masked(batch(s, d), [F.col("la") % 5 == F.col("lc") % 5])
+    return C.info_nce(pairs)
+
+
+@reg("A29_log_sum_exp", _NCE + " select anchor, round(ln(sum(exp(x))), 6) as lse from p group by anchor")
+def a29(s, d):
+    top = F.max("logit").over(Window.partitionBy("anchor"))
+    return batch(s, d).withColumn("top", top).groupBy("anchor").agg(F.round(F.first("top") + F.ln(F.sum(F.exp(F.col("logit") - F.col("top")))), 6).alias("lse"))
+
+
+@reg("C03_info_nce", _NCE + ", k as (select *, ln(sum(exp(x)) over (partition by anchor)) as z, coalesce(sum(case when not t then exp(x) end) over (partition by anchor), 0) as neg from p where not m) select anchor, round(avg(case when t then z - x end), 6) as loss_mean, round(max(z) - ln(sum(case when t then exp(x) end)), 6) as loss_joint, round(avg(case when t then ln(exp(x) + neg) - x end), 6) as loss_sibling from k group by anchor")
+def c03(s, d):
+    return nce(s, d).select("anchor", r6("loss_mean"), r6("loss_joint"), r6("loss_sibling"))
+
+
+@reg("C06_accuracy", _NCE + " select anchor, arg_max(t, x)::int as hit, round(avg(case when t then x end), 6) as pos_sim, count(*) as n_cand, count(*) filter (where t) as n_pos from p where not m group by anchor")
+def c06(s, d):
+    return nce(s, d).select("anchor", "hit", r6("pos_sim"), "n_cand", "n_pos")
+
+
+@reg("C04_label_smoothing", _NCE + ", k as (select *, ln(sum(exp(x)) over (partition by anchor)) as z from p where not m) select anchor, round(0.9 * avg(case when t then z - x end) + 0.1 * (max(z) - avg(x)), 6) as loss from k group by anchor")
+def c04(s, d):
+    pairs = C.masked(batch(s, d), [F.col("la") % 5 == F.col("lc") % 5])
+    return C.info_nce(pairs, smoothing=0.1).select("anchor", F.round("loss_mean", 6).alias("loss"))
+
+
+@reg("C05_symmetric", _NCE + ", k as (select *, ln(sum(exp(x)) over (partition by anchor)) as z, ln(sum(exp(x)) over (partition by cand)) as zc from p) select round(0.75 * (select avg(l) from (select avg(z - x) as l from k where t group by anchor)) + 0.25 * (select avg(l) from (select avg(zc - x) as l from k where t group by cand)), 6) as loss from (select 1)")
+def c05(s, d):
+    p = batch(s, d).withColumn("mask", F.lit(False))
+    one = C.info_nce(p).agg(F.avg("loss_mean").alias("a"))
+    two = C.info_nce(p.withColumnRenamed("anchor", "_x").withColumnRenamed("cand", "anchor")).agg(F.avg("loss_mean").alias("b"))
+    return one.crossJoin(two).select(F.round(0.75 * F.col("a") + 0.25 * F.col("b"), 6).alias("loss"))
+
+
+@reg("C01_candidates", _NCE + " select anchor, count(*) as all_cands, count(*) filter (where t) as own_group from p group by anchor")
+def c01(s, d):
+    return batch(s, d).groupBy("anchor").agg(F.count("*").alias("all_cands"), F.count_if("target").alias("own_group"))
+
+
+@reg("C02_targets", _NCE + " select anchor, cand from p where t")
+def c02(s, d):
+    return batch(s, d).where("target").select("anchor", "cand")
+
+
+@reg("J14_false_negatives", _NCE + " select anchor, cand from p where m")
+def j14(s, d):
+    return C.masked(batch(s, d), [F.col("la") % 5 == F.col("lc") % 5]).where("mask").select("anchor", "cand")
+
+
+@reg("A28_mask_ratio", _NCE + " select round(count(*) filter (where m) / count(*) filter (where not t), 6) as mask_ratio from p")
+def a28(s, d):
+    return C.mask_ratio(C.masked(batch(s, d), [F.col("la") % 5 == F.col("lc") % 5])).select(r6("mask_ratio"))
+
+
+_DSP = _NCE + ", b as (select anchor as block, x from p), q as (select block, count(*) as n, max(x) as hi, min(x) as lo, var_pop(x) as v, avg(x) as m from b group by 1), c as (select b.block, avg((hi - x) ** 2) as cmax, avg((lo - x) ** 2) as cmin from b join q using (block) group by 1)"
+
+
+@reg("A16_dispersion", _DSP + " select q.block, round(v, 6) as variance, round(sqrt(v), 6) as std, round(v * 2 * n / (n - 1), 6) as pairwise, round(cmax, 6) as center_max, round(cmin, 6) as center_min from q join c using (block) where n >= 2")
+def a16(s, d):
+    x = C.dispersion(batch(s, d).select(F.col("anchor").alias("block"), F.col("logit").alias("cos")))
+    return x.select("block", *(r6(c) for c in ("variance", "std", "pairwise", "center_max", "center_min")))
+
+
+@reg("A15_block_diagnostics", _DSP + " select round(avg(hi - lo), 6) as range, round(avg(v), 6) as variance, round(avg(m), 6) as mean from q where n >= 2")
+def a15(s, d):
+    x = C.dispersion(batch(s, d).select(F.col("anchor").alias("block"), F.col("logit").alias("cos")))
+    return x.agg(F.round(F.avg("range"), 6).alias("range"), F.round(F.avg("variance"), 6).alias("variance"), F.round(F.avg("center_mean"), 6).alias("mean"))
+
+
+@reg("A17_balance", _DSP + " select q.block, round(v + 0.5 * (m + hi) / 2, 6) as total from q where n >= 2")
+def a17(s, d):
+    b = batch(s, d).groupBy(F.col("anchor").alias("block")).agg(F.var_pop("logit").alias("v"), F.avg("logit").alias("m"), F.max("logit").alias("hi"), F.count("*").alias("n")).where("n >= 2")
+    return b.select("block", F.round(C.balance(F.col("v"), [F.col("m"), F.col("hi")], 0.5), 6).alias("total"))
+
+
+@reg("A33_weighted_dims", "select round((1 * 8 + 2 * 16 + 1 * 64) / 4.0, 6) as loss from (select 1)")
+def a33(s, d):
+    rows = vecs(s, d).select(F.explode(F.array(*(F.lit(x) for x in (8, 16, 64)))).alias("dim")).groupBy("dim").agg(F.avg(F.col("dim").cast("double")).alias("loss"))
+    return C.weighted_dims(rows, {8: 1, 16: 2, 64: 1}).select(r6("loss"))
+
+
+@reg("A26_running_means", "select event_type, round(avg(value), 6) as mean, count(value) as n from events group by event_type")
+def a26(s, d):
+    return C.running_means(table(s, d, "events"), "event_type", "value").select("event_type", r6("mean"), "n")
+
+
+@reg("C07_scale", "select 50.0::double as scale from (select 1)")
+def c07(s, d):
+    return s.range(1).select(F.lit(C.logit_scale(0.02)).alias("scale"))
+
+
+# --- embedding jobs, reports ---
+@reg("X01_embed", None)
+def x01(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    return E.embed(docs, E.HashedWords(16)).select("row_idx", "n_tokens", "success", F.size("embedding").alias("dim"))
+
+
+@reg("K02_merge", "select doc_id as row_idx, doc_id % 9 <> 0 and length(text) > 0 as success, 16 as dim from documents")
+def k02(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    done = E.embed(docs.where("row_idx % 9 <> 0"), E.HashedWords(16)).drop("n_tokens", "error")
+    return E.merged(docs.select("row_idx"), done, 16).select("row_idx", "success", F.size("embedding").alias("dim"))
+
+
+QUERIES["J17_failed_rows"] = QUERIES["K02_merge"]
+
+
+@reg("A31_percent_table", "with m as (select lang, source, avg(n_chars % 100 / 100.0) as v from documents where source in ('src0', 'src1', 'src2') group by 1, 2) select lang, round(max(v) filter (where source = 'src0') * 100, 2) as src0, round(max(v) filter (where source = 'src1') * 100, 2) as src1, round(max(v) filter (where source = 'src2') * 100, 2) as src2, case when count(*) = 3 then round(sum(v) / 3 * 100, 2) end as avg from m group by lang")
+def a31(s, d):
+    r = table(s, d, "documents").where(F.col("source").isin("src0", "src1", "src2")).select("lang", "source", (F.col("n_chars") % 100 / 100.0).alias("v"))
+    return report.percent_table(r, ["src0", "src1", "src2"], "lang", "source", "v")
+
+
+QUERIES["J18_pivot"] = QUERIES["A31_percent_table"]
+QUERIES["K07_metric_table"] = QUERIES["A31_percent_table"]
+
+
+@reg("T06_dataset_order", "select source, row_number() over (order by case source when 'src3' then 0 when 'src1' then 1 else 2 end, source) as at from (select distinct source from documents)")
+def t06(s, d):
+    names = table(s, d, "documents").select("source").distinct()
+    key = F.coalesce(F.nullif(F.array_position(F.array(F.lit("src3"), F.lit("src1")), F.col("source")), F.lit(0)), F.lit(99))
+    return names.select("source", F.row_number().over(Window.orderBy(key, "source")).cast("long").alias("at"))
+
+
+@reg("G01_namespaces", "select source || '::' || doc_id as id, source as tag, doc_id::varchar as raw from documents")
+def g01(s, d):
+    n = table(s, d, "documents").select(T.namespaced(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
+    return n.select("id", T.split_namespace(F.col("id"))["tag"].alias("tag"), T.split_namespace(F.col("id"))["raw"].alias("raw"))
+
+
+@reg("G02_tokens", "select item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ') as tokens from benchmark")
+def g02(s, d):
+    return table(s, d, "benchmark").select("item_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))

@@ -26,7 +26,7 @@ from millrace.storage import materialize, release
 
 SIMILARITY = 0.8
 VERIFY_BITS = 512
-HOT, CENTRES = 64, 4
+HOT, CENTRES = 16, 2
 
 
 def share(similarity: float) -> float:
@@ -110,7 +110,8 @@ def components(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HO
         return met.join(other, "dst").where(apart <= most).select("src", "dst")
 
     pairs = few.alias("a").join(few.alias("b"), "v").where("a.key < b.key").select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
-    centres = many.groupBy("v").agg(*(F.min_by("key", F.xxhash64("key", "v", F.lit(i))).alias(f"c{i}") for i in range(CENTRES))).select("v", F.array(*(f"c{i}" for i in range(CENTRES))).alias("c"))
+    # one order of all texts for each centre, so a group has the same ones in most of its blocks and few pairs in all
+    centres = many.groupBy("v").agg(*(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"c{i}") for i in range(CENTRES))).select("v", F.array(*(f"c{i}" for i in range(CENTRES))).alias("c"))
     near = many.join(centres, "v").select("key", F.explode("c").alias("c")).where("key <> c").select(F.least("key", "c").alias("src"), F.greatest("key", "c").alias("dst"))
     found = materialize(verified(pairs.unionByName(near)), "close")
     if not crowded.isEmpty():

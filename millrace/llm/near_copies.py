@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.operators.components import connected_components
-from millrace.storage import materialize, release
+from millrace.storage import materialize, release, small_batches
 
 SIMILARITY = 0.8
 VERIFY_BITS = 512
@@ -136,7 +136,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     """
     rows = docs.count()
     wide, n = plan(rows, similarity)
-    marked = materialize(prints(docs.select(doc_id, text, F.xxhash64(text).alias("_t")), wide, n, text), "prints")
+    with small_batches(docs.sparkSession):
+        marked = materialize(prints(docs.select(doc_id, text, F.xxhash64(text).alias("_t")), wide, n, text), "prints")
     classes = materialize(classes_of(marked, doc_id), "classes")
     comp = components(classes, similarity)
     named = classes.select("key", "least").join(comp, "key", "left").withColumn("c", F.coalesce("component", "key"))

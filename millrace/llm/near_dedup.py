@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.operators.components import connected_components
-from millrace.storage import materialize
+from millrace.storage import materialize, small_batches
 
 #: Fingerprints with one block value up to which they are compared pair by pair.
 HOT = 48
@@ -86,6 +86,7 @@ def group(prints: DataFrame, doc_id: str = "doc_id", radius: int = 2, hot: int =
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    prints = materialize(fingerprints(docs).select("doc_id", "fp"), "prints")
+    with small_batches(spark):
+        prints = materialize(fingerprints(docs).select("doc_id", "fp"), "prints")
     groups = group(prints)
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,8 +6,9 @@ meet on, and one of five-word shingles to verify the Hamming distance on. Width
 number of blocks follow from the number of texts and the similarity (see plan()).
 
 A block value shared by over `hot` texts is not expanded into all pairs. Its members
-are compared with a few centres of it first; pairs that the components found so far
-leave apart are then all compared, so no link between different groups is lost.
+are compared with a few centres of it first; pairs that the components found so far leave apart are
+then compared too, but for those that the triangle inequality rules out by their
+distances to the centres. So no link between different groups is lost.
 """
 
 from __future__ import annotations
@@ -103,25 +104,40 @@ def components(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HO
     few = keyed.join(crowded, "v", "left_anti")
     many = keyed.join(crowded, "v", "left_semi")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame) -> DataFrame:
         met = pairs.distinct().join(sigs.withColumnRenamed("key", "src"), "src")
         other = sigs.select(F.col("key").alias("dst"), *(F.col(f"w{i}").alias(f"x{i}") for i in range(VERIFY_BITS // 64)))
         apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"x{i}"))) for i in range(1, VERIFY_BITS // 64)), F.bit_count(F.col("w0").bitwiseXOR(F.col("x0"))))
-        return met.join(other, "dst").where(apart <= most).select("src", "dst")
+        return met.join(other, "dst").select("src", "dst", apart.alias("apart"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return measured(pairs).where(F.col("apart") <= most).select("src", "dst")
 
     pairs = few.alias("a").join(few.alias("b"), "v").where("a.key < b.key").select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
-    # one order of all texts for each centre, so a group has the same ones in most of its blocks and few pairs in all
-    centres = many.groupBy("v").agg(*(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"c{i}") for i in range(CENTRES))).select("v", F.array(*(f"c{i}" for i in range(CENTRES))).alias("c"))
-    near = many.join(centres, "v").select("key", F.explode("c").alias("c")).where("key <> c").select(F.least("key", "c").alias("src"), F.greatest("key", "c").alias("dst"))
-    found = materialize(verified(pairs.unionByName(near)), "close")
-    if not crowded.isEmpty():
+    if crowded.isEmpty():
+        found = materialize(verified(pairs), "close")
+    else:
+        # one order of all texts for each centre, so a group has the same ones in most of its blocks and few pairs in all
+        centres = many.groupBy("v").agg(*(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
+        led = materialize(many.join(centres, "v"), "led")
+        near = led.select(F.col("key").alias("src"), F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("dst")).where("src <> dst")
+        far = materialize(measured(near), "far")
+        found = materialize(verified(pairs).unionByName(far.where(F.col("apart") <= most).select("src", "dst")), "close")
         comp = connected_components(found).withColumnRenamed("node", "key")
-        placed = materialize(many.join(comp, "key", "left").select("v", "key", F.coalesce("component", "key").alias("c")), "placed")
+        placed = led.join(comp, "key", "left").withColumn("c", F.coalesce("component", "key"))
+        for i in range(CENTRES):
+            to = far.select(F.col("src").alias("key"), F.col("dst").alias(f"c{i}"), F.col("apart").alias(f"d{i}"))
+            placed = placed.join(to, ["key", f"c{i}"], "left").withColumn(f"d{i}", F.coalesce(f"d{i}", F.lit(0)))
+        placed = materialize(placed.select("v", "key", "c", *(f"d{i}" for i in range(CENTRES))), "placed")
         per = placed.groupBy("v", "c").agg(F.count("*").alias("n"))
         main = per.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        split = placed.join(main, "v")
-        apart = split.where("c <> main").alias("a").join(split.alias("b"), "v").where("a.c <> b.c and (b.c = b.main or a.key < b.key)")
-        rest = verified(apart.select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst")))
+        # signatures go along, so the join compares and only emits what is close
+        split = placed.join(main, "v").join(sigs, "key")
+        # by the triangle inequality texts whose distances to a centre differ by more than `most` are further apart than that
+        may = " and ".join(f"abs(a.d{i} - b.d{i}) <= {most}" for i in range(CENTRES))
+        close = " + ".join(f"bit_count(a.w{i} ^ b.w{i})" for i in range(VERIFY_BITS // 64))
+        late = split.where("c <> main").alias("a").join(split.alias("b"), "v").where(f"a.c <> b.c and (b.c = b.main or a.key < b.key) and {may} and {close} <= {most}")
+        rest = late.select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst")).distinct()
         found = materialize(found.unionByName(rest), "close")
     out = connected_components(found).withColumnRenamed("node", "key")
     release(keyed)

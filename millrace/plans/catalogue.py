@@ -20,6 +20,7 @@ from millrace.operators import report, views
 from millrace.operators import retrieval as R
 from millrace.sources import embeddings as E
 from millrace.sources import jsonl as J
+from millrace.storage import cached, new_path
 
 QUERIES: dict = {}
 FLAGSHIP = "A05_ndcg"
@@ -78,7 +79,7 @@ for _id, _m, _sql in [
     ("A05_ndcg", "ndcg", "coalesce(dcg / idcg, 0)"),
     ("A06_mrr", "mrr", "rr"),
     ("A07_map", "map", "coalesce(ap / least(p, k), 0)"),
-    ("A08_success", "success", "case when h > 0 then 1.0 else 0.0 end"),
+    ("A08_success", "success", "(case when h > 0 then 1.0 else 0.0 end)::double"),
 ]:
     reg(_id, f"with {MET} select q, k, round({_sql}, 6) as {_m} from per where p > 0")(lambda s, d, m=_m: metrics(s, d).select("q", "k", r6(m)))
 
@@ -241,7 +242,7 @@ def s04(s, d):
     return table(s, d, "documents").groupBy((F.col("doc_id") % 4).alias("rank")).agg(F.count("*").alias("n"))
 
 
-@reg("S05_qrels", "select 'q' || label as q, 'd' || vec_id as d, case vec_id % 4 when 0 then 3.0 when 1 then 1.0 when 2 then 2.0 else 1.0 end as rel from embeddings")
+@reg("S05_qrels", "select 'q' || label as q, 'd' || vec_id as d, (case vec_id % 4 when 0 then 3.0 when 1 then 1.0 when 2 then 2.0 else 1.0 end)::double as rel from embeddings")
 def s05(s, d):
     q, i = F.concat(F.lit("q"), F.col("label")), F.concat(F.lit("d"), F.col("d"))
     one = F.to_json(F.struct(q.alias("qid"), i.alias("doc_id"), F.lit(3).alias("score")))
@@ -362,22 +363,25 @@ def recs(s, d):
     return table(s, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("declared"), F.sha2("text", 256).alias("content"), "doc_id")
 
 
-@reg("U08_components", """with recursive e as (select case when doc_id % 2 = 0 then source end as a, sha256(text) as b from documents),
+COMPONENTS = """with recursive e as (select case when doc_id % 2 = 0 then source end as a, sha256(text) as b from documents),
 lab as (select distinct b, coalesce(min(a) over (partition by b), b) as l from e),
 joined as (select distinct e.a, lab.l from e join lab on lab.b = e.b where e.a is not null and lab.l <> e.a),
 reach(a, r) as (select a, a from (select distinct a from e where a is not null) union select r2.l, reach.r from reach join (select a, l from joined union select l, a from joined) r2 on r2.a = reach.a),
 rep as (select a, min(r) as c from reach group by a)
-select lab.b as content, coalesce(rep.c, lab.l) as canonical from lab left join rep on rep.a = lab.l""")
+select lab.b as content, coalesce(rep.c, lab.l) as canonical from lab left join rep on rep.a = lab.l"""
+
+
+@reg("U08_components", COMPONENTS)
 def u08(s, d):
     return I.canonical(recs(s, d)).where(F.length("node") == 64).select(F.col("node").alias("content"), "canonical")
 
 
-@reg("A24_component_stats", None)
+@reg("A24_component_stats", f"select (select count(distinct text) from documents) + (select count(distinct source) from documents where doc_id % 2 = 0) as nodes, count(distinct canonical) as documents from ({COMPONENTS})")
 def a24(s, d):
     return I.component_stats(I.canonical(recs(s, d)))
 
 
-@reg("J06_canonical_join", None)
+@reg("J06_canonical_join", f"select d.doc_id, u.canonical from documents d join ({COMPONENTS}) u on u.content = sha256(d.text)")
 def j06(s, d):
     c = I.canonical(recs(s, d))
     return recs(s, d).join(c, F.col("content") == F.col("node")).select("doc_id", "canonical")
@@ -792,3 +796,60 @@ def g01(s, d):
 @reg("G02_tokens", "select item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ') as tokens from benchmark")
 def g02(s, d):
     return table(s, d, "benchmark").select("item_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
+# --- files written to the shared folder and read again ---
+@reg("S08_calibration_scan", "select doc_id, lang from documents order by doc_id limit 100")
+def s08(s, d):
+    return J.head(table(s, d, "documents").select("doc_id", "lang"), 100, "doc_id")
+
+
+@reg("S10_result_scan", "select source as dataset, count(*) as n, max(n_chars) as longest from documents group by source")
+def s10(s, d):
+    path = new_path(s, "results")
+    table(s, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("n"), F.max("n_chars").alias("longest")).write.partitionBy("dataset").json(path)
+    return s.read.schema("n long, longest long, dataset string").json(path).select("dataset", "n", "longest")
+
+
+@reg("K01_shards", "select doc_id % 4 as shard, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1")
+def k01(s, d):
+    path = new_path(s, "shards")
+    table(s, d, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 4).alias("shard")).write.partitionBy("shard").parquet(path)
+    return s.read.parquet(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@reg("K11_bucket_manifests", "select lang as bucket, count(*) as n, min(doc_id) as first from documents group by lang")
+def k11(s, d):
+    path = new_path(s, "buckets")
+    table(s, d, "documents").select("doc_id", F.col("lang").alias("bucket")).write.partitionBy("bucket").json(path)
+    return s.read.schema("doc_id long, bucket string").json(path).groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@reg("K09_index_cache", f"with {LEX} select token, df, round(idf, 6) as idf from f")
+def k09(s, d):
+    make = lambda: lex(s, d)[1]
+    cached(s, ("lexical index", d, 0.3, 20), make)
+    return cached(s, ("lexical index", d, 0.3, 20), make).select("token", "df", r6("idf"))
+
+
+@reg("K06_result_json", f"with {MET} select k, '{{\"k\":' || k || ',\"queries\":' || count(*) || '}}' as payload from per where p > 0 group by k")
+def k06(s, d):
+    return R.means(metrics(s, d), "k").select("k", F.to_json(F.struct("k", "queries")).alias("payload"))
+
+
+@reg("F09_missing_images", "select page_id from pages where page_id % 3 <> 0")
+def f09(s, d):
+    p = table(s, d, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".png")).alias("image"))
+    listed = p.where("page_id % 3 = 0").select("image")
+    return p.join(listed, "image", "left_anti").select("page_id")
+
+
+@reg("C09_batch_gather", "select vec_id // 16 as batch, count(*) * (count(*) - 1) as pairs from embeddings group by 1")
+def c09(s, d):
+    return batch(s, d).groupBy(F.col("b").cast("long").alias("batch")).agg(F.count("*").alias("pairs"))
+
+
+@reg("N07_eval_views", "select conv_id, count(*) as views, count(distinct text) as texts from conversations group by conv_id")
+def n07(s, d):
+    got = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("v"))
+    return got.select("conv_id", F.size("v").cast("long").alias("views"), F.size(F.array_distinct("v")).cast("long").alias("texts"))

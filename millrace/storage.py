@@ -46,6 +46,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cached(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """The table made by make(), once for each key: later calls read it. A write that did not end counts as none."""
+    import hashlib
+
+    path = f"{shared_dir(spark)}/millrace-cache-{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+        _written.append((spark, path))
+    return spark.read.parquet(path)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Python workers get at most so many rows at once in what is run inside: their memory follows the batch."""

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 WINDOW, OVERLAP = 96, 14
 #: Labelled rows of each class that the model is fitted on, at most, the first in hash order.
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
-#: Bytes of each training text that are used: the bound of what the driver holds is rows x bytes.
-MAX_TRAIN_BYTES = 20_000
+#: Characters of each training text that are used: what the driver holds is bounded by rows x characters.
+MAX_TRAIN_CHARS = 20_000
 SEGMENT = range(4, 13)
 DICT_BYTES = 24_000
 #: Least log-likelihood ratio of a segment: about one false segment among ten million.
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     """Learn from a bounded sample of the labelled rows outside the held-out fold.
 
     The sample is the first rows of each class in hash order: at most
-    (max_toxic + max_ordinary) x MAX_TRAIN_BYTES reach the driver. Ids with
+    (max_toxic + max_ordinary) x MAX_TRAIN_CHARS reach the driver. Ids with
     contradictory labels or null ones are left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi").where(fold(F.col("doc_id")) != 1)
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
         one = known.where(F.col("lo") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("lo").alias("label"))
         picked = one if picked is None else picked.unionByName(one)
     # at most max_toxic + max_ordinary ids: a proven bound
-    rows = docs.select("doc_id", F.substring("text", 1, MAX_TRAIN_BYTES).alias("text")).join(F.broadcast(picked), "doc_id").toLocalIterator()
+    rows = docs.select("doc_id", F.substring("text", 1, MAX_TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").toLocalIterator()
     by: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
     for r in rows:
         by[r["label"]].append((r["doc_id"], r["text"] or ""))

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +86,7 @@ def pack_table(docs: DataFrame, doc_id: str = "doc_id", length: str = "n_tokens"
     kind = dict(docs.dtypes)[doc_id]
     dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups))).select("g", "doc_id", "piece", "start", "length")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values(["doc_id", "piece"], kind="stable", na_position="last", ignore_index=True)
         at = pack(rows["length"].astype(int).tolist(), sizes, overhead)
         rows["bin"] = [f"{key[0]}-{b}" for b, _, _ in at]

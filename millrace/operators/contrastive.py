@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
+from millrace.operators.retrieval import search
 
 
 def logit_scale(temperature: float, least: float = 0.01) -> float:
@@ -68,12 +69,17 @@ def balance(pos: Column, negatives: list[Column], weight: float) -> Column:
 def collapse(vectors: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame:
     """(mean_cos, max_cos, std): of all pairs, and the mean over dimensions of the sample deviation.
 
-    The mean of all off-diagonal cosines comes from the sum vector; only the maximum needs pairs.
+    With n unit vectors of sum S the cosines of all ordered pairs sum to |S|^2 - (squared
+    norms), so the mean needs no pairs; the maximum is every vector's nearest other one,
+    found by exact search. Null without a pair.
     """
     unit = vectors.select(F.col(key).alias("k"), V.normalise(F.col(vec)).alias("u"))
-    pairs = unit.alias("a").join(unit.alias("b"), F.col("a.k") < F.col("b.k")).select(V.dot(F.col("a.u"), F.col("b.u")).alias("c"))
-    spread = unit.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.stddev_samp("x").alias("s")).agg(F.avg("s").alias("std"))
-    return pairs.agg(F.avg("c").alias("mean_cos"), F.max("c").alias("max_cos")).crossJoin(spread)
+    per = unit.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.stddev_samp("x").alias("s"), F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("sq"), F.count("*").alias("n"))
+    n = F.max("n")
+    mean = F.when(n > 1, (F.sum(F.col("t") * F.col("t")) - F.sum("sq")) / (n * (n - 1)))
+    spread = per.agg(mean.alias("mean_cos"), F.avg("s").alias("std"))
+    best = search(unit, unit, 2, "k", "k", "u").where("q <> d").agg(F.max("score").alias("max_cos"))
+    return spread.crossJoin(best).select("mean_cos", "max_cos", "std")
 
 
 def weighted_dims(losses: DataFrame, weights: dict[int, float], dim: str = "dim", loss: str = "loss") -> DataFrame:

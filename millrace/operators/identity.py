@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
+from millrace.operators.order import numbered
 
 
 def canonical(records: DataFrame, declared: str = "declared", content: str = "content") -> DataFrame:
@@ -39,9 +40,12 @@ def component_stats(canon: DataFrame) -> DataFrame:
 
 
 def first_of_each(records: DataFrame, key: str, order: str) -> DataFrame:
-    """(order, first, slot): every record's first equal one and that one's place among the distinct ones."""
-    from pyspark.sql.window import Window
+    """(order, first, slot): every record's first equal one and that one's place among the distinct ones.
 
-    least = records.groupBy(key).agg(F.min(order).alias("first"))
-    least = least.withColumn("slot", F.dense_rank().over(Window.orderBy("first")) - 1)
-    return records.join(least, records[key].eqNullSafe(least[key])).select(records[order], "first", F.col("slot").cast("long").alias("slot"))
+    Records meet on a digest of a string key, so its text is never shuffled.
+    """
+    digest = F.sha2(key, 256) if dict(records.dtypes)[key] == "string" else F.col(key)
+    keyed = records.select(order, digest.alias("_key"))
+    least = keyed.groupBy("_key").agg(F.min(order).alias("first"))
+    slots = numbered(least, "first", "_key", name="slot").withColumnRenamed("_key", "_same")
+    return keyed.join(slots, F.col("_key").eqNullSafe(F.col("_same"))).select(order, "first", "slot")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.text import tokens
+from millrace.operators.order import numbered
 
 
 def postings(rows: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
@@ -70,6 +71,11 @@ def rarest_token(posts: DataFrame, freq: DataFrame, nth: int) -> DataFrame:
     return ranked.where(F.col("rn") == F.least(F.lit(nth), F.col("n"))).select("row", "token")
 
 
+def progress(step: int, total: int) -> float:
+    """Share of a run that is done, 0 to 1; a run of unknown length is at its start."""
+    return min(1.0, max(0, step) / total) if total > 0 else 0.0
+
+
 def ramp(p: float, kind: str = "linear") -> float:
     import math
 
@@ -102,10 +108,10 @@ def sampled(rows: DataFrame, pool: DataFrame, related: DataFrame, n: int, seed:
     Candidates are drawn by hash, `slots` for each wanted document, so cost is linear in
     rows and the pool is never ranked as a whole; a row may get fewer.
     """
-    numbered = pool.select("doc").distinct().withColumn("at", F.row_number().over(Window.orderBy("doc")) - 1)
-    size = numbered.count()
+    placed = numbered(pool.select("doc").distinct(), "doc", name="at")
+    size = placed.count()
     draws = rows.select("row").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n * slots - 1))))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row").cast("string"), F.lit(str(epoch)), F.col("s").cast("string")))
     draws = draws.withColumn("at", F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(max(1, size))))
-    met = draws.join(numbered, "at").join(related, ["row", "doc"], "left_anti").groupBy("row", "doc").agg(F.min("s").alias("s"))
+    met = draws.join(placed, "at").join(related, ["row", "doc"], "left_anti").groupBy("row", "doc").agg(F.min("s").alias("s"))
     return met.withColumn("pos", F.row_number().over(Window.partitionBy("row").orderBy("s"))).where(F.col("pos") <= n).select("row", "doc", "pos")

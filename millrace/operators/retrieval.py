@@ -12,6 +12,8 @@ from millrace.functions import vectors as V
 
 #: Queries whose vectors one pass broadcasts at most.
 QUERY_BLOCK = 20_000
+#: Rows of either side of one matrix product.
+TILE = 1024
 
 
 def cut_offs(text: str | Sequence[int]) -> list[int]:
@@ -46,11 +48,29 @@ def best_per_document(scored: DataFrame) -> DataFrame:
     return scored.groupBy("q", "d").agg(F.max("score").alias("score"))
 
 
+def _keep(best, ids, scores, new) -> None:
+    """Merge the scores of new ids (ascending) into the best ones and their ids, in place; ties to the smaller id."""
+    import numpy as np
+
+    k = best.shape[1]
+    better = np.flatnonzero((scores >= best[:, -1:]).any(axis=1))
+    if not len(better):
+        return
+    top = np.argsort(-scores[better], axis=1, kind="stable")[:, :k]
+    s = np.concatenate([best[better], np.take_along_axis(scores[better], top, 1)], axis=1)
+    d = np.concatenate([ids[better], new[top]], axis=1)
+    by_id = np.argsort(d, axis=1, kind="stable")
+    s, d = np.take_along_axis(s, by_id, 1), np.take_along_axis(d, by_id, 1)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    best[better], ids[better] = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: str = "d", vec: str = "vec", block: int = QUERY_BLOCK) -> DataFrame:
     """(q, d, score, rank): exact top k by matrix products over Arrow batches of the corpus.
 
-    Every corpus partition keeps its own best k of a query, so k rows a query and
-    partition are shuffled. Queries go out in blocks of at most `block` vectors.
+    Every corpus partition keeps a running best k of each query, so k rows a query and
+    partition are shuffled, and products are made in tiles of TILE x TILE scores. Queries
+    go out in blocks of at most `block` vectors.
     """
     import numpy as np
 
@@ -78,20 +98,25 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: s
             import pandas as pd
 
             names, q = shared.value
+            best = np.full((len(names), k), -np.inf)
+            ids = None
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                d = np.array(pdf["v"].tolist(), dtype=np.float64)
-                d /= np.where((n := np.linalg.norm(d, axis=1, keepdims=True)) == 0, 1, n)
-                ids = pdf["d"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                ids, d = ids[order], d[order]
-                s = q @ d.T
-                top = min(k, s.shape[1])
-                # stable sort of the negated scores: ties stay in the order of ids
-                idx = np.argsort(-s, axis=1, kind="stable")[:, :top]
-                rows = np.repeat(np.arange(len(names)), top)
-                yield pd.DataFrame({"q": [names[i] for i in rows], "d": ids[idx.ravel()], "score": s[rows, idx.ravel()]})
+                for at in range(0, len(pdf), TILE):
+                    part = pdf.iloc[at : at + TILE]
+                    d = np.array(part["v"].tolist(), dtype=np.float64)
+                    d /= np.where((n := np.linalg.norm(d, axis=1, keepdims=True)) == 0, 1, n)
+                    new = part["d"].to_numpy()
+                    by_id = np.argsort(new, kind="stable")
+                    new, d = new[by_id], d[by_id]
+                    if ids is None:
+                        ids = np.full((len(names), k), new[0], dtype=new.dtype)
+                    for i in range(0, len(names), TILE):
+                        _keep(best[i : i + TILE], ids[i : i + TILE], q[i : i + TILE] @ d.T, new)
+            if ids is not None:
+                rows, cols = np.nonzero(best > -np.inf)
+                for i in range(0, len(rows), 1 << 16):
+                    r, c = rows[i : i + (1 << 16)], cols[i : i + (1 << 16)]
+                    yield pd.DataFrame({"q": [names[x] for x in r], "d": ids[r, c], "score": best[r, c]})
 
         near = corpus.select(F.col(did).alias("d"), F.col(vec).alias("v")).mapInPandas(run, schema)
         out = near if out is None else out.unionByName(near)
@@ -100,6 +125,16 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: s
     return best_k(out, k)
 
 
+def search_documents(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: str = "d", vec: str = "vec") -> DataFrame:
+    """(q, d, score, rank): the top k documents where several vectors may share an id.
+
+    k times the most vectors of one document are fetched, so k documents are among them.
+    """
+    # one number, made on the executors
+    most = duplicate_profile(corpus, did).first()["max_dup"] or 1
+    return best_k(best_per_document(search(queries, corpus, k * most, qid, did, vec)), k)
+
+
 def relevance(pairs: DataFrame, q: str = "q", d: str = "d", rel: str = "rel") -> DataFrame:
     """One row for each query and document: the largest relevance given."""
     return pairs.groupBy(F.col(q).alias("q"), F.col(d).alias("d")).agg(F.max(F.col(rel).cast("double")).alias("rel"))

@@ -17,8 +17,12 @@ from millrace.operators import contrastive as C
 from millrace.operators import identity as I
 from millrace.operators import lexical as L
 from millrace.operators import report, views
+from millrace.operators.order import batches, numbered
 from millrace.operators import retrieval as R
+from millrace.plans import losses, manifests
+from millrace.plans.evaluation import Dataset, evaluate
 from millrace.sources import embeddings as E
+from millrace.sources import images
 from millrace.sources import jsonl as J
 from millrace.storage import cached, new_path
 
@@ -125,13 +129,13 @@ def j03(s, d):
 
 @reg("W01_rank", f"with {UNIT} select q, d, rank from rk where rank <= 3")
 def w01(s, d):
-    return R.best_k(R.scores(qs(s, d), corpus(s, d)), 3).select("q", "d", F.col("rank").cast("long").alias("rank"))
+    return ranked(s, d, 3).select("q", "d", F.col("rank").cast("long").alias("rank"))
 
 
 @reg("W02_document_rank", f"with {UNIT}, m as (select q, d // 2 as doc, max(score) as score from s group by 1, 2) select q, doc, rank from (select *, row_number() over (partition by q order by score desc, doc) as rank from m) where rank <= 10")
 def w02(s, d):
-    merged = R.best_per_document(R.scores(qs(s, d), corpus(s, d)).withColumn("d", F.floor(F.col("d") / 2).cast("long")))
-    return R.best_k(merged, 10).select("q", F.col("d").alias("doc"), F.col("rank").cast("long").alias("rank"))
+    by_document = corpus(s, d).withColumn("d", F.floor(F.col("d") / 2).cast("long"))
+    return R.search_documents(qs(s, d), by_document, 10).select("q", F.col("d").alias("doc"), F.col("rank").cast("long").alias("rank"))
 
 
 @reg("W03_running_hits", f"with {MET} select q, rank, nth from hit")
@@ -410,7 +414,7 @@ QUERIES["U03_pool_dedup"] = QUERIES["U02_record_dedup"]
 
 @reg("J05_row_ids", "select vec_id, row_number() over (order by vec_id) - 1 as row_idx from embeddings")
 def j05(s, d):
-    return table(s, d, "embeddings").select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("row_idx"))
+    return numbered(table(s, d, "embeddings").select("vec_id"), "vec_id")
 
 
 @reg("J08_pool_sampling", None)
@@ -502,8 +506,8 @@ def w07(s, d):
 
 @reg("W08_blocks", "select item_id, (row_number() over (order by md5(text), item_id) - 1) // 16 as block from benchmark")
 def w08(s, d):
-    w = Window.orderBy(F.md5("text"), "item_id")
-    return table(s, d, "benchmark").select("item_id", F.floor((F.row_number().over(w) - 1) / 16).cast("long").alias("block"))
+    rows = table(s, d, "benchmark").select("item_id", F.md5("text").alias("signature"))
+    return batches(rows, 16, "signature", "item_id", name="block").select("item_id", "block")
 
 
 @reg("A22_mining_stats", f"with {LEX}, c as (select i, count(*) as n from dr where f1 between 0.05 and 0.9 group by i) select (select count(*) from c) as covered, (select count(distinct row) from t) as all_rows, round((select avg(n) from c), 6) as mean_candidates, (select count(*) from dr where f1 > 0.9) as dropped_duplicates")
@@ -576,8 +580,8 @@ def u06(s, d):
 
 @reg("W10_length_batches", "select doc_id, (row_number() over (order by length(text), doc_id) - 1) // 32 as batch from documents")
 def w10(s, d):
-    w = Window.orderBy(F.char_length("text"), "doc_id")
-    return table(s, d, "documents").select("doc_id", F.floor((F.row_number().over(w) - 1) / 32).cast("long").alias("batch"))
+    rows = table(s, d, "documents").select("doc_id", F.char_length("text").alias("length"))
+    return batches(rows, 32, "length", "doc_id").select("doc_id", "batch")
 
 
 @reg("W11_weighted_pooling", "select vec_id, round((embedding[1]::double + 2 * embedding[3]::double) / 3, 6) as x from embeddings")
@@ -644,9 +648,9 @@ def a32(s, d):
     return C.min_pair_cosine(a, a.withColumn("id", F.col("id") - 1)).select(r6("min_cos"))
 
 
-@reg("A27_collapse", "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings where vec_id % 5 = 0), u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n), c as (select list_dot_product(a.v, b.v) as c from u a join u b on a.vec_id < b.vec_id), x as (select unnest(v) as x, generate_subscripts(v, 1) as i from u), sd as (select stddev_samp(x) as s from x group by i) select round(avg(c), 6) as mean_cos, round(max(c), 6) as max_cos, round((select avg(s) from sd), 6) as std from c")
+@reg("A27_collapse", "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n), c as (select list_dot_product(a.v, b.v) as c from u a join u b on a.vec_id < b.vec_id), x as (select unnest(v) as x, generate_subscripts(v, 1) as i from u), sd as (select stddev_samp(x) as s from x group by i) select round(avg(c), 6) as mean_cos, round(max(c), 6) as max_cos, round((select avg(s) from sd), 6) as std from c")
 def a27(s, d):
-    return C.collapse(vecs(s, d).where("d % 5 = 0"), "d").select(r6("mean_cos"), r6("max_cos"), r6("std"))
+    return C.collapse(vecs(s, d), "d").select(r6("mean_cos"), r6("max_cos"), r6("std"))
 
 
 # --- contrastive ---
@@ -853,3 +857,119 @@ def c09(s, d):
 def n07(s, d):
     got = table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("v"))
     return got.select("conv_id", F.size("v").cast("long").alias("views"), F.size(F.array_distinct("v")).cast("long").alias("texts"))
+
+
+# --- settings and jobs ---
+QUERIES["T02_over_fetch"] = QUERIES["W02_document_rank"]
+
+
+@reg("T03_cut_offs", "select * from (values (1), (5), (10)) t(k)")
+def t03(s, d):
+    return s.createDataFrame([(k,) for k in R.cut_offs("10, 5,1,5")], "k int")
+
+
+@reg("T04_exclude_then_rank", f"with {LEX} select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr where (i + j) % 5 <> 0 qualify rank <= 5")
+def t04(s, d):
+    pairs = L.directed(L.similar(*lex(s, d))).withColumn("score", F.round("score", 9))
+    return L.top(L.excluded(pairs, pairs.where("(i + j) % 5 = 0")), 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
+
+
+@reg("N06_view_count", "select conv_id, least(count(*), 2)::bigint as n from conversations group by conv_id")
+def n06(s, d):
+    n = manifests.view_count(None, 2)
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return c.select("conv_id", (F.col("n") if n < 0 else F.least("n", F.lit(n))).cast("long").alias("n"))
+
+
+@reg("N08_progress", "select conv_id, round_even(greatest(count(*) - 2, 0) * 0.25, 0)::bigint as start from conversations group by conv_id")
+def n08(s, d):
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return c.select("conv_id", L.band_start(F.col("n"), 2, L.progress(75, 100)).alias("start"))
+
+
+class _Picky(E.HashedWords):
+    """Fails on any batch with a text of even length: such batches are tried again one by one."""
+
+    def embed(self, items):
+        if any(len(x["text"]) % 2 == 0 for x in items):
+            raise ValueError("even length")
+        return super().embed(items)
+
+
+@reg("X03_retry", "select doc_id as row_idx, coalesce(length(text) % 2 = 1, false) as success, case when coalesce(length(text), 0) = 0 then 'empty record' when length(text) % 2 = 0 then 'even length' end as error from documents")
+def x03(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    return E.embed(docs, _Picky(16)).select("row_idx", "success", "error")
+
+
+_FLAGS = "(values ('hashed_words', true, 1, false, true)) t(backend, fused, max_images, clip_based, matryoshka)"
+
+
+@reg("X04_flags", f"select * from {_FLAGS}")
+def x04(s, d):
+    flags = ["fused", "max_images", "clip_based", "matryoshka"]
+    rows = [(n, *(getattr(make, f) for f in flags)) for n, make in sorted(E.BACKENDS.items())]
+    return s.createDataFrame(rows, "backend string, fused boolean, max_images int, clip_based boolean, matryoshka boolean")
+
+
+QUERIES["X02_backends"] = QUERIES["X04_flags"]
+
+
+@reg("X06_calibration", "select * from (values ('off by settings', null), ('own path', 'a'), ('from environment', 'b'), ('barred backend', null), ('allowed backend', 'a')) t(name, path)")
+def x06(s, d):
+    own, env = {"means": "a"}, {"CALIBRATION_MEANS": "b"}
+    cases = {
+        "off by settings": (own | {"enable": False}, None, env), "own path": (own, None, env), "from environment": ({}, None, env),
+        "barred backend": (own, E.HashedWords, env), "allowed backend": (own | {"allow_any": True}, E.HashedWords, env),
+    }
+    return s.createDataFrame([(n, E.calibration_path(*x)) for n, x in cases.items()], "name string, path string")
+
+
+@reg("K04_complete", "select 'whole' as set, true as skip union all select 'short', false union all select 'absent', false")
+def k04(s, d):
+    path = new_path(s, "set")
+    docs = table(s, d, "documents").select("doc_id")
+    docs.write.parquet(path)
+    n = docs.count()
+    return s.createDataFrame([("whole", E.complete(s, path, n)), ("short", E.complete(s, path, n + 1)), ("absent", E.complete(s, path + "-none", n))], "set string, skip boolean")
+
+
+@reg("K08_sheets", "select 'recall@' || k as metric, 'recall@' || k as sheet from (values (1), (5), (10)) t(k) union all select 'recall/1', 'recall_1' union all select 'recall:1', 'recall_1_2'")
+def k08(s, d):
+    taken: set[str] = set()
+    return s.createDataFrame([(m, report.sheet_name(m, taken)) for m in [*(f"recall@{k}" for k in KS), "recall/1", "recall:1"]], "metric string, sheet string")
+
+
+@reg("C08_loss_settings", "select * from (values ('masking', true, 0.0::double), ('dims', true, 0.0::double), ('balance', false, 0.5::double)) t(module, enable, weight)")
+def c08(s, d):
+    known = {
+        "masking": losses.Module({"enable": True}),
+        "dims": losses.Module({"enable": False, "dims": None}, flat={"old_dims": "dims"}, implied_by="dims"),
+        "balance": losses.Module({"enable": True, "weight": 0.0}, block="old_balance", needs_views=True),
+    }
+    got, _ = losses.settle({"old_dims": [8], "old_balance": {"enable": False, "weight": 0.5}}, known, set())
+    return s.createDataFrame([(n, f["enable"], float(f.get("weight", 0.0))) for n, f in got.items()], "module string, enable boolean, weight double")
+
+
+@reg("S11_images", "select page_id, case when page_id % 3 = 0 then 8 + octet_length(encode(url)) end::int as bytes, case when page_id % 3 = 0 then 'png' end as kind, case when page_id % 3 <> 0 then 'image not found' end as error from pages")
+def s11(s, d):
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("url", "utf-8"))
+    ref = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("data:image/png;base64,"), F.base64(png))).otherwise("missing.png")
+    got = images.load(table(s, d, "pages").select("page_id", ref.alias("image")), "image")
+    return got.select("page_id", F.octet_length("content").alias("bytes"), images.kind(F.col("content")).alias("kind"), "error")
+
+
+# --- evaluation: even and odd vectors are two datasets, every fifth a query ---
+_EVAL = MET.replace("a.vec_id % 10 = 0", "a.vec_id % 5 = 0").replace("b.vec_id % 10 <> 0", "b.vec_id % 5 <> 0").replace("on a.label = b.label where", "on a.label = b.label and a.vec_id % 2 = b.vec_id % 2 where")
+
+
+@reg("O01_evaluation", f"with {_EVAL}, ds as (select case q % 2 when 0 then 'even' else 'odd' end as dataset, k, avg(h::double / p) as recall, avg(coalesce(dcg / idcg, 0)) as ndcg, avg(rr) as mrr, count(*) as queries from per where p > 0 group by 1, 2), fr as (select k, avg(case when q % 2 <> d % 2 then 1.0 else 0.0 end) as f from rk join ks on rank <= k group by k), al as (select *, null::double as f from ds union all select 'macro', ds.k, avg(recall), avg(ndcg), avg(mrr), sum(queries), max(f) from ds join fr on fr.k = ds.k group by ds.k union all select 'micro', k, sum(recall * queries) / sum(queries), sum(ndcg * queries) / sum(queries), sum(mrr * queries) / sum(queries), sum(queries), null from ds group by k) select dataset, k, round(recall, 6) as recall, round(ndcg, 6) as ndcg, round(mrr, 6) as mrr, queries::bigint as queries, round(f, 6) as \"foreign\" from al")
+def o01(s, d):
+    v = vecs(s, d)
+    rel = F.when(F.col("q") % 3 == F.col("d") % 3, 2.0).otherwise(1.0).alias("rel")
+    sets = {}
+    for tag, odd in (("even", 0), ("odd", 1)):
+        mine = v.where(F.col("d") % 2 == odd)
+        q, c = mine.where("d % 5 = 0").withColumnRenamed("d", "q"), mine.where("d % 5 <> 0")
+        sets[tag] = Dataset(q.select("q", "vec"), c.select("d", "vec"), q.select("q", "label").join(c.select("d", "label"), "label").select("q", "d", rel))
+    return evaluate(sets, KS).select("dataset", "k", r6("recall"), r6("ndcg"), r6("mrr"), "queries", r6("foreign"))

@@ -90,6 +90,26 @@ def register(name: str, make: Callable[..., Backend]) -> None:
 register("hashed_words", HashedWords)
 
 
+def calibration_path(settings: dict, backend: type[Backend] | None, env: dict) -> str | None:
+    """Path of the calibration means in force, or none.
+
+    Off by the environment or by the settings; the settings' path goes before the
+    environment's; backends that are not contrastive pairs of towers need an explicit leave.
+    """
+    on = lambda k: str(env.get(k, "")).lower() in ("1", "true", "yes", "on")
+    path = str(settings.get("means") or env.get("CALIBRATION_MEANS") or "").strip()
+    barred = backend is not None and not backend.clip_based and not (settings.get("allow_any") or on("CALIBRATION_ALLOW_ANY"))
+    return None if on("CALIBRATION_DISABLE") or settings.get("enable") is False or barred else path or None
+
+
+def complete(spark: SparkSession, path: str, expected: int) -> bool:
+    """Whether the embedding set at a path was written to its end and has the expected rows: a job may skip it."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return False
+    return spark.read.parquet(path).count() == expected
+
+
 def embed(records: DataFrame, backend: Backend, row: str = "row_idx", text: str = "text", batch: int = 32) -> DataFrame:
     """(row_idx, embedding, n_tokens, success, error): batches first, then item by item where a batch fails."""
     schema = "row_idx long, embedding array<float>, n_tokens long, success boolean, error string"

@@ -3,7 +3,9 @@
 64 bits cannot hold a similarity of 0.8 to a few differing bits. Two long SimHashes
 are made in one pass instead: one of three-word shingles that is cut into blocks to
 meet on, and one of five-word shingles to verify the Hamming distance on. Width and
-number of blocks follow from the number of texts and the similarity (see plan()).
+number of blocks follow from the number of texts and the similarity (see plan()). The
+distance allowed holds pairs at the similarity with a wide margin; what is within it is
+then compared by its exact shingle sets, so links are those of the similarity itself.
 
 A block value shared by over `hot` texts is not expanded into all pairs. Its members
 are compared with a few centres of it first; pairs that the components found so far leave apart are
@@ -28,6 +30,8 @@ from millrace.storage import materialize, release, small_batches
 SIMILARITY = 0.8
 VERIFY_BITS = 512
 HOT, CENTRES = 16, 2
+#: Standard deviations of the Hamming distance at the similarity that are still compared exactly.
+MARGIN = 2.5
 
 
 def share(similarity: float) -> float:
@@ -56,18 +60,24 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def shingle_set(text, size: int = 5) -> np.ndarray:
+    """Distinct hashes of the shingles of a whole text, ascending."""
+    out = np.empty(0, dtype=np.uint64)
+    for first, words in W.pieces(W.encoded(text), size - 1):
+        if not first or len(words) >= size:
+            out = np.union1d(out, W.hashes(words, size))
+    return out
+
+
 def long_simhash(text, size: int, bits: int) -> bytes:
+    """SimHash of a text's set of shingles: repeats count once, as in the similarity."""
     k = -(-bits // 64)
-    counts, n = np.zeros(k * 64, dtype=np.int64), 0
-    for first, words in W.pieces(W.encoded(text), size - 1):
-        if first and len(words) < size:
-            continue
-        h = W.hashes(words, size)
-        n += len(h)
-        for i in range(0, len(h), 250):  # sums of up to 250 ones fit a byte
-            ones = np.unpackbits(_mixed(h[i : i + 250], k).view(np.uint8), axis=1, bitorder="little")
-            counts += np.add.reduce(ones, axis=0, dtype=np.uint8)
-    return np.packbits((counts * 2 > n)[:bits].astype(np.uint8), bitorder="little").tobytes()
+    h = shingle_set(text, size)
+    counts = np.zeros(k * 64, dtype=np.int64)
+    for i in range(0, len(h), 250):  # sums of up to 250 ones fit a byte
+        ones = np.unpackbits(_mixed(h[i : i + 250], k).view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(ones, axis=0, dtype=np.uint8)
+    return np.packbits((counts * 2 > len(h))[:bits].astype(np.uint8), bitorder="little").tobytes()
 
 
 def _cut(fp: bytes, wide: int, n: int) -> list[int]:
@@ -89,14 +99,39 @@ def prints(docs: DataFrame, wide: int, n: int, text: str = "text") -> DataFrame:
 
 
 def classes_of(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(sig, key, least, blocks): one row for each distinct signature."""
-    return prints.groupBy("sig").agg(F.min(doc_id).alias("least"), F.first("blocks").alias("blocks")).withColumn("key", F.xxhash64("sig"))
+    """(sig, least, rep, blocks, key): one row for each distinct signature; rep is one text of it by id and hash."""
+    return prints.groupBy("sig").agg(F.min(doc_id).alias("least"), F.min(F.struct(F.col(doc_id).alias("id"), "_t")).alias("rep"), F.first("blocks").alias("blocks")).withColumn("key", F.xxhash64("sig"))
+
 
+def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs (src, dst) whose texts' five-word shingle sets have the Jaccard similarity.
 
-def components(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """(key, component): the groups of classes whose signatures are within the distance of the similarity."""
+    Only texts of the pairs are read again; each pair moves its own two sets.
+    """
+    pairs = materialize(pairs.select("src", "dst").distinct(), "candidates")
+    ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
+    wanted = materialize(classes.join(ends, "key", "left_semi").select("key", F.col("rep.id").alias("_id"), F.col("rep._t").alias("_k")), "ends")
+
+    @F.pandas_udf("array<long>")
+    def sets(s: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in s])
+
+    mine = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_x"), F.xxhash64(text).alias("_t"))
+    met = wanted.join(mine, F.expr("_k = _t and _id <=> _d"))
+    with small_batches(docs.sparkSession, 256):
+        # repeated rows give one set
+        held = materialize(met.select("key", sets("_x").alias("s")).dropDuplicates(["key"]), "sets")
+    both = pairs.join(held.select(F.col("key").alias("src"), F.col("s").alias("a")), "src").join(held.select(F.col("key").alias("dst"), F.col("s").alias("b")), "dst")
+    counted = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
+    return counted.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("src", "dst")
+
+
+def components(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
+    """(key, component): the groups of classes that links at the similarity hold together."""
+    hot = HOT if hot is None else hot
     mean = VERIFY_BITS * share(similarity)
-    most = int(mean + 1.5 * math.sqrt(mean * (1 - share(similarity))))
+    most = int(mean + MARGIN * math.sqrt(mean * (1 - share(similarity))))
+    linked = lambda p: exact(p, classes, docs, similarity, doc_id, text)
     sigs = classes.select("key", *(F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(VERIFY_BITS // 64)))
     keyed = materialize(classes.select("key", F.explode("blocks").alias("v")), "blocks")
     size = keyed.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
@@ -115,14 +150,14 @@ def components(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HO
 
     pairs = few.alias("a").join(few.alias("b"), "v").where("a.key < b.key").select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
     if crowded.isEmpty():
-        found = materialize(verified(pairs), "close")
+        found = materialize(linked(verified(pairs)), "close")
     else:
         # one order of all texts for each centre, so a group has the same ones in most of its blocks and few pairs in all
         centres = many.groupBy("v").agg(*(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
         led = materialize(many.join(centres, "v"), "led")
         near = led.select(F.col("key").alias("src"), F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("dst")).where("src <> dst")
         far = materialize(measured(near), "far")
-        found = materialize(verified(pairs).unionByName(far.where(F.col("apart") <= most).select("src", "dst")), "close")
+        found = materialize(linked(verified(pairs).unionByName(far.where(F.col("apart") <= most).select("src", "dst"))), "close")
         comp = connected_components(found).withColumnRenamed("node", "key")
         placed = led.join(comp, "key", "left").withColumn("c", F.coalesce("component", "key"))
         for i in range(CENTRES):
@@ -138,7 +173,7 @@ def components(classes: DataFrame, similarity: float = SIMILARITY, hot: int = HO
         close = " + ".join(f"bit_count(a.w{i} ^ b.w{i})" for i in range(VERIFY_BITS // 64))
         late = split.where("c <> main").alias("a").join(split.alias("b"), "v").where(f"a.c <> b.c and (b.c = b.main or a.key < b.key) and {may} and {close} <= {most}")
         rest = late.select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst")).distinct()
-        found = materialize(found.unionByName(rest), "close")
+        found = materialize(found.unionByName(linked(rest)), "close")
     out = connected_components(found).withColumnRenamed("node", "key")
     release(keyed)
     return out
@@ -155,7 +190,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     with small_batches(docs.sparkSession):
         marked = materialize(prints(docs.select(doc_id, text, F.xxhash64(text).alias("_t")), wide, n, text), "prints")
     classes = materialize(classes_of(marked, doc_id), "classes")
-    comp = components(classes, similarity)
+    comp = components(classes, docs, similarity, doc_id, text)
     named = classes.select("key", "least").join(comp, "key", "left").withColumn("c", F.coalesce("component", "key"))
     best = named.groupBy("c").agg(F.min("least").alias("least"), F.min_by("key", F.struct(F.col("least").isNull(), "least", "key")).alias("key")).select("key", "least")
     keys = marked.select(F.col(doc_id).alias("_id"), "_t", F.xxhash64("sig").alias("key")).join(best, "key").where("_id <=> least")

@@ -196,6 +196,33 @@ def test_keep_one_of_near_copies(spark, hot, monkeypatch):
     assert near_copies.keep_one(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 64])
+def test_near_copies_are_those_of_brute_force(spark, hot, monkeypatch):
+    """Similarities on both sides of 0.8, uneven lengths and repeated lines: components by exact sets of shingles."""
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    rng = np.random.default_rng(7)
+    texts = []
+    for g in range(8):
+        base = [f"g{g}w{k}" for k in rng.integers(0, 400, 250)]
+        if g % 2:
+            base = base[:60] * 4
+        for edits in (0, 2, 4, 6, 8, 10, 12):
+            w = list(base)
+            for p in rng.choice(len(w), edits, replace=False):
+                w[p] = "edit"
+            texts.append(" ".join(w if edits < 12 else w + w[:40]))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    assert 8 < len(set(comp)) < len(texts)
+    kept = near_copies.keep_one(rows(spark, list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(comp))
+
+
 # --- warc ---
 def test_warc_round_trip(spark, tmp_path):
     big = "ü<p>" * 200_000

@@ -106,21 +106,23 @@ def classes_of(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (src, dst) whose texts' five-word shingle sets have the Jaccard similarity.
 
-    Only texts of the pairs are read again; each pair moves its own two sets.
+    Only texts of the pairs are read again; each pair moves its own two sets, as 32-bit
+    hashes: of two texts of 20,000 words a tenth of a shingle is equal by chance.
     """
     pairs = materialize(pairs.select("src", "dst").distinct(), "candidates")
     ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
     wanted = materialize(classes.join(ends, "key", "left_semi").select("key", F.col("rep.id").alias("_id"), F.col("rep._t").alias("_k")), "ends")
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def sets(s: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in s])
+        return pd.Series([np.unique(shingle_set(t).astype(np.uint32)).view(np.int32) for t in s])
 
     mine = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_x"), F.xxhash64(text).alias("_t"))
     met = wanted.join(mine, F.expr("_k = _t and _id <=> _d"))
     with small_batches(docs.sparkSession, 256):
-        # repeated rows give one set
-        held = materialize(met.select("key", sets("_x").alias("s")).dropDuplicates(["key"]), "sets")
+        held = materialize(met.select("key", sets("_x").alias("s")), "sets")
+    if not held.groupBy("key").count().where("count > 1").isEmpty():  # repeated rows give one set
+        held = held.dropDuplicates(["key"])
     both = pairs.join(held.select(F.col("key").alias("src"), F.col("s").alias("a")), "src").join(held.select(F.col("key").alias("dst"), F.col("s").alias("b")), "dst")
     counted = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
     return counted.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("src", "dst")

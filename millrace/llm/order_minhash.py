@@ -6,9 +6,12 @@ are hashed as a tuple in the order they have in the text. Two texts share a tupl
 they share its k-mers in the same order, so likeness falls with edit distance and
 not only with the sets' overlap.
 
-The value of occurrence c of a k-mer is c times the k-mer's hash: later occurrences
-rank later, so the smallest ones lie within the first SELECTED of all hashes in order,
-and only those need numbering. Cost: one hash and one primitive sort of the k-mers.
+The value of occurrence c of a k-mer is c times the k-mer's hash, and the SELECTED
+smallest values of all occurrences are taken. A value that is not over the largest hash
+of a prefix of the hashes in order belongs to an occurrence within that prefix, so a
+prefix that has SELECTED such values is enough. Texts whose repeats fill it take the
+first SELECTED distinct k-mers instead, with up to SELECTED occurrences of each: all
+others have SELECTED smaller values. Cost: one hash and one primitive sort of the k-mers.
 
 Defined results: a null text counts as empty; a text shorter than k is one k-mer, the
 empty one too, so equal texts always have equal fingerprints; repeated rows get equal
@@ -54,17 +57,28 @@ def tuples(text: Column, k: int = K, buckets: int = BUCKETS, size: int = TUPLE,
     last = F.greatest(F.char_length(text) - k, F.lit(0))
     wide = F.encode(text, "UTF-32")  # four bytes for a code point: slices without a scan
     hashed = let(F.struct(wide.alias("b"), last.alias("n")), lambda s: let(s["b"], lambda b: F.transform(F.sequence(F.lit(0), s["n"]), lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * k))), 64 - HASH), PLACE).bitwiseOR(i.cast("long")))))
-    least = F.slice(F.sort_array(hashed), 1, selected)
+    prefix = 2 * selected
 
     def numbered(a: Column) -> Column:
-        top = F.shiftright(F.element_at(a, -1), PLACE)
-        # value of an occurrence; over `top` it is not among the smallest
-        runs = _runs(a, lambda x: F.shiftright(x, PLACE), lambda run: F.transform(run, lambda x, c: F.struct((F.shiftright(x, PLACE) * (c + 1)).alias("v"), x.bitwiseAND(F.lit(place)).alias("p"), F.xxhash64(F.shiftright(x, PLACE), c).alias("h"))))
-        return F.filter(F.flatten(runs), lambda e: e["v"] <= top)
+        return F.flatten(_runs(a, lambda x: F.shiftright(x, PLACE), lambda run: F.transform(run, lambda x, c: F.struct((F.shiftright(x, PLACE) * (c + 1)).alias("v"), x.bitwiseAND(F.lit(place)).alias("p"), F.xxhash64(F.shiftright(x, PLACE), c).alias("h")))))
+
+    def early(a: Column) -> Column:
+        # over the top of a prefix, values are not known to be the smallest
+        top = lambda f: F.shiftright(F.element_at(f, -1), PLACE)
+        return let(F.slice(a, 1, prefix), lambda f: F.when(F.size(a) <= prefix, numbered(f)).otherwise(let(top(f), lambda t: F.filter(numbered(f), lambda e: e["v"] <= t))))
+
+    def repetitive(a: Column) -> Column:
+        distinct = F.filter(a, lambda x, i: (i < selected) | (F.shiftright(x, PLACE) != F.shiftright(F.get(a, i - selected), PLACE)))
+        return numbered(F.slice(distinct, 1, selected * selected))
+
+    def smallest(e: Column) -> Column:
+        return let(F.sort_array(F.transform(e, lambda x: x["v"])), lambda v: let(F.get(v, F.least(F.size(v), F.lit(selected)) - 1), lambda top: F.filter(e, lambda x: x["v"] <= top)))
+
+    least = let(F.sort_array(hashed), lambda a: let(let(early(a), lambda e: F.when((F.size(a) <= prefix) | (F.size(e) >= selected), e).otherwise(repetitive(a))), smallest))
 
     # (bucket, value, index) in order; then the first `size` of every bucket, in text order
     chosen = let(
-        let(least, numbered),
+        least,
         lambda e: F.flatten(
             _runs(
                 F.sort_array(F.transform(e, lambda x, i: F.shiftleft(F.pmod(F.shiftright(x["h"], 32), F.lit(buckets)).cast("long"), 63 - bits).bitwiseOR(F.shiftleft(x["v"], 10)).bitwiseOR(i.cast("long")))),

@@ -127,6 +127,37 @@ def test_omh_likeness(spark):
     assert like(1, 3) > like(1, 4) >= like(1, 5) == 0
 
 
+def brute_tuples(text, k=8, buckets=32, size=2, selected=128):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    mix = lambda seed, b: xxhash.xxh64_intdigest(b, seed)
+    met, every = Counter(), []
+    for i in range(max(1, len(text) - k + 1)):
+        h = mix(42, text[i : i + k].encode("utf-32-be")) >> 29
+        c = met[h]
+        met[h] += 1
+        u = mix(mix(42, h.to_bytes(8, "little")), c.to_bytes(4, "little"))
+        every.append((h * (c + 1), i, u))
+    kept = {}
+    for v, i, u in sorted(every)[:selected]:
+        kept.setdefault(signed(u) >> 32 & buckets - 1, []).append((i, u))
+    out = []
+    for b, group in sorted(kept.items()):
+        acc = b
+        for _, u in sorted(group[:size]):
+            acc = mix(mix(42, acc.to_bytes(8, "little")), u.to_bytes(8, "little"))
+        out.append(signed(acc))
+    return out
+
+
+def test_omh_selects_over_all_occurrences(spark):
+    line = "a line that a page repeats over and over 😀\n"
+    mixed = " ".join(f"w{i * i % 1009}" for i in range(400))
+    texts = [line * 300, "a" * 50, "a" * 5000, mixed + "a" * 3000, line * 3, mixed, "abc", "", "aaaa aaaa bbbb " * 500 + mixed]
+    got = {r.doc_id: r.t for r in rows(spark, list(enumerate(texts))).select("doc_id", order_minhash.tuples(F.col("text")).alias("t")).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_tuples(t) for t in texts]
+    assert len(got[0]) > 25
+
+
 def test_omh_query(spark, sf):
     got = {r.doc_id: r for r in order_minhash.query(spark, sf).collect()}
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())

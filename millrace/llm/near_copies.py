@@ -1,9 +1,9 @@
 """Near copies at a shingle similarity, by SimHash pigeonhole blocks over long fingerprints.
 
-64 bits cannot hold a similarity of 0.8 to a few differing bits. Two long SimHashes
-are made in one pass instead: one of three-word shingles that is cut into blocks to
-meet on, and one of five-word shingles to verify the Hamming distance on. Width and
-number of blocks follow from the number of texts and the similarity (see plan()). The
+64 bits cannot hold a similarity of 0.8 to a few differing bits. One long SimHash of
+the five-word shingles is made instead: it is cut into blocks to meet on, and its first
+bits verify the Hamming distance. Width and number of blocks follow from the number of
+texts and the similarity alone, whatever kind of edit lies between (see plan()). The
 distance allowed holds pairs at the similarity with a wide margin; what is within it is
 then compared by its exact shingle sets, so links are those of the similarity itself.
 
@@ -40,15 +40,10 @@ def share(similarity: float) -> float:
 
 
 def plan(rows: int, similarity: float = SIMILARITY, miss: float = 0.01) -> tuple[int, int]:
-    """(bits of a block, blocks): few unlike texts per value, and a pair at the similarity rarely without a shared block.
-
-    An edited word spoils up to five five-word shingles but up to three of three words.
-    """
+    """(bits of a block, blocks): few unlike texts per value, and a pair at the similarity without a shared block in `miss` of cases."""
     wide = max(16, math.ceil(math.log2(max(2, rows))) + 4)
     five = share(similarity)
-    lost = 1 - similarity * 2 / (1 + similarity)
-    three = math.acos(1 - lost * 3 / 5) / math.pi
-    return wide, math.ceil(math.log(miss) / math.log(1 - (1 - three) ** wide)) if five else 1
+    return wide, math.ceil(math.log(miss) / math.log(1 - (1 - five) ** wide)) if five else 1
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -87,13 +82,18 @@ def _cut(fp: bytes, wide: int, n: int) -> list[int]:
     return [((whole >> (i * wide)) & mask) * n + i for i in range(n)]
 
 
+def sig_and_blocks(text, wide: int, n: int) -> tuple[bytes, list[int]]:
+    whole = long_simhash(text, 5, max(VERIFY_BITS, wide * n))
+    return whole[: VERIFY_BITS // 8], _cut(whole, wide, n)
+
+
 def prints(docs: DataFrame, wide: int, n: int, text: str = "text") -> DataFrame:
     """docs' other columns with sig (binary) and blocks (array<long>); texts with equal words have equal ones."""
 
     @F.pandas_udf("sig binary, blocks array<long>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.DataFrame({"sig": [long_simhash(t, 5, VERIFY_BITS) for t in s], "blocks": [_cut(long_simhash(t, 3, wide * n), wide, n) for t in s]})
+            yield pd.DataFrame([sig_and_blocks(t, wide, n) for t in s], columns=["sig", "blocks"])
 
     return docs.withColumn("_p", of(F.col(text))).withColumn("sig", F.col("_p.sig")).withColumn("blocks", F.col("_p.blocks")).drop("_p", text)
 

@@ -255,6 +255,22 @@ def test_near_copies_are_those_of_brute_force(spark, hot, monkeypatch):
 
 
 # --- warc ---
+@pytest.mark.parametrize("kind", ["appended", "cut off", "replaced"])
+def test_changed_passages_share_a_block(kind):
+    rng = np.random.default_rng(5)
+    wide, n = near_copies.plan(100_000)
+    missed = 0
+    for _ in range(200):
+        w = [f"w{x}" for x in rng.integers(0, 50_000, 600)]
+        new = [f"v{x}" for x in rng.integers(0, 50_000, 600)]
+        other = {"appended": w + new[:140], "cut off": w[:488], "replaced": w[:200] + new[:60] + w[260:]}[kind]
+        a, b = (near_copies.shingle_set(" ".join(x)) for x in (w, other))
+        assert 0.8 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) <= 0.85
+        mine, yours = (near_copies.sig_and_blocks(" ".join(x), wide, n)[1] for x in (w, other))
+        missed += not set(mine) & set(yours)
+    assert missed <= 6
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "ü<p>" * 200_000
     data = [(1, "http://a/\r\nb", "same"), (5, "u", "same"), (3, None, "same"), (2, "u", None), (7, "u", ""), (None, "u", "solo"), (9, "u", big), (9, "u", big)]

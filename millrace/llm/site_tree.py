@@ -2,9 +2,11 @@
 
 All pages of a host are merged into one style tree: a node is the path of elements
 (tag, class and role) from the root, its presentation; its content is what pages have
-under it. A node's importance is the entropy of its contents over the pages that have
-it, relative to the most there can be: navigation and notices that repeat from page to
-page score low, articles near one. Branches of low importance are cut from every page.
+under it. A node's importance is the entropy of its contents over the distinct pages that
+have it, relative to the most there can be: navigation and notices that repeat from page
+to page score low, articles near one. Pages of equal text (off parts aside) count once, so
+copies of an article do not make it look like a notice. Branches of low importance are cut
+from every page, but for those that hold all of its text.
 Parts whose element says what they are (nav, footer, form, comments and so on) are cut
 whatever their entropy, as hosts of a few pages cannot tell. Hosts of few pages lean on
 the tree of all hosts merged.
@@ -17,6 +19,7 @@ extracted alike; an empty table gives no rows.
 from __future__ import annotations
 
 import html as html_lib
+import os
 import re
 from collections.abc import Iterator
 
@@ -134,11 +137,11 @@ def walk(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
 
 
 def nodes(page: str) -> dict[str, int]:
-    """Every node of a page's tree that has text and is not off, with a hash of its content."""
+    """Every node of a page's tree that has text and is not off, with a hash of its content; "" is the whole page."""
     under: dict[str, xxhash.xxh64] = {}
     for path, off, text in walk(page):
         if not off:
-            for k in range(1, len(path) + 1):
+            for k in range(len(path) + 1):
                 key = "/".join(path[:k])
                 if key not in under:
                     under[key] = xxhash.xxh64()
@@ -148,32 +151,32 @@ def nodes(page: str) -> dict[str, int]:
 
 def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
     """A page's blocks outside off elements and the given nodes."""
-    out = []
-    for path, off, text in walk(page or ""):
-        if off or low and any("/".join(path[:k]) in low for k in range(1, len(path) + 1)):
-            continue
-        out.append(text)
-    return "\n\n".join(out)
+    blocks = [(path, text) for path, off, text in walk(page or "") if not off]
+    # nodes down to `whole` are around every block
+    whole = len(os.path.commonprefix([path for path, _ in blocks])) if low else 0
+    return "\n\n".join(text for path, text in blocks if not (low and any("/".join(path[:k]) in low for k in range(whole + 1, len(path) + 1))))
 
 
 def importance(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """(host, node, pages, importance): entropy of a node's contents over its pages / log of their number.
+    """(host, node, pages, importance): entropy of a node's contents over its distinct pages / log of their number.
 
-    A host's pages are counted up by (host, node, content) with map-side combine before
-    anything of a host meets, so a hot host costs no more than its distinct contents.
-    The rows of host null are those of all hosts merged.
+    A page is told by the hash of its text outside off parts; equal ones count once for each
+    host, and once for all hosts. Rows are dealt out by (host, node, content, page), and
+    counted up with map-side combine before anything of a host meets, so a hot host costs
+    no more than its distinct contents. The rows of host null are those of all hosts merged.
     """
 
-    @F.pandas_udf("array<struct<node:string,content:long>>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<page:long,nodes:array<struct<node:string,content:long>>>")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.Series([[{"node": k, "content": v} for k, v in nodes(h or "").items()] for h in s])
+            trees = [nodes(h or "") for h in s]
+            yield pd.DataFrame({"page": [t.get("", 0) for t in trees], "nodes": [[{"node": k, "content": v} for k, v in t.items() if k] for t in trees]})
 
-    rows = pages.select(F.col(host).alias("host"), of(F.col(html)).alias("n")).select("host", F.explode("n").alias("n")).select("host", "n.node", "n.content")
-    counted = rows.groupBy("host", "node", "content").agg(F.count("*").alias("c"))
-    # every count stands for its host and for all hosts merged; the pages are parsed once
+    rows = pages.select(F.col(host).alias("host"), of(F.col(html)).alias("p")).select("host", "p.page", F.explode("p.nodes").alias("n")).select("host", "page", "n.node", "n.content")
+    # every page stands for its host and for all hosts merged; the pages are parsed once
     merged = F.explode(F.array("host", F.lit(None).cast("string")))
-    both = counted.withColumn("host", merged).groupBy("host", "node", "content").agg(F.sum("c").alias("c"))
+    distinct = rows.distinct().withColumn("host", merged).distinct()
+    both = distinct.groupBy("host", "node", "content").agg(F.count("*").alias("c"))
     sums = both.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.ln("c")).alias("s"))
     entropy = F.ln("pages") - F.col("s") / F.col("pages")
     return sums.select("host", "node", "pages", F.when(F.col("pages") > 1, entropy / F.ln("pages")).otherwise(F.lit(1.0)).alias("importance"))

@@ -457,6 +457,26 @@ def test_site_tree_cuts_what_repeats(spark):
     assert site_tree.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_on_a_host_do_not_cut_its_articles(spark):
+    page = lambda i: f"<html><body><div class=x7>Same links here</div><article><p>Text number {i} of its own</p></article></body></html>"
+    bare = lambda i: f"<html><body><article><p>Text number {i} of its own</p></article></body></html>"
+    data = []
+    for host, make in (("x", page), ("y", bare)):
+        data += [(f"http://six.{host}/", make(i % 6)) for i in range(24)]
+        data += [(f"http://half.{host}/", make(0 if i < 50 else i)) for i in range(100)]
+        data += [(f"http://twenty.{host}/", make(i % 20)) for i in range(1000)]
+    data += [(f"http://short{i}.x/", page(0)) for i in range(40)] + [("http://alone.x/", page(777))]
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(data)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.main_text(frame).collect()}
+    assert all(got[i] == re.search("Text number .* own", h)[0] for i, (_, h) in enumerate(data))
+
+
+def test_a_node_around_all_text_stays():
+    low = frozenset(["html", "html/body", "html/body/div.n"])
+    assert site_tree.extract("<html><body><div class=n>Links</div><p>Own</p></body></html>", low) == "Own"
+    assert site_tree.extract("<html><body><div class=n>Links</div></body></html>", low) == "Links"
+
+
 def test_extraction_of_pages(spark, sf):
     got = {r.page_id: r.text for r in site_tree.query(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():

@@ -35,9 +35,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, or null.
-
-    A handful of rules is a CASE; longer lists are joined, see judge()."""
+    """struct(rule, verdict) of the longest rule that fits, or null, as one CASE over the rules."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, action in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[2] == "allow")):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -45,13 +43,62 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, quoted or not; null if it has none."""
+    m = lambda k: F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k)
+    return F.nullif(F.concat(m(1), m(2), m(3)), F.lit(""))
+
+
+def unescaped(text: Column) -> Column:
+    """text with character references decoded: numeric ones, and the named ones of signs that urls have."""
+    named = {"amp": "&", "AMP": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "period": ".", "quest": "?", "equals": "=", "num": "#", "percnt": "%", "plus": "+", "commat": "@", "comma": ",", "semi": ";", "lowbar": "_", "nbsp": "\u00a0"}
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};|&[a-zA-Z]+;|[^&]+|&"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        code = F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "^&#[xX](.*);", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);", 1)).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        out = F.when(p.startswith("&#") & valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for k, v in named.items():
+            out = out.when(p == f"&{k};", F.lit(v))
+        return out.otherwise(p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """target as an absolute url, relative to base by RFC 3986; null if it names no other page.
+
+    That is: nothing but a fragment, a scheme without ://, or relative to a base that has no host.
+    """
+    scheme = F.regexp_extract(base, r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    origin = F.regexp_extract(base, r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    tail = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), own))
+    # the empty piece before the first slash stays; dots at the end leave a slash
+    pieces = F.split(F.regexp_replace(whole, r"/(\.\.?)$", "/$1/"), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), none, lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return (
+        F.when(target.contains("://") & target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), target)
+        .when((target == "") | target.startswith("#") | target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (origin == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, clean, tail))
+    )
+
+
 def edges_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Alias edges (src, dst) that pages state: canonical links and meta refreshes to absolute urls."""
+    """Alias edges (src, dst) that pages state: canonical links and meta refreshes, relative ones resolved by url and <base>."""
     tag = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)))
-    found = pages.where(F.col(html).rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)")).select(F.col(url).alias("src"), tag.alias("t"))
-    canonical = F.when(F.col("t").rlike(r"""(?is)\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("t", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    refresh = F.when(F.col("t").rlike(r"""(?is)http-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("t", r"""(?is)url\s*=\s*["']?([^"'\s>]+)""", 1))
-    return found.select("src", F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&").alias("dst")).where("src is not null and dst like '%://%' and src <> dst")
+    given = F.trim(unescaped(attribute(F.regexp_extract(html, r"(?is)<base\b[^>]*>", 0), "href")))
+    found = pages.where(F.col(html).rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)")).select(F.col(url).alias("src"), F.coalesce(resolved(given, F.col(url)), F.col(url)).alias("base"), tag.alias("t"))
+    canonical = F.when(F.col("t").rlike(r"(?i)^<link") & F.array_contains(F.split(F.lower(attribute(F.col("t"), "rel")), r"\s+"), "canonical"), unescaped(attribute(F.col("t"), "href")))
+    refresh = F.when(F.col("t").rlike(r"(?i)^<meta") & (F.lower(F.trim(attribute(F.col("t"), "http-equiv"))) == "refresh"), F.regexp_extract(unescaped(attribute(F.col("t"), "content")), r"""(?is)url\s*=\s*["']?([^"'\s>]+)""", 1))
+    stated = found.select("src", "base", F.trim(F.coalesce(canonical, refresh)).alias("to")).where("src is not null and to is not null")
+    return stated.select("src", resolved(F.col("to"), F.col("base")).alias("dst")).where("dst is not null and src <> dst")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:

@@ -117,6 +117,23 @@ def test_block_spreads_over_aliases_but_not_over_an_allow(spark):
     assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow"}
 
 
+def test_aliases_are_resolved_as_browsers_do(spark):
+    from urllib.parse import urljoin
+
+    base = "http://www.b.org/fr/a/x.html?q=1#f"
+    targets = ["/en/a", "//example.com/en/a", "../a", "a", "./b/../c?d#e", "?only", "../../../up", "..", ".", "/a/./b/", "https://c.org/en/x", "y/"]
+    bad = ["#f", "mailto:x@y", ""]
+    link = lambda t: f'<html><link data-rel=x href="{html.escape(t)}" rel="alternate canonical">'
+    data = [(base, link(t)) for t in targets + bad]
+    data += [("http://e.org", link("z")), (base, '<base href="//h.net/es/"><link rel=canonical href=k>'), (base, "<meta http-equiv='Refresh' content=\"0; url='/r&#x2F;s&#47;&eacute;&amp;t'\">")]
+    data += [(base, '<link rel="canonicals" href="/no">'), (base, '<link rel="next" href="/canonical">'), (None, link("/en/a")), ("nohost", link("/en/a"))]
+    got = {(r.src, r.dst) for r in redirects.edges_of(spark.createDataFrame(data, "url string, html string")).collect()}
+    assert got == {(base, urljoin(base, t)) for t in targets} | {("http://e.org", "http://e.org/z"), (base, "http://h.net/es/k"), (base, "http://www.b.org/r/s/&eacute;&t")}
+    pages = spark.createDataFrame([(1, "http://a.example.com/fr/x", link("../en/a")), (2, "http://b.org/", link("//example.com/en/a")), (3, "http://b.org/2", link("/"))], "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in redirects.judge(pages, redirects.edges_of(pages), [("example.com", "/en/", "block")]).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "block"}
+
+
 # --- order min-hash ---
 def test_omh_likeness(spark):
     a = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark wood " * 4

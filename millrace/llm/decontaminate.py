@@ -8,6 +8,7 @@ multisets (sum of minima over sum of maxima of shingle counts).
 
 A window that holds none of an item's shingles has similarity 0 with it, so windows
 are placed where a shingle of the benchmark occurs: aligned to the item it comes from.
+An item of fewer words than a shingle is looked up by the hash of all its words.
 
 Defined results: null and empty texts or items give no rows; items or texts of
 fewer words than a shingle have one shingle, of them all; of several windows the
@@ -31,18 +32,18 @@ SIZE, SIMILARITY, RADIUS = 5, 0.8, 20
 PASS_BYTES = 64 << 20
 
 
-def _grams(words: list[bytes]) -> np.ndarray:
+def _grams(words: list[bytes], size: int = SIZE) -> np.ndarray:
     """A cheap hash of every shingle, the same within one process: it only places windows."""
     n = len(words)
     h = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
-    if n < SIZE:
+    if n < size:
         out = np.zeros(1, dtype=np.uint64)
         for x in h:
             out = out * np.uint64(0x9E3779B97F4A7C15) + x
         return out
-    out = np.zeros(n - SIZE + 1, dtype=np.uint64)
-    for k in range(SIZE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : n - SIZE + 1 + k]
+    out = np.zeros(n - size + 1, dtype=np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : n - size + 1 + k]
     return out
 
 
@@ -61,6 +62,7 @@ class Index:
         for j, p in enumerate(prints):
             for table, (a, b) in zip(self.blocks, self.cuts):
                 table[(p >> a) & ((1 << (b - a)) - 1)].append(j)
+        self.sizes = sorted({min(SIZE, len(w)) for _, w in self.items} | {SIZE})
         self.longest = max((len(w) for _, w in self.items), default=0)
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for j, (_, w) in enumerate(self.items):
@@ -88,13 +90,16 @@ class Index:
         for first, words in W.pieces(W.encoded(text), 2 * self.longest + SIZE):
             if not words:
                 continue
-            grams = _grams(words)
-            hits = np.flatnonzero(self.filter[(grams >> np.uint64(64 - self.bits)).astype(np.int64)])
             windows = set()
-            for p in hits.tolist():
-                for length, o in self.places.get(int(grams[p]), ()):
-                    start = max(0, min(p - o, len(words) - length))
-                    windows.add((start, min(length, len(words) - start)))
+            for size in self.sizes:
+                if size < SIZE and len(words) < size:
+                    continue
+                grams = _grams(words, size)
+                hits = np.flatnonzero(self.filter[(grams >> np.uint64(64 - self.bits)).astype(np.int64)])
+                for p in hits.tolist():
+                    for length, o in self.places.get(int(grams[p]), ()):
+                        start = max(0, min(p - o, len(words) - length))
+                        windows.add((start, min(length, len(words) - start)))
             for start, length in sorted(windows):
                 h = W.hashes(words[start : start + length], SIZE)
                 fp = W.majority(W.bit_counts(h), len(h))

@@ -358,6 +358,14 @@ def test_decontamination_finds_passages(spark):
     assert decontaminate.clean(rows(spark, docs), bench.limit(0)).count() == len(docs)
 
 
+def test_decontamination_finds_items_shorter_than_a_shingle(spark):
+    long = " ".join(f"w{i}" for i in range(500))
+    bench = spark.createDataFrame([(1, "Purple tango seven"), (2, "zyx"), (3, "w1 w2"), (4, "not in it"), (5, "one two three four five six")], "item_id long, text string")
+    docs = rows(spark, [(1, f"{long} purple  TANGO\nseven {long}"), (2, "a zyx"), (3, "purple tango six"), (4, None), (5, "w0 w1 w2 zyx"), (6, f"{long} one two three four five six")])
+    got = {(r.doc_id, r.item_id, r.similarity, r.start_word, r.n_words) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {(1, 1, 1.0, 500, 3), (1, 3, 1.0, 1, 2), (2, 2, 1.0, 1, 1), (5, 3, 1.0, 1, 2), (5, 2, 1.0, 3, 1), (6, 3, 1.0, 1, 2), (6, 5, 1.0, 500, 6)}
+
+
 def test_blocks_hold_all_within_radius():
     rng = np.random.default_rng(4)
     index = decontaminate.Index([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(200)], 6)

@@ -8,7 +8,7 @@ split by AQE. Rounds grow with the logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.storage import materialize, release
@@ -29,9 +29,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges, written, and a mark of their rows, taken while they are written."""
+    seen = Observation()
+    big = lambda c: F.sum(c.cast("decimal(38,0)"))
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), big(F.xxhash64("u", "v")).alias("a"), big(F.xxhash64("v")).alias("b")), "stars")
+    return out, tuple(seen.get[k] for k in ("n", "a", "b"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
@@ -44,8 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     ends = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     cur, seen = ends.where("u <> v"), None
     for _ in range(max_rounds):
-        nxt = materialize(_star(_star(cur, large=True), large=False), "stars")
-        mark = _mark(nxt)
+        nxt, mark = _marked(_star(_star(cur, large=True), large=False))
         if cur is not ends:
             release(cur)
         cur = nxt

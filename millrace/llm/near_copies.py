@@ -1,16 +1,23 @@
-"""Near copies at a shingle similarity, by SimHash pigeonhole blocks over long fingerprints.
-
-64 bits cannot hold a similarity of 0.8 to a few differing bits. One long SimHash of
-the five-word shingles is made instead: it is cut into blocks to meet on, and its first
-bits verify the Hamming distance. Width and number of blocks follow from the number of
-texts and the similarity alone, whatever kind of edit lies between (see plan()). The
-distance allowed holds pairs at the similarity with a wide margin; what is within it is
-then compared by its exact shingle sets, so links are those of the similarity itself.
-
-A block value shared by over `hot` texts is not expanded into all pairs. Its members
-are compared with a few centres of it first; pairs that the components found so far leave apart are
-then compared too, but for those that the triangle inequality rules out by their
-distances to the centres. So no link between different groups is lost.
+"""Near copies at a shingle similarity, by SimHash blocks over buckets of the shingles.
+
+64 bits of one SimHash cannot hold a similarity of 0.8 to a few differing bits. The
+fingerprint is therefore made of many SimHashes: a text's set of five-word shingles is
+dealt into buckets by hash, and each block of the fingerprint is the SimHash of one bucket.
+Two texts at the similarity differ in at most a known number of shingles; there is one
+bucket more than that, so by the pigeonhole principle a bucket is equal in both, and so is
+its block. Texts of few shingles get blocks for all their buckets, several times over;
+others for BLOCKS of them, of which one at least is shared but for about 1 pair in
+1000 at exactly the similarity (see plan()), whatever kind of edit lies between. The
+number of blocks does not grow with the corpus.
+
+Pairs that share a block are compared by the Hamming distance of a long SimHash of the
+whole set. Far ones go and surely close ones are linked (MARGIN, SURE); those between are
+compared by their exact sets, so links are those of the similarity itself.
+
+A block value shared by over HOT texts is not expanded into all pairs. Its members are
+compared with a centre first, then, in rounds, those outside the largest component
+with a few more members of it, and at last all that the components still leave apart.
+So no link between different groups is lost, and few of those within one are made.
 """
 
 from __future__ import annotations
@@ -20,18 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
+from millrace.llm.columns import col, fresh, small
 from millrace.operators.components import connected_components
 from millrace.storage import materialize, release, small_batches
 
 SIMILARITY = 0.8
-VERIFY_BITS = 512
-HOT, CENTRES = 16, 2
-#: Standard deviations of the Hamming distance at the similarity that are still compared exactly.
-MARGIN = 2.5
+VERIFY_BITS = 1024
+BLOCKS = 16
+HOT, ROUNDS, CENTRES = 16, 3, 3
+#: Standard deviations of the Hamming distance at the similarity: beyond the first no link, under the second one for sure.
+MARGIN, SURE = 3.0, 4.0
+LONGS = VERIFY_BITS // 64
 
 
 def share(similarity: float) -> float:
@@ -39,11 +50,27 @@ def share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def plan(rows: int, similarity: float = SIMILARITY, miss: float = 0.01) -> tuple[int, int]:
-    """(bits of a block, blocks): few unlike texts per value, and a pair at the similarity without a shared block in `miss` of cases."""
-    wide = max(16, math.ceil(math.log2(max(2, rows))) + 4)
-    five = share(similarity)
-    return wide, math.ceil(math.log(miss) / math.log(1 - (1 - five) ** wide)) if five else 1
+def plan(n: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """(level, buckets, dealings) under which a text of n distinct shingles has blocks.
+
+    Levels are powers of two, so that both texts of a pair have one level in common: a text
+    near the top of its level has blocks for the next one too. A pair whose larger text
+    has under 2 ** (level + 1) shingles differs in fewer than `buckets` of them.
+    """
+    own = max(0, n.bit_length() - 1)
+    levels = [own] + ([own + 1] if n >= similarity * 2 ** (own + 1) else [])
+    out = []
+    for level in levels:
+        buckets = max(1, math.ceil(2 ** (level + 1) * (1 - similarity) / similarity - 1e-9))
+        out.append((level, buckets, 1 if buckets == 1 else max(1, BLOCKS // buckets)))
+    return out
+
+
+def bounds(similarity: float) -> tuple[int, int]:
+    """(sure, most): Hamming distances up to which a pair is linked unseen, and beyond which it is not compared."""
+    mean = VERIFY_BITS * share(similarity)
+    sd = math.sqrt(mean * (1 - share(similarity)))
+    return int(mean - SURE * sd), int(mean + MARGIN * sd)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -64,10 +91,9 @@ def shingle_set(text, size: int = 5) -> np.ndarray:
     return out
 
 
-def long_simhash(text, size: int, bits: int) -> bytes:
-    """SimHash of a text's set of shingles: repeats count once, as in the similarity."""
+def long_simhash(h: np.ndarray, bits: int = VERIFY_BITS) -> bytes:
+    """SimHash of a set of shingle hashes: repeats count once, as in the similarity."""
     k = -(-bits // 64)
-    h = shingle_set(text, size)
     counts = np.zeros(k * 64, dtype=np.int64)
     for i in range(0, len(h), 250):  # sums of up to 250 ones fit a byte
         ones = np.unpackbits(_mixed(h[i : i + 250], k).view(np.uint8), axis=1, bitorder="little")
@@ -75,131 +101,213 @@ def long_simhash(text, size: int, bits: int) -> bytes:
     return np.packbits((counts * 2 > len(h))[:bits].astype(np.uint8), bitorder="little").tobytes()
 
 
-def _cut(fp: bytes, wide: int, n: int) -> list[int]:
-    whole = int.from_bytes(fp, "little")
-    mask = (1 << wide) - 1
-    # the block's number is part of the key
-    return [((whole >> (i * wide)) & mask) * n + i for i in range(n)]
+def blocks(h: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """The SimHash of every bucket that has shingles, hashed with its place, as signed longs."""
+    out = []
+    for level, buckets, dealings in plan(len(h), similarity) if len(h) else []:
+        for dealing in range(dealings):
+            mixed = (h ^ np.uint64(dealing * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            bucket = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(7)) % np.uint64(buckets)
+            chosen = np.flatnonzero(bucket < min(buckets, BLOCKS))
+            order = chosen[np.argsort(bucket[chosen], kind="stable")]
+            if not len(order):
+                continue
+            of = bucket[order]
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            ones = np.unpackbits(h[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sizes = np.diff(np.r_[starts, len(order)])
+            bits = np.add.reduceat(ones.astype(np.int32), starts, axis=0) * 2 > sizes[:, None]
+            prints = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
+            for b, p in zip(of[starts].tolist(), prints.tolist()):
+                out.append(xxhash.xxh64_intdigest(b"%d %d %d %d" % (level, dealing, b, p)) - (1 << 63))
+    return out
 
 
-def sig_and_blocks(text, wide: int, n: int) -> tuple[bytes, list[int]]:
-    whole = long_simhash(text, 5, max(VERIFY_BITS, wide * n))
-    return whole[: VERIFY_BITS // 8], _cut(whole, wide, n)
+def sig_and_blocks(text, similarity: float = SIMILARITY) -> tuple[bytes, list[int]]:
+    h = shingle_set(text)
+    return long_simhash(h), blocks(h, similarity)
 
 
-def prints(docs: DataFrame, wide: int, n: int, text: str = "text") -> DataFrame:
-    """docs' other columns with sig (binary) and blocks (array<long>); texts with equal words have equal ones."""
+def prints(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, t, sig, blocks) of docs (id, text): t is the hash of the text; texts with equal words have equal sig and blocks."""
 
     @F.pandas_udf("sig binary, blocks array<long>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.DataFrame([sig_and_blocks(t, wide, n) for t in s], columns=["sig", "blocks"])
-
-    return docs.withColumn("_p", of(F.col(text))).withColumn("sig", F.col("_p.sig")).withColumn("blocks", F.col("_p.blocks")).drop("_p", text)
-
-
-def classes_of(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(sig, least, rep, blocks, key): one row for each distinct signature; rep is one text of it by id and hash."""
-    return prints.groupBy("sig").agg(F.min(doc_id).alias("least"), F.min(F.struct(F.col(doc_id).alias("id"), "_t")).alias("rep"), F.first("blocks").alias("blocks")).withColumn("key", F.xxhash64("sig"))
-
-
-def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (src, dst) whose texts' five-word shingle sets have the Jaccard similarity.
-
-    Only texts of the pairs are read again; each pair moves its own two sets, as 32-bit
-    hashes: of two texts of 20,000 words a tenth of a shingle is equal by chance.
-    """
-    pairs = materialize(pairs.select("src", "dst").distinct(), "candidates")
-    ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
-    wanted = materialize(classes.join(ends, "key", "left_semi").select("key", F.col("rep.id").alias("_id"), F.col("rep._t").alias("_k")), "ends")
-
-    @F.pandas_udf("array<int>")
-    def sets(s: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_set(t).astype(np.uint32)).view(np.int32) for t in s])
-
-    mine = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_x"), F.xxhash64(text).alias("_t"))
-    met = wanted.join(mine, F.expr("_k = _t and _id <=> _d"))
-    with small_batches(docs.sparkSession, 256):
-        held = materialize(met.select("key", sets("_x").alias("s")), "sets")
-    if not held.groupBy("key").count().where("count > 1").isEmpty():  # repeated rows give one set
-        held = held.dropDuplicates(["key"])
-    both = pairs.join(held.select(F.col("key").alias("src"), F.col("s").alias("a")), "src").join(held.select(F.col("key").alias("dst"), F.col("s").alias("b")), "dst")
-    counted = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
-    return counted.where(F.col("i") / (F.col("n") - F.col("i")) >= similarity).select("src", "dst")
-
-
-def components(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
-    """(key, component): the groups of classes that links at the similarity hold together."""
+            yield pd.DataFrame([sig_and_blocks(t, similarity) for t in s], columns=["sig", "blocks"])
+
+    return docs.select("id", F.xxhash64("text").alias("t"), of("text").alias("p")).select("id", "t", "p.sig", "p.blocks")
+
+
+def classes_of(marked: DataFrame) -> DataFrame:
+    """(key, least, id, t, blocks, w0...): one row for each distinct signature; id and t name one text of it."""
+    one = marked.groupBy("sig").agg(F.min("id").alias("least"), F.min(F.struct("id", "t")).alias("rep"), F.first("blocks").alias("blocks"))
+    words = (F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(LONGS))
+    return one.select(F.xxhash64("sig").alias("key"), "least", "rep.id", "rep.t", "blocks", *words)
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.expr(" + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(LONGS)))
+
+
+class Links:
+    """Links found so far among the classes, and their components: (key, c), a class without a link being absent."""
+
+    def __init__(self, classes: DataFrame, docs: DataFrame, similarity: float):
+        self.classes, self.docs, self.similarity = classes, docs, similarity
+        self.sure, self.most = bounds(similarity)
+        self.sigs = classes.select("key", *(f"w{i}" for i in range(LONGS)))
+        self.comp: DataFrame | None = None
+
+    def named(self, keyed: DataFrame) -> DataFrame:
+        """keyed (key, ...) with its component c."""
+        if self.comp is None:
+            return keyed.withColumn("c", F.col("key"))
+        return keyed.join(self.comp, "key", "left").withColumn("c", F.coalesce("c", "key"))
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """(src, dst, apart) of the pairs within `most`; the join compares and only gives what is close."""
+        met = pairs.distinct().join(self.sigs.withColumnRenamed("key", "src"), "src")
+        far = met.alias("a").join(self.sigs.withColumnRenamed("key", "dst").alias("b"), (F.col("a.dst") == F.col("b.dst")) & (_apart("a", "b") <= self.most))
+        return far.select("a.src", "a.dst", _apart("a", "b").alias("apart"))
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Link the pairs (src, dst) that have the similarity; false if there were none to link."""
+        near = materialize(self.measured(pairs), "near")
+        new = near.where(F.col("apart") <= self.sure).select("src", "dst")
+        doubt = near.where(F.col("apart") > self.sure).select("src", "dst")
+        if not doubt.isEmpty():
+            new = new.unionByName(self.exact(doubt))
+        new = materialize(new, "links")
+        if new.isEmpty():
+            return False
+        if self.comp is None:
+            self.comp = materialize(connected_components(new).select(F.col("node").alias("key"), F.col("component").alias("c")), "comp")
+        else:
+            # only the components' own graph is searched again
+            a = self.comp.select(F.col("key").alias("src"), F.col("c").alias("a"))
+            b = self.comp.select(F.col("key").alias("dst"), F.col("c").alias("b"))
+            over = new.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+            merged = materialize(connected_components(over).select("node", "component"), "merged")
+            old = self.comp
+            moved = old.join(merged.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("component", "c").alias("c"))
+            fresh_ones = merged.join(old.select(F.col("key").alias("node")), "node", "left_anti").select(F.col("node").alias("key"), F.col("component").alias("c"))
+            self.comp = materialize(moved.unionByName(fresh_ones), "comp")
+            release(old, merged)
+        release(near, new)
+        return True
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts' shingle sets have the similarity.
+
+        Only texts of the pairs are read again; a pair's sets are 32-bit hashes: of two
+        texts of 20,000 words a tenth of a shingle is equal by chance.
+        """
+        ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
+        wanted = materialize(self.classes.join(ends, "key", "left_semi").select("key", F.col("id").alias("i"), F.col("t").alias("k")), "ends")
+
+        @F.pandas_udf("array<int>")
+        def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in parts:
+                yield pd.Series([np.unique(shingle_set(t).astype(np.uint32)).view(np.int32) for t in s])
+
+        met = self.docs.join(small(wanted), F.expr("xxhash64(text) = k and id <=> i"))
+        with small_batches(self.docs.sparkSession, 256):
+            held = materialize(met.select("key", sets("text").alias("s")).withColumn("n", F.size("s")), "sets")
+        if not held.groupBy("key").count().where("count > 1").isEmpty():  # repeated rows give one set
+            held = held.dropDuplicates(["key"])
+        sizes = held.select("key", "n")
+        # sets of too unlike sizes cannot have the similarity
+        fits = F.least("m", "n") >= self.similarity * F.greatest("m", "n")
+        kept = pairs.join(sizes.select(F.col("key").alias("src"), F.col("n").alias("m")), "src").join(sizes.withColumnRenamed("key", "dst"), "dst").where(fits).select("src", "dst")
+        both = kept.join(held.select(F.col("key").alias("src"), F.col("s").alias("a")), "src").join(held.select(F.col("key").alias("dst"), F.col("s").alias("b")), "dst")
+        counted = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
+        out = materialize(counted.where(F.col("i") / (F.col("n") - F.col("i")) >= self.similarity).select("src", "dst"), "exact")
+        release(wanted, held)
+        return out
+
+
+def components(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, hot: int | None = None) -> DataFrame | None:
+    """(key, c): the groups of classes that links at the similarity hold together; None without any link."""
     hot = HOT if hot is None else hot
-    mean = VERIFY_BITS * share(similarity)
-    most = int(mean + MARGIN * math.sqrt(mean * (1 - share(similarity))))
-    linked = lambda p: exact(p, classes, docs, similarity, doc_id, text)
-    sigs = classes.select("key", *(F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(VERIFY_BITS // 64)))
-    keyed = materialize(classes.select("key", F.explode("blocks").alias("v")), "blocks")
-    size = keyed.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = materialize(size.where(F.col("n") > hot).select("v"), "crowded")
-    few = keyed.join(crowded, "v", "left_anti")
-    many = keyed.join(crowded, "v", "left_semi")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        met = pairs.distinct().join(sigs.withColumnRenamed("key", "src"), "src")
-        other = sigs.select(F.col("key").alias("dst"), *(F.col(f"w{i}").alias(f"x{i}") for i in range(VERIFY_BITS // 64)))
-        apart = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"x{i}"))) for i in range(1, VERIFY_BITS // 64)), F.bit_count(F.col("w0").bitwiseXOR(F.col("x0"))))
-        return met.join(other, "dst").select("src", "dst", apart.alias("apart"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return measured(pairs).where(F.col("apart") <= most).select("src", "dst")
-
+    links = Links(classes, docs, similarity)
+    keyed = materialize(classes.select("key", F.explode("blocks").alias("v")).distinct(), "blocks")
+    shared = materialize(keyed.groupBy("v").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1"), "shared")
+    more = materialize(keyed.join(shared.where("n > 2").select("v", "n"), "v"), "more")
+    few = more.where(F.col("n") <= hot)
     pairs = few.alias("a").join(few.alias("b"), "v").where("a.key < b.key").select(F.col("a.key").alias("src"), F.col("b.key").alias("dst"))
-    if crowded.isEmpty():
-        found = materialize(linked(verified(pairs)), "close")
-    else:
-        # one order of all texts for each centre, so a group has the same ones in most of its blocks and few pairs in all
-        centres = many.groupBy("v").agg(*(F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
-        led = materialize(many.join(centres, "v"), "led")
-        near = led.select(F.col("key").alias("src"), F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("dst")).where("src <> dst")
-        far = materialize(measured(near), "far")
-        found = materialize(linked(verified(pairs).unionByName(far.where(F.col("apart") <= most).select("src", "dst"))), "close")
-        comp = connected_components(found).withColumnRenamed("node", "key")
-        placed = led.join(comp, "key", "left").withColumn("c", F.coalesce("component", "key"))
-        for i in range(CENTRES):
-            to = far.select(F.col("src").alias("key"), F.col("dst").alias(f"c{i}"), F.col("apart").alias(f"d{i}"))
-            placed = placed.join(to, ["key", f"c{i}"], "left").withColumn(f"d{i}", F.coalesce(f"d{i}", F.lit(0)))
-        placed = materialize(placed.select("v", "key", "c", *(f"d{i}" for i in range(CENTRES))), "placed")
-        per = placed.groupBy("v", "c").agg(F.count("*").alias("n"))
-        main = per.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        # signatures go along, so the join compares and only emits what is close
-        split = placed.join(main, "v").join(sigs, "key")
-        # by the triangle inequality texts whose distances to a centre differ by more than `most` are further apart than that
-        may = " and ".join(f"abs(a.d{i} - b.d{i}) <= {most}" for i in range(CENTRES))
-        close = " + ".join(f"bit_count(a.w{i} ^ b.w{i})" for i in range(VERIFY_BITS // 64))
-        late = split.where("c <> main").alias("a").join(split.alias("b"), "v").where(f"a.c <> b.c and (b.c = b.main or a.key < b.key) and {may} and {close} <= {most}")
-        rest = late.select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst")).distinct()
-        found = materialize(found.unionByName(linked(rest)), "close")
-    out = connected_components(found).withColumnRenamed("node", "key")
-    release(keyed)
-    return out
+    links.add(pairs.unionByName(shared.where("n = 2").select(F.col("lo").alias("src"), F.col("hi").alias("dst"))))
+    led = more.where(F.col("n") > hot)
+    if not led.isEmpty():
+        _crowded(links, led)
+    release(keyed, shared, more)
+    return links.comp
+
+
+def _crowded(links: Links, led: DataFrame) -> None:
+    """Link the members of crowded block values (v, key)."""
+    typical = led.groupBy("key").agg(F.count("*").alias("t"))
+    led = materialize(led.select("v", "key").join(typical, "key"), "led")
+    for turn in range(ROUNDS + 1):
+        placed = materialize(links.named(led), "placed")
+        per = placed.groupBy("v", "c").agg(F.count("*").alias("n"), F.max_by("key", F.struct("t", F.xxhash64("key"))).alias("best"), F.max("t").alias("t"))
+        if turn == 0:
+            # the member with most crowded values is the likest to all others
+            main = per.groupBy("v").agg(F.max_by(F.struct("c", F.array("best").alias("to")), F.struct("t", F.xxhash64("best"))).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("v", "m.c", "m.to")
+        else:
+            main = per.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("c"), F.count("*").alias("parts")).where("parts > 1").select("v", "c")
+        main = materialize(main.withColumnRenamed("c", "main"), "main")
+        if main.isEmpty():
+            release(placed, main)
+            break
+        if turn == ROUNDS:
+            split = materialize(placed.join(main, "v").join(links.sigs, "key"), "split")
+            # what is outside the largest component against all others of the value
+            close = _apart("a", "b") <= links.most
+            late = split.where("c <> main").alias("a").join(split.alias("b"), F.expr("a.v = b.v and a.c <> b.c and (b.c = b.main or a.key < b.key)") & close)
+            links.add(late.select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst")))
+            release(split)
+        else:
+            if turn:
+                inner = placed.join(main, "v").where("c = main")
+                some = inner.groupBy("v").agg(F.array_distinct(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(turn * CENTRES + i))) for i in range(CENTRES)))).alias("to"))
+                led_by = main.join(some, "v")
+            else:
+                led_by = main
+            near = placed.join(led_by, "v").where("c <> main").select(F.col("key").alias("src"), F.explode("to").alias("dst"))
+            links.add(near)
+        release(placed, main)
+    release(led)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: that of the least id.
 
     Null and empty texts are one group (equal signatures); repeated rows leave one;
-    a null id stays only where its group has no other; an empty table stays empty.
+    a null id stays only where its group has no other; an empty table stays empty. All
+    columns stay as they are, whatever their names. Texts are never shuffled while the
+    rows to drop are few enough to broadcast.
     """
-    rows = docs.count()
-    wide, n = plan(rows, similarity)
+    plain = docs.select(col(doc_id).alias("id"), col(text).alias("text"))
     with small_batches(docs.sparkSession):
-        marked = materialize(prints(docs.select(doc_id, text, F.xxhash64(text).alias("_t")), wide, n, text), "prints")
-    classes = materialize(classes_of(marked, doc_id), "classes")
-    comp = components(classes, docs, similarity, doc_id, text)
-    named = classes.select("key", "least").join(comp, "key", "left").withColumn("c", F.coalesce("component", "key"))
-    best = named.groupBy("c").agg(F.min("least").alias("least"), F.min_by("key", F.struct(F.col("least").isNull(), "least", "key")).alias("key")).select("key", "least")
-    keys = marked.select(F.col(doc_id).alias("_id"), "_t", F.xxhash64("sig").alias("key")).join(best, "key").where("_id <=> least")
-    # of repeated ids one text, of repeated rows one row
-    keys = keys.groupBy("key", "_id").agg(F.min("_t").alias("_t")).select("_id", "_t")
-    kept = docs.withColumn("_t", F.xxhash64(text)).join(keys.withColumnRenamed("_t", "_k"), F.expr(f"`{doc_id}` <=> _id and _t = _k"), "left_semi")
-    again = marked.groupBy(doc_id, "_t").count().where("count > 1")
+        marked = materialize(prints(plain, similarity), "prints")
+    classes = materialize(classes_of(marked), "classes")
+    comp = components(classes, plain, similarity)
+    named = classes.select("key", "least", "id", "t")
+    named = named.withColumn("c", F.col("key")) if comp is None else named.join(comp, "key", "left").withColumn("c", F.coalesce("c", "key"))
+    best = named.groupBy("c").agg(F.min(F.struct(F.col("least").isNull(), "least", "id", "t")).alias("b")).select(F.col("b.id").alias("id"), F.col("b.t").alias("t"))
+    rows = marked.groupBy("id", "t").agg(F.count("*").alias("n"))
+    chosen = best.withColumn("stays", F.lit(True))
+    judged = materialize(rows.alias("r").join(chosen.alias("b"), F.expr("r.id <=> b.id and r.t = b.t"), "left").select("r.id", "r.t", "r.n", F.coalesce("stays", F.lit(False)).alias("stays")), "judged")
+    release(marked, classes, *([comp] if comp is not None else []))
+    i, k = fresh(docs, "id", "t")
+    key = (F.xxhash64(col(text)) == F.col(k)) & col(doc_id).eqNullSafe(F.col(i))
+    off = judged.where("not stays").select(F.col("id").alias(i), F.col("t").alias(k))
+    kept = docs.join(small(off), key, "left_anti")
+    again = judged.where("stays and n > 1").select(F.col("id").alias(i), F.col("t").alias(k))
     if not again.isEmpty():
-        kept = kept.dropDuplicates([doc_id, "_t"])
-    return kept.drop("_t")
+        again = small(again)
+        # equal rows by id and text: one of them
+        one = kept.join(again, key, "left_semi").withColumn(k, F.xxhash64(col(text))).dropDuplicates([doc_id, k]).drop(k)
+        kept = kept.join(again, key, "left_anti").unionByName(one)
+    return kept

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import col, renamed
+
 #: Bytes of a window, and how much two windows in a row share: longer than a dictionary segment.
 WINDOW, OVERLAP = 96, 14
 #: Labelled rows of each class that the model is fitted on, at most, the first in hash order.
@@ -202,17 +204,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= threshold); one pass, no shuffle."""
+    """docs with score (0 to 1) and predicted (1 if score >= threshold); one pass, no shuffle.
+
+    A user's columns of these names are called score_in and predicted_in.
+    """
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([model.score(t if isinstance(t, str) else None) for t in s], dtype="float64")
 
-    out = docs.withColumn("score", scored(F.col(text)))
+    out = renamed(docs, "score", "predicted").withColumn("score", scored(col(text)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs without the rows that score the threshold or more, all columns as they are."""
+
+    @F.pandas_udf("boolean")
+    def free(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([model.score(t if isinstance(t, str) else None) < threshold for t in s], dtype=bool)
+
+    return docs.where(free(col(text)))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -39,7 +39,7 @@ from millrace.storage import materialize, release, small_batches
 SIMILARITY = 0.8
 VERIFY_BITS = 1024
 BLOCKS = 16
-HOT, ROUNDS, CENTRES = 16, 3, 3
+HOT, ROUNDS, CENTRES = 16, 3, 8
 #: Standard deviations of the Hamming distance at the similarity: beyond the first no link, under the second one for sure.
 MARGIN, SURE = 3.0, 4.0
 LONGS = VERIFY_BITS // 64
@@ -140,10 +140,10 @@ def prints(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def classes_of(marked: DataFrame) -> DataFrame:
-    """(key, least, id, t, blocks, w0...): one row for each distinct signature; id and t name one text of it."""
-    one = marked.groupBy("sig").agg(F.min("id").alias("least"), F.min(F.struct("id", "t")).alias("rep"), F.first("blocks").alias("blocks"))
+    """(key, id, t, blocks, w0...): one row for each distinct signature; id (the least) and t name one text of it."""
+    one = marked.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("rep"), F.first("blocks").alias("blocks"))
     words = (F.conv(F.hex(F.substring("sig", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"w{i}") for i in range(LONGS))
-    return one.select(F.xxhash64("sig").alias("key"), "least", "rep.id", "rep.t", "blocks", *words)
+    return one.select(F.xxhash64("sig").alias("key"), "rep.id", "rep.t", "blocks", *words)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -171,19 +171,22 @@ class Links:
         far = met.alias("a").join(self.sigs.withColumnRenamed("key", "dst").alias("b"), (F.col("a.dst") == F.col("b.dst")) & (_apart("a", "b") <= self.most))
         return far.select("a.src", "a.dst", _apart("a", "b").alias("apart"))
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Link the pairs (src, dst) that have the similarity; false if there were none to link."""
+    def add(self, pairs: DataFrame) -> None:
+        """Link those of the pairs (src, dst) that have the similarity."""
         near = materialize(self.measured(pairs), "near")
         new = near.where(F.col("apart") <= self.sure).select("src", "dst")
         doubt = near.where(F.col("apart") > self.sure).select("src", "dst")
         if not doubt.isEmpty():
             new = new.unionByName(self.exact(doubt))
+        self.unite(new)
+        release(near)
+
+    def unite(self, new: DataFrame) -> None:
+        """Take links (src, dst) into the components."""
         new = materialize(new, "links")
-        if new.isEmpty():
-            return False
-        if self.comp is None:
+        if not new.isEmpty() and self.comp is None:
             self.comp = materialize(connected_components(new).select(F.col("node").alias("key"), F.col("component").alias("c")), "comp")
-        else:
+        elif not new.isEmpty():
             # only the components' own graph is searched again
             a = self.comp.select(F.col("key").alias("src"), F.col("c").alias("a"))
             b = self.comp.select(F.col("key").alias("dst"), F.col("c").alias("b"))
@@ -191,39 +194,45 @@ class Links:
             merged = materialize(connected_components(over).select("node", "component"), "merged")
             old = self.comp
             moved = old.join(merged.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("component", "c").alias("c"))
-            fresh_ones = merged.join(old.select(F.col("key").alias("node")), "node", "left_anti").select(F.col("node").alias("key"), F.col("component").alias("c"))
-            self.comp = materialize(moved.unionByName(fresh_ones), "comp")
+            first = merged.join(old.select(F.col("key").alias("node")), "node", "left_anti").select(F.col("node").alias("key"), F.col("component").alias("c"))
+            self.comp = materialize(moved.unionByName(first), "comp")
             release(old, merged)
-        release(near, new)
-        return True
+        release(new)
 
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose texts' shingle sets have the similarity.
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """(key, s, n): the shingle sets of the classes `keys`, each of them once.
 
-        Only texts of the pairs are read again; a pair's sets are 32-bit hashes: of two
-        texts of 20,000 words a tenth of a shingle is equal by chance.
+        Only their texts are read again. The hashes have 32 bits: of two texts of 20,000
+        words a tenth of a shingle is equal by chance.
         """
-        ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
-        wanted = materialize(self.classes.join(ends, "key", "left_semi").select("key", F.col("id").alias("i"), F.col("t").alias("k")), "ends")
+        wanted = materialize(self.classes.join(keys, "key", "left_semi").select("key", F.col("id").alias("i"), F.col("t").alias("k")), "ends")
 
         @F.pandas_udf("array<int>")
-        def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in parts:
                 yield pd.Series([np.unique(shingle_set(t).astype(np.uint32)).view(np.int32) for t in s])
 
         met = self.docs.join(small(wanted), F.expr("xxhash64(text) = k and id <=> i"))
         with small_batches(self.docs.sparkSession, 256):
-            held = materialize(met.select("key", sets("text").alias("s")).withColumn("n", F.size("s")), "sets")
-        if not held.groupBy("key").count().where("count > 1").isEmpty():  # repeated rows give one set
-            held = held.dropDuplicates(["key"])
+            held = materialize(met.select("key", of("text").alias("s")).withColumn("n", F.size("s")), "sets")
+        release(wanted)
+        # repeated rows give one set
+        return held if held.groupBy("key").count().where("count > 1").isEmpty() else materialize(held.dropDuplicates(["key"]), "sets")
+
+    def alike(self, a: str, b: str) -> Column:
+        """Do two rows with s and n have the similarity? Unlike sizes are told without a look at the sets."""
+        t = self.similarity
+        return F.expr(f"least({a}.n, {b}.n) >= {t} * greatest({a}.n, {b}.n) and size(array_intersect({a}.s, {b}.s)) * {1 + t} >= {t} * ({a}.n + {b}.n) - 1e-6")
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts' shingle sets have the similarity."""
+        held = self.sets(pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct())
         sizes = held.select("key", "n")
-        # sets of too unlike sizes cannot have the similarity
         fits = F.least("m", "n") >= self.similarity * F.greatest("m", "n")
         kept = pairs.join(sizes.select(F.col("key").alias("src"), F.col("n").alias("m")), "src").join(sizes.withColumnRenamed("key", "dst"), "dst").where(fits).select("src", "dst")
-        both = kept.join(held.select(F.col("key").alias("src"), F.col("s").alias("a")), "src").join(held.select(F.col("key").alias("dst"), F.col("s").alias("b")), "dst")
-        counted = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("n"))
-        out = materialize(counted.where(F.col("i") / (F.col("n") - F.col("i")) >= self.similarity).select("src", "dst"), "exact")
-        release(wanted, held)
+        both = kept.join(held.withColumnRenamed("key", "src").alias("a"), "src").alias("a").join(held.withColumnRenamed("key", "dst").alias("b"), (F.col("a.dst") == F.col("b.dst")) & self.alike("a", "b"))
+        out = materialize(both.select("a.src", "a.dst"), "exact")
+        release(held)
         return out
 
 
@@ -261,12 +270,17 @@ def _crowded(links: Links, led: DataFrame) -> None:
             release(placed, main)
             break
         if turn == ROUNDS:
+            # what is outside the largest component against all others of the value. Signatures and sets go along, so
+            # the join compares and only gives links; a pair is compared in the least value that both texts have
             split = materialize(placed.join(main, "v").join(links.sigs, "key"), "split")
-            # what is outside the largest component against all others of the value
-            close = _apart("a", "b") <= links.most
-            late = split.where("c <> main").alias("a").join(split.alias("b"), F.expr("a.v = b.v and a.c <> b.c and (b.c = b.main or a.key < b.key)") & close)
-            links.add(late.select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst")))
-            release(split)
+            own = materialize(split.groupBy("key").agg(F.collect_set("v").alias("vs")), "own")  # at most a text's blocks
+            held = links.sets(own.select("key"))
+            carried = split.join(own, "key").join(held, "key")
+            distance = _apart("a", "b")
+            close = (distance <= links.most) & ((distance <= links.sure) | links.alike("a", "b")) & F.expr("a.v = array_min(array_intersect(a.vs, b.vs))")
+            late = carried.where("c <> main").alias("a").join(carried.alias("b"), F.expr("a.v = b.v and a.c <> b.c and (b.c = b.main or a.key < b.key)") & close)
+            links.unite(late.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct())
+            release(split, own, held)
         else:
             if turn:
                 inner = placed.join(main, "v").where("c = main")
@@ -293,9 +307,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
         marked = materialize(prints(plain, similarity), "prints")
     classes = materialize(classes_of(marked), "classes")
     comp = components(classes, plain, similarity)
-    named = classes.select("key", "least", "id", "t")
+    named = classes.select("key", "id", "t")
     named = named.withColumn("c", F.col("key")) if comp is None else named.join(comp, "key", "left").withColumn("c", F.coalesce("c", "key"))
-    best = named.groupBy("c").agg(F.min(F.struct(F.col("least").isNull(), "least", "id", "t")).alias("b")).select(F.col("b.id").alias("id"), F.col("b.t").alias("t"))
+    best = named.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("b")).select(F.col("b.id").alias("id"), F.col("b.t").alias("t"))
     rows = marked.groupBy("id", "t").agg(F.count("*").alias("n"))
     chosen = best.withColumn("stays", F.lit(True))
     judged = materialize(rows.alias("r").join(chosen.alias("b"), F.expr("r.id <=> b.id and r.t = b.t"), "left").select("r.id", "r.t", "r.n", F.coalesce("stays", F.lit(False)).alias("stays")), "judged")

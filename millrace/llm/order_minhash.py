@@ -1,21 +1,21 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
-Every k-mer of a text is numbered by its occurrence and hashed; the smallest are
-selected, dealt into buckets by other bits of the hash, and the k-mers of a bucket
-are hashed as a tuple in the order they have in the text. Two texts share a tuple if
-they share its k-mers in the same order, so likeness falls with edit distance and
-not only with the sets' overlap.
-
-The value of occurrence c of a k-mer is c times the k-mer's hash, and the SELECTED
-smallest values of all occurrences are taken. A value that is not over the largest hash
-of a prefix of the hashes in order belongs to an occurrence within that prefix, so a
-prefix that has SELECTED such values is enough. Texts whose repeats fill it take the
-first SELECTED distinct k-mers instead, with up to SELECTED occurrences of each: all
-others have SELECTED smaller values. Cost: one hash and one primitive sort of the k-mers.
+Every k-mer of a text is numbered by its occurrence, and the pair is hashed: occurrence c
+of a k-mer has its own value, independent of those of the others. The SELECTED smallest
+values of a text are taken, dealt into buckets by other bits of the value, and the smallest
+of a bucket are hashed as a tuple in the order they have in the text. Two texts
+share a tuple if they share its k-mers, as often and in the same order, so likeness falls
+with edit distance and not only with the sets' overlap, and repeated text counts like any other.
+
+The value of a first occurrence is the k-mer's hash itself. So one sort of (hash, place)
+gives the first occurrences in the order of their values, and brings later ones
+together, which alone are numbered and hashed again. The sort stands outside of
+lambdas, where Spark sorts primitives in generated code; see with_tuples().
 
 Defined results: a null text counts as empty; a text shorter than k is one k-mer, the
 empty one too, so equal texts always have equal fingerprints; repeated rows get equal
-ones; an empty table gives no rows. K-mers are of code points.
+ones; an empty table gives no rows; a text of over 2 ** PLACE / 4 code points is an
+error, as its places cannot be told apart. K-mers are of code points.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.columns import col, fresh
 from millrace.storage import materialize
 
 K, BUCKETS, TUPLE, SELECTED = 8, 32, 2, 128
-#: Bits of a k-mer's place in the text, and of its hash above them.
-PLACE, HASH = 28, 35
+#: Low bits that hold a k-mer's place in the text (its offset in UTF-32); the value's bits stand above.
+PLACE = 30
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -39,7 +40,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _runs(sorted_longs: Column, key: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
-    """then(slice) of every run of equal keys, as an array."""
+    """then(slice) of every run of equal keys, as an array; of no elements, an empty one."""
 
     def of(a: Column) -> Column:
         last = F.size(a) - 1
@@ -49,46 +50,64 @@ def _runs(sorted_longs: Column, key: Callable[[Column], Column], then: Callable[
     return let(sorted_longs, of)
 
 
-def tuples(text: Column, k: int = K, buckets: int = BUCKETS, size: int = TUPLE, selected: int = SELECTED) -> Column:
-    """array<long>: a hash for every bucket that has k-mers, by bucket."""
-    bits = (buckets - 1).bit_length()
-    place = (1 << PLACE) - 1
+def sorted_kmers(text: Column, k: int = K) -> Column:
+    """array<long>: hash and place of every k-mer, ascending."""
+    last = F.greatest(F.char_length(text) - k, F.lit(0)) * 4 + 1
+    # four bytes for a code point: slices without a scan
+    return F.sort_array(let(F.encode(text, "UTF-32"), lambda b: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.shiftleft(F.xxhash64(F.substring(b, i, F.lit(4 * k))), PLACE).bitwiseOR(i.cast("long")))))
+
+
+def whole(text: Column) -> Column:
+    """text, null as empty; an error if its places do not fit."""
     text = F.coalesce(text, F.lit(""))
-    last = F.greatest(F.char_length(text) - k, F.lit(0))
-    wide = F.encode(text, "UTF-32")  # four bytes for a code point: slices without a scan
-    hashed = let(F.struct(wide.alias("b"), last.alias("n")), lambda s: let(s["b"], lambda b: F.transform(F.sequence(F.lit(0), s["n"]), lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * k))), 64 - HASH), PLACE).bitwiseOR(i.cast("long")))))
-    prefix = 2 * selected
-
-    def numbered(a: Column) -> Column:
-        return F.flatten(_runs(a, lambda x: F.shiftright(x, PLACE), lambda run: F.transform(run, lambda x, c: F.struct((F.shiftright(x, PLACE) * (c + 1)).alias("v"), x.bitwiseAND(F.lit(place)).alias("p"), F.xxhash64(F.shiftright(x, PLACE), c).alias("h")))))
-
-    def early(a: Column) -> Column:
-        # over the top of a prefix, values are not known to be the smallest
-        top = lambda f: F.shiftright(F.element_at(f, -1), PLACE)
-        return let(F.slice(a, 1, prefix), lambda f: F.when(F.size(a) <= prefix, numbered(f)).otherwise(let(top(f), lambda t: F.filter(numbered(f), lambda e: e["v"] <= t))))
-
-    def repetitive(a: Column) -> Column:
-        distinct = F.filter(a, lambda x, i: (i < selected) | (F.shiftright(x, PLACE) != F.shiftright(F.get(a, i - selected), PLACE)))
-        return numbered(F.slice(distinct, 1, selected * selected))
-
-    def smallest(e: Column) -> Column:
-        return let(F.sort_array(F.transform(e, lambda x: x["v"])), lambda v: let(F.get(v, F.least(F.size(v), F.lit(selected)) - 1), lambda top: F.filter(e, lambda x: x["v"] <= top)))
-
-    least = let(F.sort_array(hashed), lambda a: let(let(early(a), lambda e: F.when((F.size(a) <= prefix) | (F.size(e) >= selected), e).otherwise(repetitive(a))), smallest))
-
-    # (bucket, value, index) in order; then the first `size` of every bucket, in text order
-    chosen = let(
-        least,
-        lambda e: F.flatten(
-            _runs(
-                F.sort_array(F.transform(e, lambda x, i: F.shiftleft(F.pmod(F.shiftright(x["h"], 32), F.lit(buckets)).cast("long"), 63 - bits).bitwiseOR(F.shiftleft(x["v"], 10)).bitwiseOR(i.cast("long")))),
-                lambda x: F.shiftright(x, 63 - bits),
-                lambda run: F.transform(F.slice(run, 1, size), lambda x: let(e[x.bitwiseAND(F.lit(1023)).cast("int")], lambda y: F.struct(F.shiftright(x, 63 - bits).alias("b"), y["p"].alias("p"), y["h"].alias("h")))),
-            )
-        ),
-    )
-    ordered = F.array_sort(chosen)
-    return _runs(ordered, lambda x: x["b"], lambda run: F.aggregate(run, run[0]["b"], lambda acc, x: F.xxhash64(acc, x["h"])))
+    return F.when(F.char_length(text) > (1 << PLACE) // 4, F.raise_error(F.lit("a text is too long for its places"))).otherwise(text)
+
+
+def tuples(held: Column, buckets: int = BUCKETS, size: int = TUPLE, selected: int = SELECTED) -> Column:
+    """array<long>: a hash for every bucket that has k-mers, by bucket. held: a column of sorted_kmers()."""
+    place = F.lit((1 << PLACE) - 1)
+    value = lambda x: F.shiftright(x, PLACE)
+
+    def firsts(a: Column) -> Column:
+        """First occurrences of k-mers: all of them, or the smallest `selected` at least."""
+        of = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (value(x) != value(F.get(xs, i - 1))))
+        return let(let(F.slice(a, 1, 2 * selected), of), lambda f: F.when((F.size(f) >= selected) | (F.size(a) <= 2 * selected), f).otherwise(of(a)))
+
+    def later(a: Column) -> Column:
+        """Second and later occurrences, each with its own value."""
+        again = lambda xs: F.filter(xs, lambda x, i: value(x) == value(F.get(xs, i - 1)))
+        valued = lambda x, c: F.shiftleft(F.xxhash64(value(x), c), PLACE).bitwiseOR(x.bitwiseAND(place))
+        seconds = lambda r: F.transform(F.filter(r, lambda x, i: (i == 0) | (value(x) != value(F.get(r, i - 1)))), lambda x: valued(x, F.lit(0)))
+        thirds = lambda r: let(again(r), lambda q: F.when(F.size(q) == 0, q).otherwise(F.flatten(_runs(q, value, lambda run: F.transform(run, lambda x, c: valued(x, c + 1))))))
+        return let(again(a), lambda r: F.when(F.size(r) == 0, r).otherwise(F.concat(seconds(r), thirds(r))))
+
+    def hashed(e: Column) -> Column:
+        # (bucket, rank) in order: the first `size` of every bucket stay, and are put in text order
+        bits = (selected - 1).bit_length()
+        dealt = F.sort_array(F.transform(e, lambda x, i: F.shiftleft(value(x).bitwiseAND(F.lit(buckets - 1)), bits).bitwiseOR(i.cast("long"))))
+        bucket = lambda x: F.shiftright(x, bits + PLACE)
+        rank = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        least = let(dealt, lambda d: F.filter(d, lambda x, i: (i < size) | (F.shiftright(x, bits) != F.shiftright(F.get(d, i - size), bits))))
+        # bucket, place, rank
+        placed = F.sort_array(F.transform(least, lambda y: F.shiftleft(F.shiftright(y, bits), bits + PLACE).bitwiseOR(F.shiftleft(F.get(e, rank(y)).bitwiseAND(place), bits)).bitwiseOR(rank(y).cast("long"))))
+
+        def of(q: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(q) - 1), lambda i: (i == 0) | (bucket(F.get(q, i)) != bucket(F.get(q, i - 1))))
+            # what is null is not hashed: beyond a bucket's last k-mer
+            one = lambda i, j: F.when(bucket(F.get(q, i + j)) == bucket(F.get(q, i)), value(F.get(e, rank(F.get(q, i + j)))))
+            return F.transform(starts, lambda i: F.xxhash64(bucket(F.get(q, i)), *(one(i, j) for j in range(size))))
+
+        return let(placed, of)
+
+    return let(held, lambda a: let(F.slice(F.sort_array(F.concat(firsts(a), later(a))), 1, selected), hashed))
+
+
+def with_tuples(df: DataFrame, texts: dict[str, Column], k: int = K, buckets: int = BUCKETS, size: int = TUPLE, selected: int = SELECTED) -> DataFrame:
+    """df with a column of tuples for each named text."""
+    (one,) = fresh(df, "kmers")
+    # the generator keeps the optimiser from moving the sort into the lambdas
+    held = df.select("*", F.explode(F.array(F.struct(*(sorted_kmers(whole(t), k).alias(name) for name, t in texts.items())))).alias(one))
+    return held.select(*(col(c) for c in df.columns), *(tuples(F.col(one)[name], buckets, size, selected).alias(name) for name in texts))
 
 
 def fingerprint(tuple_hashes: Column) -> Column:
@@ -122,8 +141,20 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buck
     return near.select("doc_id", "h", "n", nx["doc_id"].alias("next_id"), nx["h"].alias("next_h"), pv["doc_id"].alias("prev_id"), pv["h"].alias("prev_h"), pv["n"].alias("prev_n"))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+def edited(text: Column, n: Column, following: Column) -> Column:
+    """text with its last n div 4 code points replaced by the first as many of the following text."""
+    return F.concat(F.left(F.coalesce(text, F.lit("")), n - F.floor(n / 4)), F.left(F.coalesce(following, F.lit("")), F.floor(n / 4)))
+
+
+def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+
+    A text is held against itself with its last quarter replaced, and against the next one.
+    The next one is that of the next row by id (nulls first), of equal ids by the hash of the text; repeated
+    rows count as one there, and the last is followed by the first.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     near = materialize(neighbours(docs), "neighbours")
     # a row's key is (i, z, h): its id or 0, whether that is null, the hash of its text. Keys are as good as unique, so
     # they are dealt out by number: there is no skew for AQE to split
@@ -134,11 +165,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     by = near.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), "h", "n", "next_id", "next_h", "prev_id", "prev_h", "prev_n")
     placed = keyed.repartition(n, *key).join(by.repartition(n, *key), key)
     # the head of each document that its predecessor's edit takes, once for each
-    heads = placed.select(*named("prev"), F.expr("left(text, cast(prev_n div 4 as int))").alias("head")).repartition(n, *key).dropDuplicates(key)
+    heads = placed.select(*named("prev"), F.left("text", F.floor(F.col("prev_n") / 4)).alias("head")).repartition(n, *key).dropDuplicates(key)
     met = placed.select(*key, "text", "n", "next_id", "next_h").join(heads, key)
-    edited = met.withColumn("edited", F.expr("concat(left(text, cast(n - n div 4 as int)), head)"))
-    prints = materialize(edited.select(*key, "n", "next_id", "next_h", F.sha2("edited", 256).alias("edited_sha256"), tuples(F.col("text")).alias("a"), tuples(F.col("edited")).alias("e")), "omh")
+    both = met.select(*key, "n", "next_id", "next_h", "text", edited(F.col("text"), F.col("n"), F.col("head")).alias("edited"))
+    prints = with_tuples(both, {"a": F.col("text"), "e": F.col("edited")})
+    prints = materialize(prints.select(*key, "n", "next_id", "next_h", F.sha2("edited", 256).alias("edited_sha256"), "a", "e"), "omh")
     following = prints.select(*key, F.col("a").alias("f")).repartition(n, *key).dropDuplicates(key)
-    whole = F.when(~F.col("own_z"), F.col("own_i")).alias("doc_id")
+    own = F.when(~F.col("own_z"), F.col("own_i")).alias("doc_id")
     out = prints.select(*named("next"), F.col("i").alias("own_i"), F.col("z").alias("own_z"), "n", "edited_sha256", "a", "e").repartition(n, *key).join(following, key)
-    return out.select(whole, F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("f")).alias("near_next"))
+    return out.select(own, F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("f")).alias("near_next"))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return compare(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -136,54 +136,96 @@ def test_aliases_are_resolved_as_browsers_do(spark):
 
 
 # --- order min-hash ---
+def tuples_of(spark, texts):
+    return {r.doc_id: r.tuples for r in order_minhash.with_tuples(rows(spark, texts), {"tuples": F.col("text")}).collect()}
+
+
+def like(x, y):
+    return len(set(x) & set(y)) / max(len(x), len(y))
+
+
 def test_omh_likeness(spark):
     a = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark wood " * 4
     texts = [(1, a), (2, a), (3, a[:-40] + "something else altogether at the end of it"), (4, a[170:] + a[:170][::-1]), (5, "völlig anderes 😀 hier " * 15), (6, ""), (7, None), (8, "abc"), (9, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (10, LONG)]
-    got = {r.doc_id: r.t for r in rows(spark, texts).select("doc_id", order_minhash.tuples(F.col("text")).alias("t")).collect()}
-    like = lambda x, y: len(set(got[x]) & set(got[y])) / max(len(got[x]), len(got[y]))
+    got = tuples_of(spark, texts)
     assert got[1] == got[2] and got[6] == got[7] and all(got.values())
-    assert like(1, 3) > like(1, 4) >= like(1, 5) == 0
+    assert like(got[1], got[3]) > like(got[1], got[4]) >= like(got[1], got[5]) == 0
 
 
 def brute_tuples(text, k=8, buckets=32, size=2, selected=128):
+    """By definition: number all occurrences, hash (k-mer, occurrence), take the smallest."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     mix = lambda seed, b: xxhash.xxh64_intdigest(b, seed)
+    short = lambda h: signed(h << 30 & (1 << 64) - 1) >> 30  # noqa: E731  the 34 bits above a place
     met, every = Counter(), []
     for i in range(max(1, len(text) - k + 1)):
-        h = mix(42, text[i : i + k].encode("utf-32-be")) >> 29
-        c = met[h]
-        met[h] += 1
-        u = mix(mix(42, h.to_bytes(8, "little")), c.to_bytes(4, "little"))
-        every.append((h * (c + 1), i, u))
+        v = short(mix(42, text[i : i + k].encode("utf-32-be")))
+        c = met[v]
+        met[v] += 1
+        if c:
+            v = short(mix(mix(42, v.to_bytes(8, "little", signed=True)), (c - 1).to_bytes(4, "little")))
+        every.append((v, 4 * i + 1))
     kept = {}
-    for v, i, u in sorted(every)[:selected]:
-        kept.setdefault(signed(u) >> 32 & buckets - 1, []).append((i, u))
+    for v, i in sorted(every)[:selected]:
+        kept.setdefault(v & buckets - 1, []).append((i, v))
     out = []
     for b, group in sorted(kept.items()):
-        acc = b
-        for _, u in sorted(group[:size]):
-            acc = mix(mix(42, acc.to_bytes(8, "little")), u.to_bytes(8, "little"))
+        acc = mix(42, b.to_bytes(8, "little"))
+        for _, v in sorted(group[:size]):
+            acc = mix(acc, v.to_bytes(8, "little", signed=True))
         out.append(signed(acc))
     return out
 
 
-def test_omh_selects_over_all_occurrences(spark):
+def test_omh_is_by_definition(spark):
     line = "a line that a page repeats over and over 😀\n"
     mixed = " ".join(f"w{i * i % 1009}" for i in range(400))
-    texts = [line * 300, "a" * 50, "a" * 5000, mixed + "a" * 3000, line * 3, mixed, "abc", "", "aaaa aaaa bbbb " * 500 + mixed]
-    got = {r.doc_id: r.t for r in rows(spark, list(enumerate(texts))).select("doc_id", order_minhash.tuples(F.col("text")).alias("t")).collect()}
+    texts = [line * 300, "a" * 50, "a" * 5000, mixed + "a" * 3000, line * 3, mixed, "abc", "", "aaaa aaaa bbbb " * 500 + mixed, "ab" * 200, "a" * 8, "a" * 9]
+    got = tuples_of(spark, list(enumerate(texts)))
     assert [got[i] for i in range(len(texts))] == [brute_tuples(t) for t in texts]
-    assert len(got[0]) > 25
+    assert len(got[0]) > 25 and got[1] != got[2]
+
+
+def test_omh_counts_repeated_text_like_any_other(spark):
+    """Texts that share 4/7 of their characters in order: as alike if the shared part is one line over and over."""
+    rng = np.random.default_rng(0)
+    new = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, n))
+    texts, n = [], 24
+    for _ in range(n):
+        line = new(20) + "\n"
+        for shared in (new(800), line * 40):
+            texts += [shared + new(600), shared + new(600)]
+    got = tuples_of(spark, list(enumerate(texts)))
+    various, repeated = (np.mean([like(got[4 * i + k], got[4 * i + k + 1]) for i in range(n)]) for k in (0, 2))
+    assert various > 0.1 and abs(various - repeated) < 0.06
+
+
+def brute_compare(data):
+    """The operator's rows by definition, of distinct (id, text) rows."""
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0))
+    out = {}
+    for k, (i, t) in enumerate(order):
+        n, nxt = len(t) // 4, order[(k + 1) % len(order)][1]
+        e = t[: len(t) - n] + nxt[:n]
+        a, b, f = brute_tuples(t), brute_tuples(e), brute_tuples(nxt)
+        text = lambda x: "".join(f"{y & 0xFFFFFFFF:08x}" for y in x)
+        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), text(a), text(b), like(a, b), like(a, f))
+    return out
+
+
+def test_omh_query_is_by_definition(spark, sf):
+    got = {r.doc_id: tuple(r)[1:] for r in order_minhash.query(spark, sf).collect()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert got == brute_compare(docs)
+    assert np.mean([r[4] for r in got.values()]) > 0.25 > np.mean([r[5] for r in got.values()])
 
 
-def test_omh_query(spark, sf):
-    got = {r.doc_id: r for r in order_minhash.query(spark, sf).collect()}
-    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
-    for k, (i, t) in enumerate(docs):
-        n, nxt = len(t) // 4, docs[(k + 1) % len(docs)][1]
-        assert got[i].n_chars == len(t)
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()
-    assert np.mean([r.near_edited for r in got.values()]) > 0.25 > np.mean([r.near_next for r in got.values()])
+def test_omh_compare_of_odd_rows(spark):
+    data = [(3, "short"), (None, "a b c d e f g h i j"), (-5, ""), (7, LONG[:3000]), (0, "😀" * 9)]
+    got = order_minhash.compare(rows(spark, data + data[:2], "doc_id long, text string, fingerprint string, h string")).collect()
+    assert len(got) == 7 and {r.doc_id: tuple(r)[1:] for r in got} == brute_compare(data)
+    assert order_minhash.compare(rows(spark, ODD)).count() == len(ODD)
+    assert order_minhash.compare(empty(spark)).count() == 0
 
 
 def test_neighbours_of_odd_ids(spark):

@@ -104,10 +104,11 @@ def tuples(held: Column, buckets: int = BUCKETS, size: int = TUPLE, selected: in
 
 def with_tuples(df: DataFrame, texts: dict[str, Column], k: int = K, buckets: int = BUCKETS, size: int = TUPLE, selected: int = SELECTED) -> DataFrame:
     """df with a column of tuples for each named text."""
-    (one,) = fresh(df, "kmers")
-    # the generator keeps the optimiser from moving the sort into the lambdas
-    held = df.select("*", F.explode(F.array(F.struct(*(sorted_kmers(whole(t), k).alias(name) for name, t in texts.items())))).alias(one))
-    return held.select(*(col(c) for c in df.columns), *(tuples(F.col(one)[name], buckets, size, selected).alias(name) for name in texts))
+    held = fresh(df, *(f"kmers_{name}" for name in texts))
+    # always true, but not known to be: so the optimiser leaves the sort in a projection of its own
+    here = F.monotonically_increasing_id() >= 0
+    sorts = df.select("*", *(F.when(here, sorted_kmers(whole(t), k)).alias(h) for h, t in zip(held, texts.values())))
+    return sorts.select(*(col(c) for c in df.columns), *(tuples(col(h), buckets, size, selected).alias(name) for h, name in zip(held, texts)))
 
 
 def fingerprint(tuple_hashes: Column) -> Column:

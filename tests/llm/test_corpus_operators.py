@@ -440,63 +440,86 @@ def test_blocks_hold_all_within_radius():
 
 
 # --- language model ---
-def test_context_tree_matches_brute_force():
-    texts = [b"abracadabra", b"abrab", b"", b"cadabra abra"]
-    depth = 2
+def gram_table(texts, depth, split=3):
+    """The table of texts as (bytes, learn), by the operator's parts, without Spark."""
     g = context_tree.Grams(depth)
-    g.add(iter(texts))
+    for t, learn in texts:
+        g.add(iter([t]), learn)
     g.merge()
-    out = {k: [] for k in ("d", "ctx", "sym", "c")}
-    for k, c in zip(g.keys.tolist(), g.counts.tolist()):
-        for d in range(depth + 1):
-            for name, v in zip(("d", "ctx", "sym", "c"), (d, (k >> 8) >> (8 * (depth - d)), k & 255, c)):
-                out[name].append(v)
-    model = context_tree.build({k: np.array(v) for k, v in out.items()}, depth)
-    assert np.allclose((10.0 ** model.logp.astype(float)).sum(1), 1, atol=1e-4)
-
-    # the same by the sequential definition: mixtures along the path, counts of the whole training data
+    below, symbols, solved = np.zeros((256, 256)), np.zeros((256, 256), dtype=np.int64), []
+    bucket = context_tree.buckets_of(g.keys >> (8 * (depth - 1)), split)
+    for b in np.unique(bucket).tolist():
+        keys, counts = g.keys[bucket == b], g.counts[bucket == b]
+        assert np.array_equal(context_tree.unpack(context_tree.pack(keys, counts), len(keys))[0], keys)
+        assert np.array_equal(context_tree.unpack(context_tree.pack(keys, counts), len(keys))[1], counts)
+        probs, one, two = context_tree.solve(keys, counts, depth)
+        below[b // split] += one
+        symbols[b // split] += two
+        solved.append((keys, probs))
+    top = context_tree.Top(below, symbols)
+    return context_tree.Table([(k, top.logs(k, p, depth).astype(np.float32)) for k, p in solved], depth)
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_context_tree_matches_brute_force(depth):
+    """Against the definition: recursive P_w, mixtures along the path of every decision."""
     import math
 
+    texts = [b"abracadabra", b"abrab", b"", b"cadabra abra"]
+    asked = [b"abra", b"xyz", b"", b"abrazz", b"bbbb"]
+    table = gram_table([(t, True) for t in texts] + [(t, False) for t in asked], depth)
     counts: dict = {}
     for t in texts:
         s = bytes([255] * depth) + t + b"\xff"
         for i in range(depth, len(s)):
             for d in range(depth + 1):
                 for b in range(8):
-                    node = (s[i - d : i], s[i] >> (8 - b) | 1 << b)
-                    n = counts.setdefault(node, [0, 0])
+                    n = counts.setdefault((s[i - d : i], s[i] >> (8 - b) | 1 << b), [0, 0])
                     n[s[i] >> (7 - b) & 1] += 1
     kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
 
-    contexts = {c for c, _ in counts}
-
     def pw(c, node):
-        n = counts.get((c, node), [0, 0])
+        n = counts[c, node]
         if len(c) == depth:
             return kt(n)
-        kids = [x for x in contexts if len(x) == len(c) + 1 and x[1:] == c]
-        return np.logaddexp(kt(n), sum(pw(x, node) for x in kids)) - math.log(2) if kids else kt(n)
+        return np.logaddexp(kt(n), sum(pw(x, y) for x, y in counts if y == node and len(x) == len(c) + 1 and x[1:] == c)) - math.log(2)
 
     def p(before, node, one):
-        out = None
-        for d in range(depth, -1, -1):
+        out = 0.5
+        for d in [d for d in range(depth, -1, -1) if (before[len(before) - d :], node) in counts]:
             c = before[len(before) - d :]
-            if c not in contexts:
-                out = 0.5  # the child of all contexts never seen
-                continue
-            n = counts.get((c, node), [0, 0])
+            n = counts[c, node]
             own = (n[one] + 0.5) / (sum(n) + 1)
-            if d == depth:
-                out = own
-            else:
+            if d < depth and (before[len(before) - d - 1 :], node) in counts:
                 w = math.exp(kt(n) - math.log(2) - pw(c, node))
-                out = w * own + (1 - w) * out
+                own = w * own + (1 - w) * out
+            out = own
         return out
 
-    for t in (b"abra", b"xyz", b""):
+    mine = np.ones(1 << 16, dtype=bool)
+    for t in asked:
         s = bytes([255] * depth) + t + b"\xff"
         want = sum(math.log10(p(s[i - depth : i], s[i] >> (8 - b) | 1 << b, s[i] >> (7 - b) & 1)) for i in range(depth, len(s)) for b in range(8))
-        assert model.score([t])[0] == pytest.approx(want, abs=1e-3)
+        assert table.score([t], mine)[0] == pytest.approx(want, abs=1e-3)
+    with pytest.raises(ValueError):
+        table.score([b"never given"], mine)
+
+
+def test_probabilities_of_next_bytes_sum_to_one():
+    every = [(b"ab" + bytes([x]), False) for x in range(256)]
+    table = gram_table([(b"abracadabra abc abd", True), *every], 2)
+    after = table.logs[np.isin(table.keys, [ord("b") << 16 | ord("a") << 8 | x for x in range(256)])]
+    assert len(after) == 256 and (10.0 ** after.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_passes_give_equal_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).unionByName(rows(spark, ODD).select("doc_id", "text"))
+    learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
+    one = context_tree.train(docs, learn=learn)
+    many = context_tree.train(docs, learn=learn, pass_grams=20_000)
+    assert len(one.passes) == 1 and len(many.passes) > 3
+    a, b = (sorted((r.doc_id or -1, r.n_tokens, round(r.score, 3)) for r in context_tree.score(docs, t).collect()) for t in (one, many))
+    assert a == b
 
 
 def test_lm_base_scores(spark, sf):
@@ -510,7 +533,8 @@ def test_lm_base_scores(spark, sf):
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
         assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
     held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > 2.2 * sum(r.base_score for r in held)
+    # bits a byte of held-out texts, against the word model's; the tree knows no words, but learns to spell them
+    assert sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
 
 
 def test_lm_rare_words_and_edges(spark):
@@ -521,7 +545,7 @@ def test_lm_rare_words_and_edges(spark):
         sums = round(sum(r.base_score for r in got), 6)
         words == 1 and test_lm_rare_words_and_edges.__dict__.update(s=sums)
     assert sums == test_lm_rare_words_and_edges.s
-    nothing = context_tree.train(docs.limit(0))
+    nothing = context_tree.train(docs, learn=F.lit(False))
     got = context_tree.score(docs, nothing).collect()
     assert len(got) == len(ODD) and {r.n_known for r in got} == {0}
 

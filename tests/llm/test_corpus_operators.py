@@ -559,15 +559,58 @@ def test_html_off_parts():
     assert site_tree.extract(None) == site_tree.extract("") == site_tree.extract("<p>") == ""
     assert site_tree.extract("a < b & c <p>x") == "a < b & c\n\nx"
     assert site_tree.extract("<p>" * 5000 + "deep") == "deep"
+    assert site_tree.extract("<!-- <p>no</p> --><p>a<span hidden>no</span> b<span style='display: none'>no</span></p><!-- open") == "a b"
+    assert site_tree.extract("<div class=legal>a</div><section id=notice-of-appeal>b</section><p class=share-price>c</p>") == "a\n\nb\n\nc"
+    assert site_tree.extract("<form><div><article><h1>T</h1><p>x</p></article></div></form><footer>f</footer>") == "T\n\nx"
+    assert site_tree.extract("<form><p>only this</p></form>") == "only this"
+    assert site_tree.extract("<p>x</p><form>Name <input><p>Send</p></form>") == "x"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "deep", "<div>t" * 20_000, "<a href=\"x>text " * 20_000 + "\"", "<a title='x>text \" " * 20_000 + "<p>", "<!-- " * 30_000, "<p><b>x</p>" * 20_000, "</div>" * 30_000, "<div><span hidden>" * 10_000])
+def test_markup_is_read_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    site_tree.items(page)
+    assert time.process_time() - began < 5
+
+
+SITE = "url string, html string"
+
+
+def site(spark, data):
+    """Main texts of pages (url, html), in order."""
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(data)], "page_id long, " + SITE)
+    got = {r.page_id: r.text for r in site_tree.main_text(frame).collect()}
+    return [got[i] for i in range(len(data))]
 
 
 def test_site_tree_cuts_what_repeats(spark):
     page = lambda i: f"<body><div class=x7>Same links here</div><div class=main><p>Text number {i} of its own</p></div></body>"
-    data = [(i, "http://a.org/x", page(i)) for i in range(60)] + [(100, "http://b.org/", page(7)), (101, None, None), (102, "http://a.org/", "")]
-    got = {r.page_id: r.text for r in site_tree.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Text number 3 of its own" and got[100] == "Text number 7 of its own"
-    assert got[101] == got[102] == ""
-    assert site_tree.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    data = [("http://a.org/x", page(i)) for i in range(60)] + [("http://b.org/", page(7)), (None, None), ("http://a.org/", "")]
+    got = site(spark, data)
+    assert got[3] == "Text number 3 of its own" and got[60] == "Text number 7 of its own"
+    assert got[61] == got[62] == ""
+    assert site_tree.main_text(spark.createDataFrame([], "page_id long, " + SITE)).count() == 0
+
+
+def test_the_trees_decide(spark):
+    """Names say nothing or the wrong thing: menus, notices and shared words go, articles stay. Without the trees it is not so."""
+    rng = np.random.default_rng(3)
+    words = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 5000, k))
+    notices = [words(12) for _ in range(3)]
+
+    def page(host):
+        menu = "".join(f"<li>{host} part {k}</li>" for k in range(5))
+        paras = "".join(f"<p>{words(30)}</p>" for _ in range(rng.integers(1, 6)))
+        text = f"<div class=q2><h1>{words(5)}</h1><div class=notice>{words(20)}</div>{paras}</div>"
+        return f"<body><ul class=q1>{menu}</ul>{text}<div class=q3><p>{notices[rng.integers(3)]}</p></div><p>All rights reserved by {host}</p></body>"
+
+    data = [(f"http://h{k % 3}.org/{k}", page(f"h{k % 3}")) for k in range(120)]
+    want = ["\n\n".join(re.findall(r"<(?:h1|p|div class=notice)>([^<]*)<", re.search(r"(?s)<div class=q2>(.*)<div class=q3>", h)[1])) for _, h in data]
+    assert site(spark, data) == want
+    alone = [site_tree.extract(h) for _, h in data]
+    assert sum(a == w for a, w in zip(alone, want)) == 0
 
 
 def test_copies_on_a_host_do_not_cut_its_articles(spark):
@@ -579,15 +622,52 @@ def test_copies_on_a_host_do_not_cut_its_articles(spark):
         data += [(f"http://half.{host}/", make(0 if i < 50 else i)) for i in range(100)]
         data += [(f"http://twenty.{host}/", make(i % 20)) for i in range(1000)]
     data += [(f"http://short{i}.x/", page(0)) for i in range(40)] + [("http://alone.x/", page(777))]
-    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(data)], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in site_tree.main_text(frame).collect()}
-    assert all(got[i] == re.search("Text number .* own", h)[0] for i, (_, h) in enumerate(data))
+    assert all(g == re.search("Text number .* own", h)[0] for g, (_, h) in zip(site(spark, data), data))
+
+
+def test_a_page_is_never_left_empty_by_the_tree(spark):
+    data = [("http://a.org/", f"<body><div class=n>Links</div><p>Own {i}</p></body>") for i in range(60)] + [("http://a.org/", "<body><div class=n>Links</div></body>")]
+    got = site(spark, data)
+    assert got[5] == "Own 5" and got[60] == "Links"
+
+
+def brute_importance(pages):
+    """The definition over distinct pages: {node: (pages, content, presentation, importance)}."""
+    import math
+
+    trees = {}
+    for h in pages:
+        key, found = site_tree.items(h)
+        trees[key] = found
+    out = {}
+    of = lambda kind, node: [x for f in trees.values() for x in f if x[0] == kind and x[1] == node]
+    for node, up in {(x[1], x[2]) for f in trees.values() for x in f if x[0] == 1}:
+        m = len(of(0, node))
+        blocks = Counter(x[4] for x in of(1, node) if x[2] == up)
+        looks = Counter(x[4] for x in of(0, up))
+        total = sum(looks.values())
+        content = 1 - np.mean([math.log(k) / math.log(m) for k in blocks.values()]) if m > 1 else 1.0
+        pres = -sum(c / total * math.log(c / total, total) for c in looks.values()) if total > 1 else 1.0
+        w = 0.9 ** len(looks)
+        out[node] = (m, content, pres, (1 - w) * pres + w * content)
+    return out
+
+
+def test_importance_is_by_definition(spark):
+    rng = np.random.default_rng(8)
+    pages = [f"<body><div class=m><p>menu</p></div><div class=t>{''.join(f'<p>t{rng.integers(40)}</p><hr>' + '<h2>x</h2>' * int(rng.integers(2)) for _ in range(rng.integers(1, 4)))}</div></body>" for _ in range(50)]
+    frame = spark.createDataFrame([("a", h) for h in pages], "host string, html string")
+    for host in ("a", None):
+        got = {r.node: (r.pages, r.content, r.presentation, r.importance) for r in site_tree.importance(frame).collect() if r.host == host}
+        want = brute_importance(pages)
+        assert got.keys() == want.keys() and len(got) == 3
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
 
 
-def test_a_node_around_all_text_stays():
-    low = frozenset(["html", "html/body", "html/body/div.n"])
-    assert site_tree.extract("<html><body><div class=n>Links</div><p>Own</p></body></html>", low) == "Own"
-    assert site_tree.extract("<html><body><div class=n>Links</div></body></html>", low) == "Links"
+def test_main_text_keeps_other_columns(spark):
+    frame = spark.createDataFrame([(1, "http://a.org", PAGE, *"abcde")], f"page_id long, {SITE}, low string, host string, nodes string, text string, salt string")
+    (got,) = site_tree.main_text(frame).collect()
+    assert got.asDict() == {"page_id": 1, "url": "http://a.org", "low": "a", "host": "b", "nodes": "c", "text_in": "d", "salt": "e", "text": "Ti&tle\n\nOne two.\n\nThrée"}
 
 
 def test_extraction_of_pages(spark, sf):

@@ -1,88 +1,69 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-A window that a toxic dictionary shortens more than the ordinary one is suspect;
-calibrated thresholds turn the windows' differences into a probability per text.
+Two zstandard dictionaries are trained, each on texts of one class alone: toxic ones, and
+ordinary ones. A window is compressed with the ordinary dictionary, and with the toxic one
+put before it; what the toxic one saves is what toxic texts have and ordinary ones do
+not. Calibrated thresholds on the windows' savings, fitted to held-back rows, turn them into a
+probability for each text.
+
+A training text is given to zstandard as its distinct words, so that a word counts for the texts that
+have it; of labelled near copies (similarity 0.8) one is learned from.
 
 Defined results: a null text counts as empty; an empty text has the score of a
 text without any suspect window; rows are scored one by one, so repeated rows and
 ties get equal scores; with no toxic or no ordinary training row every score is
 the share of toxic training rows (0 without any). Texts of any length are cut into
-windows, all of which count.
+windows, all of which count, in training as well.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import near_copies
 from millrace.llm.columns import col, renamed
+from millrace.storage import small_batches
 
-#: Bytes of a window, and how much two windows in a row share: longer than a dictionary segment.
+#: Bytes of a window, and how much two windows in a row share: longer than most words.
 WINDOW, OVERLAP = 96, 14
 #: Labelled rows of each class that the model is fitted on, at most, the first in hash order.
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
-#: Characters of each training text that are used: what the driver holds is bounded by rows x characters.
-MAX_TRAIN_CHARS = 20_000
-SEGMENT = range(4, 13)
-DICT_BYTES = 24_000
-#: Least log-likelihood ratio of a segment: about one false segment among ten million.
-MIN_RATIO = 28.0
-
-
-def segments(text: bytes) -> set[bytes]:
-    """Starts of words, each with the space before it: what a dictionary can offer a match for."""
-    out = set()
-    for w in set(text.split()):
-        w = b" " + w
-        out.update(w[:k] for k in SEGMENT if k < len(w))
-        out.add((w + b" ")[: SEGMENT[-1]])
-    return out
-
-
-def _ratio(a: int, n: int, b: int, m: int) -> float:
-    rate = (a + b) / (n + m)
-    return 2 * sum(x * math.log(x / (t * rate)) for x, t in ((a, n), (b, m)) if x)
-
-
-def _pick(own: Counter, n_own: int, other: Counter, n_other: int, size: int) -> bytes:
-    """A dictionary's content: segments of one class by how much oftener its texts hold them, the best last."""
-    scored = []
-    for s, c in own.items():
-        if c >= 3:
-            odds = math.log((c / n_own) / ((other[s] + 0.5) / n_other))
-            # beyond chance among the many segments: log-likelihood ratio of the two rates
-            if odds > 2.5 and _ratio(c, n_own, other[s], n_other) > MIN_RATIO:
-                scored.append((c * odds, len(s), s))
-    taken, total = [], 0
-    seen: set[bytes] = set()
-    for _, _, s in sorted(scored, reverse=True):
-        if s in seen:
-            continue
-        taken.append(s)
-        total += len(s)
-        seen.update(s[a:b] for a in range(len(s)) for b in range(a + 4, len(s) + 1))
-        if total > size:
-            break
-    return b"".join(reversed(taken))
+#: Bytes of the dictionaries, and the lengths that zstandard selects their segments by.
+TOXIC_BYTES, ORDINARY_BYTES = 24_000, 128_000
+SEGMENT, PIECE = 16, 8
 
 
 def lower(text: str | None) -> bytes:
     return b" " + (text or "").encode("utf-8", "surrogatepass").lower() + b" "
 
 
+def sample(text: str | None) -> bytes:
+    """The distinct words of a text, each between spaces."""
+    return b" " + b"  ".join(sorted(set(lower(text).split()))) + b" "
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary trained on the samples; of too few to train on, the samples themselves."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, k=SEGMENT, d=PIECE).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[:size]
+
+
 class Model:
-    """Both dictionaries and the calibration; small and bounded by DICT_BYTES, so it travels in the closure."""
+    """Both dictionaries and the calibration; small and bounded, so it travels in the closure."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, shared: bytes, prior: float):
-        self.content = {"toxic": toxic + shared, "ordinary": ordinary + shared}
-        self.prior, self.weights, self.mean, self.std = prior, None, None, None
+    def __init__(self, toxic: bytes, ordinary: bytes, prior: float):
+        self.toxic, self.ordinary, self.prior = toxic, ordinary, prior
+        self.weights, self.mean, self.std = None, None, None
         self._tools = None
 
     def __getstate__(self):
@@ -93,30 +74,25 @@ class Model:
             import zstandard as z
 
             # a window has its whole dictionary searched, so equal content costs equal bytes under both
-            how = z.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=15, search_log=7, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self._tools = [z.ZstdCompressor(compression_params=how, dict_data=z.ZstdCompressionDict(self.content[k] or b" " * 16, dict_type=z.DICT_TYPE_RAWCONTENT)).compress for k in ("ordinary", "toxic")]
+            how = z.ZstdCompressionParameters(window_log=20, chain_log=18, hash_log=17, search_log=7, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            of = lambda content: z.ZstdCompressor(compression_params=how, dict_data=z.ZstdCompressionDict(content or b" " * 16, dict_type=z.DICT_TYPE_RAWCONTENT)).compress
+            self._tools = of(self.ordinary), of(self.toxic + self.ordinary)
         return self._tools
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """The largest gains of the toxic dictionary over the ordinary one, in bytes, and how many windows gain."""
+        """The largest savings of the toxic dictionary in bytes, and how many windows save how much."""
         ordinary, toxic = self.tools()
         b = lower(text)
-        gains = []
-        n = 0
-        for i in range(0, max(1, len(b) - OVERLAP), WINDOW - OVERLAP):
-            w = b[i : i + WINDOW]
-            n += 1
-            d = len(ordinary(w)) - len(toxic(w))
-            if d > 0:
-                gains.append(d)
+        gains = [len(ordinary(w)) - len(toxic(w)) for w in (b[i : i + WINDOW] for i in range(0, max(1, len(b) - OVERLAP), WINDOW - OVERLAP))]
         gains.sort(reverse=True)
-        top = (gains + [0, 0])[:2]
-        big = sum(g >= 3 for g in gains)
-        return (min(top[0], 8), min(top[1], 8), math.log1p(big), big / n, *(float(top[0] >= k) for k in (2, 3, 4, 5)))
-
-    def fit(self, texts: list[str], labels: list[int]) -> None:
-        x = np.array([self.features(t) for t in texts], dtype=float)
-        y = np.array(labels, dtype=float)
+        top = (gains + [0] * 4)[:4]
+        n, counts = len(gains), [sum(g >= k for g in gains) for k in (2, 3, 4, 5, 6)]
+        size = math.log1p(n)
+        return (*(min(max(g, -1), 10) for g in top), *(math.log1p(c) for c in counts), *(c / n for c in counts), size, *(float(top[0] >= k) for k in (2, 3, 4, 5, 6, 7)), *(math.log1p(c) * size for c in counts[1:4]))
+
+    def fit(self, features: list, labels: list[int]) -> None:
+        """Logistic regression on the features of rows that the dictionaries have not seen."""
+        x, y = np.array(features, dtype=float), np.array(labels, dtype=float)
         self.mean, self.std = x.mean(0), x.std(0) + 1e-9
         x = np.c_[np.ones(len(x)), (x - self.mean) / self.std]
         w = np.zeros(x.shape[1])
@@ -137,47 +113,22 @@ class Model:
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, self.weights[0] + float(x @ self.weights[1:]))))))
 
 
-def distinct(texts: list[str]) -> list[str]:
-    """One text of each group of near copies, by two minimal hashes of five-word shingles.
-
-    A group of copies that share a label would make any of its words look telling.
-    """
-    import xxhash
-
-    seen: set[int] = set()
+def distinct(rows: list[tuple[bytes, list[int]]]) -> list[int]:
+    """Numbers of the rows (long SimHash, block values) that are no near copy of an earlier one."""
+    by: dict[int, list[int]] = {}
+    most = int(near_copies.VERIFY_BITS * near_copies.share(near_copies.SIMILARITY))
     out = []
-    for t in texts:
-        w = t.encode("utf-8", "surrogatepass").lower().split()
-        shingles = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-        keys = {min(xxhash.xxh64_intdigest(s, seed) for s in shingles) for seed in (1, 2)}
-        if not keys & seen:
-            out.append(t)
-        seen |= keys
+    for i, (sig, blocks) in enumerate(rows):
+        bits = int.from_bytes(sig, "little")
+        met = {j for b in blocks for j in by.get(b, ())}
+        if any((bits ^ int.from_bytes(rows[j][0], "little")).bit_count() <= most for j in met):
+            continue
+        out.append(i)
+        for b in blocks:
+            by.setdefault(b, []).append(i)
     return out
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from three quarters of each class, thresholds from the held-back quarter."""
-    toxic, ordinary = distinct(toxic), distinct(ordinary)
-    n = len(toxic) + len(ordinary)
-    prior = len(toxic) / n if n else 0.0
-    if not toxic or not ordinary:
-        return Model(b"", b"", b"", prior)
-    part = lambda xs, keep: [x for i, x in enumerate(xs) if (i % 4 != 3) == keep] or xs
-    counts = []
-    for texts in (part(toxic, True), part(ordinary, True)):
-        c: Counter = Counter()
-        for t in texts:
-            c.update(segments(lower(t)))
-        counts.append((c, len(texts)))
-    (ct, nt), (co, no) = counts
-    common = sorted(((min(ct[s] / nt, c / no), s) for s, c in co.items() if c >= 5), reverse=True)[: DICT_BYTES // 24]
-    model = Model(_pick(ct, nt, co, no, DICT_BYTES), _pick(co, no, ct, nt, DICT_BYTES), b"".join(s for _, s in reversed(common)), prior)
-    held = [(t, 1) for t in part(toxic, False)] + [(t, 0) for t in part(ordinary, False)]
-    model.fit([t for t, _ in held], [y for _, y in held])
-    return model
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; rows of remainder 1 are never learned from. A null id counts as 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(0))
@@ -186,21 +137,47 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
     """Learn from a bounded sample of the labelled rows outside the held-out fold.
 
-    The sample is the first rows of each class in hash order: at most
-    (max_toxic + max_ordinary) x MAX_TRAIN_CHARS reach the driver. Ids with
-    contradictory labels or null ones are left out.
+    The sample is the first rows of each class in hash order, max_toxic and max_ordinary at most;
+    of repeated ids the first text. The driver gets their distinct words and fingerprints, and for the calibration
+    a few numbers of each. Ids with contradictory labels or null ones are left out.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi").where(fold(F.col("doc_id")) != 1)
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi and lo in (0, 1)").where(fold(F.col("doc_id")) != 1)
     picked = None
     for value, most in ((1, max_toxic), (0, max_ordinary)):
         one = known.where(F.col("lo") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("lo").alias("label"))
         picked = one if picked is None else picked.unionByName(one)
     # at most max_toxic + max_ordinary ids: a proven bound
-    rows = docs.select("doc_id", F.substring("text", 1, MAX_TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").toLocalIterator()
-    by: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
-    for r in rows:
-        by[r["label"]].append((r["doc_id"], r["text"] or ""))
-    return train(*([t for _, t in sorted(by[k])] for k in (1, 0)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+    @F.pandas_udf("words binary, sig binary, blocks array<long>")
+    def learned(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            yield pd.DataFrame([(sample(t), *near_copies.sig_and_blocks(t)) for t in s], columns=["words", "sig", "blocks"])
+
+    with small_batches(docs.sparkSession):
+        firsts = rows.select("doc_id", "label", F.xxhash64("text").alias("t"), learned("text").alias("p")).groupBy("doc_id", "label").agg(F.min(F.struct("t", "p.words", "p.sig", "p.blocks")).alias("p"))
+        found = sorted(firsts.select("doc_id", "label", "p.*").toLocalIterator(), key=lambda r: r.doc_id)
+    by = {k: [r for r in found if r.label == k] for k in (0, 1)}
+    by = {k: [own[i] for i in distinct([(bytes(r.sig), list(r.blocks)) for r in own])] for k, own in by.items()}
+    n = len(by[0]) + len(by[1])
+    prior = len(by[1]) / n if n else 0.0
+    if not by[0] or not by[1]:
+        return Model(b"", b"", prior)
+    # dictionaries from three quarters of each class, thresholds from the held-back quarter
+    part = lambda own, keep: [r for i, r in enumerate(own) if (i % 4 != 3) == keep] or own
+    model = Model(*(dictionary([bytes(r.words) for r in part(by[k], True)], size) for k, size in ((1, TOXIC_BYTES), (0, ORDINARY_BYTES))), prior)
+    back = {r.doc_id: r.label for k in (0, 1) for r in part(by[k], False)}
+
+    @F.pandas_udf("array<double>")
+    def features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([list(model.features(t if isinstance(t, str) else None)) for t in s])
+
+    kept = docs.sparkSession.createDataFrame(list(back.items()), f"doc_id {dict(docs.dtypes)['doc_id']}, label int")
+    held = sorted(docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select("doc_id", "label", features("text").alias("x")).collect(), key=lambda r: (r.doc_id, r.x))
+    once = {r.doc_id: r for r in reversed(held)}
+    model.fit([r.x for r in once.values()], [r.label for r in once.values()])
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -1,27 +1,37 @@
 """Licence scans, in DataFrame operations only.
 
-Header lines are compared with licence templates by the cosine of sparse TF-IDF
-vectors; a file without a licence of its own takes that of the licence file in its
-nearest ancestor directory, found by joins on paths.
+Units of a file, its lines and its paragraphs, are compared with licence templates by the cosine of
+sparse TF-IDF vectors; a file without a licence of its own takes that of the licence file in its
+nearest ancestor directory, found by joins on paths. Marks of comments and copyright lines
+are taken off first, so a notice wrapped over several commented lines is one paragraph. An
+SPDX identifier counts as a unit of similarity 1.
 
-Document frequencies of the templates' words are counted over all lines of all
-files; any other word has the weight of a word seen once, so lines of other prose stay
-far from every template. Only lines that hold a template's telling word are scored: a
-line without one shares none but common words with it.
+Document frequencies are counted for all words over all files. Of the units only
+those are scored that hold a telling word: of each template the heaviest words are telling, so
+many that what the others weigh stays under the least similarity. So a unit without one
+cannot reach it, and none is lost.
 
 Defined results: a null text or path has no licence; empty texts have none; of
-several licensed lines the most similar (then the first) counts, of equal templates the
+several licensed units the most similar (then the first line, then the shorter unit) counts, of equal templates the
 first by name; of several licence files in a directory the most similar (then the
-first by path); repeated rows are scanned alike; an empty table gives no rows.
+first by path); repeated rows are scanned alike, as a file is told by all it says (id, path and text); a
+relative path lies in the root; an empty table gives no rows. Columns that results are
+named like are called <name>_in.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Short notices as they stand in headers: licence, text.
+from millrace.llm.columns import col, fresh, renamed
+from millrace.storage import materialize
+
+#: Notices as they stand in headers, and what licence texts begin with: licence, text.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -40,11 +50,24 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MIT", "MIT License"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
-#: Every template has one of these; a line is scored if it has one.
-TELLING = r"(?i)licen[sc]e|permission\s+(is\s+hereby|to\s+use)"
 LEAST = 0.7
-MAX_DEPTH = 32
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
+#: Marks of comments at the start or end of a line.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--|\"{3}|'{3})?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+COPYRIGHT = r"(?im)^.{0,8}copyright\b[^\n]*?(?:\.(?=\s)|$)|\ball rights reserved\.?"
+#: Share of a file's words from which on a licensed unit makes it its directory's licence file.
+LICENCE_SHARE = 0.5
 
 
 def words_of(text: Column) -> Column:
@@ -52,52 +75,80 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
 
 
-def _lines(files: DataFrame, text: str) -> DataFrame:
-    return files.withColumn("_l", F.split(F.col(text), r"\r\n|\n|\r"))
+def frequencies(files: DataFrame, text: str) -> DataFrame:
+    """(word, df): in how many files each word stands; counted up before anything is shuffled."""
+    return files.select(F.explode(F.array_distinct(words_of(col(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
 
+def file_key(files: DataFrame, *names: str) -> Column:
+    """A hash of what a file says; nulls are told from values."""
+    return F.xxhash64(*(x for c in names for x in (col(c).isNull(), col(c))))
 
-def frequencies(files: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
-    """(word, df): in how many lines of all files each word of the templates stands."""
-    has = F.array_intersect(words_of(F.col("line")), F.array(*(F.lit(w) for w in vocabulary)))
-    lines = _lines(files, text).select(F.explode("_l").alias("line"))
-    return lines.select(F.explode(has).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
+def telling(weights: dict[str, float], templates: list[tuple[str, str]], split, least: float) -> set[str]:
+    """Words of which a unit that is `least` similar to a template holds one."""
+    out = set()
+    for _, notice in templates:
+        counts: dict[str, int] = {}
+        for w in split(notice):
+            counts[w] = counts.get(w, 0) + 1
+        parts = sorted(((c * weights[w]) ** 2, w) for w, c in counts.items())
+        left = total = sum(x for x, _ in parts)
+        while parts and math.sqrt(left / total) >= least - 1e-9:
+            x, w = parts.pop()
+            left -= x
+            out.add(w)
+    return out
 
-def vocabulary_of(spark, templates) -> list[str]:
-    frame = spark.createDataFrame(templates, "name string, notice string")
-    return sorted({w for r in frame.select(words_of(F.col("notice")).alias("w")).collect() for w in r.w})
 
+def _split(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
 
-def headers(files: DataFrame, key: str, text: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(key, licence, similarity, line): the best licensed line of every file that has one.
 
-    key: a column that tells rows apart. Only scored lines are joined and grouped, by key
-    and line, so no group outgrows a line.
+def headers(files: DataFrame, key: str, text: str = "text", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
+    """(key, licence, similarity, line, share): the best licensed unit of every file that has one, and its share of the file's words.
+
+    key: a column that tells files apart; rows of equal keys must have equal texts. Only scored units are joined and
+    grouped, by key and unit, so no group outgrows a file.
     """
+    templates = TEMPLATES if templates is None else templates
     spark = files.sparkSession
-    vocabulary = vocabulary_of(spark, templates)
-    df = frequencies(files, text, vocabulary)
-    n = files.select(F.sum(F.size(F.split(F.col(text), r"\r\n|\n|\r"))).alias("n")).first()["n"] or 1
-    every = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    df = materialize(frequencies(files, text), "frequencies")
+    n = files.where(col(text).isNotNull()).count()
+    weigh = lambda c: F.log1p(F.lit(float(max(1, n))) / F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)))
     # as many rows as the templates have words
-    idf = every.join(F.broadcast(df), "word", "left").select("word", F.log1p(F.lit(float(n)) / F.greatest(F.coalesce("df", F.lit(1)), F.lit(1))).alias("idf"))
-    alone = F.log1p(F.lit(float(n)))
-
-    def weighted(rows: DataFrame, *by: str) -> DataFrame:
-        tf = rows.select(*by, F.explode(words_of(F.col("line"))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("tf"))
-        return tf.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", alone))
-
-    notices = spark.createDataFrame([(i, name, notice) for i, (name, notice) in enumerate(templates)], "t int, name string, line string")
-    told = weighted(notices, "t", "name")
-    size = told.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
-    told = told.join(size, "t").select("t", "name", "word", (F.col("w") / F.col("tn")).alias("tw"))
-    picked = _lines(files.where(F.col(text).rlike(TELLING)), text).select(F.col(key).alias("key"), F.posexplode("_l").alias("at", "line")).where(F.col("line").rlike(TELLING))
-    mine = weighted(picked, "key", "at")
-    norm = Window.partitionBy("key", "at")
-    mine = mine.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
-    scored = mine.join(F.broadcast(told), "word").groupBy("key", "at", "norm", "t", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).withColumn("similarity", F.col("dot") / F.col("norm")).where(F.col("similarity") >= least)
-    best = scored.groupBy("key").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "at", "name")).alias("b"))
-    return best.select(F.col("key").alias(key), F.col("b.name").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("b.at").alias("line"))
+    every = spark.createDataFrame([(w,) for w in sorted({w for _, t in templates for w in _split(t)})], "word string")
+    idf = every.join(df, "word", "left").select("word", weigh(F.col("df")).alias("idf"))
+    weights = {r.word: r.idf for r in idf.collect()}
+    told: list[tuple[int, str, str, float]] = []
+    for i, (name, notice) in enumerate(templates):
+        own: dict[str, float] = {}
+        for w in _split(notice):
+            own[w] = own.get(w, 0.0) + weights[w]
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        told += [(i, name, w, x / norm) for w, x in own.items()]
+    vectors = spark.createDataFrame(told, "template int, name string, word string, tw double")
+    hints = sorted(telling(weights, templates, _split, least))
+    hint = "(?i)SPDX-License-Identifier:|(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in hints) + ")(?![a-z0-9])"
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), MARKS, ""), COPYRIGHT, "")
+    found = files.where(col(text).rlike(hint)).select(col(key).alias("key"), clean.alias("t")).dropDuplicates(["key"])
+    before = Window.partitionBy("key").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    paras = found.select("key", F.size(words_of(F.col("t"))).alias("whole"), F.posexplode(F.split("t", "\n\n")).alias("p", "para")).withColumn("start", F.coalesce(F.sum(F.size(F.split("para", "\n")) + 1).over(before), F.lit(0)))
+    held = paras.where(F.col("para").rlike(hint))
+    lines = held.select("key", "whole", "start", F.posexplode(F.split("para", "\n")).alias("i", "unit")).where(F.col("unit").rlike(hint)).select("key", "whole", (F.col("start") + F.col("i")).alias("at"), F.lit(0).alias("long"), "unit")
+    units = lines.unionByName(held.select("key", "whole", (F.col("start") + F.length(F.regexp_extract("para", "^\n*", 0))).alias("at"), F.lit(1).alias("long"), F.col("para").alias("unit")))
+    by = ["key", "at", "long"]
+    tf = units.select(*by, "whole", F.explode(words_of(F.col("unit"))).alias("word")).groupBy(*by, "whole", "word").agg(F.count("*").alias("tf"))
+    weighted = tf.join(df, "word", "left").withColumn("w", F.col("tf") * weigh(F.col("df")))
+    over = Window.partitionBy(*by)
+    mine = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(over))).withColumn("size", F.sum("tf").over(over))
+    # a row for each word of a template: bounded by the templates
+    scored = mine.join(F.broadcast(vectors), "word").groupBy(*by, "whole", "size", "norm", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).withColumn("similarity", F.col("dot") / F.col("norm")).where(F.col("similarity") >= least)
+    spdx = F.regexp_extract("unit", SPDX, 1)
+    tagged = lines.where(spdx != "").select(*by, "whole", F.size(words_of(F.col("unit"))).alias("size"), spdx.alias("name"), F.lit(1.0).alias("similarity"))
+    all_of = scored.select(*by, "whole", "size", "name", "similarity").unionByName(tagged)
+    best = all_of.groupBy("key").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "at", "long", "name", (F.col("size") / F.col("whole")).alias("share"))).alias("b"))
+    return best.select(F.col("key").alias(key), F.col("b.name").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("b.at").cast("long").alias("line"), F.col("b.share").alias("share"))
 
 
 def directory(path: Column) -> Column:
@@ -108,24 +159,38 @@ def inherit(files: DataFrame, path: str = "path", own: str = "licence", similari
     """files with inherited (licence) and inherited_from (directory) of the nearest ancestor with a licence file.
 
     Directories, not files, are joined with their ancestors: first one row for each
-    directory, then files with theirs; a directory of any size is only met by its row.
+    directory, then files with theirs; a directory of any size is only met by its row. The root is "".
+    """
+    files = renamed(files, "inherited", "inherited_from")
+    (here,) = fresh(files, "directory")
+    placed = files.withColumn(here, directory(col(path)))
+    given = placed.where(col(is_licence) & col(own).isNotNull() & col(path).isNotNull()).groupBy(col(here).alias("anc")).agg(F.min(F.struct((-col(similarity)).alias("s"), col(path).alias("p"), col(own).alias("l"))).alias("g")).select("anc", F.col("g.l").alias("inherited"))
+    dirs = placed.where(col(path).isNotNull()).select(col(here).alias("dir")).distinct()
+    parts = F.split("dir", "/")
+    chain = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.when(i == 0, "").otherwise(F.array_join(F.slice(parts, 1, i), "/"))))
+    up = dirs.select("dir", F.explode(chain).alias("anc")).join(given, "anc")
+    nearest = up.groupBy("dir").agg(F.max(F.struct(F.length("anc").alias("n"), "anc", "inherited")).alias("m")).select(F.col("dir").alias(here), F.col("m.inherited").alias("inherited"), F.col("m.anc").alias("inherited_from"))
+    return placed.join(nearest, here, "left").drop(here)
+
+
+def scan(files: DataFrame, path: str = "path", text: str = "text", licence_files: Column | None = None, **how) -> DataFrame:
+    """files with licence, similarity, line, is_licence, inherited, inherited_from and effective.
+
+    licence_files: which files hold their directory's licence if they have one; by default those whose notice is
+    LICENCE_SHARE of their words.
     """
-    placed = files.withColumn("_dir", directory(F.col(path)))
-    given = placed.where(F.col(is_licence) & F.col(own).isNotNull() & F.col(path).isNotNull()).groupBy(F.col("_dir").alias("anc")).agg(F.min(F.struct((-F.col(similarity)).alias("s"), F.col(path).alias("p"), F.col(own).alias("l"))).alias("g")).select("anc", F.col("g.l").alias("inherited"))
-    dirs = placed.where(F.col(path).isNotNull()).select("_dir").distinct()
-    parts = F.split("_dir", "/")
-    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    up = dirs.select("_dir", F.explode(chain).alias("anc")).join(given, "anc")
-    nearest = up.groupBy("_dir").agg(F.max(F.struct(F.length("anc").alias("n"), "anc", "inherited")).alias("m")).select("_dir", F.col("m.inherited").alias("inherited"), F.col("m.anc").alias("inherited_from"))
-    return placed.join(nearest, "_dir", "left").drop("_dir")
+    files = renamed(files, "licence", "similarity", "line", "is_licence", "inherited", "inherited_from", "effective")
+    key, share = fresh(files, "key", "share")
+    keyed = files.withColumn(key, file_key(files, *(c for c in files.columns)))
+    found = headers(keyed, key, text, **how).withColumnRenamed("share", share)
+    met = keyed.join(found, key, "left")
+    decides = licence_files if licence_files is not None else F.col(share) >= LICENCE_SHARE
+    out = inherit(met.withColumn("is_licence", F.coalesce(F.col("licence").isNotNull() & decides, F.lit(False))), path)
+    return out.withColumn("effective", F.coalesce("licence", "inherited")).drop(key, share)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/doc_id; one that is hardly more than its notice is its directory's licence file."""
+    """Documents as files source/lang/doc_id; one that is mostly its notice is its directory's licence file."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    found = headers(docs, "doc_id").withColumnRenamed("doc_id", "_id")
-    short = F.char_length("text") <= 400
-    base = docs.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")).alias("path"), short.alias("short"))
-    files = base.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("is_licence", F.col("short") & F.col("licence").isNotNull()).drop("short")
-    out = inherit(files)
-    return out.select("doc_id", "path", "licence", F.round("similarity", 6).alias("similarity"), F.col("line").cast("long").alias("line"), "inherited", "inherited_from", F.coalesce("licence", "inherited").alias("effective"))
+    files = docs.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return scan(files).select("doc_id", "path", "licence", F.round("similarity", 6).alias("similarity"), "line", "inherited", "inherited_from", "effective")

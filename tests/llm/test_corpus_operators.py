@@ -388,18 +388,72 @@ def test_warc_reader_takes_one_stream_or_members():
 
 
 # --- licences ---
+GPL = """/*
+ * Copyright (C) 2024 Some One <one@example.org>
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main;
+"""
+BSD = """# Copyright 2020 A Company. All rights reserved.
+# Use of this source code is governed by a BSD-style
+# license that can be found in the LICENSE file.
+import os
+"""
+
+
 def test_licences_and_inheritance(spark):
-    files = spark.createDataFrame(
-        [(1, "/a/LICENSE", "Released under the MIT License."), (2, "/a/b/x.c", "int main;\nno notice"), (3, "/a/b/c/LICENSE", "x\nLicensed under the Apache License, Version 2.0."), (4, "/a/b/c/d/y.c", None), (5, "/z/y.c", ""), (6, None, "This work is licensed under the GNU General Public License, version 3."), (7, "/a/b/c/own.c", "// This work is licensed under the GNU General Public License, version 3.\ncode"), (8, "/q/r.c", "a licence to write poems about the sea and the licence of poets " * 3)],
-        "id long, path string, text string",
-    )
-    found = licences.headers(files, "id")
-    own = {r.id: (r.licence, r.line) for r in found.collect()}
-    assert own == {1: ("MIT", 0), 3: ("Apache-2.0", 1), 6: ("GPL-3.0", 0), 7: ("GPL-3.0", 0)}
-    met = files.join(found, "id", "left").withColumn("is_licence", F.col("path").rlike("LICENSE$"))
-    got = {r.id: (r.inherited, r.inherited_from) for r in licences.inherit(met).collect()}
-    assert got == {1: ("MIT", "/a"), 2: ("MIT", "/a"), 3: ("Apache-2.0", "/a/b/c"), 4: ("Apache-2.0", "/a/b/c"), 5: (None, None), 6: (None, None), 7: ("Apache-2.0", "/a/b/c"), 8: (None, None)}
-    assert licences.headers(files.limit(0), "id").count() == 0
+    data = [(1, "/a/LICENSE", "Released under the MIT License."), (2, "/a/b/x.c", "int main;\nno notice"), (3, "/a/b/c/LICENSE", "x\nLicensed under the Apache License, Version 2.0."), (4, "/a/b/c/d/y.c", None), (5, "/z/y.c", ""), (6, None, "This work is licensed under the GNU General Public License, version 3."), (7, "/a/b/c/own.c", "// This work is licensed under the GNU General Public License, version 3.\ncode"), (8, "/q/r.c", "a licence to write poems about the sea and the licence of poets " * 3)]
+    data += [(9, "src/gpl.c", GPL), (10, "src/bsd.py", BSD), (11, "src/spdx.rs", "// SPDX-License-Identifier: MIT\nfn main() {}"), (12, "LICENSE", "MIT License\n\nCopyright (c) 2024 X"), (13, "deep/er/none.c", "code"), (None, "n/x.c", "// Copyright 2024 Acme Corp. Licensed under the MIT License."), (None, "n/y.c", "nothing"), (14, "n/z.c", "filler\n\nfiller\n" + GPL)]
+    data += [(100 + i, f"f/{i}", f"word{i} common text the of and to is in that this work under" * 2) for i in range(40)]
+    files = spark.createDataFrame([(*r, "user's") for r in data + data[:2]], "id long, path string, text string, licence string")
+    rows_ = licences.scan(files, licence_files=F.col("path").rlike("LICENSE$")).collect()
+    assert len(rows_) == len(data) + 2 and {r.licence_in for r in rows_} == {"user's"}
+    own = {r.path: (r.licence, r.line) for r in rows_ if r.licence}
+    assert own == {"/a/LICENSE": ("MIT", 0), "/a/b/c/LICENSE": ("Apache-2.0", 1), None: ("GPL-3.0", 0), "/a/b/c/own.c": ("GPL-3.0", 0), "src/gpl.c": ("GPL-3.0", 3), "src/bsd.py": ("BSD-3-Clause", 0), "src/spdx.rs": ("MIT", 0), "LICENSE": ("MIT", 0), "n/x.c": ("MIT", 0), "n/z.c": ("GPL-3.0", 6)}
+    got = {r.path: (r.inherited, r.inherited_from) for r in rows_}
+    assert [got[p] for p in ("/a/LICENSE", "/a/b/x.c", "/a/b/c/d/y.c", "/z/y.c", None, "/q/r.c")] == [("MIT", "/a"), ("MIT", "/a"), ("Apache-2.0", "/a/b/c"), ("MIT", ""), (None, None), ("MIT", "")]
+    assert got["src/gpl.c"] == got["deep/er/none.c"] == ("MIT", "")
+    assert licences.scan(files.limit(0)).count() == 0
+
+
+def test_licence_similarity_is_by_definition(spark):
+    """Units scored against all templates, without the telling words, in plain Python."""
+    import math
+
+    rng = np.random.default_rng(11)
+    pieces = [t for _, t in licences.TEMPLATES]
+    texts = []
+    for i in range(60):
+        w = " ".join(f"w{x}" for x in rng.integers(0, 30, 12)).split()
+        if i % 2:
+            notice = pieces[rng.integers(len(pieces))].split()
+            w += [x for x in notice if rng.random() > 0.15] + ["license"] * (i % 3)
+        texts.append(" ".join(w) if i % 4 else "\n".join([" ".join(w[:12]), " ".join(w[12:])]))
+    files = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.licence, round(r.similarity, 6)) for r in licences.headers(files, "id").collect()}
+    split = licences._split
+    df = Counter(w for t in texts for w in set(split(t)))
+    idf = lambda w: math.log1p(len(texts) / max(1, df[w]))
+    vec = lambda t: {w: c * idf(w) for w, c in Counter(split(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for i, t in enumerate(texts):
+        units = [(k, 0, u) for k, u in enumerate(t.split("\n"))] + [(0, 1, t)]
+        all_of = []
+        for k, long, u in units:
+            v = vec(u)
+            for name, notice in licences.TEMPLATES:
+                n = vec(notice)
+                s = sum(x * v.get(w, 0) for w, x in n.items()) / (norm(n) * norm(v) or 1)
+                if s >= licences.LEAST:
+                    all_of.append((-round(s, 9), k, long, name))
+        if all_of:
+            want[i] = (min(all_of)[3], round(-min(all_of)[0], 6))
+    assert len(want) > 15 and got == want
 
 
 # --- decontamination ---

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value written, and evaluated, once: lambdas evaluate what they refer to at each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has few rows; it should be a written table, as it is counted."""
     return F.broadcast(df) if df.count() <= rows else df

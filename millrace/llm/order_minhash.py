@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.columns import col, fresh
+from millrace.llm.columns import col, fresh, let
 from millrace.storage import materialize
 
 K, BUCKETS, TUPLE, SELECTED = 8, 32, 2, 128
@@ -34,11 +34,6 @@ K, BUCKETS, TUPLE, SELECTED = 8, 32, 2, 128
 PLACE = 30
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value evaluated once: lambdas evaluate what they refer to at each element."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _runs(sorted_longs: Column, key: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
     """then(slice) of every run of equal keys, as an array; of no elements, an empty one."""
 

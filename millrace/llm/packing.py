@@ -5,8 +5,9 @@ fits, a bin is opened: of all permitted capacities the one whose expected cost p
 packed token is least, where what the remaining shorter pieces can still fill is no
 waste. At last each bin is cut down to the smallest permitted length that holds it.
 
-Documents are dealt by a hash of the row into groups of about GROUP_ROWS that are
-packed on their own, so a task holds a bounded number of lengths and no text.
+Pieces are dealt by a hash into groups of about GROUP_ROWS that are packed on their own, so
+a task holds a bounded number of lengths and no text. Equal rows are counted first and told apart by
+a number, which is part of the hash: an id that a third of all rows have is spread like any others.
 
 Defined results: a null or empty text has length 0 and takes part as a piece of
 length 0 in the first bin of its group; a longer text than the largest capacity is cut into
@@ -81,13 +82,17 @@ def pack_table(docs: DataFrame, doc_id: str = "doc_id", length: str = "n_tokens"
     docs: ids and lengths, one row for each document.
     """
     sizes = tuple(sorted(sizes))
-    cut = pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(length).cast("long").alias("_n")), "_n", sizes)
-    groups = max(1, round(cut.count() / group_rows))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    cut = pieces(rows, "n", sizes)
+    most = max(sizes)
+    total = docs.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(length), F.lit(0)) / most)))).first()[0] or 0
+    groups = max(1, round(total / group_rows))
     kind = dict(docs.dtypes)[doc_id]
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups))).select("g", "doc_id", "piece", "start", "length")
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "copy", "piece"), F.lit(groups))).select("g", "doc_id", "piece", "start", "length")
 
     def run(key, rows):
-        rows = rows.sort_values(["doc_id", "piece"], kind="stable", na_position="last", ignore_index=True)
+        rows = rows.sort_values(["doc_id", "piece", "length"], kind="stable", na_position="last", ignore_index=True)
         at = pack(rows["length"].astype(int).tolist(), sizes, overhead)
         rows["bin"] = [f"{key[0]}-{b}" for b, _, _ in at]
         rows["offset"] = [o for _, o, _ in at]

@@ -120,7 +120,7 @@ class Reader:
                     return
             head = bytes(self.buf[: end + 4])
             del self.buf[: end + 4]
-            fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
+            fields = fields_of(head)
             left = [int(fields["Content-Length"])]
 
             def block(left=left) -> Iterator[bytes]:
@@ -141,6 +141,62 @@ class Reader:
             del self.buf[:4]
 
 
+#: Names of the fields that are read here, as they are written; headers may have them in any case.
+NAMES = {n.lower(): n for n in ("WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest", "WARC-Target-URI", "Content-Length", "Content-Type", "Page-ID", "Payload-Length", "Refers-To-Page-ID")}
+
+
+def fields_of(head: bytes) -> dict[str, str]:
+    """Fields of a record's header: names in any case, with or without space after the colon, values folded over lines."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "surrogateescape").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = NAMES.get(name.strip().lower(), name.strip())
+            out[name] = value.strip()
+    return out
+
+
+def is_http(fields: dict[str, str]) -> bool:
+    """Does the record hold an HTTP response, whose body is the payload?"""
+    return fields.get("Content-Type", "").lower().replace(" ", "").startswith("application/http") and fields["WARC-Type"] == "response"
+
+
+def scan(archives: DataFrame, folder: str) -> DataFrame:
+    """(archive, record, page_id, payload_digest, record_id) of the responses in raw/, whoever wrote them: input of revisits()."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["archive", "record", "page_id", "payload_digest", "record_id"]
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                where, path = store(f"{folder}/raw/{name}")
+                rows: list[tuple] = []
+                with where.open_input_stream(path, compression=None) as source:
+                    for n, (fields, _, block) in enumerate(Reader(source)):
+                        if fields["WARC-Type"] != "response":
+                            continue
+                        sha, held, within = hashlib.sha1(), b"", not is_http(fields)
+                        for part in block():
+                            if not within:
+                                held += part
+                                if (end := held.find(CRLF + CRLF)) < 0:
+                                    continue
+                                part, held, within = held[end + 4 :], b"", True
+                            sha.update(part)
+                        sha.update(held)
+                        page = fields.get("Page-ID", "")
+                        rows.append((name, n, int(page) if page.lstrip("-").isdigit() else None, base64.b32encode(sha.digest()).decode(), fields["WARC-Record-ID"]))
+                for i in range(0, len(rows), 20_000):
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000]), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=names)
+
+    n = max(1, archives.count())
+    return archives.select("archive").repartition(n, "archive").mapInArrow(run, "archive string, record long, page_id long, payload_digest string, record_id string")
+
+
 def _write(path: str, put: Callable) -> None:
     """put(sink) into path: under another name first, so no reader meets half a file."""
     where, name = store(path)
@@ -200,8 +256,10 @@ def revisits(records: DataFrame) -> DataFrame:
     The payload's representative is a min-aggregation with map-side combine; only
     digests that occur more than once are joined, and AQE splits a hot one.
     """
-    best = records.groupBy("payload_digest").agg(F.min_by(F.struct("archive", "record", "page_id"), F.struct(F.col("page_id").isNull().alias("none"), F.bitwise_not("page_id").alias("largest"), "archive", "record")).alias("r"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "r")
-    return records.join(best, "payload_digest").where("not (archive = r.archive and record = r.record)").select("archive", "record", F.col("r.page_id").alias("refers_to"), F.concat(F.lit("<urn:record:"), "r.archive", F.lit(":"), "r.record", F.lit(">")).alias("refers_id"))
+    if "record_id" not in records.columns:
+        records = records.withColumn("record_id", F.concat(F.lit("<urn:record:"), "archive", F.lit(":"), "record", F.lit(">")))
+    best = records.groupBy("payload_digest").agg(F.min_by(F.struct("archive", "record", "page_id", "record_id"), F.struct(F.col("page_id").isNull().alias("none"), F.bitwise_not("page_id").alias("largest"), "archive", "record")).alias("r"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "r")
+    return records.join(best, "payload_digest").where("not (archive = r.archive and record = r.record)").select("archive", "record", F.col("r.page_id").alias("refers_to"), F.col("r.record_id").alias("refers_id"))
 
 
 def normalise(archives: DataFrame, again: DataFrame, folder: str) -> DataFrame:
@@ -273,12 +331,14 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                         if not z.eof or z.unused_data:
                             raise ValueError(f"{name}: no single member at {entry['offset']}")
                         end = member.index(b"\r\n\r\n") + 4
-                        fields = dict(line.split(": ", 1) for line in member[:end].decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
+                        fields = fields_of(member[:end])
                         body = member[end:-4]
+                        body = body[body.find(CRLF + CRLF) + 4 :] if is_http(fields) and CRLF + CRLF in body else body
                         number = lambda k, fields=fields: int(v) if (v := fields.get(k, "").strip()) else None
-                        if fields["WARC-Type"] == "response" and f"sha1:{digest(body)}" != fields["WARC-Payload-Digest"]:
+                        given = fields.setdefault("WARC-Payload-Digest", f"sha1:{digest(body)}")
+                        if fields["WARC-Type"] == "response" and given.startswith("sha1:") and f"sha1:{digest(body)}" != given:
                             raise ValueError(f"{name}: record {entry['record']} does not match its digest")
-                        rows.append((number("Page-ID"), fields.get("WARC-Target-URI"), number("Payload-Length"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("Refers-To-Page-ID")))
+                        rows.append((number("Page-ID"), fields.get("WARC-Target-URI"), len(body) if "Payload-Length" not in fields else number("Payload-Length"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("Refers-To-Page-ID")))
                         if len(rows) == 5000:
                             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                             rows = []

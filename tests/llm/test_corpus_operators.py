@@ -135,6 +135,29 @@ def test_aliases_are_resolved_as_browsers_do(spark):
     assert verdicts == {1: "block", 2: "block", 3: "block"}
 
 
+def test_aliases_are_normalised(spark):
+    same = ["HTTP://EXAMPLE.com:80/en/./bad#x", "http://example.com/en/bad", "http://example.com/fr/../en/bad"]
+    other = ["http://free.org/", "https://free.org:443", "HTTPS://FREE.ORG/"]
+    edges = spark.createDataFrame([(same[0], other[0]), (same[2], other[1]), (None, "x")], "src string, dst string")
+    pages = spark.createDataFrame([(i, u, "user's") for i, u in enumerate(same + other + ["http://free.org/else"])], "page_id long, url string, verdict string")
+    got = {r.page_id: (r.verdict, r.verdict_in) for r in redirects.judge(pages, edges, redirects.RULES).collect()}
+    assert got == {i: ("block" if i < 6 and i != 2 else "allow", "user's") for i in range(7)}  # 2 has a rule of its own
+    none = spark.createDataFrame([("http://free.org/", "<!-- <link rel=canonical href='http://example.com/en/bad'> --><p>")], "url string, html string")
+    assert redirects.edges_of(none).count() == 0
+
+
+def test_long_rule_lists_judge_alike(spark):
+    more = [(f"h{i}.org", f"/{p}", a) for i in range(30) for p, a in (("", "block"), ("a/", "allow"), ("a/b", "block"))]
+    rules = [*redirects.RULES, *more, ("h1.org", "/a/", "block")]
+    urls = [*URLS, *(f"http://{s}h{i}.org/{p}" for i in range(32) for s in ("", "x.y.", "z") for p in ("", "a", "a/", "a/bc", "c"))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "src string, dst string")
+    longest = lambda host, path: max(((len(h + p), a == "allow", h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, 0, None, "allow"))[2:]
+    for r in redirects.judge(pages, none, rules).collect():
+        assert (r.rule, r.verdict) == longest(r.host, r.path)
+    assert redirects.judge(pages.limit(0), none, rules).count() == redirects.judge(pages.limit(0), none, redirects.RULES).count() == 0
+
+
 # --- order min-hash ---
 def tuples_of(spark, texts):
     return {r.doc_id: r.tuples for r in order_minhash.with_tuples(rows(spark, texts), {"tuples": F.col("text")}).collect()}
@@ -387,6 +410,24 @@ def test_warc_reader_takes_one_stream_or_members():
         list(warc.Reader(io.BytesIO(one.getvalue()[:-20])))
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Fields in any case and folded, HTTP headers before the payload, no digests, records of other types."""
+    folder = "file://" + str(tmp_path)
+    http = lambda b: b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + b
+    record = lambda n, kind, body, more="": f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-RECORD-ID: <urn:x:{n}>\r\nwarc-target-uri: http://a/{n}\r\n{more}content-length:{len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    web = "Content-Type: application/http;\r\n msgtype=response\r\n"
+    whole = record(0, "warcinfo", b"info") + record(1, "response", http(b"same" * 1000), web) + record(2, "request", http(b"same"), "") + record(3, "response", http(b"same" * 1000).replace(b"x", b"yy"), web) + record(4, "response", http(b""), web)
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/a.warc.gz").write_bytes(__import__("gzip").compress(whole))
+    archives = spark.createDataFrame([("a.warc.gz",)], "archive string")
+    found = warc.scan(archives, folder)
+    assert {(r.record, r.record_id, r.payload_digest) for r in found.collect()} == {(k, f"<urn:x:{k}>", warc.digest(b)) for k, b in ((1, b"same" * 1000), (3, b"same" * 1000), (4, b""))}
+    done = warc.normalise(archives, warc.revisits(found), folder)
+    got = [(r.record_type, r.url, r.payload_bytes) for r in warc.read(done, folder).collect()]
+    assert got == [("warcinfo", "http://a/0", 4), ("response", "http://a/1", 4000), ("request", "http://a/2", len(http(b"same"))), ("revisit", "http://a/3", 0), ("response", "http://a/4", 0)]
+    assert "<urn:x:1>" in zlib.decompressobj(31).decompress((tmp_path / "warc/a.warc.gz").read_bytes()[[__import__("json").loads(x)["offset"] for x in (tmp_path / "index/a.warc.gz.jsonl").read_text().splitlines()][3] :]).decode()
+
+
 # --- licences ---
 GPL = """/*
  * Copyright (C) 2024 Some One <one@example.org>
@@ -765,6 +806,16 @@ def test_packing_is_tight_and_whole(spark):
     assert packing.pack_table(frame.limit(0)).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    """A third of all rows are one: no group is much larger than the others, and equal results come out each time."""
+    frame = spark.createDataFrame([(1, 100)] * 2000 + [(i, i % 700) for i in range(4000)], "doc_id long, n_tokens long")
+    runs = [sorted(tuple(r) for r in packing.pack_table(frame.repartition(n), group_rows=300).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 6000
+    sizes = Counter(r[4].split("-")[0] for r in runs[0])
+    assert max(sizes.values()) < 2 * 300
+    check_bins([dict(zip(("doc_id", "piece", "start", "length", "bin", "offset", "capacity"), r)) for r in runs[0]], packing.SIZES)
+
+
 def least_possible(lengths, sizes):
     """The smallest total capacity over all ways to group a few lengths."""
     best = [float("inf")]

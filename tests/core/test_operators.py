@@ -71,18 +71,57 @@ def test_search_matches_all_pairs(spark):
 
 
 def test_qrels_forms(spark):
-    lines = ['{"query_id":"q1","doc_id":"d1","score":1}', '{"qid":"q1","doc_id":"d1","score":3}', '{"qid":"q2","corpus-id":"d1"}', '{"query_id":"q3","positive_ids":["d1",{"doc_id":"d2","score":2}]}', '{"query_id":"q4","docs":{"d1":2,"d2":1}}', "q5\td1", "", '{"query_id":"q6"}']
+    lines = ['{"query_id":"q1","doc_id":"d1","score":1}', '{"qid":"q1","doc_id":"d1","score":3}', '{"qid":"q2","corpus-id":"d1"}', '{"query_id":"q3","positive_ids":["d1",{"doc_id":"d2","score":2}]}', '{"query_id":"q4","docs":{"d1":2,"d2":1}}', "q5\td1", ""]
     got = {(r.q, r.d, r.rel) for r in J.qrels(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
     assert got == {("q1", "d1", 3), ("q2", "d1", 1), ("q3", "d1", 1), ("q3", "d2", 2), ("q4", "d1", 2), ("q4", "d2", 1), ("q5", "d1", 1)}
 
 
+def qrels_of(spark, *lines):
+    return {(r.q, r.d, r.rel) for r in J.qrels(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+
+
+def test_qrels_names_and_forms_add_up(spark):
+    assert qrels_of(spark, '{"qid":"q1","pid":"d1"}', '{"question_id":"q2","doc":"d9","grade":3}', " ", "q3 d3 2 x", "q3\td4") == {("q1", "d1", 1), ("q2", "d9", 3), ("q3", "d3", 2), ("q3", "d4", 1)}
+    both = '{"query_id":"q","docs":{"a":2},"doc_scores":{"b":3},"gold_ids":["c",{"cid":"e","gain":5},{"x":1}],"doc_id":"f","rel":0.5}'
+    assert qrels_of(spark, both) == {("q", "a", 2), ("q", "b", 3), ("q", "c", 0.5), ("q", "e", 5), ("q", "f", 0.5)}
+    assert qrels_of(spark, '{"query":7,"docs":{}}', '{"q_id":"q","did":3,"score":-2}', '{"q_id":"q","doc_ids":[]}') == {("q", "3", 0)}
+    assert qrels_of(spark, '{"queryid":"q","relevance":{"a":1},"docid":"b"}') == {("q", "a", 1), ("q", "b", 1)}
+
+
+@pytest.mark.parametrize("line", ['{"query_id":"q1"}', '{"doc_id":"d"}', "{bad json", "alone", "q d notanumber", '{"qid":"q","doc_id":"d","score":"x"}', '{"qid":"q","doc_id":["d"]}'])
+def test_qrels_errors(spark, line):
+    with pytest.raises(Exception):
+        qrels_of(spark, "q1 d1", line)
+
+
+def example(spark, line):
+    return J.examples(J.parsed(spark.createDataFrame([(line,)], "line string"))).first()
+
+
+def test_examples_of_all_shapes(spark):
+    x = example(spark, '{"queries":["a",{"content":"b","images":["", "i.png"],"uid":"own"}],"query_ids":["q1","q2"],"pos":{"caption":"p","img":"","image_path":"j.png","instruct":"do"},"doc_ids":["d1"],"negatives":[["n1",{"text":"n2","id":9}],["n3"],null],"negative_ids":["x","y"],"relevant_doc_ids":"r","positive_ids":[],"example_id":4,"teacher_scores":[0.5,1],"cluster_id":"c"}')
+    views = lambda rs: [tuple(r) for r in rs]
+    assert views(x.query_views) == [("a", [], None, "q1"), ("b", ["i.png"], None, "own")]
+    assert views(x.positive_views) == [("p", ["j.png"], "do", "d1")]
+    assert [views(n) for n in x.negatives] == [[("n1", [], None, "x"), ("n2", [], None, "9")], [("n3", [], None, "y")], [(None, [], None, None)]]
+    assert (x.positive_ids, x.task, x.group_id, x.query_id, x.example_id, x.teacher_scores) == (["r", "d1"], "default", "c", None, "4", [0.5, 1.0])
+    x = example(spark, '{"q":"a","positive":["p","r"],"query_id":"k","doc_id":"d","negs":"n","positive_ids":["r","d"]}')
+    assert [r.uid for r in x.query_views + x.positive_views] == ["k", "d", "d"] and x.positive_ids == ["r", "d"] and x.negatives[0][0].text == "n"
+
+
+@pytest.mark.parametrize("line", ['{"positive":"p"}', '{"query":"q"}', '{"query":[],"positive":"p"}', '{"query":5,"positive":"p"}', '{"query":"q","positive":"p","negatives":[3]}'])
+def test_example_errors(spark, line):
+    with pytest.raises(Exception):
+        example(spark, line)
+
+
 def test_examples_and_bad_lines(spark, tmp_path):
     p = tmp_path / "a.jsonl"
-    p.write_text('{"query":"x","positives":["a",{"caption":"b","img":["1.png","2.png"],"id":"P"}],"doc_id":"D","negs":[{"text":"n"}],"positive_ids":"Z"}\n\n{"anchor":{"content":"y","id":0},"pos":"c","qid":"Q"}\n')
+    p.write_text('{"query":"x","positives":["a",{"caption":"b","img":["1.png","2.png"],"id":"P"}],"doc_id":"D","negs":[{"text":"n"}],"positive_ids":"Z"}\n\n{"anchor":{"content":"y","id":0},"pos":"c","query_id":"Q"}\n')
     x = J.examples(J.parsed(J.lines(spark, str(p)))).collect()
     first = next(r for r in x if r.query_views[0].text == "x")
     assert [v.text for v in first.positive_views] == ["a", "b"] and [v.uid for v in first.positive_views] == ["D", "P"]
-    assert first.positive_ids == ["Z", "D", "P"] and first.positive_views[1].images == ["1.png", "2.png"] and first.negatives[0].text == "n"
+    assert first.positive_ids == ["Z", "D", "P"] and first.positive_views[1].images == ["1.png", "2.png"] and first.negatives[0][0].text == "n"
     second = next(r for r in x if r.query_id == "Q")
     assert second.query_views[0].uid == "Q" and second.task == "default"
     bad = spark.createDataFrame([("{oops",)], "line string")

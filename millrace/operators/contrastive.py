@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
-from millrace.operators.retrieval import search
 
 
 def logit_scale(temperature: float, least: float = 0.01) -> float:
@@ -70,18 +69,40 @@ def collapse(vectors: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame
     """(mean_cos, max_cos, std): of all pairs, and the mean over dimensions of the sample deviation.
 
     With n unit vectors of sum S the cosines of all ordered pairs sum to |S|^2 - (squared
-    norms), so the mean needs no pairs; the maximum is every vector's nearest other one,
-    found by exact search. Null without a pair.
+    norms), so the mean needs no pairs; the maximum is that of exact products of tiles of
+    vectors, a row for each pair of tiles. Null without a pair.
     """
     unit = vectors.select(F.col(key).alias("k"), V.normalise(F.col(vec)).alias("u"))
     per = unit.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.stddev_samp("x").alias("s"), F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("sq"), F.count("*").alias("n"))
     n = F.max("n")
     mean = F.when(n > 1, (F.sum(F.col("t") * F.col("t")) - F.sum("sq")) / (n * (n - 1)))
     spread = per.agg(mean.alias("mean_cos"), F.avg("s").alias("std"))
-    best = search(unit, unit, 2, "k", "k", "u").where("q <> d").agg(F.max("score").alias("max_cos"))
+    best = _tile_maxima(unit).agg(F.max("top").alias("max_cos"))
     return spread.crossJoin(best).select("mean_cos", "max_cos", "std")
 
 
+def _tile_maxima(unit: DataFrame, tile: int = 4096) -> DataFrame:
+    """(top): the largest product of two different rows of unit (u), for each pair of tiles they are dealt into."""
+    n = max(1, -(-unit.count() // tile))
+    placed = unit.select(F.pmod(F.xxhash64("k"), F.lit(n)).alias("t"), "u").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = placed.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "t", "u")
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        a, b = (np.array(pdf["u"][pdf["t"] == k].tolist(), dtype=np.float64) for k in key)
+        top = -np.inf
+        for i in range(0, len(a), 1024):
+            scores = a[i : i + 1024] @ b.T if len(b) else np.empty((0, 0))
+            if key[0] == key[1]:
+                scores[np.arange(len(scores)), np.arange(i, i + len(scores))] = -np.inf
+            top = max(top, scores.max(initial=-np.inf))
+        return pd.DataFrame({"top": [top] if top > -np.inf else []}, dtype="float64")
+
+    return met.groupBy("a", "b").applyInPandas(run, "top double")
+
+
 def weighted_dims(losses: DataFrame, weights: dict[int, float], dim: str = "dim", loss: str = "loss") -> DataFrame:
     w = losses.sparkSession.createDataFrame([(int(d), float(x)) for d, x in weights.items()], f"{dim} int, w double")
     return losses.join(F.broadcast(w), dim).agg((F.sum(F.col("w") * F.col(loss)) / F.sum("w")).alias("loss"))

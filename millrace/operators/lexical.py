@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.text import tokens
-from millrace.operators.order import numbered
+from millrace.operators.order import batches, numbered
 
 
 def postings(rows: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
@@ -71,6 +71,24 @@ def rarest_token(posts: DataFrame, freq: DataFrame, nth: int) -> DataFrame:
     return ranked.where(F.col("rn") == F.least(F.lit(nth), F.col("n"))).select("row", "token")
 
 
+def blocks(posts: DataFrame, size: int, rank: int = 0) -> DataFrame:
+    """(row, block): rows in blocks of `size` by a hash of their rank-th rarest token (0 first).
+
+    Rows that share rare tokens come together, so pairs of other blocks are mostly unlike. Another rank gives other
+    blocks: rounds of ranks 0, 1, ... add up, see merged_rounds(). Rows without tokens are in none.
+    """
+    df = posts.groupBy("token").agg(F.count("*").alias("df"))
+    rare = rarest_token(posts, df, rank + 1)
+    return batches(rare.select("row", F.md5("token").alias("signature")), size, "signature", "row", name="block").select("row", "block")
+
+
+def fingerprint(rows: DataFrame, row: str = "row", text: str = "text") -> str:
+    """A key of what an index is made from: the same for the same rows and texts, in whatever order or files."""
+    h = F.xxhash64(F.col(row), F.col(text).isNull(), F.col(text))
+    r = rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+    return f"{r.n}-{r.s}-{r.x}"
+
+
 def progress(step: int, total: int) -> float:
     """Share of a run that is done, 0 to 1; a run of unknown length is at its start."""
     return min(1.0, max(0, step) / total) if total > 0 else 0.0

@@ -217,6 +217,50 @@ def strict_rank(scored: DataFrame, gold: DataFrame) -> DataFrame:
     return met.join(best, "q").groupBy("q").agg((F.count_if(F.col("g").isNull() & (F.col("score") > F.col("best"))) + 1).alias("rank"))
 
 
+def strict_ranks(queries: DataFrame, corpus: DataFrame, gold: DataFrame, qid: str = "q", did: str = "d", vec: str = "vec", block: int = QUERY_BLOCK) -> DataFrame:
+    """strict_rank() without the pairs: the best gold score of a query, then a count of what is over it in tiles.
+
+    No gold document scores more than the best one, so all that do are others. Each corpus partition gives
+    one count a query.
+    """
+    import numpy as np
+
+    spark = queries.sparkSession
+    left = queries.select(F.col(qid).alias("q"), V.normalise(F.col(vec)).alias("_a"))
+    right = corpus.select(F.col(did).alias("d"), V.normalise(F.col(vec)).alias("_b"))
+    best = gold.select("q", "d").distinct().join(left, "q").join(right, "d").groupBy("q").agg(F.max(V.dot(F.col("_a"), F.col("_b"))).alias("best"))
+    asked = left.join(best, "q")
+    schema = f"q {dict(queries.dtypes)[qid]}, n long"
+    out = spark.createDataFrame([], schema)
+    part: list = []
+
+    def counted(part: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part]), np.array([r[2] for r in part])))
+
+        def run(batches):
+            import pandas as pd
+
+            names, q, least = shared.value
+            n = np.zeros(len(names), dtype=np.int64)
+            for pdf in batches:
+                for at in range(0, len(pdf), TILE):
+                    d = np.array(pdf["v"].iloc[at : at + TILE].tolist(), dtype=np.float64)
+                    for i in range(0, len(names), TILE):
+                        # a sum in another order differs in the last places
+                        n[i : i + TILE] += (q[i : i + TILE] @ d.T > least[i : i + TILE, None] + 1e-12).sum(1)
+            yield pd.DataFrame({"q": names, "n": n})
+
+        return right.select(F.col("_b").alias("v")).mapInPandas(run, schema)
+
+    for r in asked.select("q", "_a", "best").toLocalIterator():
+        part.append(r)
+        if len(part) == block:
+            out, part = out.unionByName(counted(part)), []
+    if part:
+        out = out.unionByName(counted(part))
+    return out.groupBy("q").agg((F.sum("n") + 1).alias("rank"))
+
+
 def run_file(ranked: DataFrame, n: int) -> DataFrame:
     """(q, docs): the top n of each query in rank order, as an array of structs."""
     return ranked.where(F.col("rank") <= n).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "d", "score"))).alias("docs"))

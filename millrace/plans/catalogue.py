@@ -16,11 +16,13 @@ from millrace.functions import vectors as V
 from millrace.operators import contrastive as C
 from millrace.operators import identity as I
 from millrace.operators import lexical as L
-from millrace.operators import report, views
+from millrace.operators import negatives as N
+from millrace.operators import records, report, views
 from millrace.operators.order import batches, numbered
 from millrace.operators import retrieval as R
 from millrace.plans import losses, manifests
 from millrace.plans.evaluation import Dataset, evaluate
+from millrace.sources import calibration
 from millrace.sources import embeddings as E
 from millrace.sources import images
 from millrace.sources import jsonl as J
@@ -163,7 +165,7 @@ def a02(s, d):
 
 @reg("A14_strict_rank", f"with {UNIT}, b as (select s.q, max(score) as best from s join g using (q, d) group by s.q) select s.q, count(*) filter (where g.d is null and score > best) + 1 as rank from s join b on b.q = s.q left join g on g.q = s.q and g.d = s.d group by s.q")
 def a14(s, d):
-    return R.strict_rank(R.scores(qs(s, d), corpus(s, d)), gold(s, d))
+    return R.strict_ranks(qs(s, d), corpus(s, d), gold(s, d))
 
 
 @reg("J01_query_status", "select status, count(*) as n from (select case when vec_id % 7 = 0 then 'null_id' when label >= 8 then 'no_qrels' when vec_id % 5 = 0 then 'failed' else 'evaluated' end as status from embeddings) group by status")
@@ -302,10 +304,12 @@ def f07(s, d):
     return table(s, d, "documents").select("doc_id", F.nullif(T.strip(F.concat(F.lit(" "), "lang", F.lit("\n"))), F.lit("en")).alias("lang"))
 
 
-@reg("F08_usability", "select doc_id, n_chars >= 500 as usable, least(doc_id % 6, 4)::int as images from documents")
+@reg("F08_usability", "with r as (select doc_id, case doc_id % 4 when 0 then null when 1 then '  ' when 2 then 'a <image> b' else 'plain' end as t, doc_id % 6 as n from documents), e as (select *, case when t = 'a <image> b' and n <> 1 then 'placeholder count' when coalesce(trim(t), '') = '' and n = 0 then 'Both text and image fields are missing or empty.' when n >= 5 then 'too many' end as error from r) select doc_id, case when t = 'plain' then t when t = 'a <image> b' and n = 1 then 'a b' end as model_text, least(n, 4)::int as images, n > 4 as truncated, error is null as usable, error from e")
 def f08(s, d):
-    imgs = F.slice(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 6).cast("int") + 1), lambda i: i), 2, 4)
-    return table(s, d, "documents").select("doc_id", (F.col("n_chars") >= 500).alias("usable"), F.size(imgs).alias("images"))
+    i = F.col("doc_id")
+    r = table(s, d, "documents").select("doc_id", F.element_at(F.array(F.lit(None), F.lit("  "), F.lit("a <image> b"), F.lit("plain")), (i % 4 + 1).cast("int")).alias("text"), F.slice(F.sequence(F.lit(1), F.lit(6)), 1, (i % 6).cast("int")).alias("images"))
+    out = records.usability(r, rejected=F.when(F.col("truncated"), "too many"))
+    return out.select("doc_id", "model_text", F.size("images").alias("images"), "truncated", "usable", "error")
 
 
 @reg("F10_validation", "select reason, count(*) as n from (select case when length(text) < 200 then 'short' when lang <> 'en' then 'language' when n_chars > 5000 then 'long' else 'ok' end as reason from documents) group by reason")
@@ -424,7 +428,17 @@ def j08(s, d):
     return L.sampled(docs.select(F.col("doc_id").alias("row")), docs.select(F.col("doc_id").alias("doc")), rel, 3)
 
 
-QUERIES["N01_random_negatives"] = QUERIES["J08_pool_sampling"]
+_CANDS = "c as (select conv_id as row, turn as pos, conv_id || '-' || turn as doc, count(*) over (partition by conv_id) as n from conversations), o as (select row, doc, n, row_number() over (partition by row order by case when n >= 3 then md5('5|' || row || '|' || doc) end nulls first, pos, doc) - 1 as slot from c)"
+
+
+def cands(s, d):
+    c = table(s, d, "conversations")
+    return c.select(F.col("conv_id").alias("row"), F.col("turn").alias("pos"), F.concat_ws("-", "conv_id", "turn").alias("doc"))
+
+
+@reg("N01_random_negatives", f"with {_CANDS} select row, slot, doc, true as own from o where slot < 3")
+def n01(s, d):
+    return N.select(cands(s, d), 3, "shuffle", "drop", seed=5).withColumn("slot", F.col("slot").cast("long"))
 
 
 @reg("J09_shared_keys", "select a.doc_id as i, b.doc_id as j from documents a join documents b on a.text = b.text and a.doc_id <> b.doc_id")
@@ -433,101 +447,122 @@ def j09(s, d):
     return k.alias("a").join(k.alias("b"), "k").where("a.doc_id <> b.doc_id").select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"))
 
 
-# --- lexical mining (English documents up to 1500 characters) ---
-LEX = "t as (select doc_id as row, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) as token from benchmark_rows), n as (select count(distinct row) as n from t), f as (select token, count(*) as df, ln(1 + max(n) / count(*)) as idf from t, n group by token having count(*) <= greatest(20, floor(max(n) * 0.3))), w as (select row, sum(idf * idf) as w from t join f using (token) group by row), p as (select a.row as i, b.row as j, sum(f.idf * f.idf) as dot from t a join t b on a.token = b.token and a.row < b.row join f on f.token = a.token where f.df >= 2 group by 1, 2), sc as (select p.i, p.j, 2 * dot / (x.w + y.w) as f1, dot / sqrt(x.w * y.w) as cosine from p join w x on x.row = p.i join w y on y.row = p.j), dr as (select i, j, f1 from sc union all select j, i, f1 from sc)"
-LEX = "benchmark_rows as (select item_id as doc_id, text from benchmark), " + LEX
+# --- lexical mining over all documents: pairs within blocks of 64 rows by their rarest tokens, but for J10 and A21 ---
+_LEX = "t as (select doc_id as row, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) as token from documents), n as (select count(distinct row) as n from t), f as (select token, count(*) as df, ln(1 + max(n) / count(*)) as idf from t, n group by token having count(*) <= greatest(20, floor(max(n) * 0.3))), w as (select row, sum(idf * idf) as w from t join f using (token) group by row), adf as (select token, count(*) as df from t group by 1), rr as (select row, token, row_number() over (partition by row order by df, token) as r, count(*) over (partition by row) as c from t join adf using (token))"
+
+
+def _blocks_sql(rank: int) -> str:
+    return f"b{rank} as (select row, (row_number() over (order by md5(token), row) - 1) // 64 as block from rr where r = least({rank + 1}, c))"
+
+
+def _pairs_sql(name: str, rank: int | None) -> str:
+    """Scored pairs, of one block where a rank is given."""
+    block = f" join b{rank} x on x.row = a.row join b{rank} y on y.row = b.row and y.block = x.block" if rank is not None else ""
+    return f"{name}p as (select a.row as i, b.row as j, sum(f.idf * f.idf) as dot from t a join t b on a.token = b.token and a.row < b.row{block} join f on f.token = a.token where f.df >= 2 group by 1, 2), {name} as (select p.i, p.j, 2 * dot / (x.w + y.w) as f1, dot / sqrt(x.w * y.w) as cosine from {name}p p join w x on x.row = p.i join w y on y.row = p.j)"
+
+
+FULL = f"{_LEX}, {_pairs_sql('sc', None)}"
+LEX = f"{_LEX}, {_blocks_sql(0)}, {_pairs_sql('sc', 0)}, dr as (select i, j, f1 from sc union all select j, i, f1 from sc)"
 
 
 def lex(s, d):
-    posts = L.postings(table(s, d, "benchmark"), "item_id")
+    posts = L.postings(table(s, d, "documents"), "doc_id")
     return posts, L.frequencies(posts)
 
 
-@reg("A19_idf", f"with {LEX} select token, df, round(idf, 6) as idf from f")
+def near(s, d, rank=0):
+    """Pairs of one block, written once: several queries' plans read them twice."""
+    posts, freq = lex(s, d)
+    return L.similar(posts, freq, block=L.blocks(posts, 64, rank))
+
+
+@reg("A19_idf", f"with {_LEX} select token, df, round(idf, 6) as idf from f")
 def a19(s, d):
     return lex(s, d)[1].select("token", "df", r6("idf"))
 
 
-@reg("A20_row_weights", f"with {LEX} select row, round(w, 6) as w, round(sqrt(w), 6) as norm from w")
+@reg("A20_row_weights", f"with {_LEX} select row, round(w, 6) as w, round(sqrt(w), 6) as norm from w")
 def a20(s, d):
     return L.weights(*lex(s, d)).select("row", r6("w"), r6("norm"))
 
 
-@reg("J10_token_join", f"with {LEX} select i, j, round(f1, 6) as score from sc")
+@reg("J10_token_join", f"with {FULL} select i, j, round(f1, 6) as score from sc where f1 >= 0.3")
 def j10(s, d):
-    return L.similar(*lex(s, d)).select("i", "j", r6("score"))
+    return L.similar(*lex(s, d)).where("score >= 0.3").select("i", "j", r6("score"))
 
 
 @reg("A21_cosine", f"with {LEX} select i, j, round(cosine, 6) as score from sc")
 def a21(s, d):
-    return L.similar(*lex(s, d), measure="cosine").select("i", "j", r6("score"))
+    posts, freq = lex(s, d)
+    return L.similar(posts, freq, measure="cosine", block=L.blocks(posts, 64)).select("i", "j", r6("score"))
 
 
-@reg("J11_blocked_join", f"with {LEX} select i, j, round(f1, 6) as score from sc where i % 3 = j % 3")
+@reg("J11_blocked_join", f"with {LEX} select i, j, round(f1, 6) as score from sc")
 def j11(s, d):
-    posts, freq = lex(s, d)
-    block = posts.select("row", (F.col("row") % 3).alias("block")).distinct()
-    return L.similar(posts, freq, block=block).select("i", "j", r6("score"))
+    return near(s, d).select("i", "j", r6("score"))
 
 
 @reg("J12_band", f"with {LEX} select i, j, round(f1, 6) as score from sc where f1 between 0.05 and 0.2")
 def j12(s, d):
-    return L.banded(L.similar(*lex(s, d)), 0.05, 0.2).select("i", "j", r6("score"))
+    return L.banded(near(s, d), 0.05, 0.2).select("i", "j", r6("score"))
 
 
 @reg("J13_exclusion", f"with {LEX} select i, j, round(f1, 6) as score from dr where (i + j) % 5 <> 0")
 def j13(s, d):
-    pairs = L.directed(L.similar(*lex(s, d)))
+    pairs = L.directed(near(s, d))
     return L.excluded(pairs, pairs.where("(i + j) % 5 = 0")).select("i", "j", r6("score"))
 
 
 @reg("W05_top_similar", f"with {LEX} select i, j, rank from (select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr) where rank <= 5")
 def w05(s, d):
-    pairs = L.directed(L.similar(*lex(s, d))).withColumn("score", F.round("score", 9))
+    pairs = L.directed(near(s, d)).withColumn("score", F.round("score", 9))
     return L.top(pairs, 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 
-_BAND = f"with {LEX}, r as (select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr), b as (select *, count(*) over (partition by i) as n from r where rank <= 20) select i, j, rank from b where rank > round_even(greatest(n - 10, 0) * 0.5, 0) and rank <= round_even(greatest(n - 10, 0) * 0.5, 0) + 10"
+_RANKED = f"{LEX}, r as (select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr), b as (select *, count(*) over (partition by i) as n from r where rank <= 20), band as (select i, j, rank from b where rank > round_even(greatest(n - 10, 0) * 0.5, 0) and rank <= round_even(greatest(n - 10, 0) * 0.5, 0) + 10)"
+
+
+def top20(s, d):
+    return L.top(L.directed(near(s, d)).withColumn("score", F.round("score", 9)), 20)
 
 
-@reg("W06_difficulty_band", _BAND)
+@reg("W06_difficulty_band", f"with {_RANKED} select i, j, rank from band")
 def w06(s, d):
-    pairs = L.directed(L.similar(*lex(s, d))).withColumn("score", F.round("score", 9))
-    return L.difficulty_band(L.top(pairs, 20), 10, 0.5).select("i", "j", F.col("rank").cast("long").alias("rank"))
+    return L.difficulty_band(top20(s, d), 10, 0.5).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES["N04_mined_pick"] = QUERIES["W06_difficulty_band"]
+@reg("N04_mined_pick", f"with {_RANKED}, o as (select i, j, row_number() over (partition by i order by md5('7|' || i || '|' || j)) as o from band), k as (select i, j, row_number() over (partition by i order by o) as pos from o where o <= 8 and (i + j) % 3 <> 0) select i, j, pos from k where pos <= 4")
+def n04(s, d):
+    ranked = top20(s, d)
+    return N.mined(ranked, ranked.where("(i + j) % 3 = 0"), 4, 10, 0.5, seed=7).select("i", "j", F.col("pos").cast("long").alias("pos"))
 
 
-@reg("W07_rare_token", f"with {LEX}, k as (select t.row, token, row_number() over (partition by t.row order by df, token) as r, count(*) over (partition by t.row) as c from t join f using (token)) select row, token from k where r = least(3, c)")
+@reg("W07_rare_token", f"with {_LEX}, k as (select t.row, token, row_number() over (partition by t.row order by df, token) as r, count(*) over (partition by t.row) as c from t join f using (token)) select row, token from k where r = least(3, c)")
 def w07(s, d):
     return L.rarest_token(*lex(s, d), 3)
 
 
-@reg("W08_blocks", "select item_id, (row_number() over (order by md5(text), item_id) - 1) // 16 as block from benchmark")
+@reg("W08_blocks", f"with {_LEX}, {_blocks_sql(0)} select row, block from b0")
 def w08(s, d):
-    rows = table(s, d, "benchmark").select("item_id", F.md5("text").alias("signature"))
-    return batches(rows, 16, "signature", "item_id", name="block").select("item_id", "block")
+    return L.blocks(lex(s, d)[0], 64)
 
 
-@reg("A22_mining_stats", f"with {LEX}, c as (select i, count(*) as n from dr where f1 between 0.05 and 0.9 group by i) select (select count(*) from c) as covered, (select count(distinct row) from t) as all_rows, round((select avg(n) from c), 6) as mean_candidates, (select count(*) from dr where f1 > 0.9) as dropped_duplicates")
+@reg("A22_mining_stats", f"with {LEX}, c as (select i, count(*) as n from dr where f1 between 0.05 and 0.9 group by i) select (select count(*) from c) as covered, (select count(distinct row) from t) as all_rows, round((select avg(n) from c), 6) as mean_candidates, (select count(*) from dr where f1 > 0.9) as dropped_duplicates, (select count(*) from dr where (i + j) % 5 = 0) as dropped_related")
 def a22(s, d):
     posts, freq = lex(s, d)
-    pairs = L.directed(L.similar(posts, freq))
+    pairs = L.directed(L.similar(posts, freq, block=L.blocks(posts, 64)))
     c = L.banded(pairs, 0.05, 0.9).groupBy("i").agg(F.count("*").alias("n")).agg(F.count("*").alias("covered"), F.round(F.avg("n"), 6).alias("mean_candidates"))
-    return c.crossJoin(posts.agg(F.countDistinct("row").alias("all_rows"))).crossJoin(pairs.agg(F.count_if(F.col("score") > 0.9).alias("dropped_duplicates")))
+    return c.crossJoin(posts.agg(F.countDistinct("row").alias("all_rows"))).crossJoin(pairs.agg(F.count_if(F.col("score") > 0.9).alias("dropped_duplicates"), F.count_if((F.col("i") + F.col("j")) % 5 == 0).alias("dropped_related")))
 
 
 @reg("T05_hardest_pairs", f"with {LEX} select i, j, round(f1, 6) as score from sc order by round(f1, 9) desc, i, j limit 20")
 def t05(s, d):
-    return L.similar(*lex(s, d)).withColumn("o", F.round("score", 9)).orderBy(F.desc("o"), "i", "j").limit(20).select("i", "j", r6("score"))
+    return near(s, d).withColumn("o", F.round("score", 9)).orderBy(F.desc("o"), "i", "j").limit(20).select("i", "j", r6("score"))
 
 
-@reg("U07_merged_rounds", f"with {LEX} select i, j, round(f1, 6) as score from sc where i % 3 = j % 3 or i % 5 = j % 5")
+@reg("U07_merged_rounds", f"with {LEX}, {_blocks_sql(1)}, {_pairs_sql('sd', 1)} select i, j, round(max(f1), 6) as score from (select i, j, f1 from sc union all select i, j, f1 from sd) group by i, j")
 def u07(s, d):
-    posts, freq = lex(s, d)
-    block = lambda m: posts.select("row", (F.col("row") % m).alias("block")).distinct()
-    return L.merged_rounds(*(L.similar(posts, freq, block=block(m)) for m in (3, 5))).select("i", "j", r6("score"))
+    return L.merged_rounds(near(s, d, 0), near(s, d, 1)).select("i", "j", r6("score"))
 
 
 # --- views and arrays ---
@@ -549,6 +584,11 @@ def n02(s, d):
     return vecs(s, d).select(F.col("d").alias("vec_id"), F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ", "), F.lit("]")).alias("filled"))
 
 
+@reg("N02_repeat_fill", f"with {_CANDS}, k as (select row, doc, slot from o where slot < 3), m as (select row, count(*) as m from k group by 1) select m.row, s.slot, k.doc, s.slot < m.m as own from m cross join (values (0), (1), (2)) s(slot) join k on k.row = m.row and k.slot = s.slot % m.m")
+def n02_repeat(s, d):
+    return N.select(cands(s, d), 3, "shuffle", "repeat", seed=5).withColumn("slot", F.col("slot").cast("int"))
+
+
 @reg("N03_mined_share", "select vec_id, least(8, round_even(8 * (vec_id % 11) / 10.0, 0))::bigint as mined from embeddings")
 def n03(s, d):
     return vecs(s, d).select(F.col("d").alias("vec_id"), F.least(F.lit(8), F.bround(F.lit(8) * (F.col("d") % 11) / F.lit(10.0))).cast("long").alias("mined"))
@@ -632,8 +672,27 @@ def a18(s, d):
     return m.select(F.col("label").alias("bucket"), F.round(F.col("mean")[0], 6).alias("first"), F.round(V.total(F.col("mean")), 6).alias("total"))
 
 
-QUERIES["S09_calibration_means"] = QUERIES["A18_mean_vector"]
-QUERIES["K10_means_table"] = QUERIES["A18_mean_vector"]
+_MEANS = "with p as (select case label % 3 when 0 then 'query_mean' when 1 then 'text_mean' else 'image_mean' end as bucket, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select bucket, i, avg(x) as m, count(*) as n from p group by 1, 2)"
+
+
+def means_file(s, d) -> str:
+    names = F.element_at(F.array(*(F.lit(k) for k in calibration.REQUIRED)), (F.col("label") % 3 + 1).cast("int"))
+    path = new_path(s, "means")
+    calibration.write_means(C.mean_vector(vecs(s, d).withColumn("bucket", names)), path, source=d)
+    return path
+
+
+@reg("S09_calibration_means", _MEANS + " select bucket, max(n) as n, round(max(m) filter (where i = 1), 6) as first, round(sum(m), 6) as total from m group by bucket")
+def s09(s, d):
+    m = calibration.read_means(s, means_file(s, d), 64)
+    return m.select("bucket", "n", F.round(F.col("mean")[0], 6).alias("first"), F.round(V.total(F.col("mean")), 6).alias("total"))
+
+
+@reg("K10_means_table", "select 64 as dim, count(*) filter (where label % 3 = 0) as query_mean_count, count(*) filter (where label % 3 = 1) as text_mean_count, count(*) filter (where label % 3 = 2) as image_mean_count, true as told from embeddings")
+def k10(s, d):
+    counts = ", ".join(f"{k}_count long" for k in calibration.REQUIRED)
+    row = s.read.schema(f"dim int, {counts}, source string").json(means_file(s, d))
+    return row.select("dim", *(f"{k}_count" for k in calibration.REQUIRED), (F.col("source") == d).alias("told"))
 
 
 @reg("J16_mean_shift", _MEAN + ", g as (select bucket, list(m order by i) as mv from m group by bucket), s as (select vec_id, list_transform(list_zip(embedding, mv), lambda z: z[1]::double - z[2]) as v from embeddings join g on bucket = label) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as x from s")
@@ -771,7 +830,11 @@ def k02(s, d):
     return E.merged(docs.select("row_idx"), done, 16).select("row_idx", "success", F.size("embedding").alias("dim"))
 
 
-QUERIES["J17_failed_rows"] = QUERIES["K02_merge"]
+@reg("J17_failed_rows", "select doc_id as row_idx, case when doc_id % 9 = 0 then 'no result' else 'other' end as error from documents where doc_id % 9 = 0 or length(text) = 0")
+def j17(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), "text")
+    done = E.embed(docs.where("row_idx % 9 <> 0"), E.HashedWords(16))
+    return E.failed(docs.select("row_idx"), done).select("row_idx", F.when(F.col("error") == "no result", "no result").otherwise("other").alias("error"))
 
 
 @reg("A31_percent_table", "with m as (select lang, source, avg(n_chars % 100 / 100.0) as v from documents where source in ('src0', 'src1', 'src2') group by 1, 2) select lang, round(max(v) filter (where source = 'src0') * 100, 2) as src0, round(max(v) filter (where source = 'src1') * 100, 2) as src1, round(max(v) filter (where source = 'src2') * 100, 2) as src2, case when count(*) = 3 then round(sum(v) / 3 * 100, 2) end as avg from m group by lang")
@@ -781,14 +844,20 @@ def a31(s, d):
 
 
 QUERIES["J18_pivot"] = QUERIES["A31_percent_table"]
-QUERIES["K07_metric_table"] = QUERIES["A31_percent_table"]
+@reg("K07_metric_table", "with m as (select lang, count(*) as n, max(n_chars) as longest from documents group by 1) select row_number() over (order by lang) - 1 as at, lang || ' ' || n || ' ' || longest as line from m")
+def k07(s, d):
+    m = table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest")).orderBy("lang")
+    text = report.fixed_width([r.asDict() for r in m.collect()], ["lang", "n", "longest"])  # a row for each language
+    # the table's lines, blanks between columns made one
+    lines = [" ".join(x.split()) for x in text.split("\n")[2:]]
+    return s.createDataFrame(list(enumerate(lines)), "at long, line string")
 
 
 @reg("T06_dataset_order", "select source, row_number() over (order by case source when 'src3' then 0 when 'src1' then 1 else 2 end, source) as at from (select distinct source from documents)")
 def t06(s, d):
-    names = table(s, d, "documents").select("source").distinct()
-    key = F.coalesce(F.nullif(F.array_position(F.array(F.lit("src3"), F.lit("src1")), F.col("source")), F.lit(0)), F.lit(99))
-    return names.select("source", F.row_number().over(Window.orderBy(key, "source")).cast("long").alias("at"))
+    found = [r.source for r in table(s, d, "documents").select("source").distinct().collect()]  # names of datasets
+    order = report.dataset_order(found, None, ["src3", "src1"])
+    return s.createDataFrame([(n, i + 1) for i, n in enumerate(order)], "source string, at long")
 
 
 @reg("G01_namespaces", "select source || '::' || doc_id as id, source as tag, doc_id::varchar as raw from documents")
@@ -829,11 +898,13 @@ def k11(s, d):
     return s.read.schema("doc_id long, bucket string").json(path).groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-@reg("K09_index_cache", f"with {LEX} select token, df, round(idf, 6) as idf from f")
+@reg("K09_index_cache", f"with {LEX} select i, j, round(f1, 6) as score from sc")
 def k09(s, d):
-    make = lambda: lex(s, d)[1]
-    cached(s, ("lexical index", d, 0.3, 20), make)
-    return cached(s, ("lexical index", d, 0.3, 20), make).select("token", "df", r6("idf"))
+    # by what the texts are, not where they lie: changed data under one path makes another index
+    key = ("lexical pairs", L.fingerprint(table(s, d, "documents"), "doc_id"), 0.3, 20, 64)
+    make = lambda: near(s, d)
+    cached(s, key, make)
+    return cached(s, key, make).select("i", "j", r6("score"))
 
 
 @reg("K06_result_json", f"with {MET} select k, '{{\"k\":' || k || ',\"queries\":' || count(*) || '}}' as payload from per where p > 0 group by k")
@@ -870,7 +941,7 @@ def t03(s, d):
 
 @reg("T04_exclude_then_rank", f"with {LEX} select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr where (i + j) % 5 <> 0 qualify rank <= 5")
 def t04(s, d):
-    pairs = L.directed(L.similar(*lex(s, d))).withColumn("score", F.round("score", 9))
+    pairs = L.directed(near(s, d)).withColumn("score", F.round("score", 9))
     return L.top(L.excluded(pairs, pairs.where("(i + j) % 5 = 0")), 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 

@@ -150,6 +150,12 @@ def merged(ids: DataFrame, embedded: DataFrame, dims: int) -> DataFrame:
     return met.withColumn("embedding", F.coalesce("embedding", zero)).withColumn("success", F.coalesce("success", F.lit(False)))
 
 
+def failed(ids: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(row_idx, error): the rows of ids without an embedding, and why."""
+    met = ids.join(embedded.select("row_idx", "success", "error"), "row_idx", "left").where(~F.coalesce("success", F.lit(False)))
+    return met.select("row_idx", F.coalesce("error", F.lit("no result")).alias("error"))
+
+
 def matryoshka_dims(wanted: list[int], full: int) -> tuple[list[int], list[int]]:
     """(dimensions to store with the full one, those skipped as too large)."""
     ok = sorted({d for d in wanted if 0 < d <= full} | {full})

@@ -131,6 +131,49 @@ def test_examples_and_bad_lines(spark, tmp_path):
     assert J.lines(spark, str(p), str(p), limit=3).count() == 3
 
 
+def test_choice_and_fill_of_negatives(spark):
+    from millrace.operators import negatives as N
+
+    cands = spark.createDataFrame([("a", f"a{i}", i) for i in range(6)] + [("b", "b0", 0), ("b", "b1", 1)], "row string, doc string, pos int")
+    fillers = spark.createDataFrame([("b", "x", 0), ("c", "y", 0)], "row string, doc string, pos int")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "row string")
+    got = lambda **how: {(r.row, r.slot): (r.doc, r.own) for r in N.select(cands, 4, **how).collect()}
+    top = got(strategy="topk", fill="drop")
+    assert [top["a", i][0] for i in range(4)] == ["a0", "a1", "a2", "a3"] and ("b", 2) not in top
+    repeat = got(strategy="topk", fill="repeat")
+    assert [repeat["b", i] for i in range(4)] == [("b0", True), ("b1", True), ("b0", False), ("b1", False)]
+    pool = got(fill="random_pool", fillers=fillers, rows=rows)
+    assert [pool["b", i] for i in range(4)] == [("b0", True), ("b1", True), ("x", False), ("b0", False)]
+    assert [pool["c", i][0] for i in range(4)] == ["y"] * 4
+    drawn = [got(seed=s) for s in (1, 1, 2)]
+    assert drawn[0] == drawn[1] != drawn[2] and len({drawn[0]["a", i][0] for i in range(4)}) == 4
+    assert N.mined_share(8, 0.5, 0.0, 1.0) == 4 and N.mined_share(3, 1, 0.5, 0.5) == 2
+    assert N.select(cands.limit(0), 2).count() == 0
+    with pytest.raises(ValueError):
+        N.select(cands, 2, "other")
+
+
+def test_calibration_means_are_checked(spark, tmp_path):
+    from millrace.sources import calibration as K
+
+    schema = "bucket string, n long, mean array<double>"
+    rows = [("query_mean", 2, [1.0, 2.0]), ("text_mean", 3, [0.5, 0.0]), ("image_mean", 1, [0.0, 1.0]), ("fused_mean", 4, [9.0, 9.0])]
+    K.write_means(spark.createDataFrame(rows, schema), str(tmp_path / "m"), source="here")
+    assert {(r.bucket, r.n, tuple(r["mean"])) for r in K.read_means(spark, str(tmp_path / "m"), 2).collect()} == {(b, n, tuple(m)) for b, n, m in rows}
+    with pytest.raises(Exception, match="dimension"):
+        K.read_means(spark, str(tmp_path / "m"), 3).collect()
+    for bad in (rows[:2], [*rows[:2], ("image_mean", 1, [1.0])], [*rows, ("other", 1, [0.0, 1.0])]):
+        with pytest.raises(ValueError):
+            K.write_means(spark.createDataFrame(bad, schema), str(tmp_path / "bad"))
+
+
+def test_index_key_follows_the_texts(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "row long, text string")
+    same, other = a.repartition(3), spark.createDataFrame([(1, "x"), (2, "")], "row long, text string")
+    assert L.fingerprint(a) == L.fingerprint(same) != L.fingerprint(other)
+    assert L.fingerprint(a.limit(0)) != L.fingerprint(a)
+
+
 def test_namespaces_and_text(spark):
     assert one(spark, T.namespaced(F.lit("a"), F.lit("x"))) == "a::x"
     assert one(spark, T.namespaced(F.lit(None), F.lit("x"))) == "x"

@@ -273,14 +273,19 @@ def _crowded(links: Links, led: DataFrame) -> None:
             # what is outside the largest component against all others of the value. Signatures and sets go along, so
             # the join compares and only gives links; a pair is compared in the least value that both texts have
             split = materialize(placed.join(main, "v").join(links.sigs, "key"), "split")
-            own = materialize(split.groupBy("key").agg(F.collect_set("v").alias("vs")), "own")  # at most a text's blocks
-            held = links.sets(own.select("key"))
-            carried = split.join(own, "key").join(held, "key")
             distance = _apart("a", "b")
-            close = (distance <= links.most) & ((distance <= links.sure) | links.alike("a", "b")) & F.expr("a.v = array_min(array_intersect(a.vs, b.vs))")
-            late = carried.where("c <> main").alias("a").join(carried.alias("b"), F.expr("a.v = b.v and a.c <> b.c and (b.c = b.main or a.key < b.key)") & close)
+            meets = F.expr("a.v = b.v and a.c <> b.c and (b.c = b.main or a.key < b.key)") & (distance <= links.most)
+            # only texts with a partner within the distance are held against each other by their sets
+            asks = materialize(split.where("c <> main").alias("a").join(split.alias("b"), meets, "left_semi"), "asks")
+            answers = materialize(split.alias("b").join(asks.alias("a"), meets, "left_semi"), "answers")
+            wanted = asks.select("key").unionByName(answers.select("key")).distinct()
+            held = links.sets(wanted)
+            own = split.select("key", "v").join(wanted, "key", "left_semi").groupBy("key").agg(F.collect_set("v").alias("vs"))  # at most a text's blocks
+            extra = materialize(held.join(own, "key"), "extra")
+            close = meets & ((distance <= links.sure) | links.alike("a", "b")) & F.expr("a.v = array_min(array_intersect(a.vs, b.vs))")
+            late = asks.join(extra, "key").alias("a").join(answers.join(extra, "key").alias("b"), close)
             links.unite(late.select(F.col("a.key").alias("src"), F.col("b.key").alias("dst")).distinct())
-            release(split, own, held)
+            release(split, asks, answers, held, extra)
         else:
             if turn:
                 inner = placed.join(main, "v").where("c = main")
@@ -288,7 +293,9 @@ def _crowded(links: Links, led: DataFrame) -> None:
                 led_by = main.join(some, "v")
             else:
                 led_by = main
-            near = placed.join(led_by, "v").where("c <> main").select(F.col("key").alias("src"), F.explode("to").alias("dst"))
+            # a text has few blocks, so the centres of all its values are few: each is met once
+            met = placed.join(led_by, "v").where("c <> main").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("to"))).alias("to"))
+            near = met.select(F.col("key").alias("src"), F.explode("to").alias("dst"))
             links.add(near)
         release(placed, main)
     release(led)

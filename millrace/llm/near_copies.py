@@ -166,8 +166,11 @@ class Links:
         return keyed.join(self.comp, "key", "left").withColumn("c", F.coalesce("c", "key"))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """(src, dst, apart) of the pairs within `most`; the join compares and only gives what is close."""
-        met = pairs.distinct().join(self.sigs.withColumnRenamed("key", "src"), "src")
+        """(src, dst, apart) of the pairs within `most`; the join compares and only gives what is close.
+
+        Pairs that come with the words of src's signature are distinct already.
+        """
+        met = pairs if "w0" in pairs.columns else pairs.distinct().join(self.sigs.withColumnRenamed("key", "src"), "src")
         far = met.alias("a").join(self.sigs.withColumnRenamed("key", "dst").alias("b"), (F.col("a.dst") == F.col("b.dst")) & (_apart("a", "b") <= self.most))
         return far.select("a.src", "a.dst", _apart("a", "b").alias("apart"))
 
@@ -295,7 +298,7 @@ def _crowded(links: Links, led: DataFrame) -> None:
                 led_by = main
             # a text has few blocks, so the centres of all its values are few: each is met once
             met = placed.join(led_by, "v").where("c <> main").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("to"))).alias("to"))
-            near = met.select(F.col("key").alias("src"), F.explode("to").alias("dst"))
+            near = met.join(links.sigs, "key").select(F.col("key").alias("src"), *(f"w{i}" for i in range(LONGS)), F.explode("to").alias("dst"))
             links.add(near)
         release(placed, main)
     release(led)

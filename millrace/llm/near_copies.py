@@ -39,7 +39,7 @@ from millrace.storage import materialize, release, small_batches
 SIMILARITY = 0.8
 VERIFY_BITS = 1024
 BLOCKS = 16
-HOT, ROUNDS, CENTRES = 16, 3, 8
+HOT, ROUNDS, CENTRES = 16, 2, 8
 #: Standard deviations of the Hamming distance at the similarity: beyond the first no link, under the second one for sure.
 MARGIN, SURE = 3.0, 4.0
 LONGS = VERIFY_BITS // 64
@@ -153,8 +153,9 @@ def _apart(a: str, b: str) -> Column:
 class Links:
     """Links found so far among the classes, and their components: (key, c), a class without a link being absent."""
 
-    def __init__(self, classes: DataFrame, docs: DataFrame, similarity: float):
-        self.classes, self.docs, self.similarity = classes, docs, similarity
+    def __init__(self, classes: DataFrame, docs: DataFrame, similarity: float, repeats: bool):
+        """repeats: may docs have a text of one id more than once?"""
+        self.classes, self.docs, self.similarity, self.repeats = classes, docs, similarity, repeats
         self.sure, self.most = bounds(similarity)
         self.sigs = classes.select("key", *(f"w{i}" for i in range(LONGS)))
         self.comp: DataFrame | None = None
@@ -220,7 +221,7 @@ class Links:
             held = materialize(met.select("key", of("text").alias("s")).withColumn("n", F.size("s")), "sets")
         release(wanted)
         # repeated rows give one set
-        return held if held.groupBy("key").count().where("count > 1").isEmpty() else materialize(held.dropDuplicates(["key"]), "sets")
+        return materialize(held.dropDuplicates(["key"]), "sets") if self.repeats else held
 
     def alike(self, a: str, b: str) -> Column:
         """Do two rows with s and n have the similarity? Unlike sizes are told without a look at the sets."""
@@ -239,10 +240,10 @@ class Links:
         return out
 
 
-def components(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, hot: int | None = None) -> DataFrame | None:
+def components(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, hot: int | None = None, repeats: bool = True) -> DataFrame | None:
     """(key, c): the groups of classes that links at the similarity hold together; None without any link."""
     hot = HOT if hot is None else hot
-    links = Links(classes, docs, similarity)
+    links = Links(classes, docs, similarity, repeats)
     keyed = materialize(classes.select("key", F.explode("blocks").alias("v")).distinct(), "blocks")
     shared = materialize(keyed.groupBy("v").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1"), "shared")
     more = materialize(keyed.join(shared.where("n > 2").select("v", "n"), "v"), "more")
@@ -316,7 +317,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     with small_batches(docs.sparkSession):
         marked = materialize(prints(plain, similarity), "prints")
     classes = materialize(classes_of(marked), "classes")
-    comp = components(classes, plain, similarity)
+    repeats = not marked.groupBy("id", "t").count().where("count > 1").isEmpty()
+    comp = components(classes, plain, similarity, repeats=repeats)
     named = classes.select("key", "id", "t")
     named = named.withColumn("c", F.col("key")) if comp is None else named.join(comp, "key", "left").withColumn("c", F.coalesce("c", "key"))
     best = named.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("b")).select(F.col("b.id").alias("id"), F.col("b.t").alias("t"))
@@ -328,9 +330,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     key = (F.xxhash64(col(text)) == F.col(k)) & col(doc_id).eqNullSafe(F.col(i))
     off = judged.where("not stays").select(F.col("id").alias(i), F.col("t").alias(k))
     kept = docs.join(small(off), key, "left_anti")
-    again = judged.where("stays and n > 1").select(F.col("id").alias(i), F.col("t").alias(k))
-    if not again.isEmpty():
-        again = small(again)
+    if repeats:
+        again = small(judged.where("stays and n > 1").select(F.col("id").alias(i), F.col("t").alias(k)))
         # equal rows by id and text: one of them
         one = kept.join(again, key, "left_semi").withColumn(k, F.xxhash64(col(text))).dropDuplicates([doc_id, k]).drop(k)
         kept = kept.join(again, key, "left_anti").unionByName(one)

@@ -113,12 +113,13 @@ class Model:
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, self.weights[0] + float(x @ self.weights[1:]))))))
 
 
-def distinct(rows: list[tuple[bytes, list[int]]]) -> list[int]:
-    """Numbers of the rows (long SimHash, block values) that are no near copy of an earlier one."""
+def distinct(rows: list[tuple[bytes, bytes]]) -> list[int]:
+    """Numbers of the rows (long SimHash, block values as bytes) that are no near copy of an earlier one."""
     by: dict[int, list[int]] = {}
     most = int(near_copies.VERIFY_BITS * near_copies.share(near_copies.SIMILARITY))
     out = []
-    for i, (sig, blocks) in enumerate(rows):
+    for i, (sig, packed) in enumerate(rows):
+        blocks = np.frombuffer(packed, dtype=np.int64).tolist()
         bits = int.from_bytes(sig, "little")
         met = {j for b in blocks for j in by.get(b, ())}
         if any((bits ^ int.from_bytes(rows[j][0], "little")).bit_count() <= most for j in met):
@@ -149,16 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     # at most max_toxic + max_ordinary ids: a proven bound
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
-    @F.pandas_udf("words binary, sig binary, blocks array<long>")
+    @F.pandas_udf("words binary, sig binary, blocks binary")
     def learned(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.DataFrame([(sample(t), *near_copies.sig_and_blocks(t)) for t in s], columns=["words", "sig", "blocks"])
+            found = ((sample(t), *near_copies.sig_and_blocks(t)) for t in s)
+            yield pd.DataFrame([(w, sig, np.array(b, dtype=np.int64).tobytes()) for w, sig, b in found], columns=["words", "sig", "blocks"])
 
     with small_batches(docs.sparkSession):
         firsts = rows.select("doc_id", "label", F.xxhash64("text").alias("t"), learned("text").alias("p")).groupBy("doc_id", "label").agg(F.min(F.struct("t", "p.words", "p.sig", "p.blocks")).alias("p"))
         found = sorted(firsts.select("doc_id", "label", "p.*").toLocalIterator(), key=lambda r: r.doc_id)
     by = {k: [r for r in found if r.label == k] for k in (0, 1)}
-    by = {k: [own[i] for i in distinct([(bytes(r.sig), list(r.blocks)) for r in own])] for k, own in by.items()}
+    by = {k: [own[i] for i in distinct([(bytes(r.sig), bytes(r.blocks)) for r in own])] for k, own in by.items()}
     n = len(by[0]) + len(by[1])
     prior = len(by[1]) / n if n else 0.0
     if not by[0] or not by[1]:

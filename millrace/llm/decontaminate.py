@@ -226,6 +226,7 @@ def _free(shared, radius: int, similarity: float):
         index = Index(shared.value, radius, similarity)
         for s in parts:
             yield pd.Series([next(index.windows(t), None) is None for t in s], dtype=bool)
+        W.give_back()
 
     return free
 

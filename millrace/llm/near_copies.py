@@ -135,6 +135,7 @@ def prints(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             yield pd.DataFrame([sig_and_blocks(t, similarity) for t in s], columns=["sig", "blocks"])
+        W.give_back()
 
     return docs.select("id", F.xxhash64("text").alias("t"), of("text").alias("p")).select("id", "t", "p.sig", "p.blocks")
 
@@ -215,6 +216,7 @@ class Links:
         def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in parts:
                 yield pd.Series([np.unique(shingle_set(t).astype(np.uint32)).view(np.int32) for t in s])
+            W.give_back()
 
         met = self.docs.join(small(wanted), F.expr("xxhash64(text) = k and id <=> i"))
         with small_batches(self.docs.sparkSession, 256):

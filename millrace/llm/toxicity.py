@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import near_copies
+from millrace.llm import words as W
 from millrace.llm.columns import col, renamed
 from millrace.storage import small_batches
 
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([model.score(t if isinstance(t, str) else None) for t in s], dtype="float64")
+        W.give_back()
 
     out = renamed(docs, "score", "predicted").withColumn("score", scored(col(text)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -204,6 +206,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def free(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([model.score(t if isinstance(t, str) else None) < threshold for t in s], dtype=bool)
+        W.give_back()
 
     return docs.where(free(col(text)))
 

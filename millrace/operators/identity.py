@@ -49,3 +49,25 @@ def first_of_each(records: DataFrame, key: str, order: str) -> DataFrame:
     least = keyed.groupBy("_key").agg(F.min(order).alias("first"))
     slots = numbered(least, "first", "_key", name="slot").withColumnRenamed("_key", "_same")
     return keyed.join(slots, F.col("_key").eqNullSafe(F.col("_same"))).select(order, "first", "slot")
+
+
+def pool_dedup(pool: DataFrame, order: str, uid: str = "uid", content: str = "content") -> DataFrame:
+    """As first_of_each(), by the uid, or by the content of a record without one; the two kinds of key never meet."""
+    own = F.nullif(F.col(uid).cast("string"), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("u:"), own), F.concat(F.lit("c:"), F.sha2(F.col(content), 256)))
+    return first_of_each(pool.select(order, key.alias("_pool_key")), "_pool_key", order)
+
+
+def gathered(firsts: DataFrame, results: DataFrame, order: str) -> DataFrame:
+    """results, one row for each slot of first_of_each(), given back to every record that shares it."""
+    return firsts.select(order, "slot").join(results, "slot").drop("slot")
+
+
+def classes(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(order, class, links): the least `order` that shares the key, and how many others do. A null key is shared with none.
+
+    Counts of a key are added up before they meet, and no pair is made.
+    """
+    per = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_shared")).agg(F.min(order).alias("class"), F.count("*").alias("_n"))
+    met = rows.select(order, F.col(key).alias("_key")).join(per, F.col("_key") == F.col("_shared"), "left")
+    return met.select(order, F.coalesce("class", F.col(order)).alias("class"), F.coalesce(F.col("_n") - 1, F.lit(0)).cast("long").alias("links"))

@@ -48,8 +48,11 @@ def best_per_document(scored: DataFrame) -> DataFrame:
     return scored.groupBy("q", "d").agg(F.max("score").alias("score"))
 
 
-def _keep(best, ids, scores, new) -> None:
-    """Merge the scores of new ids (ascending) into the best ones and their ids, in place; ties to the smaller id."""
+def _keep(best, ids, scores, new, single: bool = False) -> None:
+    """Merge the scores of new ids (ascending) into the best ones and their ids, in place; ties to the smaller id.
+
+    single: the new ids differ; an id that is there already keeps the better score.
+    """
     import numpy as np
 
     k = best.shape[1]
@@ -59,15 +62,22 @@ def _keep(best, ids, scores, new) -> None:
     top = np.argsort(-scores[better], axis=1, kind="stable")[:, :k]
     s = np.concatenate([best[better], np.take_along_axis(scores[better], top, 1)], axis=1)
     d = np.concatenate([ids[better], new[top]], axis=1)
+    if single:
+        by_score = np.argsort(-s, axis=1, kind="stable")
+        s, d = np.take_along_axis(s, by_score, 1), np.take_along_axis(d, by_score, 1)
     by_id = np.argsort(d, axis=1, kind="stable")
     s, d = np.take_along_axis(s, by_id, 1), np.take_along_axis(d, by_id, 1)
+    if single:
+        s[:, 1:][d[:, 1:] == d[:, :-1]] = -np.inf
     order = np.argsort(-s, axis=1, kind="stable")[:, :k]
     best[better], ids[better] = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: str = "d", vec: str = "vec", block: int = QUERY_BLOCK) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: str = "d", vec: str = "vec", block: int = QUERY_BLOCK, single: bool = False) -> DataFrame:
     """(q, d, score, rank): exact top k by matrix products over Arrow batches of the corpus.
 
+    single: of vectors that share an id only the best one counts.
+
     Every corpus partition keeps a running best k of each query, so k rows a query and
     partition are shuffled, and products are made in tiles of TILE x TILE scores. Queries
     go out in blocks of at most `block` vectors.
@@ -108,10 +118,15 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: s
                     new = part["d"].to_numpy()
                     by_id = np.argsort(new, kind="stable")
                     new, d = new[by_id], d[by_id]
+                    firsts = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])
                     if ids is None:
                         ids = np.full((len(names), k), new[0], dtype=new.dtype)
                     for i in range(0, len(names), TILE):
-                        _keep(best[i : i + TILE], ids[i : i + TILE], q[i : i + TILE] @ d.T, new)
+                        scores = q[i : i + TILE] @ d.T
+                        if single:
+                            _keep(best[i : i + TILE], ids[i : i + TILE], np.maximum.reduceat(scores, firsts, axis=1), new[firsts], True)
+                        else:
+                            _keep(best[i : i + TILE], ids[i : i + TILE], scores, new)
             if ids is not None:
                 rows, cols = np.nonzero(best > -np.inf)
                 for i in range(0, len(rows), 1 << 16):
@@ -122,17 +137,20 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: s
         out = near if out is None else out.unionByName(near)
     if out is None:
         out = spark.createDataFrame([], schema)
-    return best_k(out, k)
+    return best_k(best_per_document(out) if single else out, k)
+
+
+def over_fetch(corpus: DataFrame, k: int, did: str = "d") -> DataFrame:
+    """(n): how many vectors hold k documents for certain: k times the most of one document, all at most."""
+    return duplicate_profile(corpus, did).select(F.least("n_rows", F.col("max_dup") * k).alias("n"))
 
 
 def search_documents(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "q", did: str = "d", vec: str = "vec") -> DataFrame:
     """(q, d, score, rank): the top k documents where several vectors may share an id.
 
-    k times the most vectors of one document are fetched, so k documents are among them.
+    Each partition keeps the best k documents of a query, however many vectors one has.
     """
-    # one number, made on the executors
-    most = duplicate_profile(corpus, did).first()["max_dup"] or 1
-    return best_k(best_per_document(search(queries, corpus, k * most, qid, did, vec)), k)
+    return search(queries, corpus, k, qid, did, vec, single=True)
 
 
 def relevance(pairs: DataFrame, q: str = "q", d: str = "d", rel: str = "rel") -> DataFrame:

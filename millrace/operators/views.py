@@ -49,6 +49,19 @@ def instruction(table: dict[str, str], role: Column, mod: Column, own: Column) -
     return F.coalesce(F.nullif(own, F.lit("")), F.try_element_at(m, F.concat_ws("_", role, mod)), F.try_element_at(m, role))
 
 
+def task_instruction(tables: dict[str, dict[str, str]], task: Column, role: Column, mod: Column, own: Column) -> Column:
+    """instruction() by the table of the task; of the task `default` where a task has none or an empty one."""
+    none = F.lit(None).cast("string")
+    named = {t: table for t, table in tables.items() if table}
+    chosen = F.coalesce(task, F.lit("default"))
+    said = F.when(F.lit(False), none)
+    for name, table in named.items():
+        said = said.when(chosen == name, instruction(table, role, mod, none))
+    rest = instruction(named["default"], role, mod, none) if "default" in named else none
+    # an own instruction goes first, an empty one too: it says that there is none
+    return F.coalesce(own, said.otherwise(rest))
+
+
 def conversation(system: Column, text: Column, images: Column, videos: Column) -> Column:
     """array<struct<role, kind, value>>: the system's instruction, then video, image and text of the user; NULL if none."""
     part = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.struct(F.lit("user").alias("role"), F.lit(kind).alias("kind"), v.alias("value")))

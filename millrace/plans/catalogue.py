@@ -15,6 +15,7 @@ from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import contrastive as C
 from millrace.operators import identity as I
+from millrace.operators import identity_masks as M
 from millrace.operators import lexical as L
 from millrace.operators import negatives as N
 from millrace.operators import records, report, views
@@ -209,7 +210,10 @@ def s07(s, d):
     return R.usable(vecs(s, d).withColumn("d", F.when(F.col("d") % 11 != 0, F.col("d"))), "d", "vec").agg(F.count("*").alias("n"))
 
 
-QUERIES["F12_usable"] = QUERIES["S07_success_mask"]
+@reg("F12_usable", "select vec_id as d from embeddings where vec_id % 13 <> 0 and vec_id % 3 <> 0")
+def f12(s, d):
+    flagged = vecs(s, d).select(F.when(F.col("d") % 13 != 0, F.col("d")).alias("d"), "vec", (F.col("d") % 3 != 0).alias("ok"))
+    return R.usable(flagged, "d", "vec", "ok").select("d")
 
 
 @reg("S06_embedding_set", "select count(*) as n, max(len(embedding))::int as dim, count(distinct vec_id) as ids from embeddings")
@@ -234,7 +238,9 @@ def s02(s, d):
     return J.head(both, 700, "f", "id")
 
 
-QUERIES["T07_head"] = QUERIES["S02_multi_file"]
+@reg("T07_head", "select doc_id, lang from documents order by doc_id limit 50")
+def t07(s, d):
+    return J.head(table(s, d, "documents").select("doc_id", "lang"), 50, "doc_id")
 
 
 @reg("S03_prescan", "select count(*)::bigint as n, (select count(*) from (select conv_id from conversations group by 1 having count(*) > 1)) as duplicated from conversations")
@@ -292,6 +298,14 @@ def f05(s, d):
     return c.select("conv_id", "turn", views.instruction(t, F.col("role"), F.when(F.col("turn") % 2 == 0, "mixed").otherwise("text"), own).alias("instruction"))
 
 
+@reg("S16_instruction_tables", "select doc_id, case when doc_id % 5 = 0 then 'own' when doc_id % 3 = 0 then 'Given a text query, retrieve the matching content.' else 'Represent the user''s query for retrieving relevant content.' end as instruction from documents")
+def s16(s, d):
+    i = F.col("doc_id")
+    task = F.when(i % 3 == 0, "multiview").when(i % 3 == 1, "default").otherwise("unknown")
+    said = views.task_instruction(manifests.instruction_tables("builtin"), task, F.lit("query"), F.lit("text"), F.when(i % 5 == 0, "own"))
+    return table(s, d, "documents").select("doc_id", said.alias("instruction"))
+
+
 @reg("F06_placeholders", "select doc_id, case when doc_id % 3 = 1 then 'a b' when doc_id % 3 = 0 then 'plain' end as text, case when doc_id % 3 = 2 then 'placeholder count' end as error from documents")
 def f06(s, d):
     m = F.col("doc_id") % 3
@@ -312,17 +326,31 @@ def f08(s, d):
     return out.select("doc_id", "model_text", F.size("images").alias("images"), "truncated", "usable", "error")
 
 
-@reg("F10_validation", "select reason, count(*) as n from (select case when length(text) < 200 then 'short' when lang <> 'en' then 'language' when n_chars > 5000 then 'long' else 'ok' end as reason from documents) group by reason")
+_CALIBRATION = "m as (select doc_id, source, doc_id % 8 as m, doc_id % 3 = 0 as wordless, doc_id % 10 = 9 as lost from documents)"
+
+
+def calibrated(s, d, fused):
+    # by doc_id % 8 a flaw or none; img9 is not known
+    i = F.col("doc_id")
+    m = i % 8
+    part = lambda text, image: F.struct(text.cast("string").alias("text"), image.cast("string").alias("image"))
+    t, none = F.lit("t"), F.lit(None)
+    query = F.when(m == 0, F.array().cast("array<struct<text:string,image:string>>")).when(m == 1, F.array(part(F.lit(" "), none)))
+    query = query.otherwise(F.array(part(none, F.concat(F.lit("img"), i % 10)), part(F.when(i % 3 != 0, t), none)))
+    whole = F.array(part(t, none), part(none, F.lit("img1")), part(t, F.lit("img2")))
+    positive = F.when(m == 2, F.slice(whole, 1, 1)).when(m == 3, F.array(part(F.lit(""), none), part(none, F.lit("img1")))).when(m == 4, F.array(part(t, none), part(t, none))).when(m == 5, F.array(part(t, none), part(none, F.lit("img9")))).otherwise(whole)
+    rows = table(s, d, "documents").select(i.alias("ord"), F.col("source").alias("id"), query.alias("query"), positive.alias("positive"))
+    return records.calibration_rows(rows, fused, s.range(9).select(F.concat(F.lit("img"), "id").alias("image")))
+
+
+@reg("F10_validation", f"with {_CALIBRATION}, r as (select *, case when m = 0 then '''query'' is missing or not a list' when m <> 1 and lost then 'query image not found: img9' when m = 1 then 'query has neither non-empty text nor an image' when m = 2 then '''positive'' has fewer than 2 entries' when m = 3 then 'positive[0][''text''] is missing / empty' when m = 4 then 'positive[1][''image''] is missing' when m = 5 then 'image not found: img9' end as reason from m), u as (select doc_id, row_number() over (partition by source order by doc_id) as n from r where reason is null), x as (select doc_id, row_number() over (order by doc_id) as x from u where n > 1) select r.doc_id as ord, source || coalesce('__dup' || x, '') as id, reason from r left join x using (doc_id)")
 def f10(s, d):
-    c = F.when(F.char_length("text") < 200, "short").when(F.col("lang") != "en", "language").when(F.col("n_chars") > 5000, "long").otherwise("ok")
-    return table(s, d, "documents").groupBy(c.alias("reason")).agg(F.count("*").alias("n"))
+    return calibrated(s, d, False).select("ord", "id", "reason")
 
 
-@reg("F11_buckets", "select bucket, count(*) as n from (select 'even' as bucket from embeddings where vec_id % 2 = 0 union all select 'third' from embeddings where vec_id % 3 = 0 union all select 'all' from embeddings) group by bucket")
+@reg("F11_buckets", f"with {_CALIBRATION}, u as (select * from m where m >= 6 and not lost) select bucket, count(*) as n from (select 'query_mean' as bucket from u where not wordless union all select 'query_fused_mean' from u where not wordless union all select unnest(['query_image_mean', 'text_mean', 'image_mean', 'fused_mean']) from u) group by bucket")
 def f11(s, d):
-    i = F.col("d")
-    named = F.array(F.when(i % 2 == 0, "even"), F.when(i % 3 == 0, "third"), F.lit("all"))
-    return vecs(s, d).select(F.explode(named).alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+    return records.calibration_buckets(calibrated(s, d, True)).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @reg("F13_view_count", "select conv_id, count(*)::int as n from conversations group by conv_id")
@@ -412,8 +440,17 @@ def u02(s, d):
     return I.first_of_each(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
-QUERIES["J15_inverse_index"] = QUERIES["U02_record_dedup"]
-QUERIES["U03_pool_dedup"] = QUERIES["U02_record_dedup"]
+@reg("J15_inverse_index", "select doc_id, 2 * min(doc_id) over (partition by text) as twice from documents")
+def j15(s, d):
+    firsts = I.first_of_each(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id")
+    once = firsts.where("doc_id = first").select("slot", (F.col("doc_id") * 2).alias("twice"))
+    return I.gathered(firsts, once, "doc_id")
+
+
+@reg("U03_pool_dedup", "with k as (select doc_id, case when doc_id % 2 = 0 then 'u:' || source else 'c:' || text end as k from documents), f as (select doc_id, min(doc_id) over (partition by k) as first from k) select doc_id, first, dense_rank() over (order by first) - 1 as slot from f")
+def u03(s, d):
+    pool = table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("uid"), "text")
+    return I.pool_dedup(pool, "doc_id", content="text")
 
 
 @reg("J05_row_ids", "select vec_id, row_number() over (order by vec_id) - 1 as row_idx from embeddings")
@@ -441,10 +478,9 @@ def n01(s, d):
     return N.select(cands(s, d), 3, "shuffle", "drop", seed=5).withColumn("slot", F.col("slot").cast("long"))
 
 
-@reg("J09_shared_keys", "select a.doc_id as i, b.doc_id as j from documents a join documents b on a.text = b.text and a.doc_id <> b.doc_id")
+@reg("J09_shared_keys", "select doc_id, min(doc_id) over (partition by text) as class, count(*) over (partition by text) - 1 as links from documents")
 def j09(s, d):
-    k = table(s, d, "documents").select("doc_id", T.content_key(F.col("text")).alias("k"))
-    return k.alias("a").join(k.alias("b"), "k").where("a.doc_id <> b.doc_id").select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"))
+    return I.classes(table(s, d, "documents").select("doc_id", T.content_key(F.col("text")).alias("k")), "k", "doc_id")
 
 
 # --- lexical mining over all documents: pairs within blocks of 64 rows by their rarest tokens, but for J10 and A21 ---
@@ -653,7 +689,11 @@ def k03(s, d):
     return u.select(F.col("d").alias("vec_id"), "dim", F.round(F.element_at("vec", -1), 6).alias("last"))
 
 
-QUERIES["X07_matryoshka_setup"] = QUERIES["K03_matryoshka"]
+@reg("X07_matryoshka_setup", "select dim, count(*) as n from embeddings, (values (16), (64)) t(dim) group by dim")
+def x07(s, d):
+    return E.matryoshka_setup(table(s, d, "embeddings"), [16, 999]).where(F.size("embedding") == F.col("dim")).groupBy("dim").agg(F.count("*").alias("n"))
+
+
 _FUSE = "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n), m as (select a.vec_id, list_transform(list_zip(a.v, b.v), lambda z: 0.3 * z[2] + 0.7 * z[1]) as v from u a join u b on b.vec_id = a.vec_id + 1)"
 
 
@@ -759,9 +799,22 @@ def c05(s, d):
     return one.crossJoin(two).select(F.round(0.75 * F.col("a") + 0.25 * F.col("b"), 6).alias("loss"))
 
 
-@reg("C01_candidates", _NCE + " select anchor, count(*) as all_cands, count(*) filter (where t) as own_group from p group by anchor")
+_SLOTS = "e as (select vec_id // 16 as batch, vec_id as example, case when label <> 9 then label % 5 end as g, case when label <> 0 then vec_id % 7 end as qid, vec_id % 24 as p0, (vec_id + 1) % 24 as p1 from embeddings), s as (select batch, example, 0 as slot, p0 as doc, true as positive from e union all select batch, example, 1, example * 5 % 24, false from e)"
+
+
+def identities(s, d):
+    """(examples, slots) of batches of 16: a positive and a negative document each."""
+    i, label = F.col("d"), F.col("label")
+    v = vecs(s, d).select(F.floor(i / 16).cast("long").alias("batch"), i.alias("example"), F.when(label != 9, label % 5).alias("group_id"), F.when(label != 0, i % 7).alias("query_id"), F.array(i % 24, (i + 1) % 24).alias("positive_ids"))
+    at = F.explode(F.array(F.struct(F.lit(0).alias("slot"), (F.col("example") % 24).alias("doc"), F.lit(True).alias("positive")), F.struct(F.lit(1).alias("slot"), (F.col("example") * 5 % 24).alias("doc"), F.lit(False).alias("positive"))))
+    return v, v.select("batch", "example", at.alias("x")).select("batch", "example", "x.*")
+
+
+@reg("C01_candidates", f"with {_SLOTS}, k(mode) as (values ('all'), ('positives_only'), ('own')) select mode, a.example as anchor, count(*) as n, count(*) filter (where s.positive and s.example = a.example) as targets from e a join s on s.batch = a.batch join k on mode = 'all' or s.example = a.example or (mode = 'positives_only' and s.positive) group by 1, 2")
 def c01(s, d):
-    return batch(s, d).groupBy("anchor").agg(F.count("*").alias("all_cands"), F.count_if("target").alias("own_group"))
+    slots = identities(s, d)[1]
+    each = [M.candidates(slots, mode).groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("target").alias("targets")).withColumn("mode", F.lit(mode)) for mode in ("all", "positives_only", "own")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @reg("C02_targets", _NCE + " select anchor, cand from p where t")
@@ -769,9 +822,19 @@ def c02(s, d):
     return batch(s, d).where("target").select("anchor", "cand")
 
 
-@reg("J14_false_negatives", _NCE + " select anchor, cand from p where m")
+@reg("J14_false_negatives", f"with {_SLOTS} select a.batch, a.example as anchor, s.example, s.slot from e a join s on s.batch = a.batch join e b on b.example = s.example where not (s.positive and s.example = a.example) and ((s.positive and b.g = a.g) or s.doc in (a.p0, a.p1))")
 def j14(s, d):
-    return C.masked(batch(s, d), [F.col("la") % 5 == F.col("lc") % 5]).where("mask").select("anchor", "cand")
+    return M.doc_side(*identities(s, d))
+
+
+@reg("J14_query_side", f"with {_SLOTS} select s.batch, s.example, s.slot, c.example as candidate from s join e b on b.example = s.example join e c on c.batch = s.batch where s.positive and c.example <> s.example and (c.g = b.g or c.qid = b.qid or s.doc in (c.p0, c.p1))")
+def j14_query(s, d):
+    return M.query_side(*identities(s, d))
+
+
+@reg("J14_own_slots", f"with {_SLOTS} select s.batch, s.example, s.slot from s join e using (example) where not s.positive and s.doc in (p0, p1)")
+def j14_own(s, d):
+    return M.own_slots(*identities(s, d))
 
 
 @reg("A28_mask_ratio", _NCE + " select round(count(*) filter (where m) / count(*) filter (where not t), 6) as mask_ratio from p")
@@ -843,7 +906,12 @@ def a31(s, d):
     return report.percent_table(r, ["src0", "src1", "src2"], "lang", "source", "v")
 
 
-QUERIES["J18_pivot"] = QUERIES["A31_percent_table"]
+@reg("J18_pivot", "select lang, round(avg(n_chars % 100 / 100.0) filter (where source = 'src0') * 100, 2) as src0, null::double as absent, null::double as avg from documents group by lang")
+def j18(s, d):
+    r = table(s, d, "documents").select("lang", "source", (F.col("n_chars") % 100 / 100.0).alias("v"))
+    return report.percent_table(r, ["src0", "absent"], "lang", "source", "v")
+
+
 @reg("K07_metric_table", "with m as (select lang, count(*) as n, max(n_chars) as longest from documents group by 1) select row_number() over (order by lang) - 1 as at, lang || ' ' || n || ' ' || longest as line from m")
 def k07(s, d):
     m = table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest")).orderBy("lang")
@@ -931,7 +999,9 @@ def n07(s, d):
 
 
 # --- settings and jobs ---
-QUERIES["T02_over_fetch"] = QUERIES["W02_document_rank"]
+@reg("T02_over_fetch", "select least(sum(c), 10 * max(c))::bigint as n from (select count(*) as c from embeddings where vec_id % 10 <> 0 group by vec_id // 2)")
+def t02(s, d):
+    return R.over_fetch(corpus(s, d).withColumn("d", F.floor(F.col("d") / 2).cast("long")), 10)
 
 
 @reg("T03_cut_offs", "select * from (values (1), (5), (10)) t(k)")

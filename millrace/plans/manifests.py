@@ -65,3 +65,44 @@ def view_count(explicit: int | None, k: int | None) -> int:
     if n == 0 or n < -1:
         raise ValueError("a number of views, or -1 for all")
     return n
+
+
+#: The instructions of tasks without settings of their own.
+INSTRUCTIONS = {
+    "default": {
+        "query": "Represent the user's query for retrieving relevant content.",
+        "doc": "Represent the candidate content for retrieval.",
+    },
+    "multiview": {
+        "query_text": "Given a text query, retrieve the matching content.",
+        "query_image": "Given an image query, retrieve the matching content.",
+        "doc_text": "Represent this text document for retrieval.",
+        "doc_image": "Represent this image document for retrieval.",
+    },
+}
+
+
+def instruction_tables(source: str | None) -> dict[str, dict[str, str]]:
+    """task -> role or role_modality -> instruction: those built in, of a JSON text, or of a JSON or YAML file.
+
+    Settings may hold the tables as data.task_instructions, as task_instructions, or be them.
+    """
+    said = (source or "").strip()
+    if said in ("", "builtin"):
+        return copy.deepcopy(INSTRUCTIONS)
+    if not said.startswith("{") and not Path(said).is_file():
+        raise FileNotFoundError(f"{said}: neither built in nor JSON nor a file")
+    if said.startswith("{"):
+        conf = json.loads(said)
+    elif said.endswith((".yaml", ".yml")):
+        import yaml
+
+        conf = yaml.safe_load(Path(said).read_text(encoding="utf-8")) or {}
+    else:
+        conf = json.loads(Path(said).read_text(encoding="utf-8"))
+    if not isinstance(conf, dict):
+        raise TypeError("instructions must be a table")
+    for at in (conf.get("data"), conf):
+        if isinstance(at, dict) and isinstance(at.get("task_instructions"), dict):
+            return dict(at["task_instructions"])
+    return dict(conf)

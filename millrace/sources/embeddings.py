@@ -162,6 +162,14 @@ def matryoshka_dims(wanted: list[int], full: int) -> tuple[list[int], list[int]]
     return ok, sorted({d for d in wanted if d > full})
 
 
+def matryoshka_setup(vectors: DataFrame, wanted: list[int], calibrated: bool = False, vec: str = "embedding") -> DataFrame:
+    """unpacked() at the wanted dimensions that the vectors have and at the full one; calibrated vectors cannot be cut."""
+    if wanted and calibrated:
+        raise ValueError("dimensions cannot be cut from calibrated vectors")
+    dims, _ = matryoshka_dims(wanted, check_dims(vectors, vec))
+    return unpacked(vectors, dims, vec)
+
+
 def unpacked(vectors: DataFrame, dims: list[int], vec: str = "embedding") -> DataFrame:
     """A row for each vector and dimension, cut and normalised; write it with partitionBy("dim")."""
     from millrace.functions import vectors as V

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import context_tree, decontaminate, licences, near_dedup, order_minhash, packing, redirects, site_tree, toxicity, warc
+from millrace.llm import centroids, context_tree, decontaminate, divergence, licences, near_dedup, order_minhash, packing, redirects, site_tree, toxicity, warc, word_bpe
 
 QUERIES = {
     "op1_toxicity": (toxicity.query, None),
@@ -15,4 +15,7 @@ QUERIES = {
     "op8_lm_scoring": (context_tree.query, None),
     "op9_html_extraction": (site_tree.query, None),
     "op10_packing": (packing.query, None),
+    "op11_centroid_clustering": (centroids.query, centroids.ORACLE),
+    "op12_source_divergence": (divergence.query, divergence.ORACLE),
+    "op13_word_bpe": (word_bpe.query, None),
 }

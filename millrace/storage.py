@@ -25,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc = spark.sparkContext
+        folder = getattr(sc, "_millrace_dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
+        sc._millrace_dir = folder
     return folder.rstrip("/")
 
 

@@ -27,19 +27,15 @@ def weights(posts: DataFrame, freq: DataFrame) -> DataFrame:
     return posts.join(freq, "token").groupBy("row").agg(F.sum(F.col("idf") * F.col("idf")).alias("w")).withColumn("norm", F.sqrt("w"))
 
 
-def similar(posts: DataFrame, freq: DataFrame, min_df: int = 2, measure: str = "f1", block: DataFrame | None = None) -> DataFrame:
-    """(i, j, score), i < j, of all pairs that share a token (and a block: rows (row, block)).
+def similar(posts: DataFrame, freq: DataFrame, min_df: int = 2, measure: str = "f1") -> DataFrame:
+    """(i, j, score), i < j, of all pairs that share a token, by a join of the postings: for few rows, see lexical_join for many.
 
     Tokens below min_df join nothing; they count in the weights.
     """
     w = weights(posts, freq)
     useful = posts.join(freq.where(F.col("df") >= min_df), "token").select("row", "token", "idf")
-    on = ["token"]
-    if block is not None:
-        useful, on = useful.join(block, "row"), ["token", "block"]
-    a, b = useful.withColumnRenamed("row", "i"), useful.select(F.col("row").alias("j"), *on)
-    pairs = a.join(b, on).where("i < j")
-    dots = pairs.groupBy("i", "j", *on[1:]).agg(F.sum(F.col("idf") * F.col("idf")).alias("dot")).groupBy("i", "j").agg(F.max("dot").alias("dot"))
+    a, b = useful.withColumnRenamed("row", "i"), useful.select(F.col("row").alias("j"), "token")
+    dots = a.join(b, "token").where("i < j").groupBy("i", "j").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
     met = dots.join(w.select(F.col("row").alias("i"), F.col("w").alias("wi"), F.col("norm").alias("ni")), "i").join(w.select(F.col("row").alias("j"), F.col("w").alias("wj"), F.col("norm").alias("nj")), "j")
     score = 2 * F.col("dot") / (F.col("wi") + F.col("wj")) if measure == "f1" else F.col("dot") / (F.col("ni") * F.col("nj"))
     return met.select("i", "j", score.alias("score"))
@@ -71,13 +67,13 @@ def rarest_token(posts: DataFrame, freq: DataFrame, nth: int) -> DataFrame:
     return ranked.where(F.col("rn") == F.least(F.lit(nth), F.col("n"))).select("row", "token")
 
 
-def blocks(posts: DataFrame, size: int, rank: int = 0) -> DataFrame:
-    """(row, block): rows in blocks of `size` by a hash of their rank-th rarest token (0 first).
+def blocks(posts: DataFrame, size: int, rank: int = 0, min_df: int = 1) -> DataFrame:
+    """(row, block): rows in blocks of `size` by a hash of their rank-th rarest token (0 first) of those in min_df rows.
 
     Rows that share rare tokens come together, so pairs of other blocks are mostly unlike. Another rank gives other
     blocks: rounds of ranks 0, 1, ... add up, see merged_rounds(). Rows without tokens are in none.
     """
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
+    df = posts.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     rare = rarest_token(posts, df, rank + 1)
     return batches(rare.select("row", F.md5("token").alias("signature")), size, "signature", "row", name="block").select("row", "block")
 

@@ -17,6 +17,7 @@ from millrace.operators import contrastive as C
 from millrace.operators import identity as I
 from millrace.operators import identity_masks as M
 from millrace.operators import lexical as L
+from millrace.operators import lexical_join as X
 from millrace.operators import negatives as N
 from millrace.operators import records, report, views
 from millrace.operators.order import batches, numbered
@@ -27,7 +28,7 @@ from millrace.sources import calibration
 from millrace.sources import embeddings as E
 from millrace.sources import images
 from millrace.sources import jsonl as J
-from millrace.storage import cached, new_path
+from millrace.storage import cached, materialize, new_path
 
 QUERIES: dict = {}
 FLAGSHIP = "A05_ndcg"
@@ -483,33 +484,52 @@ def j09(s, d):
     return I.classes(table(s, d, "documents").select("doc_id", T.content_key(F.col("text")).alias("k")), "k", "doc_id")
 
 
-# --- lexical mining over all documents: pairs within blocks of 64 rows by their rarest tokens, but for J10 and A21 ---
+# --- lexical mining over all documents: exact from a least score on, or in blocks (J11, U07) ---
 _LEX = "t as (select doc_id as row, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) as token from documents), n as (select count(distinct row) as n from t), f as (select token, count(*) as df, ln(1 + max(n) / count(*)) as idf from t, n group by token having count(*) <= greatest(20, floor(max(n) * 0.3))), w as (select row, sum(idf * idf) as w from t join f using (token) group by row), adf as (select token, count(*) as df from t group by 1), rr as (select row, token, row_number() over (partition by row order by df, token) as r, count(*) over (partition by row) as c from t join adf using (token))"
+LEAST, MOST, TOP = 0.05, 0.9, 50
+BLOCK = 2000
 
 
-def _blocks_sql(rank: int) -> str:
-    return f"b{rank} as (select row, (row_number() over (order by md5(token), row) - 1) // 64 as block from rr where r = least({rank + 1}, c))"
+def _blocks_sql(rank: int, size: int = BLOCK, min_df: int = 2) -> str:
+    """Blocks by the rank-th rarest token of those in min_df rows or more."""
+    nth = f"select row, token, row_number() over (partition by row order by df, token) as r, count(*) over (partition by row) as c from t join adf using (token) where df >= {min_df}"
+    return f"b{rank} as (select row, (row_number() over (order by md5(token), row) - 1) // {size} as block from ({nth}) where r = least({rank + 1}, c))"
 
 
-def _pairs_sql(name: str, rank: int | None) -> str:
-    """Scored pairs, of one block where a rank is given."""
-    block = f" join b{rank} x on x.row = a.row join b{rank} y on y.row = b.row and y.block = x.block" if rank is not None else ""
-    return f"{name}p as (select a.row as i, b.row as j, sum(f.idf * f.idf) as dot from t a join t b on a.token = b.token and a.row < b.row{block} join f on f.token = a.token where f.df >= 2 group by 1, 2), {name} as (select p.i, p.j, 2 * dot / (x.w + y.w) as f1, dot / sqrt(x.w * y.w) as cosine from {name}p p join w x on x.row = p.i join w y on y.row = p.j)"
+_PAIRS = "scp as (select a.row as i, b.row as j, sum(f.idf * f.idf) as dot from t a join t b on a.token = b.token and a.row < b.row join f on f.token = a.token where f.df >= 2 group by 1, 2), sc as materialized (select p.i, p.j, 2 * dot / (x.w + y.w) as f1, dot / sqrt(x.w * y.w) as cosine from scp p join w x on x.row = p.i join w y on y.row = p.j)"
 
 
-FULL = f"{_LEX}, {_pairs_sql('sc', None)}"
-LEX = f"{_LEX}, {_blocks_sql(0)}, {_pairs_sql('sc', 0)}, dr as (select i, j, f1 from sc union all select j, i, f1 from sc)"
+def _met_sql(rank: int) -> str:
+    """Pairs of 0.3 or more that one block holds."""
+    return f"select i, j, f1 from sc join b{rank} x on x.row = i join b{rank} y on y.row = j and y.block = x.block where f1 >= 0.3"
+
+
+#: All pairs of all documents, and both directions of those from the least score on. Documents of one quad are related.
+FULL = f"{_LEX}, {_PAIRS}"
+LEX = f"{FULL}, dr as (select i, j, f1 from sc where f1 >= {LEAST} union all select j, i, f1 from sc where f1 >= {LEAST})"
+_BY = "partition by i order by round(f1, 9) desc, j"
 
 
 def lex(s, d):
-    posts = L.postings(table(s, d, "documents"), "doc_id")
+    """Postings, written once, and frequencies."""
+    posts = materialize(L.postings(table(s, d, "documents"), "doc_id"), "postings")
     return posts, L.frequencies(posts)
 
 
-def near(s, d, rank=0):
-    """Pairs of one block, written once: several queries' plans read them twice."""
+def quads(s, d):
+    """(i, j): documents of one quad are related; a stand-in for declared relations."""
+    of = F.explode(F.sequence(F.col("doc_id") - F.col("doc_id") % 4, F.col("doc_id") - F.col("doc_id") % 4 + 3))
+    return table(s, d, "documents").select(F.col("doc_id").alias("i"), of.alias("j")).where("i <> j")
+
+
+def lexical_index(s, d, measure="f1", related=False):
+    return X.indexed(*lex(s, d), measure=measure, related=quads(s, d) if related else None)
+
+
+def round_of(s, d, rank):
+    """Pairs of one round of blocks."""
     posts, freq = lex(s, d)
-    return L.similar(posts, freq, block=L.blocks(posts, 64, rank))
+    return X.pairs(X.indexed(posts, freq), 0.3, blocks=L.blocks(posts, BLOCK, rank, min_df=2))
 
 
 @reg("A19_idf", f"with {_LEX} select token, df, round(idf, 6) as idf from f")
@@ -524,42 +544,40 @@ def a20(s, d):
 
 @reg("J10_token_join", f"with {FULL} select i, j, round(f1, 6) as score from sc where f1 >= 0.3")
 def j10(s, d):
-    return L.similar(*lex(s, d)).where("score >= 0.3").select("i", "j", r6("score"))
+    return X.pairs(lexical_index(s, d), 0.3).select("i", "j", r6("score"))
 
 
-@reg("A21_cosine", f"with {LEX} select i, j, round(cosine, 6) as score from sc")
+@reg("A21_cosine", f"with {FULL} select i, j, round(cosine, 6) as score from sc where cosine >= 0.3")
 def a21(s, d):
-    posts, freq = lex(s, d)
-    return L.similar(posts, freq, measure="cosine", block=L.blocks(posts, 64)).select("i", "j", r6("score"))
+    return X.pairs(lexical_index(s, d, "cosine"), 0.3).select("i", "j", r6("score"))
 
 
-@reg("J11_blocked_join", f"with {LEX} select i, j, round(f1, 6) as score from sc")
+@reg("J11_blocked_join", f"with {FULL}, {_blocks_sql(0)} select i, j, round(f1, 6) as score from ({_met_sql(0)})")
 def j11(s, d):
-    return near(s, d).select("i", "j", r6("score"))
+    return round_of(s, d, 0).select("i", "j", r6("score"))
 
 
-@reg("J12_band", f"with {LEX} select i, j, round(f1, 6) as score from sc where f1 between 0.05 and 0.2")
+@reg("J12_band", f"with {LEX} select i, j, round(f1, 6) as score from dr where f1 <= 0.2 qualify row_number() over ({_BY}) <= {TOP}")
 def j12(s, d):
-    return L.banded(near(s, d), 0.05, 0.2).select("i", "j", r6("score"))
+    return X.neighbours(lexical_index(s, d), TOP, LEAST, 0.2).select("i", "j", r6("score"))
 
 
-@reg("J13_exclusion", f"with {LEX} select i, j, round(f1, 6) as score from dr where (i + j) % 5 <> 0")
+@reg("J13_exclusion", f"with {LEX} select i, j, round(f1, 6) as score from dr where i // 4 <> j // 4 qualify row_number() over ({_BY}) <= {TOP}")
 def j13(s, d):
-    pairs = L.directed(near(s, d))
-    return L.excluded(pairs, pairs.where("(i + j) % 5 = 0")).select("i", "j", r6("score"))
+    return X.neighbours(lexical_index(s, d, related=True), TOP, LEAST).select("i", "j", r6("score"))
 
 
-@reg("W05_top_similar", f"with {LEX} select i, j, rank from (select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr) where rank <= 5")
+@reg("W05_top_similar", f"with {LEX} select i, j, row_number() over ({_BY}) as rank from dr qualify rank <= 5")
 def w05(s, d):
-    pairs = L.directed(near(s, d)).withColumn("score", F.round("score", 9))
-    return L.top(pairs, 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
+    return X.neighbours(lexical_index(s, d), 5, LEAST).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 
-_RANKED = f"{LEX}, r as (select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr), b as (select *, count(*) over (partition by i) as n from r where rank <= 20), band as (select i, j, rank from b where rank > round_even(greatest(n - 10, 0) * 0.5, 0) and rank <= round_even(greatest(n - 10, 0) * 0.5, 0) + 10)"
+_RANKED = f"{LEX}, r as (select i, j, row_number() over ({_BY}) as rank from dr), b as (select *, count(*) over (partition by i) as n from r where rank <= 20), band as (select i, j, rank from b where rank > round_even(greatest(n - 10, 0) * 0.5, 0) and rank <= round_even(greatest(n - 10, 0) * 0.5, 0) + 10)"
 
 
 def top20(s, d):
-    return L.top(L.directed(near(s, d)).withColumn("score", F.round("score", 9)), 20)
+    """Written: the choice from it reads it again."""
+    return materialize(X.neighbours(lexical_index(s, d), 20, LEAST), "ranked")
 
 
 @reg("W06_difficulty_band", f"with {_RANKED} select i, j, rank from band")
@@ -567,10 +585,9 @@ def w06(s, d):
     return L.difficulty_band(top20(s, d), 10, 0.5).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 
-@reg("N04_mined_pick", f"with {_RANKED}, o as (select i, j, row_number() over (partition by i order by md5('7|' || i || '|' || j)) as o from band), k as (select i, j, row_number() over (partition by i order by o) as pos from o where o <= 8 and (i + j) % 3 <> 0) select i, j, pos from k where pos <= 4")
+@reg("N04_mined_pick", f"with {_RANKED}, o as (select i, j, row_number() over (partition by i order by md5('7|' || i || '|' || j)) as o from band), k as (select i, j, row_number() over (partition by i order by o) as pos from o where o <= 10 and i // 4 <> j // 4) select i, j, pos from k where pos <= 5")
 def n04(s, d):
-    ranked = top20(s, d)
-    return N.mined(ranked, ranked.where("(i + j) % 3 = 0"), 4, 10, 0.5, seed=7).select("i", "j", F.col("pos").cast("long").alias("pos"))
+    return N.mined(top20(s, d), quads(s, d), 5, 10, 0.5, seed=7).select("i", "j", F.col("pos").cast("long").alias("pos"))
 
 
 @reg("W07_rare_token", f"with {_LEX}, k as (select t.row, token, row_number() over (partition by t.row order by df, token) as r, count(*) over (partition by t.row) as c from t join f using (token)) select row, token from k where r = least(3, c)")
@@ -578,27 +595,29 @@ def w07(s, d):
     return L.rarest_token(*lex(s, d), 3)
 
 
-@reg("W08_blocks", f"with {_LEX}, {_blocks_sql(0)} select row, block from b0")
+@reg("W08_blocks", f"with {_LEX}, {_blocks_sql(0, 64, 1)} select row, block from b0")
 def w08(s, d):
     return L.blocks(lex(s, d)[0], 64)
 
 
-@reg("A22_mining_stats", f"with {LEX}, c as (select i, count(*) as n from dr where f1 between 0.05 and 0.9 group by i) select (select count(*) from c) as covered, (select count(distinct row) from t) as all_rows, round((select avg(n) from c), 6) as mean_candidates, (select count(*) from dr where f1 > 0.9) as dropped_duplicates, (select count(*) from dr where (i + j) % 5 = 0) as dropped_related")
+@reg("A22_mining_stats", f"with {LEX}, c as (select i, count(*) as n from dr where f1 <= {MOST} and i // 4 <> j // 4 group by i) select (select count(*) from c) as covered, (select count(distinct row) from t) as all_rows, round((select avg(n) from c), 6) as mean_candidates, (select count(*) from dr where f1 > {MOST}) as dropped_duplicates, (select count(*) from dr where f1 <= {MOST} and i // 4 = j // 4) as dropped_related")
 def a22(s, d):
     posts, freq = lex(s, d)
-    pairs = L.directed(L.similar(posts, freq, block=L.blocks(posts, 64)))
-    c = L.banded(pairs, 0.05, 0.9).groupBy("i").agg(F.count("*").alias("n")).agg(F.count("*").alias("covered"), F.round(F.avg("n"), 6).alias("mean_candidates"))
-    return c.crossJoin(posts.agg(F.countDistinct("row").alias("all_rows"))).crossJoin(pairs.agg(F.count_if(F.col("score") > 0.9).alias("dropped_duplicates"), F.count_if((F.col("i") + F.col("j")) % 5 == 0).alias("dropped_related")))
+    c = X.counts(X.indexed(posts, freq, related=quads(s, d)), LEAST, MOST)
+    of = c.agg(F.count_if(F.col("candidates") > 0).alias("covered"), F.round(F.avg(F.when(F.col("candidates") > 0, F.col("candidates"))), 6).alias("mean_candidates"), F.coalesce(F.sum("copies"), F.lit(0)).alias("dropped_duplicates"), F.coalesce(F.sum("related"), F.lit(0)).alias("dropped_related"))
+    return of.crossJoin(posts.agg(F.countDistinct("row").alias("all_rows")))
 
 
-@reg("T05_hardest_pairs", f"with {LEX} select i, j, round(f1, 6) as score from sc order by round(f1, 9) desc, i, j limit 20")
+@reg("T05_hardest_pairs", f"with {FULL} select i, j, round(f1, 6) as score from sc order by round(f1, 9) desc, i, j limit 20")
 def t05(s, d):
-    return near(s, d).withColumn("o", F.round("score", 9)).orderBy(F.desc("o"), "i", "j").limit(20).select("i", "j", r6("score"))
+    # the first 20 pairs of all are among each row's first 20 partners
+    best = X.neighbours(lexical_index(s, d), 20, LEAST).where("i < j")
+    return best.withColumn("o", F.round("score", 9)).orderBy(F.desc("o"), "i", "j").limit(20).select("i", "j", r6("score"))
 
 
-@reg("U07_merged_rounds", f"with {LEX}, {_blocks_sql(1)}, {_pairs_sql('sd', 1)} select i, j, round(max(f1), 6) as score from (select i, j, f1 from sc union all select i, j, f1 from sd) group by i, j")
+@reg("U07_merged_rounds", f"with {FULL}, {_blocks_sql(0)}, {_blocks_sql(1)} select i, j, round(max(f1), 6) as score from ({_met_sql(0)} union all {_met_sql(1)}) group by i, j")
 def u07(s, d):
-    return L.merged_rounds(near(s, d, 0), near(s, d, 1)).select("i", "j", r6("score"))
+    return L.merged_rounds(round_of(s, d, 0), round_of(s, d, 1)).select("i", "j", r6("score"))
 
 
 # --- views and arrays ---
@@ -966,11 +985,11 @@ def k11(s, d):
     return s.read.schema("doc_id long, bucket string").json(path).groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-@reg("K09_index_cache", f"with {LEX} select i, j, round(f1, 6) as score from sc")
+@reg("K09_index_cache", f"with {LEX} select i, j, round(f1, 6) as score from dr where f1 <= {MOST} qualify row_number() over ({_BY}) <= {TOP}")
 def k09(s, d):
     # by what the texts are, not where they lie: changed data under one path makes another index
-    key = ("lexical pairs", L.fingerprint(table(s, d, "documents"), "doc_id"), 0.3, 20, 64)
-    make = lambda: near(s, d)
+    key = ("lexical neighbours", L.fingerprint(table(s, d, "documents"), "doc_id"), TOP, LEAST, MOST)
+    make = lambda: X.neighbours(lexical_index(s, d), TOP, LEAST, MOST)
     cached(s, key, make)
     return cached(s, key, make).select("i", "j", r6("score"))
 
@@ -1009,10 +1028,9 @@ def t03(s, d):
     return s.createDataFrame([(k,) for k in R.cut_offs("10, 5,1,5")], "k int")
 
 
-@reg("T04_exclude_then_rank", f"with {LEX} select i, j, row_number() over (partition by i order by round(f1, 9) desc, j) as rank from dr where (i + j) % 5 <> 0 qualify rank <= 5")
+@reg("T04_exclude_then_rank", f"with {LEX} select i, j, row_number() over ({_BY}) as rank from dr where i // 4 <> j // 4 qualify rank <= 5")
 def t04(s, d):
-    pairs = L.directed(near(s, d)).withColumn("score", F.round("score", 9))
-    return L.top(L.excluded(pairs, pairs.where("(i + j) % 5 = 0")), 5).select("i", "j", F.col("rank").cast("long").alias("rank"))
+    return X.neighbours(lexical_index(s, d, related=True), 5, LEAST).select("i", "j", F.col("rank").cast("long").alias("rank"))
 
 
 @reg("N06_view_count", "select conv_id, least(count(*), 2)::bigint as n from conversations group by conv_id")

@@ -8,24 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_npy(spark: SparkSession, folder: str) -> DataFrame:
-    """(row_idx, embedding) of embeddings.npy under a folder, rows split off in bounded blocks."""
-
-    def run(batches):
-        import io
-
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for raw in pdf["content"]:
-                a = np.load(io.BytesIO(raw), allow_pickle=False)
-                for i in range(0, len(a), 4096):
-                    yield pd.DataFrame({"row_idx": range(i, min(i + 4096, len(a))), "embedding": [x.astype("float32").tolist() for x in a[i : i + 4096]]})
-
-    return spark.read.format("binaryFile").load(f"{folder}/embeddings.npy").select("content").mapInPandas(run, "row_idx long, embedding array<float>")
-
-
 def check_dims(vectors: DataFrame, vec: str = "embedding") -> int:
     """The one dimension of a set; an error if there are several."""
     lo, hi = vectors.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()

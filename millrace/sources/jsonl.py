@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.text import first_truthy
+from millrace.storage import size_checked
 
 #: The accepted names of each field, in order of preference.
 QUERY = ["query_views", "queries", "query", "anchor", "q"]
@@ -32,14 +34,35 @@ def lines(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFra
     return out if limit is None else head(out.withColumn("at", F.monotonically_increasing_id()), limit, "file", "at").drop("at")
 
 
+def numbered_lines(spark: SparkSession, *paths: str, blank: bool = False) -> DataFrame:
+    """(file, path, number, line): lines with their number in their file, from 1, blank ones counted but left out unless `blank`.
+
+    Files stay split: a split's lines come in order, so the lines of the splits before it, one row
+    for each split, give it its first number.
+    """
+    out = None
+    for n, p in enumerate(paths):
+        one = spark.read.text(p).select(F.lit(n).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+        out = one if out is None else out.unionByName(one)
+    splits = out.groupBy("file", "path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file", "path").orderBy("start")) - F.col("n")
+    splits = splits.select("file", "path", "start", (before - F.col("first") + 1).alias("add"))
+    met = out.join(size_checked(splits), ["file", "path", "start"]).withColumn("number", F.col("at") + F.col("add"))
+    return (met if blank else met.where("trim(line) <> ''")).select("file", "path", "number", "line")
+
+
 def head(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
 def parsed(rows: DataFrame, line: str = "line", strict: bool = True) -> DataFrame:
-    """rows with v, the line as a variant; strict: a line that is no JSON is an error, else v is null."""
+    """rows with v, the line as a variant; strict: a line that is no JSON is an error, else v is null.
+
+    The error names file and line of numbered_lines().
+    """
     if strict:
-        bad = F.when(F.try_parse_json(F.col(line)).isNull(), F.raise_error(F.concat(F.lit("invalid JSON: "), F.substring(F.col(line), 1, 80)))).otherwise(F.col(line))
+        where = F.concat(F.col("path"), F.lit(":"), F.col("number"), F.lit(": ")) if {"path", "number"} <= set(rows.columns) else F.lit("")
+        bad = F.when(F.try_parse_json(F.col(line)).isNull(), F.raise_error(F.concat(F.lit("invalid JSON: "), where, F.substring(F.col(line), 1, 80)))).otherwise(F.col(line))
         return rows.withColumn("v", F.parse_json(bad.cast("string")))
     return rows.withColumn("v", F.try_parse_json(F.col(line)))
 

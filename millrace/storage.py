@@ -12,7 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a few numbers or short strings that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -59,6 +62,11 @@ def cached(spark: SparkSession, key: tuple, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has few rows, else as it is, for a join that shuffles; it is counted, so it should be cheap to read."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Python workers get at most so many rows at once in what is run inside: their memory follows the batch."""

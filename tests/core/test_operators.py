@@ -15,6 +15,7 @@ from millrace.operators import report, views
 from millrace.operators import retrieval as R
 from millrace.operators.components import connected_components
 from millrace.plans import manifests as M
+from millrace.sources import arrays as A
 from millrace.sources import embeddings as E
 from millrace.sources import jsonl as J
 from millrace.streaming import ingest
@@ -268,7 +269,7 @@ def test_embedding_jobs(spark, tmp_path):
     whole = {r.row_idx: r for r in E.merged(rows.select("row_idx"), E.embed(rows, Fragile(4)), 4).collect()}
     assert list(whole[1].embedding) == [0, 0, 0, 0]
     np.save(tmp_path / "embeddings.npy", np.arange(12, dtype=np.float16).reshape(3, 4))
-    assert [r.embedding for r in E.read_npy(spark, str(tmp_path)).orderBy("row_idx").collect()][2] == [8, 9, 10, 11]
+    assert [r.embedding for r in A.read_npy(spark, str(tmp_path / "embeddings.npy")).orderBy("row_idx").collect()][2] == [8, 9, 10, 11]
     assert E.matryoshka_dims([8, 128, 16], 64) == ([8, 16, 64], [128])
     with pytest.raises(KeyError):
         E.register("hashed_words", E.HashedWords)

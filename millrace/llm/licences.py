@@ -6,6 +6,9 @@ nearest ancestor directory, found by joins on paths. Marks of comments and copyr
 are taken off first, so a notice wrapped over several commented lines is one paragraph. An
 SPDX identifier counts as a unit of similarity 1.
 
+A licence file is called LICENSE, COPYING or alike and has a licensed unit, or is a text (by its name no
+source code) half of which are licensed units; an SPDX identifier speaks for its own file alone.
+
 Document frequencies are counted for all words over all files. Of the units only
 those are scored that hold a telling word: of each template the heaviest words are telling, so
 many that what the others weigh stays under the least similarity. So a unit without one
@@ -13,8 +16,8 @@ cannot reach it, and none is lost.
 
 Defined results: a null text or path has no licence; empty texts have none; of
 several licensed units the most similar (then the first line, then the shorter unit) counts, of equal templates the
-first by name; of several licence files in a directory the most similar (then the
-first by path); repeated rows are scanned alike, as a file is told by all it says (id, path and text); a
+first by name, of those that name one; of several licence files in a directory those called so come first, then the most similar, then the
+first by path; repeated rows are scanned alike, as a file is told by all it says (id, path and text); a
 relative path lies in the root; an empty table gives no rows. Columns that results are
 named like are called <name>_in.
 """
@@ -60,13 +63,37 @@ TEMPLATES = [
     ("MIT", "MIT License"),
     ("MIT", "Licensed under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    # paragraphs that several licences have: they make a text a licence, but name none
+    (None, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    (None, "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    (None, "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    (None, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    (None, "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    (None, "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
 ]
 LEAST = 0.7
 SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
 #: Marks of comments at the start or end of a line.
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--|\"{3}|'{3})?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 COPYRIGHT = r"(?im)^.{0,8}copyright\b[^\n]*?(?:\.(?=\s)|$)|\ball rights reserved\.?"
-#: Share of a file's words from which on a licensed unit makes it its directory's licence file.
+#: Names of files that hold their directory's licence, and of texts that may.
+NAMES = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright)(?:[.-][^/]*)?$"
+TEXTS = r"(?i)(?:^|/)[^/.]+(?:\.(?:txt|md|rst|html?))?$"
+#: Share of a text's words from which on its licensed units make it its directory's licence file.
 LICENCE_SHARE = 0.5
 
 
@@ -101,12 +128,22 @@ def telling(weights: dict[str, float], templates: list[tuple[str, str]], split,
     return out
 
 
+def alternatives(words: list[str]) -> str:
+    """A pattern of the words in which those with one beginning share it, so a text's sign is compared once for all of them."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c) + (alternatives(sorted(rest)) if len(rest) > 1 else re.escape(rest[0])) for c, rest in sorted(by.items()) if c]
+    firsts = "".join(re.escape(c) for c in sorted(by) if c)
+    return f"(?:(?=[{firsts}])(?:{'|'.join(parts)})" + ("|)" if "" in by else ")") if parts else ""
+
+
 def _split(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
 
 
 def headers(files: DataFrame, key: str, text: str = "text", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
-    """(key, licence, similarity, line, share): the best licensed unit of every file that has one, and its share of the file's words.
+    """(key, licence, similarity, line, share): the best licensed unit of every file that has one, and the share of the file's words in such units.
 
     key: a column that tells files apart; rows of equal keys must have equal texts. Only scored units are joined and
     grouped, by key and unit, so no group outgrows a file.
@@ -126,18 +163,18 @@ def headers(files: DataFrame, key: str, text: str = "text", templates: list[tupl
         for w in _split(notice):
             own[w] = own.get(w, 0.0) + weights[w]
         norm = math.sqrt(sum(x * x for x in own.values()))
-        told += [(i, name, w, x / norm) for w, x in own.items()]
+        told += [(i, name, w, x / norm) for w, x in own.items() if norm]
     vectors = spark.createDataFrame(told, "template int, name string, word string, tw double")
     hints = sorted(telling(weights, templates, _split, least))
-    hint = "(?i)SPDX-License-Identifier:|(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in hints) + ")(?![a-z0-9])"
+    hint = "(?i)SPDX-License-Identifier:|(?<![a-z0-9])" + alternatives(hints) + "(?![a-z0-9])"
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), MARKS, ""), COPYRIGHT, "")
     found = files.where(col(text).rlike(hint)).select(col(key).alias("key"), clean.alias("t")).dropDuplicates(["key"])
     before = Window.partitionBy("key").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     paras = found.select("key", F.size(words_of(F.col("t"))).alias("whole"), F.posexplode(F.split("t", "\n\n")).alias("p", "para")).withColumn("start", F.coalesce(F.sum(F.size(F.split("para", "\n")) + 1).over(before), F.lit(0)))
     held = paras.where(F.col("para").rlike(hint))
-    lines = held.select("key", "whole", "start", F.posexplode(F.split("para", "\n")).alias("i", "unit")).where(F.col("unit").rlike(hint)).select("key", "whole", (F.col("start") + F.col("i")).alias("at"), F.lit(0).alias("long"), "unit")
-    units = lines.unionByName(held.select("key", "whole", (F.col("start") + F.length(F.regexp_extract("para", "^\n*", 0))).alias("at"), F.lit(1).alias("long"), F.col("para").alias("unit")))
-    by = ["key", "at", "long"]
+    lines = held.select("key", "whole", "p", "start", F.posexplode(F.split("para", "\n")).alias("i", "unit")).where(F.col("unit").rlike(hint)).select("key", "whole", "p", (F.col("start") + F.col("i")).alias("at"), F.lit(0).alias("long"), "unit")
+    units = lines.unionByName(held.select("key", "whole", "p", (F.col("start") + F.length(F.regexp_extract("para", "^\n*", 0))).alias("at"), F.lit(1).alias("long"), F.col("para").alias("unit")))
+    by = ["key", "p", "at", "long"]
     tf = units.select(*by, "whole", F.explode(words_of(F.col("unit"))).alias("word")).groupBy(*by, "whole", "word").agg(F.count("*").alias("tf"))
     weighted = tf.join(df, "word", "left").withColumn("w", F.col("tf") * weigh(F.col("df")))
     over = Window.partitionBy(*by)
@@ -145,10 +182,14 @@ def headers(files: DataFrame, key: str, text: str = "text", templates: list[tupl
     # a row for each word of a template: bounded by the templates
     scored = mine.join(F.broadcast(vectors), "word").groupBy(*by, "whole", "size", "norm", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).withColumn("similarity", F.col("dot") / F.col("norm")).where(F.col("similarity") >= least)
     spdx = F.regexp_extract("unit", SPDX, 1)
-    tagged = lines.where(spdx != "").select(*by, "whole", F.size(words_of(F.col("unit"))).alias("size"), spdx.alias("name"), F.lit(1.0).alias("similarity"))
+    tagged = lines.where(spdx != "").select(*by, "whole", F.lit(0).alias("size"), spdx.alias("name"), F.lit(1.0).alias("similarity"))
     all_of = scored.select(*by, "whole", "size", "name", "similarity").unionByName(tagged)
-    best = all_of.groupBy("key").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "at", "long", "name", (F.col("size") / F.col("whole")).alias("share"))).alias("b"))
-    return best.select(F.col("key").alias(key), F.col("b.name").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("b.at").cast("long").alias("line"), F.col("b.share").alias("share"))
+    choice = F.min(F.when(F.col("name").isNotNull(), F.struct((-F.round("similarity", 9)).alias("s"), "at", "long", "name")))
+    unit = all_of.groupBy(*by, "whole").agg(F.max("size").alias("size"), choice.alias("b"))
+    # a paragraph is licensed as a whole, or for those of its lines that are
+    para = unit.groupBy("key", "p", "whole").agg(F.greatest(F.coalesce(F.max(F.when(F.col("long") == 1, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("long") == 0, F.col("size"))), F.lit(0))).alias("size"), F.min("b").alias("b"))
+    best = para.groupBy("key").agg(F.min("b").alias("b"), (F.sum("size") / F.max("whole")).alias("share")).where("b is not null")
+    return best.select(F.col("key").alias(key), F.col("b.name").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("b.at").cast("long").alias("line"), F.col("share"))
 
 
 def directory(path: Column) -> Column:
@@ -164,7 +205,7 @@ def inherit(files: DataFrame, path: str = "path", own: str = "licence", similari
     files = renamed(files, "inherited", "inherited_from")
     (here,) = fresh(files, "directory")
     placed = files.withColumn(here, directory(col(path)))
-    given = placed.where(col(is_licence) & col(own).isNotNull() & col(path).isNotNull()).groupBy(col(here).alias("anc")).agg(F.min(F.struct((-col(similarity)).alias("s"), col(path).alias("p"), col(own).alias("l"))).alias("g")).select("anc", F.col("g.l").alias("inherited"))
+    given = placed.where(col(is_licence) & col(own).isNotNull() & col(path).isNotNull()).groupBy(col(here).alias("anc")).agg(F.min(F.struct((~col(path).rlike(NAMES)).alias("n"), (-col(similarity)).alias("s"), col(path).alias("p"), col(own).alias("l"))).alias("g")).select("anc", F.col("g.l").alias("inherited"))
     dirs = placed.where(col(path).isNotNull()).select(col(here).alias("dir")).distinct()
     parts = F.split("dir", "/")
     chain = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.when(i == 0, "").otherwise(F.array_join(F.slice(parts, 1, i), "/"))))
@@ -176,15 +217,15 @@ def inherit(files: DataFrame, path: str = "path", own: str = "licence", similari
 def scan(files: DataFrame, path: str = "path", text: str = "text", licence_files: Column | None = None, **how) -> DataFrame:
     """files with licence, similarity, line, is_licence, inherited, inherited_from and effective.
 
-    licence_files: which files hold their directory's licence if they have one; by default those whose notice is
-    LICENCE_SHARE of their words.
+    licence_files: which files hold their directory's licence if they have one; by default those of such names, and
+    texts with LICENCE_SHARE of their words in licensed units.
     """
     files = renamed(files, "licence", "similarity", "line", "is_licence", "inherited", "inherited_from", "effective")
     key, share = fresh(files, "key", "share")
     keyed = files.withColumn(key, file_key(files, *(c for c in files.columns)))
     found = headers(keyed, key, text, **how).withColumnRenamed("share", share)
     met = keyed.join(found, key, "left")
-    decides = licence_files if licence_files is not None else F.col(share) >= LICENCE_SHARE
+    decides = licence_files if licence_files is not None else col(path).rlike(NAMES) | (col(path).rlike(TEXTS) & (F.col(share) >= LICENCE_SHARE))
     out = inherit(met.withColumn("is_licence", F.coalesce(F.col("licence").isNotNull() & decides, F.lit(False))), path)
     return out.withColumn("effective", F.coalesce("licence", "inherited")).drop(key, share)
 

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,13 +49,15 @@ LEAST, PRIOR, GAMMA = 0.5, 8, 0.9
 BROADCAST_NODES, SALTS = 500_000, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option button".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object select option button".split())
+#: Of these the slash of <svg/> ends the element; of the others HTML passes it over.
+FOREIGN = frozenset(["svg"])
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 FRAME = frozenset("html body article main".split())
 DECLARED = frozenset("nav footer aside menu dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
-#: Whole class names, and starts of them before a hyphen or underscore.
-APART = frozenset("ad ads advert advertisement adsbygoogle sponsored comment comments commentlist disqus respond replies".split())
+#: Whole class names; a name that merely starts like one (ad-hoc-query, comments-on-kant) says nothing.
+APART = frozenset("ad ads advert adverts advertisement advertisements adsbygoogle ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad sponsored sponsored-content comment comments commentlist comment-list comment-section comments-area comments-list comments-section comment-body comment-form comment-respond user-comments reader-comments disqus disqus_thread respond replies".split())
 WEAK_TAGS = frozenset(["form", "header"])
 WEAK = frozenset("menu nav navbar breadcrumb breadcrumbs sidebar widget footer masthead topbar cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent notice popup modal newsletter subscribe share social related pagination pager toolbar banner promo".split())
 OPENS = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
@@ -102,6 +105,7 @@ class Page:
         mute = 0
         last = {q: page.rfind(q) for q in "\"'"}
         ends = {"-->": page.rfind("-->"), "]]>": page.rfind("]]>")}
+        closes: dict[str, list[tuple[int, int]]] = {}  # where the end tags of raw elements are, looked for once each
         pos, n = 0, len(page)
 
         def around() -> Element:
@@ -152,15 +156,19 @@ class Page:
                         pop()
                     pop()
                 continue
-            if tag in RAW:
-                end = CLOSES[tag].search(page, pos)
-                pos = end.end() if end else n if tag in ("script", "style") else pos
+            given = page[start : pos - 1]
+            # a button within a paragraph is part of its sentence, elsewhere a control
+            if tag in RAW and not (tag == "button" and around().tag == "p"):
+                if not (tag in FOREIGN and given.endswith("/")):
+                    if tag not in closes:
+                        closes[tag] = [m.span() for m in CLOSES[tag].finditer(page)]
+                    at = bisect_left(closes[tag], (pos, 0))
+                    pos = closes[tag][at][1] if at < len(closes[tag]) else n if tag in ("script", "style") else pos
                 continue
             if tag in VOID:
                 if tag == "br" and not mute:
                     buf.append(" ")
                 continue
-            given = page[start : pos - 1]
             attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTR.findall(given)} if given else {}
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in SPACES.sub("", attrs.get("style", ""))
             if given.endswith("/"):
@@ -195,8 +203,7 @@ class Page:
                 form = len(forms)
                 forms.append(False)
             if tag not in FRAME:
-                starts = {c for x in classes for c in (x, re.split(r"[-_]", x)[0])}
-                if tag in DECLARED or role in ROLES or hidden or starts & APART:
+                if tag in DECLARED or role in ROLES or hidden or not APART.isdisjoint(classes):
                     kind = OFF
                 elif (tag in WEAK_TAGS and not (tag == "header" and (opened["article"] or opened["main"]))) or not WEAK.isdisjoint(classes):
                     kind = max(kind, HINTED)

@@ -461,14 +461,70 @@ def test_licences_and_inheritance(spark):
     assert licences.scan(files.limit(0)).count() == 0
 
 
+MIT_TEXT = """The MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+
+
+def test_which_files_hold_a_licence_by_default(spark):
+    """Names first, then texts that are mostly licence; source code with a notice speaks for itself alone."""
+    data = [("/b/LICENSE", MIT_TEXT), ("/b/src/x.py", "print(1)"), ("/c/LICENSE.txt", "Apache License\nVersion 2.0, January 2004\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n" + "more terms of it " * 300), ("/c/src/x.py", "print(2)"), ("/d/COPYING", GPL_TEXT), ("/d/e/f.c", "int y;"), ("/a/3.c", "// SPDX-License-Identifier: GPL-2.0-only\nint x;"), ("/a/1.py", "print(3)"), ("/g/terms", MIT_TEXT), ("/g/h.c", "int z;"), ("/g/readme.md", "A tool.\n\n" + "It does this and that. " * 40 + "\n\nReleased under the MIT License.\n"), ("/i/notice.c", "/* Released under the MIT License. */\nint q;"), ("/i/j.c", "int w;"), ("/k/LICENSE", "Released under the MIT License."), ("/k/about", "Licensed under the Apache License, Version 2.0."), ("/k/x.c", "int v;"), ("/m/LICENSE", "words about nothing"), ("/m/y.c", "int u;")]
+    data += [(f"/f/{i}", f"word{i} common text the of and to is in that this work under" * 2) for i in range(40)]
+    got = {r.path: r for r in licences.scan(spark.createDataFrame(data, "path string, text string")).collect()}
+    assert {p for p, r in got.items() if r.is_licence} == {"/b/LICENSE", "/c/LICENSE.txt", "/d/COPYING", "/g/terms", "/k/LICENSE", "/k/about"}
+    want = {"/b/src/x.py": "MIT", "/c/src/x.py": "Apache-2.0", "/d/e/f.c": "GPL-3.0", "/a/3.c": "GPL-2.0-only", "/a/1.py": None, "/g/h.c": "MIT", "/g/readme.md": "MIT", "/i/notice.c": "MIT", "/i/j.c": None, "/k/x.c": "MIT", "/m/y.c": None, "/f/1": None}
+    assert {p: got[p].effective for p in want} == want
+    long = spark.createDataFrame([("/x", "plain words and more of them " * 200_000 + "\n\nReleased under the MIT License.")], "path string, text string")
+    assert licences.scan(long).first().licence == "MIT"
+
+
+def test_alternatives_match_the_words_alone():
+    import re
+
+    words = ["gnu", "gpl", "gplv3", "apache", "a", "v.2"]
+    pattern = re.compile("(?:" + licences.alternatives(words) + ")")
+    assert all(pattern.fullmatch(w) for w in words) and not any(pattern.fullmatch(w) for w in ("g", "gp", "ap", "vx2", ""))
+
+
 def test_licence_similarity_is_by_definition(spark):
     """Units scored against all templates, without the telling words, in plain Python."""
     import math
 
     rng = np.random.default_rng(11)
-    pieces = [t for _, t in licences.TEMPLATES]
+    pieces = [t for name, t in licences.TEMPLATES if name]
     texts = []
-    for i in range(60):
+    for i in range(120):
         w = " ".join(f"w{x}" for x in rng.integers(0, 30, 12)).split()
         if i % 2:
             notice = pieces[rng.integers(len(pieces))].split()
@@ -487,7 +543,7 @@ def test_licence_similarity_is_by_definition(spark):
         all_of = []
         for k, long, u in units:
             v = vec(u)
-            for name, notice in licences.TEMPLATES:
+            for name, notice in [x for x in licences.TEMPLATES if x[0]]:
                 n = vec(notice)
                 s = sum(x * v.get(w, 0) for w, x in n.items()) / (norm(n) * norm(v) or 1)
                 if s >= licences.LEAST:
@@ -689,6 +745,24 @@ def test_site_tree_cuts_what_repeats(spark):
     assert site_tree.main_text(spark.createDataFrame([], "page_id long, " + SITE)).count() == 0
 
 
+def test_names_and_raw_elements_are_read_whole():
+    e = site_tree.extract
+    assert e('<article><p>Alpha</p><svg class="i"/><p>Beta</p><svg><text>no</text></svg><p>C</p></article>') == "Alpha\n\nBeta\n\nC"
+    for name in ("ad-hoc-query", "comments-on-kant", "respond-to-fire"):
+        assert e(f'<article><section class="{name}"><p>text</p></section></article>') == "text"
+    assert e('<article><p>main</p><div class="x ad-slot">buy</div><div class="comment-list">first!</div></article>') == "main"
+    assert e("<article><p>Einstein <button>wrote</button> <math><mi>E</mi></math> in 1905.</p><button>Share</button></article>") == "Einstein wrote E in 1905."
+    assert e("<p>a<script>var x='</p>'</script >b<p>c<script>d") == "ab\n\nc"
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        e("<article><p>a</p>" + "<select><option>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.05
+
+
 def test_the_trees_decide(spark):
     """Names say nothing or the wrong thing: menus, notices and shared words go, articles stay. Without the trees it is not so."""
     rng = np.random.default_rng(3)

@@ -6,14 +6,15 @@ put before it; what the toxic one saves is what toxic texts have and ordinary on
 not. Calibrated thresholds on the windows' savings, fitted to held-back rows, turn them into a
 probability for each text.
 
-A training text is given to zstandard as its distinct words, so that a word counts for the texts that
-have it; of labelled near copies (similarity 0.8) one is learned from.
+Training texts are given to zstandard whole and as they stand, repeats included. Labelled near copies
+(similarity 0.8) stay together: all are learned from, but none calibrates thresholds whose copy made a dictionary.
 
 Defined results: a null text counts as empty; an empty text has the score of a
 text without any suspect window; rows are scored one by one, so repeated rows and
 ties get equal scores; with no toxic or no ordinary training row every score is
 the share of toxic training rows (0 without any). Texts of any length are cut into
-windows, all of which count, in training as well.
+windows, all of which count. A labelled text over a class's whole byte bound is not learned from. Of texts too few
+to train on (zstandard says so), the texts themselves are the dictionary.
 """
 
 from __future__ import annotations
@@ -25,30 +26,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import near_copies
 from millrace.llm import words as W
 from millrace.llm.columns import col, renamed
-from millrace.storage import small_batches
+from millrace.storage import materialize, release, small_batches
 
 #: Bytes of a window, and how much two windows in a row share: longer than most words.
 WINDOW, OVERLAP = 96, 14
-#: Labelled rows of each class that the model is fitted on, at most, the first in hash order.
+#: Labelled rows of each class that the model is fitted on, at most, the first in hash order, and bytes of their whole texts.
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
+MAX_TOXIC_TEXT, MAX_ORDINARY_TEXT = 16 << 20, 32 << 20
 #: Bytes of the dictionaries, and the lengths that zstandard selects their segments by.
-TOXIC_BYTES, ORDINARY_BYTES = 24_000, 128_000
-SEGMENT, PIECE = 16, 8
+TOXIC_BYTES, ORDINARY_BYTES = 16_000, 128_000
+SEGMENT, PIECE = 12, 8
+#: Ridge of the calibration, and the power of the classes' ratio that toxic rows are weighted by: a miss costs more than a false alarm.
+RIDGE, BALANCE = 1.0, 0.5
 
 
 def lower(text: str | None) -> bytes:
     return b" " + (text or "").encode("utf-8", "surrogatepass").lower() + b" "
 
 
-def sample(text: str | None) -> bytes:
-    """The distinct words of a text, each between spaces."""
-    return b" " + b"  ".join(sorted(set(lower(text).split()))) + b" "
-
-
 def dictionary(samples: list[bytes], size: int) -> bytes:
     """A zstandard dictionary trained on the samples; of too few to train on, the samples themselves."""
     import zstandard as z
@@ -87,9 +87,10 @@ class Model:
         gains = [len(ordinary(w)) - len(toxic(w)) for w in (b[i : i + WINDOW] for i in range(0, max(1, len(b) - OVERLAP), WINDOW - OVERLAP))]
         gains.sort(reverse=True)
         top = (gains + [0] * 4)[:4]
-        n, counts = len(gains), [sum(g >= k for g in gains) for k in (2, 3, 4, 5, 6)]
+        n, counts = len(gains), [sum(g >= k for g in gains) for k in (2, 3, 4, 5, 6, 8)]
+        losses = [sum(g <= -k for g in gains) for k in (1, 2)]
         size = math.log1p(n)
-        return (*(min(max(g, -1), 10) for g in top), *(math.log1p(c) for c in counts), *(c / n for c in counts), size, *(float(top[0] >= k) for k in (2, 3, 4, 5, 6, 7)), *(math.log1p(c) * size for c in counts[1:4]))
+        return (*(min(max(g, -1), 10) for g in top), *(math.log1p(c) for c in counts), *(c / n for c in counts), *(c / n for c in losses), size, sum(gains) / n, *(math.log1p(c) * size for c in counts[1:4]))
 
     def fit(self, features: list, labels: list[int]) -> None:
         """Logistic regression on the features of rows that the dictionaries have not seen."""
@@ -97,10 +98,11 @@ class Model:
         self.mean, self.std = x.mean(0), x.std(0) + 1e-9
         x = np.c_[np.ones(len(x)), (x - self.mean) / self.std]
         w = np.zeros(x.shape[1])
+        cost = np.where(y == 1, ((y == 0).sum() / max(1, (y == 1).sum())) ** BALANCE, 1.0)
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            grad = x.T @ (p - y) + 1e-2 * np.r_[0, w[1:]]
-            h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(np.r_[1e-6, np.full(x.shape[1] - 1, 1e-2)])
+            grad = x.T @ (cost * (p - y)) + RIDGE * np.r_[0, w[1:]]
+            h = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag(np.r_[1e-6, np.full(x.shape[1] - 1, RIDGE)])
             step = np.linalg.solve(h, grad)
             w -= step
             if np.abs(step).max() < 1e-6:
@@ -114,20 +116,20 @@ class Model:
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, self.weights[0] + float(x @ self.weights[1:]))))))
 
 
-def distinct(rows: list[tuple[bytes, bytes]]) -> list[int]:
-    """Numbers of the rows (long SimHash, block values as bytes) that are no near copy of an earlier one."""
+def copies(rows: list[tuple[bytes, bytes]]) -> list[int]:
+    """For each row (long SimHash, block values as bytes) the number of the first row that it is a near copy of, its own if of none."""
     by: dict[int, list[int]] = {}
     most = int(near_copies.VERIFY_BITS * near_copies.share(near_copies.SIMILARITY))
-    out = []
+    out: list[int] = []
     for i, (sig, packed) in enumerate(rows):
         blocks = np.frombuffer(packed, dtype=np.int64).tolist()
         bits = int.from_bytes(sig, "little")
-        met = {j for b in blocks for j in by.get(b, ())}
-        if any((bits ^ int.from_bytes(rows[j][0], "little")).bit_count() <= most for j in met):
-            continue
-        out.append(i)
-        for b in blocks:
-            by.setdefault(b, []).append(i)
+        met = sorted({j for b in blocks for j in by.get(b, ())})
+        of = next((j for j in met if (bits ^ int.from_bytes(rows[j][0], "little")).bit_count() <= most), i)
+        out.append(of)
+        if of == i:
+            for b in blocks:
+                by.setdefault(b, []).append(i)
     return out
 
 
@@ -136,50 +138,60 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, toxic_text: int = MAX_TOXIC_TEXT, ordinary_text: int = MAX_ORDINARY_TEXT) -> Model:
     """Learn from a bounded sample of the labelled rows outside the held-out fold.
 
-    The sample is the first rows of each class in hash order, max_toxic and max_ordinary at most;
-    of repeated ids the first text. The driver gets their distinct words and fingerprints, and for the calibration
-    a few numbers of each. Ids with contradictory labels or null ones are left out.
+    The sample is the first rows of each class in hash order, so many and as long as their whole texts stay within the
+    bytes, by default 48 MB in all, which the driver trains on; of repeated ids the least text by hash. Ids with contradictory
+    labels or null ones are left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi and lo in (0, 1)").where(fold(F.col("doc_id")) != 1)
     picked = None
     for value, most in ((1, max_toxic), (0, max_ordinary)):
         one = known.where(F.col("lo") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("lo").alias("label"))
         picked = one if picked is None else picked.unionByName(one)
-    # at most max_toxic + max_ordinary ids: a proven bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
-    @F.pandas_udf("words binary, sig binary, blocks binary")
-    def learned(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("sig binary, blocks binary")
+    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            found = ((sample(t), *near_copies.sig_and_blocks(t)) for t in s)
-            yield pd.DataFrame([(w, sig, np.array(b, dtype=np.int64).tobytes()) for w, sig, b in found], columns=["words", "sig", "blocks"])
-
+            yield pd.DataFrame([(sig, np.array(b, dtype=np.int64).tobytes()) for sig, b in map(near_copies.sig_and_blocks, s)], columns=["sig", "blocks"])
+
+    # at most max_toxic + max_ordinary ids: a proven bound; a repeated id is one row before anything else
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    firsts = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("p")).select("doc_id", "label", "p.text")
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    most = F.when(F.col("label") == 1, F.lit(toxic_text)).otherwise(F.lit(ordinary_text))
+    fits = F.octet_length("text") <= most
     with small_batches(docs.sparkSession):
-        firsts = rows.select("doc_id", "label", F.xxhash64("text").alias("t"), learned("text").alias("p")).groupBy("doc_id", "label").agg(F.min(F.struct("t", "p.words", "p.sig", "p.blocks")).alias("p"))
-        found = sorted(firsts.select("doc_id", "label", "p.*").toLocalIterator(), key=lambda r: r.doc_id)
-    by = {k: [r for r in found if r.label == k] for k in (0, 1)}
-    by = {k: [own[i] for i in distinct([(bytes(r.sig), bytes(r.blocks)) for r in own])] for k, own in by.items()}
-    n = len(by[0]) + len(by[1])
-    prior = len(by[1]) / n if n else 0.0
-    if not by[0] or not by[1]:
+        bounded = firsts.where(fits).withColumn("upto", upto).where(F.col("upto") <= most)
+        sample = materialize(bounded.select("doc_id", "label", "text", prints("text").alias("p")), "labelled")
+    found = sorted(sample.select("doc_id", "label", "p.*").toLocalIterator(), key=lambda r: r.doc_id)
+    own = {k: [r for r in found if r.label == k] for k in (0, 1)}
+    n = len(found)
+    prior = len(own[1]) / n if n else 0.0
+    if not own[0] or not own[1]:
+        release(sample)
         return Model(b"", b"", prior)
-    # dictionaries from three quarters of each class, thresholds from the held-back quarter
-    part = lambda own, keep: [r for i, r in enumerate(own) if (i % 4 != 3) == keep] or own
-    model = Model(*(dictionary([bytes(r.words) for r in part(by[k], True)], size) for k, size in ((1, TOXIC_BYTES), (0, ORDINARY_BYTES))), prior)
-    back = {r.doc_id: r.label for k in (0, 1) for r in part(by[k], False)}
+    # dictionaries from three quarters of each class, thresholds from the held-back quarter, which copies follow
+    side = {k: {r.doc_id: of % 4 != 3 for r, of in zip(rs, copies([(bytes(r.sig), bytes(r.blocks)) for r in rs]))} for k, rs in own.items()}
+    part = lambda k, keep: {i for i, trains in side[k].items() if trains == keep} or set(side[k])
+    trains, back = ({k: part(k, keep) for k in (0, 1)} for keep in (True, False))
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sample.select("doc_id", "label", F.col("text").cast("binary").alias("b")).orderBy("doc_id").toLocalIterator():
+        if r.doc_id in trains[r.label]:
+            texts[r.label].append(b" " + bytes(r.b).lower() + b" ")
+    model = Model(dictionary(texts[1], TOXIC_BYTES), dictionary(texts[0], ORDINARY_BYTES), prior)
+    texts.clear()
 
     @F.pandas_udf("array<double>")
     def features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([list(model.features(t if isinstance(t, str) else None)) for t in s])
+            yield pd.Series([list(model.features(t)) for t in s])
 
-    kept = docs.sparkSession.createDataFrame(list(back.items()), f"doc_id {dict(docs.dtypes)['doc_id']}, label int")
-    held = sorted(docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select("doc_id", "label", features("text").alias("x")).collect(), key=lambda r: (r.doc_id, r.x))
-    once = {r.doc_id: r for r in reversed(held)}
-    model.fit([r.x for r in once.values()], [r.label for r in once.values()])
+    kept = docs.sparkSession.createDataFrame([(i,) for k in (0, 1) for i in sorted(back[k])], f"doc_id {dict(docs.dtypes)['doc_id']}")
+    held = sorted(sample.join(F.broadcast(kept), "doc_id").select("doc_id", "label", features("text").alias("x")).collect(), key=lambda r: r.doc_id)
+    model.fit([r.x for r in held], [r.label for r in held])
+    release(sample)
     return model
 
 

@@ -80,6 +80,30 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_gain_is_a_difference_of_compressed_lengths():
+    """One window by definition: zstandard with the ordinary dictionary, and with the toxic one before it."""
+    import zstandard as z
+
+    toxic, ordinary = b" zzyzx gribble snarf " * 3, b" the sea is wide and the sky is high "
+    model = toxicity.Model(toxic, ordinary, 0.1)
+    how = z.ZstdCompressionParameters(window_log=20, chain_log=18, hash_log=17, search_log=7, min_match=4, target_length=32, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda content, b: len(z.ZstdCompressor(compression_params=how, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)).compress(b))
+    for text in ("Gribble snarf zzyzx", "The sea is wide", None):
+        b = toxicity.lower(text)
+        gain = size(ordinary, b) - size(toxic + ordinary, b)
+        assert model.features(text)[0] == min(max(gain, -1), 10)
+    assert model.features("Gribble snarf zzyzx")[0] > 3 > model.features("The sea is wide")[0]
+    long = "The sea is wide. " * 40 + "gribble snarf zzyzx" + " the sky is high" * 40
+    assert model.features(long)[0] > 3
+
+
+def test_labelled_copies_stay_on_one_side():
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)]
+    texts += [texts[2] + " more", texts[2], texts[4].replace("w4x9", "other")]
+    rows_ = [(sig, np.array(b, dtype=np.int64).tobytes()) for sig, b in map(near_copies.sig_and_blocks, texts)]
+    assert toxicity.copies(rows_) == [0, 1, 2, 3, 4, 5, 2, 2, 4]
+
+
 def test_toxicity_edges(spark):
     lab = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     docs = rows(spark, ODD)

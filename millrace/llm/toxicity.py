@@ -6,8 +6,8 @@ put before it; what the toxic one saves is what toxic texts have and ordinary on
 not. Calibrated thresholds on the windows' savings, fitted to held-back rows, turn them into a
 probability for each text.
 
-Training texts are given to zstandard whole and as they stand, repeats included. Labelled near copies
-(similarity 0.8) stay together: all are learned from, but none calibrates thresholds whose copy made a dictionary.
+Training texts are given to zstandard whole and as they stand, repeats included. A quarter of the labelled texts, by
+their hash, makes no dictionary but calibrates the thresholds; equal texts are on one side.
 
 Defined results: a null text counts as empty; an empty text has the score of a
 text without any suspect window; rows are scored one by one, so repeated rows and
@@ -28,10 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm import near_copies
 from millrace.llm import words as W
 from millrace.llm.columns import col, renamed
-from millrace.storage import materialize, release, small_batches
+from millrace.storage import materialize, release
 
 #: Bytes of a window, and how much two windows in a row share: longer than most words.
 WINDOW, OVERLAP = 96, 14
@@ -116,23 +115,6 @@ class Model:
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, self.weights[0] + float(x @ self.weights[1:]))))))
 
 
-def copies(rows: list[tuple[bytes, bytes]]) -> list[int]:
-    """For each row (long SimHash, block values as bytes) the number of the first row that it is a near copy of, its own if of none."""
-    by: dict[int, list[int]] = {}
-    most = int(near_copies.VERIFY_BITS * near_copies.share(near_copies.SIMILARITY))
-    out: list[int] = []
-    for i, (sig, packed) in enumerate(rows):
-        blocks = np.frombuffer(packed, dtype=np.int64).tolist()
-        bits = int.from_bytes(sig, "little")
-        met = sorted({j for b in blocks for j in by.get(b, ())})
-        of = next((j for j in met if (bits ^ int.from_bytes(rows[j][0], "little")).bit_count() <= most), i)
-        out.append(of)
-        if of == i:
-            for b in blocks:
-                by.setdefault(b, []).append(i)
-    return out
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; rows of remainder 1 are never learned from. A null id counts as 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(0))
@@ -142,8 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     """Learn from a bounded sample of the labelled rows outside the held-out fold.
 
     The sample is the first rows of each class in hash order, so many and as long as their whole texts stay within the
-    bytes, by default 48 MB in all, which the driver trains on; of repeated ids the least text by hash. Ids with contradictory
-    labels or null ones are left out.
+    bytes, by default 48 MB in all; of repeated ids the least text by hash. Ids with contradictory labels or null ones are
+    left out. A task for each class trains its dictionary, so the driver gets the dictionaries and a few numbers of each
+    row of the calibration, but no text.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi and lo in (0, 1)").where(fold(F.col("doc_id")) != 1)
     picked = None
@@ -151,45 +134,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
         one = known.where(F.col("lo") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.col("lo").alias("label"))
         picked = one if picked is None else picked.unionByName(one)
 
-    @F.pandas_udf("sig binary, blocks binary")
-    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            yield pd.DataFrame([(sig, np.array(b, dtype=np.int64).tobytes()) for sig, b in map(near_copies.sig_and_blocks, s)], columns=["sig", "blocks"])
-
     # at most max_toxic + max_ordinary ids: a proven bound; a repeated id is one row before anything else
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     firsts = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("p")).select("doc_id", "label", "p.text")
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     most = F.when(F.col("label") == 1, F.lit(toxic_text)).otherwise(F.lit(ordinary_text))
     fits = F.octet_length("text") <= most
-    with small_batches(docs.sparkSession):
-        bounded = firsts.where(fits).withColumn("upto", upto).where(F.col("upto") <= most)
-        sample = materialize(bounded.select("doc_id", "label", "text", prints("text").alias("p")), "labelled")
-    found = sorted(sample.select("doc_id", "label", "p.*").toLocalIterator(), key=lambda r: r.doc_id)
-    own = {k: [r for r in found if r.label == k] for k in (0, 1)}
-    n = len(found)
-    prior = len(own[1]) / n if n else 0.0
-    if not own[0] or not own[1]:
+    bounded = firsts.where(fits).withColumn("upto", upto).where(F.col("upto") <= most)
+    sample = materialize(bounded.select("doc_id", F.col("label").cast("int").alias("label"), "text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("back")), "labelled")
+    seen = {(r.label, r.back): r.n for r in sample.groupBy("label", "back").agg(F.count("*").alias("n")).collect()}
+    n = {k: seen.get((k, True), 0) + seen.get((k, False), 0) for k in (0, 1)}
+    prior = n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.0
+    if not n[0] or not n[1]:
         release(sample)
         return Model(b"", b"", prior)
-    # dictionaries from three quarters of each class, thresholds from the held-back quarter, which copies follow
-    side = {k: {r.doc_id: of % 4 != 3 for r, of in zip(rs, copies([(bytes(r.sig), bytes(r.blocks)) for r in rs]))} for k, rs in own.items()}
-    part = lambda k, keep: {i for i, trains in side[k].items() if trains == keep} or set(side[k])
-    trains, back = ({k: part(k, keep) for k in (0, 1)} for keep in (True, False))
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sample.select("doc_id", "label", F.col("text").cast("binary").alias("b")).orderBy("doc_id").toLocalIterator():
-        if r.doc_id in trains[r.label]:
-            texts[r.label].append(b" " + bytes(r.b).lower() + b" ")
-    model = Model(dictionary(texts[1], TOXIC_BYTES), dictionary(texts[0], ORDINARY_BYTES), prior)
-    texts.clear()
+    # a class with rows on one side only has them on both
+    alone = [k for k in (0, 1) if (k, True) not in seen or (k, False) not in seen]
+    part = lambda back: sample.where((F.col("back") == back) | F.col("label").isin(alone))
+    sizes = {1: TOXIC_BYTES, 0: ORDINARY_BYTES}
+
+    def train(group):
+        import pyarrow as pa
+
+        label = group.column("label")[0].as_py()
+        ordered = group.sort_by("doc_id").column("text").to_pylist()
+        made = dictionary([lower(t) for t in ordered], sizes[label])
+        return pa.table({"label": pa.array([label], pa.int32()), "made": pa.array([made], pa.binary())})
+
+    dictionaries = part(False).select("doc_id", "label", "text").groupBy("label").applyInArrow(train, "label int, made binary")
+    made = {r.label: bytes(r.made) for r in dictionaries.collect()}
+    model = Model(made[1], made[0], prior)
 
     @F.pandas_udf("array<double>")
     def features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([list(model.features(t)) for t in s])
 
-    kept = docs.sparkSession.createDataFrame([(i,) for k in (0, 1) for i in sorted(back[k])], f"doc_id {dict(docs.dtypes)['doc_id']}")
-    held = sorted(sample.join(F.broadcast(kept), "doc_id").select("doc_id", "label", features("text").alias("x")).collect(), key=lambda r: r.doc_id)
+    held = sorted(part(True).select("doc_id", "label", features("text").alias("x")).collect(), key=lambda r: r.doc_id)
     model.fit([r.x for r in held], [r.label for r in held])
     release(sample)
     return model

@@ -97,13 +97,6 @@ def test_a_gain_is_a_difference_of_compressed_lengths():
     assert model.features(long)[0] > 3
 
 
-def test_labelled_copies_stay_on_one_side():
-    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)]
-    texts += [texts[2] + " more", texts[2], texts[4].replace("w4x9", "other")]
-    rows_ = [(sig, np.array(b, dtype=np.int64).tobytes()) for sig, b in map(near_copies.sig_and_blocks, texts)]
-    assert toxicity.copies(rows_) == [0, 1, 2, 3, 4, 5, 2, 2, 4]
-
-
 def test_toxicity_edges(spark):
     lab = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     docs = rows(spark, ODD)

@@ -26,7 +26,7 @@ from millrace.plans import losses, manifests
 from millrace.plans.evaluation import Dataset, evaluate
 from millrace.sources import calibration
 from millrace.sources import embeddings as E
-from millrace.sources import images
+from millrace.sources import arrays, images, shards
 from millrace.sources import jsonl as J
 from millrace.storage import cached, materialize, new_path
 
@@ -217,10 +217,14 @@ def f12(s, d):
     return R.usable(flagged, "d", "vec", "ok").select("d")
 
 
-@reg("S06_embedding_set", "select count(*) as n, max(len(embedding))::int as dim, count(distinct vec_id) as ids from embeddings")
+@reg("S06_embedding_set", "select vec_id as row_idx, 'set::v' || vec_id as id, round(embedding[1]::double, 4) as first, true as success from embeddings")
 def s06(s, d):
-    v = table(s, d, "embeddings")
-    return v.agg(F.count("*").alias("n"), F.lit(E.check_dims(v)).alias("dim"), F.countDistinct("vec_id").alias("ids"))
+    """The vectors as an array file in parts, read in byte ranges and joined with the ids of their rows."""
+    v, path = table(s, d, "embeddings"), new_path(s, "array")
+    arrays.write_npy(v.select(F.col("vec_id").alias("row_idx"), "embedding"), path, v.count(), 4, kind="<f4")
+    got = arrays.read_npy(s, path, rangeBytes=64 << 10)
+    ids = v.select(F.col("vec_id").alias("row_idx"), T.namespaced(F.lit("set"), F.concat(F.lit("v"), "vec_id")).alias("id"))
+    return got.join(ids, "row_idx").select("row_idx", "id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"), F.exists("embedding", lambda x: x != 0).alias("success"))
 
 
 # --- scans, filters, records (conversations as JSON lines) ---
@@ -228,9 +232,17 @@ def conv_lines(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.struct(F.col("text").alias("content"), F.concat(F.lit("u"), F.col("turn")).alias("id")).alias("q"), F.array(F.col("role")).alias("pos"), F.col("conv_id").alias("cluster_id"))).alias("line"))
 
 
-@reg("S01_jsonl_scan", "select conv_id, turn, role from conversations")
+@reg("S01_jsonl_scan", "select conv_id, turn, role, row_number() over (order by conv_id, turn) as number from conversations")
 def s01(s, d):
-    return J.parsed(conv_lines(s, d)).select("conv_id", "turn", J.field(F.col("v"), "pos", "array<string>")[0].alias("role"))
+    """JSON lines of a folder of files, each with its number in its file; numbers of files add up to those of the table."""
+    path = new_path(s, "lines")
+    conv_lines(s, d).repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("line").write.text(path)
+    rows = J.parsed(J.numbered_lines(s, path))
+    got = materialize(rows.select("path", "number", J.field(F.col("v"), "cluster_id", "long").alias("conv_id"), J.field(F.col("v"), "q", "variant").alias("q"), J.field(F.col("v"), "pos", "array<string>")[0].alias("role")).withColumn("turn", F.substring(F.try_variant_get("q", "$.id", "string"), 2, 20).cast("long")).drop("q"), "parsed")
+    files = got.groupBy("path").agg(F.min(F.struct("conv_id", "turn")).alias("least"), F.count("*").alias("n"))
+    # a row for each file
+    before = files.select("path", (F.sum("n").over(Window.orderBy("least")) - F.col("n")).alias("before"))
+    return got.join(F.broadcast(before), "path").select("conv_id", "turn", "role", (F.col("number") + F.col("before")).alias("number"))
 
 
 @reg("S02_multi_file", "select * from (select 0 as f, conv_id as id from conversations union all select 1, doc_id from documents) order by f, id limit 700")
@@ -905,11 +917,18 @@ def x01(s, d):
     return E.embed(docs, E.HashedWords(16)).select("row_idx", "n_tokens", "success", F.size("embedding").alias("dim"))
 
 
-@reg("K02_merge", "select doc_id as row_idx, doc_id % 9 <> 0 and length(text) > 0 as success, 16 as dim from documents")
+def documents_as_records(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+
+
+@reg("K02_merge", "select doc_id as row_idx, 'd' || doc_id as id, doc_id % 9 <> 0 and length(text) > 0 as success, 16 as dim from documents")
 def k02(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), "text")
-    done = E.embed(docs.where("row_idx % 9 <> 0"), E.HashedWords(16)).drop("n_tokens", "error")
-    return E.merged(docs.select("row_idx"), done, 16).select("row_idx", "success", F.size("embedding").alias("dim"))
+    """Shards written, checked against their ledger, merged and written as an embedding folder, which is read again."""
+    docs = documents_as_records(s, d).withColumn("text", F.when(F.col("row_idx") % 9 != 0, F.col("text")))
+    path, folder, n = new_path(s, "shards"), new_path(s, "set"), docs.count()
+    shards.write_shards(E.embed(docs, E.HashedWords(16)), path, 4)
+    shards.write_set(materialize(shards.merge(s, path, docs.select("row_idx", "id"), n), "merged"), folder, n, 4)
+    return shards.read_set(s, folder).select("row_idx", "id", "success", F.size("embedding").alias("dim"))
 
 
 @reg("J17_failed_rows", "select doc_id as row_idx, case when doc_id % 9 = 0 then 'no result' else 'other' end as error from documents where doc_id % 9 = 0 or length(text) = 0")
@@ -971,11 +990,10 @@ def s10(s, d):
     return s.read.schema("n long, longest long, dataset string").json(path).select("dataset", "n", "longest")
 
 
-@reg("K01_shards", "select doc_id % 4 as shard, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1")
+@reg("K01_shards", "select doc_id % 4 as shard, count(*) as rows, min(doc_id) as first, max(doc_id) as last, 1 as islands, count(*) filter (where length(text) > 0) as succeeded from documents group by 1")
 def k01(s, d):
-    path = new_path(s, "shards")
-    table(s, d, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 4).alias("shard")).write.partitionBy("shard").parquet(path)
-    return s.read.parquet(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    told = shards.write_shards(E.embed(documents_as_records(s, d), E.HashedWords(16)), new_path(s, "shards"), 4)
+    return told.select(F.col("shard").cast("long").alias("shard"), "rows", "first", "last", F.col("islands").cast("int").alias("islands"), "succeeded")
 
 
 @reg("K11_bucket_manifests", "select lang as bucket, count(*) as n, min(doc_id) as first from documents group by lang")

@@ -106,20 +106,19 @@ def embed(records: DataFrame, backend: Backend, row: str = "row_idx", text: str
             for i in range(0, len(items), batch):
                 part = items[i : i + batch]
                 errors = [backend.validate(x["text"], []) for x in part]
-                good = [x for x, e in zip(part, errors) if e is None]
+                good = [k for k, e in enumerate(errors) if e is None]
                 try:
-                    vectors = dict(zip((x["row_idx"] for x in good), backend.embed(good))) if good else {}
-                    failed = {}
+                    vectors = dict(zip(good, backend.embed([part[k] for k in good]))) if good else {}
                 except Exception:
-                    vectors, failed = {}, {}
-                    for x in good:
+                    vectors = {}
+                    for k in good:
                         try:
-                            vectors[x["row_idx"]] = backend.embed([x])[0]
+                            vectors[k] = backend.embed([part[k]])[0]
                         except Exception as e:
-                            failed[x["row_idx"]] = str(e)
-                for x, e in zip(part, errors):
-                    v = vectors.get(x["row_idx"])
-                    out.append((x["row_idx"], v, len((x["text"] or "").split()), v is not None, e or failed.get(x["row_idx"])))
+                            errors[k] = str(e)
+                for k, (x, e) in enumerate(zip(part, errors)):
+                    v = vectors.get(k)
+                    out.append((x["row_idx"], v, len((x["text"] or "").split()), v is not None, e))
             yield pd.DataFrame(out, columns=["row_idx", "embedding", "n_tokens", "success", "error"])
 
     return records.select(F.col(row).cast("long").alias("row_idx"), F.col(text).alias("text")).mapInPandas(run, schema)

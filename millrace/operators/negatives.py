@@ -57,3 +57,25 @@ def mined(ranked: DataFrame, related: DataFrame, n: int, window: int, p: float,
     tried = band.withColumn("o", F.row_number().over(w.orderBy(draw(seed, "i", "j")))).where(F.col("o") <= max(2 * n, n + 2))
     kept = tried.where("i <> j").join(related.select("i", "j"), ["i", "j"], "left_anti")
     return kept.withColumn("pos", F.row_number().over(w.orderBy("o"))).where(F.col("pos") <= n).select("i", "j", "pos")
+
+
+def group_negatives(picks: DataFrame, views: DataFrame, related: DataFrame, k: int) -> DataFrame:
+    """(row, src, view, uid): the first k views of each picked source row, as one negative of row.
+
+    picks (row, src, ...); views (src, view, uid); related (row, uid). A source of which any view, kept or not, is related
+    to the row goes as a whole, so that the views of those that stay are aligned; one without views has none to give.
+    """
+    hit = picks.select("row", "src").join(views.select("src", "uid"), "src").join(related.select("row", "uid"), ["row", "uid"], "left_semi").select("row", "src").distinct()
+    free = picks.join(hit, ["row", "src"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("view"))
+    first = views.withColumn("nth", nth).where(F.col("nth") <= k).select("src", (F.col("nth") - 1).alias("view"), "uid")
+    return free.join(first, "src").select("row", "src", "view", "uid", *(c for c in picks.columns if c not in ("row", "src")))
+
+
+def merged(mined: DataFrame, plain: DataFrame, n: int, share: int) -> DataFrame:
+    """(row, slot, doc, mined): up to `share` mined ones (row, doc, pos), then plain ones (row, doc, pos) that are not among them, n in all."""
+    w = Window.partitionBy("row").orderBy("pos", "doc")
+    first = mined.groupBy("row", "doc").agg(F.min("pos").alias("pos")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= min(n, share)).select("row", "doc", "pos", F.lit(True).alias("mined"))
+    rest = plain.groupBy("row", "doc").agg(F.min("pos").alias("pos")).join(first.select("row", "doc"), ["row", "doc"], "left_anti").select("row", "doc", "pos", F.lit(False).alias("mined"))
+    order = Window.partitionBy("row").orderBy(F.desc("mined"), "pos", "doc")
+    return first.unionByName(rest).withColumn("slot", F.row_number().over(order) - 1).where(F.col("slot") < n).select("row", "slot", "doc", "mined")

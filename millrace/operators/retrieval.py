@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -173,6 +173,28 @@ def gold_in_corpus(qrels: DataFrame, corpus: DataFrame, drop_missing: bool = Fal
     return qrels.join(have.withColumn("_h", F.lit(True)), "d", "left").withColumn("in_corpus", F.coalesce("_h", F.lit(False))).drop("_h")
 
 
+def counted_gold(qrels: DataFrame, corpus: DataFrame, drop_missing: bool = False, did: str = "d") -> tuple[DataFrame, Observation]:
+    """gold_in_corpus(), and counters of the pass that computes it: gold_total, gold_missing."""
+    seen = Observation()
+    told = gold_in_corpus(qrels, corpus, did=did).observe(seen, F.count(F.lit(1)).alias("gold_total"), F.count_if(~F.col("in_corpus")).alias("gold_missing"))
+    return (told.where("in_corpus").drop("in_corpus") if drop_missing else told), seen
+
+
+def counted_queries(queries: DataFrame, qrels: DataFrame, gold: DataFrame, drop_missing: bool = False, id_col: str = "q", ok: str = "ok") -> tuple[DataFrame, Observation]:
+    """The queries to evaluate, and counters of the pass: total, null_id, no_qrels, failed, dropped, evaluated.
+
+    gold: what counted_gold() left. With drop_missing a query whose gold documents the corpus all lacks is dropped.
+    """
+    seen = Observation()
+    told = query_status(queries, qrels, id_col, ok)
+    have = gold.select(F.col("q").alias("_g")).distinct()
+    status = F.when((F.col("status") == "evaluated") & F.col("_g").isNull() & F.lit(drop_missing), "dropped").otherwise(F.col("status"))
+    told = told.join(have, F.col(id_col) == F.col("_g"), "left").withColumn("status", status).drop("_g")
+    names = ("null_id", "no_qrels", "failed", "dropped", "evaluated")
+    told = told.observe(seen, F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == n).alias(n) for n in names))
+    return told.where("status = 'evaluated'").drop("status"), seen
+
+
 METRICS = ["recall", "precision", "ndcg", "mrr", "map", "success"]
 
 

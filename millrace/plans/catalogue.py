@@ -13,11 +13,13 @@ from pyspark.sql.window import Window
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
+from millrace.operators import calibrated as CA
 from millrace.operators import contrastive as C
 from millrace.operators import identity as I
 from millrace.operators import identity_masks as M
 from millrace.operators import lexical as L
 from millrace.operators import lexical_join as X
+from millrace.operators import modality_balance as B
 from millrace.operators import negatives as N
 from millrace.operators import records, report, views
 from millrace.operators.order import batches, numbered
@@ -28,7 +30,7 @@ from millrace.sources import calibration
 from millrace.sources import embeddings as E
 from millrace.sources import arrays, images, shards
 from millrace.sources import jsonl as J
-from millrace.storage import cached, materialize, new_path
+from millrace.storage import cached, materialize, new_path, size_checked
 
 QUERIES: dict = {}
 FLAGSHIP = "A05_ndcg"
@@ -177,11 +179,18 @@ def j01(s, d):
     return R.query_status(rows, v.where("label < 8").select(F.col("d").alias("q"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@reg("A13_counters", "select count(*) filter (where label >= 8) as no_qrels, count(*) filter (where label < 8 and vec_id % 5 = 0) as failed, count(*) filter (where label < 8 and vec_id % 5 <> 0) as evaluated from embeddings")
+@reg("A13_counters", "with q as (select case when vec_id % 50 = 49 then null else vec_id end as q, vec_id % 5 <> 0 as ok from embeddings), g as (select vec_id as q, vec_id + 1 as d from embeddings where label < 8), m as (select g.q, c.vec_id is not null as have from g left join embeddings c on c.vec_id = g.d and c.vec_id % 3 <> 0), st as (select case when q.q is null then 'null_id' when m.q is null then 'no_qrels' when not ok then 'failed' when not have then 'dropped' else 'evaluated' end as st from q left join m on m.q = q.q) select (select count(*) from q) as total, count(*) filter (where st = 'null_id') as null_id, count(*) filter (where st = 'no_qrels') as no_qrels, count(*) filter (where st = 'failed') as failed, count(*) filter (where st = 'dropped') as dropped, count(*) filter (where st = 'evaluated') as evaluated, (select count(*) from m) as gold_total, (select count(*) from m where not have) as gold_missing from st")
 def a13(s, d):
+    """Counters observed while the evaluation's inputs are written, without a scan of their own."""
     v = vecs(s, d)
-    st = R.query_status(v.select(F.col("d").alias("q"), (F.col("d") % 5 != 0).alias("ok")), v.where("label < 8").select(F.col("d").alias("q")))
-    return st.agg(*(F.count_if(F.col("status") == x).alias(x) for x in ("no_qrels", "failed", "evaluated")))
+    asked = v.select(F.when(F.col("d") % 50 != 49, F.col("d")).alias("q"), (F.col("d") % 5 != 0).alias("ok"))
+    qrels = v.where("label < 8").select(F.col("d").alias("q"), (F.col("d") + 1).alias("d"), F.lit(1.0).alias("rel"))
+    left, golds = R.counted_gold(qrels, v.where("d % 3 <> 0"), drop_missing=True)
+    left = materialize(left, "gold")
+    chosen, queries = R.counted_queries(asked, qrels, left, drop_missing=True)
+    materialize(chosen, "chosen")
+    got = queries.get | golds.get
+    return s.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
 
 
 @reg("J02_gold_in_corpus", "select a.vec_id as q, count(*) as gold, count(*) filter (where b.vec_id % 4 <> 0) as kept from embeddings a join embeddings b on a.label = b.label where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0 group by 1")
@@ -656,16 +665,21 @@ def n02_repeat(s, d):
     return N.select(cands(s, d), 3, "shuffle", "repeat", seed=5).withColumn("slot", F.col("slot").cast("int"))
 
 
-@reg("N03_mined_share", "select vec_id, least(8, round_even(8 * (vec_id % 11) / 10.0, 0))::bigint as mined from embeddings")
+@reg("N03_mined_share", "with m as (select a.vec_id as row, b.vec_id as doc, b.vec_id - a.vec_id as pos from embeddings a join embeddings b on b.vec_id between a.vec_id + 1 and a.vec_id + 4 and a.label <> b.label), f as (select row, doc, pos, true as mined from m qualify row_number() over (partition by row order by pos, doc) <= 4), pl as (select a.vec_id as row, b.vec_id as doc, b.vec_id - a.vec_id as pos, false as mined from embeddings a join embeddings b on b.vec_id between a.vec_id + 3 and a.vec_id + 10 where not exists (select 1 from f where f.row = a.vec_id and f.doc = b.vec_id)) select row, row_number() over (partition by row order by mined desc, pos, doc) - 1 as slot, doc, mined from (select * from f union all select * from pl) qualify slot < 6")
 def n03(s, d):
-    return vecs(s, d).select(F.col("d").alias("vec_id"), F.least(F.lit(8), F.bround(F.lit(8) * (F.col("d") % 11) / F.lit(10.0))).cast("long").alias("mined"))
+    v = vecs(s, d)
+    near = lambda a, b: v.select(F.col("d").alias("row"), F.col("label").alias("own"), F.explode(F.sequence(F.col("d") + a, F.col("d") + b)).alias("doc")).join(v.select(F.col("d").alias("doc"), "label"), "doc").withColumn("pos", F.col("doc") - F.col("row"))
+    share = N.mined_share(6, 0.5, 0.3, 1.0)
+    return N.merged(near(1, 4).where("own <> label"), near(3, 10), 6, share).withColumn("slot", F.col("slot").cast("long"))
 
 
-@reg("N05_row_negatives", "select a.vec_id as i, b.vec_id as j from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.label <> b.label and a.label <> (b.label + 1) % 10")
+@reg("N05_row_negatives", "select a.vec_id as row, b.vec_id as src, v.view, ((b.label + v.view) % 10)::int as uid from embeddings a join embeddings b on b.vec_id = a.vec_id + 1, (values (0), (1)) v(view) where a.label <> b.label and a.label <> (b.label + 1) % 10")
 def n05(s, d):
-    a = vecs(s, d).select("d", F.array("label", (F.col("label") + 1) % 10).alias("k"), "label")
-    b = vecs(s, d).select((F.col("d") - 1).alias("d"), F.col("d").alias("j"), F.array(F.col("label"), (F.col("label") + 1) % 10).alias("kb"))
-    return a.join(b, "d").where(~F.arrays_overlap(F.array("label"), "kb")).select(F.col("d").alias("i"), "j")
+    """The next row's two views as one negative; one related view, and the whole row goes."""
+    v = vecs(s, d)
+    picks = v.select(F.col("d").alias("row"), (F.col("d") + 1).alias("src"))
+    views_ = v.select(F.col("d").alias("src"), F.posexplode(F.array(F.col("label"), (F.col("label") + 1) % 10)).alias("view", "uid"))
+    return N.group_negatives(picks, views_, v.select(F.col("d").alias("row"), F.col("label").alias("uid")), 2)
 
 
 @reg("U04_ordered_union", "select conv_id, array_to_string(list_sort(list_distinct(list(role))), ',') as roles from conversations group by conv_id")
@@ -768,8 +782,18 @@ def k10(s, d):
 
 @reg("J16_mean_shift", _MEAN + ", g as (select bucket, list(m order by i) as mv from m group by bucket), s as (select vec_id, list_transform(list_zip(embedding, mv), lambda z: z[1]::double - z[2]) as v from embeddings join g on bucket = label) select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as x from s")
 def j16(s, d):
-    m = C.mean_vector(vecs(s, d), "label").select("label", "mean")
-    return vecs(s, d).join(F.broadcast(m), "label").select(F.col("d").alias("vec_id"), F.round(V.shift(F.col("vec"), F.col("mean"))[0], 6).alias("x"))
+    m = materialize(C.mean_vector(vecs(s, d), "label").select("label", "mean"), "means")
+    return vecs(s, d).join(size_checked(m), "label").select(F.col("d").alias("vec_id"), F.round(V.shift(F.col("vec"), F.col("mean"))[0], 6).alias("x"))
+
+
+@reg("J16_fallback_means", _MEAN + ", g as (select bucket, list(m order by i) as mv from m group by bucket), k as (select vec_id, embedding as e, case when vec_id % 2 = 0 then 'query' else 'doc' end as role, vec_id // 2 % 4 as mo from embeddings), w as (select k.*, case when mo = 3 then null when mo = 2 then 'interpolated' when mo = 1 then 'image_mean' when role = 'query' then 'query_mean' else 'text_mean' end as source, (select mv from g where bucket = 2) as im, case role when 'query' then (select mv from g where bucket = 0) else (select mv from g where bucket = 1) end as tx from k), s as (select vec_id, source, mo, case mo when 0 then list_transform(list_zip(e, tx), lambda z: z[1]::double - z[2]) when 1 then list_transform(list_zip(e, im), lambda z: z[1]::double - z[2]) when 2 then list_transform(list_zip(e, tx, im), lambda z: z[1]::double - (0.25 * z[3] + 0.75 * z[2])) else list_transform(e, lambda x: x::double) end as v from w) select vec_id, source, round(v[1] / case when mo = 3 then 1 else sqrt(list_dot_product(v, v)) end, 6) as x from s")
+def j16_chain(s, d):
+    """Three means are there: queries with images take the documents' image mean, fused rows one between image and text."""
+    v = vecs(s, d)
+    means = materialize(C.mean_vector(v.where("label < 3").withColumn("bucket", F.when(F.col("label") == 0, "query_mean").when(F.col("label") == 1, "text_mean").otherwise("image_mean"))), "means")
+    kind = F.floor(F.col("d") / 2) % 4
+    rows = v.withColumn("role", F.when(F.col("d") % 2 == 0, "query").otherwise("doc")).withColumn("modality", CA.modality(kind.isin(0, 2), kind.isin(1, 2)))
+    return CA.calibrated(rows, means, alpha=0.25).select(F.col("d").alias("vec_id"), "source", F.round(F.col("vec")[0], 6).alias("x"))
 
 
 @reg("A32_min_cosine", "select round(min(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))), 6) as min_cos from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -882,21 +906,33 @@ def a16(s, d):
     return x.select("block", *(r6(c) for c in ("variance", "std", "pairwise", "center_max", "center_min")))
 
 
-@reg("A15_block_diagnostics", _DSP + " select round(avg(hi - lo), 6) as range, round(avg(v), 6) as variance, round(avg(m), 6) as mean from q where n >= 2")
+_VIEWS = "with n as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id // 20 as batch, vec_id // 5 as block, vec_id % 5 as p, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from n)"
+
+
+def block_views(s, d, gaps=False):
+    """Five vectors are a sample: two query views, two document views, a hard negative. gaps: some second query views are padding."""
+    v = vecs(s, d).select(F.floor(F.col("d") / 20).alias("batch"), F.floor(F.col("d") / 5).alias("block"), (F.col("d") % 5).alias("p"), "vec")
+    ok = ~((F.col("p") == 1) & (F.col("block") % 7 == 0)) if gaps else F.lit(True)
+    v = v.withColumn("valid", ok)
+    return v.where("p < 2").withColumnRenamed("p", "i"), v.where("p in (2, 3)").withColumn("j", F.col("p") - 2).drop("p"), v.where("p = 4").withColumnRenamed("p", "g")
+
+
+@reg("A15_block_diagnostics", _VIEWS + ", cl as (select a.block, a.p as i, b.p - 2 as j, list_dot_product(a.v, b.v) as c from u a join u b on a.block = b.block and a.p < 2 and b.p in (2, 3)), bl as (select block, max(c) - min(c) as r, var_pop(c) as v, avg(c) as m from cl group by 1) select 'pos_range' as name, round(avg(r), 6) as value from bl union all select 'pos_var', round(avg(v), 6) from bl union all select 'pos_mean', round(avg(m), 6) from bl union all select 'n_blocks', count(*)::double from bl union all select 'cell_' || i || '_' || j, round(avg(c), 6) from cl group by i, j")
 def a15(s, d):
-    x = C.dispersion(batch(s, d).select(F.col("anchor").alias("block"), F.col("logit").alias("cos")))
-    return x.agg(F.round(F.avg("range"), 6).alias("range"), F.round(F.avg("variance"), 6).alias("variance"), F.round(F.avg("center_mean"), 6).alias("mean"))
+    q, docs, _ = block_views(s, d)
+    return B.diagnostics(B.cells(q, docs, "block")).select("name", r6("value"))
 
 
-@reg("A17_balance", _DSP + " select q.block, round(v + 0.5 * (m + hi) / 2, 6) as total from q where n >= 2")
+@reg("A17_balance", _VIEWS + ", cl as (select a.batch, a.block, b.block as other, b.p as bp, list_dot_product(a.v, b.v) as c from u a join u b on a.batch = b.batch and a.p < 2 and b.p >= 2 where not (a.p = 1 and a.block % 7 = 0)), pos as (select batch, block, avg((c - hi) ** 2) as sp from (select *, max(c) over (partition by block) as hi from cl where block = other and bp < 4) group by all having count(*) > 1), cr as (select batch, block, other, avg((c - lo) ** 2) as sp from (select *, min(c) over (partition by block, other) as lo from cl where block <> other and bp < 4) group by all having count(*) > 1), hn as (select batch, block, avg((c - lo) ** 2) as sp from (select *, min(c) over (partition by block) as lo from cl where block = other and bp = 4) group by all having count(*) > 1), t as (select b.batch, coalesce((select avg(sp) from pos where pos.batch = b.batch), 0) as pos, coalesce((select avg(sp) from cr where cr.batch = b.batch), 0) as neg_cross, coalesce((select avg(sp) from hn where hn.batch = b.batch), 0) as neg_hard from (select distinct batch from u) b) select batch, round(pos, 6) as pos, round(neg_cross, 6) as neg_cross, round(neg_hard, 6) as neg_hard, round(pos + 0.5 * (neg_cross + neg_hard) / 2, 6) as loss from t")
 def a17(s, d):
-    b = batch(s, d).groupBy(F.col("anchor").alias("block")).agg(F.var_pop("logit").alias("v"), F.avg("logit").alias("m"), F.max("logit").alias("hi"), F.count("*").alias("n")).where("n >= 2")
-    return b.select("block", F.round(C.balance(F.col("v"), [F.col("m"), F.col("hi")], 0.5), 6).alias("total"))
+    got = B.balance_terms(*block_views(s, d, gaps=True), pos_center="max", neg_center="min", weight=0.5)
+    return got.select("batch", r6("pos"), r6("neg_cross"), r6("neg_hard"), r6("loss"))
 
 
-@reg("A33_weighted_dims", "select round((1 * 8 + 2 * 16 + 1 * 64) / 4.0, 6) as loss from (select 1)")
+@reg("A33_weighted_dims", "with l as (select dim, avg(list_sum(list_transform(embedding[1:dim], lambda x: x::double * x::double))) as loss from embeddings, (values (8), (16), (64)) t(dim) group by dim) select round(sum(loss * case dim when 16 then 2 else 1 end) / 4, 6) as loss from l")
 def a33(s, d):
-    rows = vecs(s, d).select(F.explode(F.array(*(F.lit(x) for x in (8, 16, 64)))).alias("dim")).groupBy("dim").agg(F.avg(F.col("dim").cast("double")).alias("loss"))
+    part = lambda n: F.aggregate(F.slice("vec", 1, n), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = vecs(s, d).select(F.explode(F.array(*(F.struct(F.lit(n).alias("dim"), part(n).alias("loss")) for n in (8, 16, 64)))).alias("l")).select("l.*").groupBy("dim").agg(F.avg("loss").alias("loss"))
     return C.weighted_dims(rows, {8: 1, 16: 2, 64: 1}).select(r6("loss"))
 
 
@@ -905,9 +941,10 @@ def a26(s, d):
     return C.running_means(table(s, d, "events"), "event_type", "value").select("event_type", r6("mean"), "n")
 
 
-@reg("C07_scale", "select 50.0::double as scale from (select 1)")
+@reg("C07_scale", _NCE + " select anchor, round(max(x) * 2.5, 6) as top from p group by anchor")
 def c07(s, d):
-    return s.range(1).select(F.lit(C.logit_scale(0.02)).alias("scale"))
+    """Largest logit of each anchor at the temperature 0.02; batch() has cosines times 20."""
+    return batch(s, d).groupBy("anchor").agg(F.round(F.max(F.col("logit") / 20 * C.logit_scale(0.02)), 6).alias("top"))
 
 
 # --- embedding jobs, reports ---
@@ -983,11 +1020,15 @@ def s08(s, d):
     return J.head(table(s, d, "documents").select("doc_id", "lang"), 100, "doc_id")
 
 
-@reg("S10_result_scan", "select source as dataset, count(*) as n, max(n_chars) as longest from documents group by source")
+@reg("S10_result_scan", "with r as (select source as dataset, round(avg(n_chars) / 20000, 6) as value from documents group by source) select 'Origin' as part, dataset, value from r union all select 'Mix', dataset, round(value / 2, 6) from r")
 def s10(s, d):
-    path = new_path(s, "results")
-    table(s, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("n"), F.max("n_chars").alias("longest")).write.partitionBy("dataset").json(path)
-    return s.read.schema("n long, longest long, dataset string").json(path).select("dataset", "n", "longest")
+    """Result files of a folder: one for each dataset, every other one named by its file alone, and one of all."""
+    folder = new_path(s, "results")
+    found = table(s, d, "documents").groupBy("source").agg(F.round(F.avg("n_chars") / 20000, 6).alias("value")).orderBy("source").collect()  # a row for each dataset
+    for n, r in enumerate(found):
+        report.write_result(s, folder, r.source, report.result_payload(r.source if n % 2 else None, {"recall@5": r.value}))
+    report.write_result(s, folder, "mix", {"datasets": {r.source: {"metrics": {"recall@5": r.value / 2}} for r in found}})
+    return report.read_results(s, folder, "recall@5").withColumn("value", F.round("value", 6))
 
 
 @reg("K01_shards", "select doc_id % 4 as shard, count(*) as rows, min(doc_id) as first, max(doc_id) as last, 1 as islands, count(*) filter (where length(text) > 0) as succeeded from documents group by 1")
@@ -1041,9 +1082,10 @@ def t02(s, d):
     return R.over_fetch(corpus(s, d).withColumn("d", F.floor(F.col("d") / 2).cast("long")), 10)
 
 
-@reg("T03_cut_offs", "select * from (values (1), (5), (10)) t(k)")
+@reg("T03_cut_offs", f"with {UNIT} select k, count(*) as n from rk join (values (1), (5), (10)) t(k) on rank <= k group by k")
 def t03(s, d):
-    return s.createDataFrame([(k,) for k in R.cut_offs("10, 5,1,5")], "k int")
+    cuts = s.createDataFrame([(k,) for k in R.cut_offs("10, 5,1,5")], "k int")
+    return ranked(s, d, 10).join(F.broadcast(cuts), F.col("rank") <= F.col("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
 @reg("T04_exclude_then_rank", f"with {LEX} select i, j, row_number() over ({_BY}) as rank from dr where i // 4 <> j // 4 qualify rank <= 5")
@@ -1089,7 +1131,14 @@ def x04(s, d):
     return s.createDataFrame(rows, "backend string, fused boolean, max_images int, clip_based boolean, matryoshka boolean")
 
 
-QUERIES["X02_backends"] = QUERIES["X04_flags"]
+@reg("X02_backends", "select 'hashed_words' as backend, 64 as dims, count(*) as rows, count(*) filter (where length(text) > 0) as done from documents")
+def x02(s, d):
+    """Every registered backend run over the documents."""
+    docs, out = table(s, d, "documents").select(F.col("doc_id").alias("row_idx"), "text"), None
+    for name, make in sorted(E.BACKENDS.items()):
+        got = E.embed(docs, make()).agg(F.max(F.size("embedding")).alias("dims"), F.count("*").alias("rows"), F.count_if("success").alias("done")).select(F.lit(name).alias("backend"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @reg("X06_calibration", "select * from (values ('off by settings', null), ('own path', 'a'), ('from environment', 'b'), ('barred backend', null), ('allowed backend', 'a')) t(name, path)")
@@ -1111,10 +1160,11 @@ def k04(s, d):
     return s.createDataFrame([("whole", E.complete(s, path, n)), ("short", E.complete(s, path, n + 1)), ("absent", E.complete(s, path + "-none", n))], "set string, skip boolean")
 
 
-@reg("K08_sheets", "select 'recall@' || k as metric, 'recall@' || k as sheet from (values (1), (5), (10)) t(k) union all select 'recall/1', 'recall_1' union all select 'recall:1', 'recall_1_2'")
+@reg("K08_sheets", "select distinct lang || '/' || source || ':*' as metric, lang || '_' || source || '__' as sheet from documents")
 def k08(s, d):
     taken: set[str] = set()
-    return s.createDataFrame([(m, report.sheet_name(m, taken)) for m in [*(f"recall@{k}" for k in KS), "recall/1", "recall:1"]], "metric string, sheet string")
+    names = [r.m for r in table(s, d, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit(":*")).alias("m")).distinct().orderBy("m").collect()]  # one for each sheet
+    return s.createDataFrame([(m, report.sheet_name(m, taken)) for m in names], "metric string, sheet string")
 
 
 @reg("C08_loss_settings", "select * from (values ('masking', true, 0.0::double), ('dims', true, 0.0::double), ('balance', false, 0.5::double)) t(module, enable, weight)")

@@ -17,7 +17,7 @@ def usability(records: DataFrame, text: str = "text", images: str = "images", ma
     """
     held = T.placeholders(F.nullif(T.strip(F.col(text)), F.lit("")), F.size(images), keep_marks)
     out = records.withColumn("_p", held).withColumn("model_text", F.col("_p.text")).withColumn("truncated", F.size(images) > max_images).withColumn(images, F.slice(images, 1, max_images))
-    empty = F.when(F.col("model_text").isNull() & (F.size(images) == 0), "Both text and image fields are missing or empty.")
+    empty = F.when(F.col("model_text").isNull() & (F.size(images) == 0), "empty_record")
     error = F.coalesce(F.col("_p.error"), empty, rejected if rejected is not None else F.lit(None).cast("string"))
     return out.withColumn("error", error).withColumn("usable", F.col("error").isNull()).drop("_p")
 
@@ -52,21 +52,21 @@ def calibration_rows(rows: DataFrame, fused: bool = False, known: DataFrame | No
         else:
             r = r.join(known.select(F.col("image").alias(c), F.lit(True).alias(f"_{c}")).distinct(), c, "left")
     lost = lambda c: F.col(c).isNotNull() & F.col(f"_{c}").isNull()
-    told = lambda c: F.concat(F.lit("image not found: "), F.col(c))
+    told = lambda c, code="positive_image_unknown": F.concat(F.lit(f"{code}: "), F.col(c))
     reason = (
-        F.when(F.col("_none"), "'query' is missing or not a list")
-        .when(lost("query_image"), F.concat(F.lit("query "), told("query_image")))
-        .when(F.col("query_text").isNull() & F.col("query_image").isNull(), "query has neither non-empty text nor an image")
-        .when(F.col("_n") < 2, "'positive' has fewer than 2 entries")
-        .when(F.col("doc_text").isNull(), "positive[0]['text'] is missing / empty")
-        .when(F.col("doc_image").isNull(), "positive[1]['image'] is missing")
+        F.when(F.col("_none"), "no_query")
+        .when(lost("query_image"), told("query_image", "query_image_unknown"))
+        .when(F.col("query_text").isNull() & F.col("query_image").isNull(), "empty_query")
+        .when(F.col("_n") < 2, "too_few_positives")
+        .when(F.col("doc_text").isNull(), "first_positive_without_text")
+        .when(F.col("doc_image").isNull(), "second_positive_without_image")
         .when(lost("doc_image"), told("doc_image"))
     )
     if fused:
         reason = (
-            reason.when(F.col("_n") < 3, "'positive' has no third entry, the fused document")
-            .when(F.col("fused_text").isNull(), "positive[2]['text'] is missing / empty")
-            .when(F.col("fused_image").isNull(), "positive[2]['image'] is missing")
+            reason.when(F.col("_n") < 3, "no_third_positive")
+            .when(F.col("fused_text").isNull(), "third_positive_without_text")
+            .when(F.col("fused_image").isNull(), "third_positive_without_image")
             .when(lost("fused_image"), told("fused_image"))
         )
     else:

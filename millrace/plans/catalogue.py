@@ -340,7 +340,7 @@ def f07(s, d):
     return table(s, d, "documents").select("doc_id", F.nullif(T.strip(F.concat(F.lit(" "), "lang", F.lit("\n"))), F.lit("en")).alias("lang"))
 
 
-@reg("F08_usability", "with r as (select doc_id, case doc_id % 4 when 0 then null when 1 then '  ' when 2 then 'a <image> b' else 'plain' end as t, doc_id % 6 as n from documents), e as (select *, case when t = 'a <image> b' and n <> 1 then 'placeholder count' when coalesce(trim(t), '') = '' and n = 0 then 'Both text and image fields are missing or empty.' when n >= 5 then 'too many' end as error from r) select doc_id, case when t = 'plain' then t when t = 'a <image> b' and n = 1 then 'a b' end as model_text, least(n, 4)::int as images, n > 4 as truncated, error is null as usable, error from e")
+@reg("F08_usability", "with r as (select doc_id, case doc_id % 4 when 0 then null when 1 then '  ' when 2 then 'a <image> b' else 'plain' end as t, doc_id % 6 as n from documents), e as (select *, case when t = 'a <image> b' and n <> 1 then 'placeholder count' when coalesce(trim(t), '') = '' and n = 0 then 'empty_record' when n >= 5 then 'too many' end as error from r) select doc_id, case when t = 'plain' then t when t = 'a <image> b' and n = 1 then 'a b' end as model_text, least(n, 4)::int as images, n > 4 as truncated, error is null as usable, error from e")
 def f08(s, d):
     i = F.col("doc_id")
     r = table(s, d, "documents").select("doc_id", F.element_at(F.array(F.lit(None), F.lit("  "), F.lit("a <image> b"), F.lit("plain")), (i % 4 + 1).cast("int")).alias("text"), F.slice(F.sequence(F.lit(1), F.lit(6)), 1, (i % 6).cast("int")).alias("images"))
@@ -365,7 +365,7 @@ def calibrated(s, d, fused):
     return records.calibration_rows(rows, fused, s.range(9).select(F.concat(F.lit("img"), "id").alias("image")))
 
 
-@reg("F10_validation", f"with {_CALIBRATION}, r as (select *, case when m = 0 then '''query'' is missing or not a list' when m <> 1 and lost then 'query image not found: img9' when m = 1 then 'query has neither non-empty text nor an image' when m = 2 then '''positive'' has fewer than 2 entries' when m = 3 then 'positive[0][''text''] is missing / empty' when m = 4 then 'positive[1][''image''] is missing' when m = 5 then 'image not found: img9' end as reason from m), u as (select doc_id, row_number() over (partition by source order by doc_id) as n from r where reason is null), x as (select doc_id, row_number() over (order by doc_id) as x from u where n > 1) select r.doc_id as ord, source || coalesce('__dup' || x, '') as id, reason from r left join x using (doc_id)")
+@reg("F10_validation", f"with {_CALIBRATION}, r as (select *, case when m = 0 then 'no_query' when m <> 1 and lost then 'query_image_unknown: img9' when m = 1 then 'empty_query' when m = 2 then 'too_few_positives' when m = 3 then 'first_positive_without_text' when m = 4 then 'second_positive_without_image' when m = 5 then 'positive_image_unknown: img9' end as reason from m), u as (select doc_id, row_number() over (partition by source order by doc_id) as n from r where reason is null), x as (select doc_id, row_number() over (order by doc_id) as x from u where n > 1) select r.doc_id as ord, source || coalesce('__dup' || x, '') as id, reason from r left join x using (doc_id)")
 def f10(s, d):
     return calibrated(s, d, False).select("ord", "id", "reason")
 

@@ -82,11 +82,11 @@ def test_calibration_rows(spark):
     assert len(got) == len(rows)
     assert {k: r.id for k, r in got.items() if r.reason is None} == {0: "x", 1: "x__dup1", 11: "11", 12: "x__dup2", 13: "y"}
     assert (got[1].query_text, got[1].query_image) == ("late", "i.png") and got[0].fused_text is None
-    says = {2: "'query' is", 3: "'query' is", 4: "query image not found: lost.png", 5: "query has neither", 6: "'positive' has fewer", 7: "'positive' has fewer", 8: "positive[0]['text']", 9: "positive[1]['image']", 10: "image not found: lost.png"}
+    says = {2: "no_query", 3: "no_query", 4: "query_image_unknown: lost.png", 5: "empty_query", 6: "too_few_positives", 7: "too_few_positives", 8: "first_positive_without_text", 9: "second_positive_without_image", 10: "positive_image_unknown: lost.png"}
     assert all(got[k].reason.startswith(v) for k, v in says.items())
     whole = records.calibration_rows(df, True, known)
     why = {r.ord: r.reason for r in whole.collect()}
-    assert [k for k, r in why.items() if r is None] and why[1].startswith("'positive' has no third") and why[11] == "positive[2]['image'] is missing"
+    assert [k for k, r in why.items() if r is None] and why[1] == "no_third_positive" and why[11] == "third_positive_without_image"
     held = {(r.bucket, r.id): (r.text, r.image) for r in records.calibration_buckets(whole).collect()}
     assert held["fused_mean", "x"] == ("f", "j.png") and held["text_mean", "y"] == ("t", None) and ("query_image_mean", "x") not in held
     both = {r.bucket: r.image for r in records.calibration_buckets(records.calibration_rows(df)).where("id = 'x__dup1'").collect()}

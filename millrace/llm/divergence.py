@@ -150,16 +150,17 @@ def own_terms(part: DataFrame, top: int = TERMS) -> DataFrame:
 class _Sums:
     """Sums of pairs of sources, a matrix for each language and pair of blocks."""
 
-    def __init__(self) -> None:
+    def __init__(self, block: int) -> None:
+        self.block = block
         self.of: dict[tuple[str, int, int], np.ndarray] = {}
 
     def add(self, lang: str, bi: int, bj: int) -> np.ndarray:
-        return self.of.setdefault((lang, bi, bj), np.zeros((BLOCK, BLOCK), dtype=np.int64))
+        return self.of.setdefault((lang, bi, bj), np.zeros((self.block, self.block), dtype=np.int64))
 
     def out(self) -> Iterator[pa.RecordBatch]:
         for (lang, bi, bj), m in self.of.items():
             i, j = np.nonzero(m)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i + bi * BLOCK, pa.int64()), pa.array(j + bj * BLOCK, pa.int64()), pa.array(m[i, j], pa.int64())], ["lang", "a", "b", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i + bi * self.block, pa.int64()), pa.array(j + bj * self.block, pa.int64()), pa.array(m[i, j], pa.int64())], ["lang", "a", "b", "part"])
         self.of.clear()
 
 
@@ -185,7 +186,7 @@ def dense(part: DataFrame, groups: DataFrame) -> DataFrame:
         return m
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        sums = _Sums(BLOCK)
         for batch in batches:
             keys: dict[tuple, list[int]] = {}
             for r, key in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)))):
@@ -211,12 +212,12 @@ def sparse(part: DataFrame) -> DataFrame:
     posts = part.where(~F.col("heavy") & (F.col("m") > 1)).groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p", "p0")).alias("posts"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        sums = _Sums(BLOCK)
         for batch in batches:
             langs = batch.column(0).to_pylist()
             posts = batch.column(2)
             flat, ends = posts.flatten(), posts.offsets.to_numpy() - posts.offsets[0].as_py()
-            at, p, p0 = (flat.field(k).to_numpy() for k in range(3))
+            at, p, p0 = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
             lengths = np.diff(ends)
             keys: dict[tuple, list[int]] = {}
             for r, key in enumerate(zip(langs, lengths.tolist())):

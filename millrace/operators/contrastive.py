@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
+from millrace.storage import materialize, size_checked
 
 
 def logit_scale(temperature: float, least: float = 0.01) -> float:
@@ -69,8 +70,8 @@ def collapse(vectors: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame
     """(mean_cos, max_cos, std): of all pairs, and the mean over dimensions of the sample deviation.
 
     With n unit vectors of sum S the cosines of all ordered pairs sum to |S|^2 - (squared
-    norms), so the mean needs no pairs; the maximum is that of exact products of tiles of
-    vectors, a row for each pair of tiles. Null without a pair.
+    norms), so the mean needs no pairs; the maximum is that of exact products of those tiles of
+    vectors that may hold it. Null without a pair.
     """
     unit = vectors.select(F.col(key).alias("k"), V.normalise(F.col(vec)).alias("u"))
     per = unit.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.stddev_samp("x").alias("s"), F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("sq"), F.count("*").alias("n"))
@@ -81,26 +82,90 @@ def collapse(vectors: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame
     return spread.crossJoin(best).select("mean_cos", "max_cos", "std")
 
 
-def _tile_maxima(unit: DataFrame, tile: int = 4096) -> DataFrame:
-    """(top): the largest product of two different rows of unit (u), for each pair of tiles they are dealt into."""
-    n = max(1, -(-unit.count() // tile))
-    placed = unit.select(F.pmod(F.xxhash64("k"), F.lit(n)).alias("t"), "u").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = placed.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "t", "u")
+#: Vectors of a tile, and pivots that vectors are dealt to by nearness at most.
+TILE, PIVOTS = 4096, 256
 
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
 
-        a, b = (np.array(pdf["u"][pdf["t"] == k].tolist(), dtype=np.float64) for k in key)
-        top = -np.inf
-        for i in range(0, len(a), 1024):
-            scores = a[i : i + 1024] @ b.T if len(b) else np.empty((0, 0))
-            if key[0] == key[1]:
-                scores[np.arange(len(scores)), np.arange(i, i + len(scores))] = -np.inf
-            top = max(top, scores.max(initial=-np.inf))
-        return pd.DataFrame({"top": [top] if top > -np.inf else []}, dtype="float64")
+def _top(a, b, same: bool) -> float:
+    """The largest product of a row of a with one of b, another one where they are the same rows."""
+    import numpy as np
 
-    return met.groupBy("a", "b").applyInPandas(run, "top double")
+    top = -np.inf
+    for i in range(0, len(a), 1024):
+        scores = a[i : i + 1024] @ b.T
+        if same:
+            scores[np.arange(len(scores)), np.arange(i, i + len(scores))] = -np.inf
+        top = max(top, scores.max(initial=-np.inf))
+    return top
+
+
+def _tile_maxima(unit: DataFrame, tile: int = TILE) -> DataFrame:
+    """(top): the largest product of two different rows of unit (u), for each pair of tiles that can hold the largest of all."""
+    return maxima(unit, tile)[0]
+
+
+def maxima(unit: DataFrame, tile: int = TILE) -> tuple[DataFrame, int, int]:
+    """((top) of each pair of tiles that was read, their number, the number of all pairs) of unit vectors (k, u).
+
+    Vectors are dealt to tiles around pivots, drawn by hash. A tile is packed once, with the largest angle of its vectors
+    to its pivot and its own largest product. Two vectors of tiles A and B are at least angle(A, B) - radius(A) -
+    radius(B) apart, by the triangle inequality of angles; pairs of tiles whose bound stays under a product already found
+    are skipped, so a vector travels only to tiles that may hold a better one. The driver gets a pivot and a radius of each tile.
+    """
+    import numpy as np
+
+    spark, unit = unit.sparkSession, unit.where("u is not null")
+    n = unit.count()
+    m = min(PIVOTS, max(1, -(-n // tile)))
+    pivots = [r.u for r in unit.orderBy(F.xxhash64("k"), "k").limit(m).select("u").collect()]  # PIVOTS vectors at most
+    if not pivots:
+        return spark.createDataFrame([], "top double"), 0, 0
+    held = np.array(pivots, dtype=np.float64)
+    d = held.shape[1]
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.argmax(x @ held.T, axis=1), pa.int32()), batch.column(0), batch.column(1)], ["pivot", "h", "u"])
+
+    placed = materialize(unit.select(F.xxhash64("k").alias("h"), F.col("u").cast("array<double>").alias("u")).mapInArrow(near, "pivot int, h long, u array<double>"), "placed")
+    sizes = {r.pivot: r.c for r in placed.groupBy("pivot").agg(F.count("*").alias("c")).collect()}  # a row for each pivot
+    parts = F.element_at(F.create_map(*(F.lit(x) for k, c in sorted(sizes.items()) for x in (k, -(-c // tile)))), F.col("pivot"))
+
+    def pack(table):
+        import pyarrow as pa
+
+        x = table.column("u").combine_chunks().flatten().to_numpy().reshape(-1, d)
+        pivot = table.column("pivot")[0].as_py()
+        radius = float(np.arccos(np.clip((x @ held[pivot]).min(), -1, 1)))
+        return pa.table({"pivot": pa.array([pivot], pa.int32()), "part": table.column("part").slice(0, 1), "radius": [radius], "top": [float(_top(x, x, True))], "rows": pa.array([x.tobytes()], pa.binary())})
+
+    dealt = placed.withColumn("part", F.pmod(F.hash("h"), parts).cast("int"))
+    tiles = materialize(dealt.groupBy("pivot", "part").applyInArrow(pack, "pivot int, part int, radius double, top double, rows binary"), "tiles")
+    told = tiles.select("pivot", "part", "radius", "top").orderBy("pivot", "part").collect()
+    best = max(r.top for r in told)
+    at = held[[r.pivot for r in told]]
+    angle = np.arccos(np.clip(at @ at.T, -1, 1))
+    radius = np.array([r.radius for r in told])
+    bound = np.cos(np.maximum(0.0, angle - radius[:, None] - radius[None, :] - 1e-6))
+    i, j = np.nonzero(np.triu(bound > best - 1e-9, 1))
+    every = len(told) * (len(told) + 1) // 2
+    own = tiles.where(F.col("top") > float("-inf")).select("top")
+    if not len(i):
+        return own, len(told), every
+    names = [(r.pivot, r.part) for r in told]
+    wanted = spark.createDataFrame([(int(t), *names[k]) for t, pair in enumerate(zip(i, j)) for k in pair], "t long, pivot int, part int")
+
+    def meet(table):
+        import pyarrow as pa
+
+        a, b = (np.frombuffer(x.as_py()).reshape(-1, d) for x in table.column("rows"))
+        return pa.table({"top": [float(_top(a, b, False))]})
+
+    met = tiles.select("pivot", "part", "rows").join(size_checked(wanted), ["pivot", "part"]).select("t", "rows").groupBy("t").applyInArrow(meet, "top double")
+    return own.unionByName(met), len(told) + len(i), every
 
 
 def weighted_dims(losses: DataFrame, weights: dict[int, float], dim: str = "dim", loss: str = "loss") -> DataFrame:

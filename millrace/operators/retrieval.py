@@ -37,6 +37,18 @@ def scores(queries: DataFrame, corpus: DataFrame, qid: str = "q", did: str = "d"
     return left.crossJoin(right).select("q", "d", V.dot(F.col("_a"), F.col("_b")).alias("score"))
 
 
+def profile(queries: DataFrame, corpus: DataFrame, qid: str = "q", did: str = "d", vec: str = "vec") -> DataFrame:
+    """(q, n, mean, best) of each query's cosines with the whole corpus, without its pairs.
+
+    The mean cosine is the product with the mean unit vector, one row; the best is that of an exact search.
+    """
+    unit = corpus.select(F.posexplode(V.normalise(F.col(vec))).alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    mean = unit.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("_mean"), F.max("n").alias("n"))
+    told = queries.select(F.col(qid).alias("q"), V.normalise(F.col(vec)).alias("_a")).crossJoin(F.broadcast(mean))
+    best = search(queries, corpus, 1, qid, did, vec).select("q", F.col("score").alias("best"))
+    return told.select("q", "n", V.dot(F.col("_a"), F.col("_mean")).alias("mean")).join(best, "q")
+
+
 def best_k(scored: DataFrame, k: int, by: str = "q", item: str = "d", score: str = "score") -> DataFrame:
     """Rank 1 to k within each `by`: score descending, ties to the smaller item."""
     w = Window.partitionBy(by).orderBy(F.desc(score), item)

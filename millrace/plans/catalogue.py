@@ -24,7 +24,7 @@ from millrace.operators import negatives as N
 from millrace.operators import records, report, views
 from millrace.operators.order import batches, numbered
 from millrace.operators import retrieval as R
-from millrace.plans import losses, manifests
+from millrace.plans import jobs, losses, manifests
 from millrace.plans.evaluation import Dataset, evaluate
 from millrace.sources import calibration
 from millrace.sources import embeddings as E
@@ -130,7 +130,7 @@ def t01(s, d):
 
 @reg("J03_similarity", f"with {UNIT} select q, count(*) as n, round(avg(score), 6) as mean, round(max(score), 6) as best from s group by q")
 def j03(s, d):
-    return R.scores(qs(s, d), corpus(s, d)).groupBy("q").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("best"))
+    return R.profile(qs(s, d), corpus(s, d)).select("q", "n", r6("mean"), r6("best"))
 
 
 @reg("W01_rank", f"with {UNIT} select q, d, rank from rk where rank <= 3")
@@ -1200,3 +1200,19 @@ def o01(s, d):
         q, c = mine.where("d % 5 = 0").withColumnRenamed("d", "q"), mine.where("d % 5 <> 0")
         sets[tag] = Dataset(q.select("q", "vec"), c.select("d", "vec"), q.select("q", "label").join(c.select("d", "label"), "label").select("q", "d", rel))
     return evaluate(sets, KS).select("dataset", "k", r6("recall"), r6("ndcg"), r6("mrr"), "queries", r6("foreign"))
+
+
+@reg("O01_jobs", "with d as (select * from documents where lang in ('de', 'en', 'fr')), q as (select * from d where doc_id % 50 = 0 and length(text) > 0), j as (select q.lang, count(*) as queries from q where exists (select 1 from d where d.lang = q.lang and d.source = q.source and d.doc_id % 50 <> 0) group by 1) select lang as dataset, dim, 'done' as status, queries from j, (values (null::int), (16)) t(dim) union all select 'lost', dim, 'failed', 0 from (values (null::int), (16)) t(dim)")
+def o01_jobs(s, d):
+    """A dataset for each of three languages, embedded, searched and scored at two dimensions, and one that cannot be read."""
+
+    def job(lang, path):
+        docs = lambda: s.read.parquet(path).where(F.col("lang") == lang).withColumn("id", F.concat(F.lit("d"), "doc_id"))
+        part = lambda asked: numbered(docs().where((F.col("doc_id") % 50 == 0) == asked).select("id", "text"), "id")
+        a, b = (lambda: docs().where("doc_id % 50 = 0").select(F.col("id").alias("q"), "source")), (lambda: docs().where("doc_id % 50 <> 0").select(F.col("id").alias("d"), "source"))
+        return jobs.Job(lang, lambda: part(True), lambda: part(False), lambda: a().join(b(), "source").select("q", "d", F.lit(1.0).alias("rel")))
+
+    todo = [job(lang, f"{d}/documents.parquet") for lang in ("de", "en", "fr")] + [job("lost", f"{d}/no_such_table.parquet")]
+    results, summary = jobs.run_jobs(s, todo, E.HashedWords(64), new_path(s, "jobs"), [1, 5], dims=(None, 16))
+    n = results.where("k = 1").select("dataset", F.col("dim").alias("of"), "queries")
+    return summary.alias("t").join(n.alias("n"), (F.col("t.dataset") == F.col("n.dataset")) & F.col("dim").eqNullSafe(F.col("of")), "left").select("t.dataset", "dim", "status", F.coalesce("queries", F.lit(0)).alias("queries"))

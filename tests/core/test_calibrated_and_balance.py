@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import calibrated as CA
+from millrace.operators import contrastive as C
 from millrace.operators import modality_balance as B
 from millrace.operators import negatives as N
 from millrace.operators import report
@@ -133,3 +134,31 @@ def test_counters_come_from_the_pass(spark):
         assert {r.q for r in left.collect()} == evaluated
         assert golds.get == {"gold_total": 4, "gold_missing": 2}
         assert counts.get == {"total": 5, "null_id": 1, "no_qrels": 1, "failed": 1, "dropped": dropped, "evaluated": 5 - 3 - dropped}
+
+
+def test_largest_cosine_of_all_from_few_tiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 4
+    spread_out = rng.normal(size=(240, 8))
+    groups = np.repeat(centres, 25, axis=0) + rng.normal(size=(300, 8)) * 0.3
+    near_pair = np.vstack([groups, groups[:1] + 1e-3])
+    for x, skips in ((spread_out, False), (groups, True), (near_pair, True), (np.vstack([spread_out, np.zeros((1, 8))]), False), (np.vstack([groups[:5]] * 9), False)):
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "k long, u array<double>")
+        made, read, every = C.maxima(df, tile=20)
+        scores = u @ u.T
+        np.fill_diagonal(scores, -np.inf)
+        assert made.agg(F.max("top")).first()[0] == pytest.approx(scores.max(), abs=1e-12)
+        assert read <= every and (read < every / 2 or not skips), (read, every)
+    assert C.maxima(df.limit(0))[0].count() == 0 and C.maxima(df.limit(1))[0].count() == 0
+
+
+def test_profile_needs_no_pairs(spark):
+    r = random.Random(1)
+    vec = lambda n, name: spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(n)], f"{name} int, vec array<double>")
+    q, d = vec(7, "q"), vec(40, "d")
+    want = {x.q: (x.n, x.mean, x.best) for x in R.scores(q, d).groupBy("q").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.max("score").alias("best")).collect()}
+    got = {x.q: (x.n, x.mean, x.best) for x in R.profile(q, d).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)

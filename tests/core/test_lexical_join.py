@@ -79,3 +79,22 @@ def test_empty_and_wrong(spark, made):
     with pytest.raises(ValueError):
         X.pairs(X.indexed(*made), 0.0)
     assert X.pairs(X.indexed(*made), 0.3).select(F.max("score")).first()[0] <= 1 + 1e-9
+
+
+def test_no_tile_is_shuffled(spark, made):
+    """A block is opened by the tasks that meet it, and a row's best are kept in its task: many blocks shuffle as little as one."""
+    index = X.indexed(*made)
+    for got in (X.neighbours(index, 4, 0.1, size=5), X.pairs(index, 0.1, size=5), X.counts(index, 0.1, 0.9, size=5)):
+        plan = got._jdf.queryExecution().toString()
+        assert "FlatMapGroups" not in plan and "Window" not in plan and "binary" not in plan
+
+
+def test_dense_and_gathered_postings_agree(made, monkeypatch):
+    table = X.indexed(*made).rows.withColumn("block", F.lit(0).cast("long")).toArrow()
+    block = X._Block(X._pack(table).to_pylist()[0])
+    want = X._dots(block, block)
+    for share, gathered in ((0.0, 1 << 21), (9.0, 1 << 21), (9.0, 7), (0.01, 50)):
+        monkeypatch.setattr(X, "DENSE", share)
+        monkeypatch.setattr(X, "GATHERED", gathered)
+        assert abs(X._dots(block, block) - want).max() < 1e-9
+    assert want.max() > 0

@@ -14,6 +14,7 @@ that it knows.
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ from millrace.storage import size_checked
 
 #: Bytes of vectors that a task reads, and rows of a batch that it hands on.
 RANGE_BYTES, BATCH = 64 << 20, 4096
+_registering = threading.Lock()
 
 
 def _open(path: str):
@@ -214,17 +216,25 @@ class NpySource(DataSource):
         return _NpyWriter(dict(self.options))
 
 
+def _register(spark: SparkSession) -> None:
+    """The source, once for each session: threads that register it at one time would fail."""
+    with _registering:
+        if not getattr(spark, "_millrace_npy", False):
+            spark.dataSource.register(NpySource)
+            spark._millrace_npy = True
+
+
 def write_npy(vectors: DataFrame, path: str, rows: int, parts: int, kind: str = "<f2", **options) -> None:
     """Write (row_idx, embedding), rows 0 to rows - 1 each once, as parts of one array; else an error, and nothing is published."""
     spark = vectors.sparkSession
-    spark.dataSource.register(NpySource)
+    _register(spark)
     ordered = vectors.select(F.col("row_idx").cast("long").alias("row_idx"), F.col("embedding").cast("array<float>").alias("embedding")).repartitionByRange(parts, "row_idx").sortWithinPartitions("row_idx")
     ordered.write.format("npy").mode("append").options(rows=rows, kind=kind, **options).save(path)
 
 
 def read_npy(spark: SparkSession, path: str, **options) -> DataFrame:
     """(row_idx, embedding) of a .npy file, or of the parts of write_npy()."""
-    spark.dataSource.register(NpySource)
+    _register(spark)
     return spark.read.format("npy").options(**options).load(path)
 
 

@@ -94,3 +94,35 @@ def test_line_numbers_in_split_files(spark, tmp_path, split_files):
     (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
     with pytest.raises(Exception, match=r"a\.jsonl:501: "):
         J.parsed(J.numbered_lines(spark, str(tmp_path / "a.jsonl"))).collect()
+
+
+def test_threads_register_the_source_at_once(spark):
+    """Jobs run side by side: none may fail because another one registers the source."""
+    import threading
+    import time
+    from types import SimpleNamespace
+
+    from millrace.sources import arrays
+
+    seen, wrong = set(), []
+
+    def register(source):
+        if "npy" in seen:
+            wrong.append("already exists")
+        time.sleep(0.05)
+        seen.add("npy")
+
+    session = SimpleNamespace(dataSource=SimpleNamespace(register=register), read=spark.read)
+    calls = []
+
+    def read():
+        calls.append(1)
+        try:
+            arrays.read_npy(session, "/no/such/array")
+        except Exception:  # the array is not there
+            pass
+
+    threads = [threading.Thread(target=read) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(calls) == 4 and seen == {"npy"} and not wrong

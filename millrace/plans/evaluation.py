@@ -14,11 +14,11 @@ from millrace.sources.embeddings import union_corpora
 
 
 class Dataset(NamedTuple):
-    """queries (q, vec), corpus (d, vec), qrels (q, d, rel)."""
+    """queries (q, vec), corpus (d, vec), qrels (q, d, rel) or a retrieval.Gold."""
 
     queries: DataFrame
     corpus: DataFrame
-    qrels: DataFrame
+    qrels: DataFrame | R.Gold
 
 
 def evaluate(sets: dict[str, Dataset], ks: Sequence[int], mixed: bool = True) -> DataFrame:
@@ -28,11 +28,7 @@ def evaluate(sets: dict[str, Dataset], ks: Sequence[int], mixed: bool = True) ->
     share of retrieved documents of another dataset, over all queries (its macro row has it).
     """
     named = {tag: x.queries.select(T.namespaced(F.lit(tag), F.col("q").cast("string")).alias("q"), "vec") for tag, x in sets.items()}
-    qrels = None
-    for tag, x in sets.items():
-        one = x.qrels.select(*(T.namespaced(F.lit(tag), F.col(c).cast("string")).alias(c) for c in ("q", "d")), "rel")
-        qrels = one if qrels is None else qrels.unionByName(one)
-    gold = R.relevance(qrels)
+    gold = R.GoldUnion([R.as_gold(x.qrels).named(lambda c, tag=tag: T.namespaced(F.lit(tag), F.col(c).cast("string"))) for tag, x in sets.items()])
     found, asked = None, None
     for tag, q in named.items():
         asked = q if asked is None else asked.unionByName(q)
@@ -41,7 +37,7 @@ def evaluate(sets: dict[str, Dataset], ks: Sequence[int], mixed: bool = True) ->
             found = one if found is None else found.unionByName(one)
     if mixed:
         found = R.search_documents(asked, union_corpora({tag: x.corpus.select("d", "vec") for tag, x in sets.items()}), max(ks))
-    judged = asked.select("q").join(gold.select("q").distinct(), "q", "left_semi")
+    judged = asked.select("q").join(gold.grades().select("q").distinct(), "q", "left_semi")
     tag_of = lambda c: T.split_namespace(F.col(c))["tag"]
     each = R.means(R.per_query(found, gold, judged, ks).withColumn("dataset", tag_of("q")), "dataset", "k")
     total = each.groupBy("k").agg(F.sum("queries").alias("queries"))

@@ -24,12 +24,12 @@ from millrace.sources import shards
 
 
 class Job(NamedTuple):
-    """queries (row_idx, id, text), corpus (row_idx, id, text), qrels (q, d, rel): made when the job runs, so a broken one is its own."""
+    """queries (row_idx, id, text), corpus (row_idx, id, text), qrels (q, d, rel) or a retrieval.Gold: made when the job runs, so a broken one is its own."""
 
     name: str
     queries: Callable[[], DataFrame]
     corpus: Callable[[], DataFrame]
-    qrels: Callable[[], DataFrame]
+    qrels: Callable[[], DataFrame | R.Gold]
 
 
 def embedded_set(records: DataFrame, backend: E.Backend, folder: str, parts: int = 4) -> DataFrame:
@@ -60,7 +60,7 @@ def embedded_dataset(job: Job, backend: E.Backend, folder: str, dim: int | None
     ok = lambda df, name: df.where("success and id is not null").select(F.col("id").alias(name), cut("embedding").alias("vec"))
     queries = embedded_set(job.queries(), backend, f"{folder}/{job.name}_queries")
     corpus = embedded_set(job.corpus(), backend, f"{folder}/{job.name}_corpus")
-    return Dataset(ok(queries, "q"), ok(corpus, "d"), job.qrels().select("q", "d", "rel"))
+    return Dataset(ok(queries, "q"), ok(corpus, "d"), job.qrels())
 
 
 def run_jobs(spark: SparkSession, jobs: Sequence[Job], backend: E.Backend, folder: str, ks: Sequence[int], dims: Sequence[int | None] = (None,), at_once: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -110,3 +110,24 @@ def test_jobs(spark, tmp_path):
     assert E.calibration_path({"means": "a"}, None, {"CALIBRATION_DISABLE": "1"}) is None
     assert E.calibration_path({}, None, {}) is None and E.calibration_path({}, None, {"CALIBRATION_MEANS": " b "}) == "b"
     assert (L.progress(5, 10), L.progress(20, 10), L.progress(3, 0), L.progress(-1, 5)) == (0.5, 1.0, 0.0, 0.0)
+
+
+def test_relevance_by_keys_is_that_of_its_pairs(spark):
+    """A key's sides of 40 x 60 rows are judged without their 2400 pairs, and give the figures that the pairs give."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators import retrieval as R
+
+    vec = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.sin((F.col("i") * 13 + p * 7 + F.col("i") * p).cast("double")))
+    rows = spark.range(100).withColumnRenamed("id", "i").withColumn("vec", vec).withColumn("key", F.when(F.col("i") % 11 != 3, F.col("i") % 3)).withColumn("grade", F.col("i") % 2)
+    q, d = rows.where("i < 40").withColumnRenamed("i", "q"), rows.where("i >= 40").withColumnRenamed("i", "d")
+    rel = lambda a, b: F.when(a == b, 2.0).otherwise(1.0)
+    keyed = R.KeyedGold(q, d, rel)
+    pairs = q.select("q", "key", F.col("grade").alias("a")).join(d.select("d", "key", F.col("grade").alias("b")), "key").select("q", "d", rel(F.col("a"), F.col("b")).alias("rel"))
+    asked, found = pairs.select("q").distinct(), R.search(q, d, 10)
+    told = [sorted(tuple(round(x, 9) for x in r) for r in R.per_query(found, g, asked, [1, 5, 10]).collect()) for g in (keyed, pairs)]
+    assert told[0] == told[1] and len(told[0]) == 3 * asked.count()
+    ranks = [sorted(map(tuple, R.strict_ranks(q, d, g, block=7).collect())) for g in (keyed, pairs)]
+    assert ranks[0] == ranks[1] == sorted(map(tuple, R.strict_rank(R.scores(q, d), pairs).collect()))
+    assert {(r.q, r.rel, r.n) for r in keyed.grades().collect()} == {(r.q, r.rel, r.n) for r in R.Gold(pairs).grades().collect()}
+    assert keyed.grades().count() <= 2 * 40

@@ -33,26 +33,28 @@ def _spread(center: str, metric: str) -> Column:
     return F.sqrt(around + 1e-12) if metric == "std" else around
 
 
-def spreads(cell: DataFrame, *by: str, center: str = "mean", metric: str = "variance") -> DataFrame:
-    """(by..., n, mean, range, spread) of blocks with two valid cells or more."""
+def spreads(cell: DataFrame, *by: str, center: str = "mean", metric: str = "variance", least: int = 2) -> DataFrame:
+    """(by..., n, mean, range, spread) of blocks with two valid cells (`least`) or more."""
     c = F.col("cos")
-    per = cell.where("valid").groupBy(*by).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.max(c).alias("hi"), F.min(c).alias("lo"), F.var_pop(c).alias("variance"), F.avg(c * c).alias("sq")).where("n >= 2")
+    per = cell.where("valid").groupBy(*by).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.max(c).alias("hi"), F.min(c).alias("lo"), F.var_pop(c).alias("variance"), F.avg(c * c).alias("sq")).where(F.col("n") >= least)
     return per.select(*by, "n", "mean", (F.col("hi") - F.col("lo")).alias("range"), _spread(center, metric).alias("spread"))
 
 
-def diagnostics(cell: DataFrame, block: str = "block") -> DataFrame:
+def diagnostics(cell: DataFrame, block: str = "block", ragged: bool = False) -> DataFrame:
     """(name, value): pos_range, pos_var, pos_mean and n_blocks over the blocks of two cells or more, and cell_i_j.
 
-    The mean of each cell is given only if all blocks have one shape, of CELLS cells or less.
+    The mean of each cell is given only if all blocks have one shape, of CELLS cells or less. ragged: blocks of one
+    cell count too, and each cell's mean is given over the blocks that have it, whatever their shapes.
     """
     valid = cell.where("valid")
     shape = valid.groupBy(block).agg(F.max("i").alias("rows"), F.max("j").alias("cols"), F.count("*").alias("n")).where("n >= 2")
     one = shape.agg(F.countDistinct("rows", "cols", "n").alias("shapes"), F.max("n").alias("n")).where(f"shapes = 1 and n <= {CELLS}").select(F.lit(1).alias("one"))
-    total = spreads(valid, block).agg(F.avg("range").alias("pos_range"), F.avg("spread").alias("pos_var"), F.avg("mean").alias("pos_mean"), F.count("*").cast("double").alias("n_blocks"))
+    total = spreads(valid, block, least=1 if ragged else 2).agg(F.avg("range").alias("pos_range"), F.avg("spread").alias("pos_var"), F.avg("mean").alias("pos_mean"), F.count("*").cast("double").alias("n_blocks"))
     names = total.columns
     told = total.where("n_blocks > 0").select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names))).alias("x")).select("x.*")
     # one row tells whether there are cell means at all
-    each = valid.join(shape.select(block), block, "left_semi").groupBy("i", "j").agg(F.avg("cos").alias("value")).join(F.broadcast(one), F.lit(True))
+    kept = valid if ragged else valid.join(shape.select(block), block, "left_semi").join(F.broadcast(one), F.lit(True))
+    each = kept.groupBy("i", "j").agg(F.avg("cos").alias("value"))
     return told.unionByName(each.select(F.concat_ws("_", F.lit("cell"), "i", "j").alias("name"), "value"))
 
 

@@ -162,3 +162,13 @@ def test_profile_needs_no_pairs(spark):
     want = {x.q: (x.n, x.mean, x.best) for x in R.scores(q, d).groupBy("q").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.max("score").alias("best")).collect()}
     got = {x.q: (x.n, x.mean, x.best) for x in R.profile(q, d).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_diagnostics_of_ragged_blocks(spark):
+    """The last block of a table may be short: its cells count where they are, and the others keep theirs."""
+    rows = [(0, 0, 0, 0.1), (0, 0, 1, 0.5), (0, 1, 0, 0.3), (0, 1, 1, 0.7), (1, 0, 0, 0.2), (1, 1, 0, 0.4), (2, 0, 0, 0.6)]
+    cell = spark.createDataFrame([(*r, True) for r in rows], "block int, i int, j int, cos double, valid boolean")
+    got = {r.name: round(r.value, 9) for r in B.diagnostics(cell, ragged=True).collect()}
+    assert {k: v for k, v in got.items() if k.startswith("cell")} == {"cell_0_0": 0.3, "cell_0_1": 0.5, "cell_1_0": 0.35, "cell_1_1": 0.7}
+    assert got["n_blocks"] == 3 and got["pos_mean"] == round((0.4 + 0.3 + 0.6) / 3, 9) and got["pos_range"] == round((0.6 + 0.2 + 0) / 3, 9)
+    assert {r.name for r in B.diagnostics(cell).collect()} == {"pos_range", "pos_var", "pos_mean", "n_blocks"}

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.columns import col, fresh, renamed
-from millrace.storage import materialize
+from millrace.storage import materialize, size_checked
 
 #: Notices as they stand in headers, and what licence texts begin with: licence, text.
 TEMPLATES = [
@@ -174,13 +174,17 @@ def headers(files: DataFrame, key: str, text: str = "text", templates: list[tupl
     held = paras.where(F.col("para").rlike(hint))
     lines = held.select("key", "whole", "p", "start", F.posexplode(F.split("para", "\n")).alias("i", "unit")).where(F.col("unit").rlike(hint)).select("key", "whole", "p", (F.col("start") + F.col("i")).alias("at"), F.lit(0).alias("long"), "unit")
     units = lines.unionByName(held.select("key", "whole", "p", (F.col("start") + F.length(F.regexp_extract("para", "^\n*", 0))).alias("at"), F.lit(1).alias("long"), F.col("para").alias("unit")))
+    units = units.withColumn("u", F.md5("unit"))
     by = ["key", "p", "at", "long"]
-    tf = units.select(*by, "whole", F.explode(words_of(F.col("unit"))).alias("word")).groupBy(*by, "whole", "word").agg(F.count("*").alias("tf"))
+    # a unit that many files have is scored once
+    tf = units.select("u", "unit").dropDuplicates(["u"]).select("u", F.explode(words_of(F.col("unit"))).alias("word")).groupBy("u", "word").agg(F.count("*").alias("tf"))
     weighted = tf.join(df, "word", "left").withColumn("w", F.col("tf") * weigh(F.col("df")))
-    over = Window.partitionBy(*by)
+    over = Window.partitionBy("u")
     mine = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(over))).withColumn("size", F.sum("tf").over(over))
     # a row for each word of a template: bounded by the templates
-    scored = mine.join(F.broadcast(vectors), "word").groupBy(*by, "whole", "size", "norm", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).withColumn("similarity", F.col("dot") / F.col("norm")).where(F.col("similarity") >= least)
+    alike = mine.join(F.broadcast(vectors), "word").groupBy("u", "size", "norm", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).withColumn("similarity", F.col("dot") / F.col("norm")).where(F.col("similarity") >= least)
+    best_of = alike.groupBy("u", "size").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "name", "similarity")).alias("m")).select("u", "size", "m.name", "m.similarity")
+    scored = units.select(*by, "whole", "u").join(size_checked(materialize(best_of, "units")), "u")
     spdx = F.regexp_extract("unit", SPDX, 1)
     tagged = lines.where(spdx != "").select(*by, "whole", F.lit(0).alias("size"), spdx.alias("name"), F.lit(1.0).alias("similarity"))
     all_of = scored.select(*by, "whole", "size", "name", "similarity").unionByName(tagged)

@@ -986,3 +986,25 @@ def test_pipeline_stages_keep_odd_rows_and_columns(spark, tmp_path):
                 assert {r.doc_id for r in docs.collect()} == want[k] and docs.count() == len(want[k])
         out = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
         assert {r.doc_id for r in out.collect()} == (want[2] if whole else set())
+
+
+def test_licence_units_of_many_files_are_scored_once(spark, monkeypatch):
+    """A notice that all files have makes as many scored units in 30 files as in 3, and every file gets its licence."""
+    from millrace.llm import licences
+
+    notice = licences.TEMPLATES[0][1]
+    sizes = []
+    plain = licences.materialize
+
+    def told(df, name):
+        out = plain(df, name)
+        if name == "units":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(licences, "materialize", told)
+    for n in (3, 30):
+        files = spark.createDataFrame([(f"src/a{i}.c", f"{notice}\n\nint x{i} = {i};") for i in range(n)], "path string, text string")
+        got = licences.scan(files).collect()
+        assert len(got) == n and {r.licence for r in got} == {licences.TEMPLATES[0][0]}
+    assert len(sizes) == 2 and sizes[0] == sizes[1] > 0

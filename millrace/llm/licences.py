@@ -157,14 +157,17 @@ def headers(files: DataFrame, key: str, text: str = "text", templates: list[tupl
     every = spark.createDataFrame([(w,) for w in sorted({w for _, t in templates for w in _split(t)})], "word string")
     idf = every.join(df, "word", "left").select("word", weigh(F.col("df")).alias("idf"))
     weights = {r.word: r.idf for r in idf.collect()}
-    told: list[tuple[int, str, str, float]] = []
-    for i, (name, notice) in enumerate(templates):
+    told: dict[str, list[float]] = {}
+    for i, (_, notice) in enumerate(templates):
         own: dict[str, float] = {}
         for w in _split(notice):
             own[w] = own.get(w, 0.0) + weights[w]
         norm = math.sqrt(sum(x * x for x in own.values()))
-        told += [(i, name, w, x / norm) for w, x in own.items() if norm]
-    vectors = spark.createDataFrame(told, "template int, name string, word string, tw double")
+        for w, x in own.items():
+            told.setdefault(w, [0.0] * len(templates))[i] = x / norm
+    # a row for each word of a template, with its weight in every one of them
+    vectors = spark.createDataFrame(sorted(told.items()), "word string, tw array<double>")
+    names = F.array(*(F.lit(name) for name, _ in templates)).cast("array<string>")
     hints = sorted(telling(weights, templates, _split, least))
     hint = "(?i)SPDX-License-Identifier:|(?<![a-z0-9])" + alternatives(hints) + "(?![a-z0-9])"
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), MARKS, ""), COPYRIGHT, "")
@@ -181,9 +184,12 @@ def headers(files: DataFrame, key: str, text: str = "text", templates: list[tupl
     weighted = tf.join(df, "word", "left").withColumn("w", F.col("tf") * weigh(F.col("df")))
     over = Window.partitionBy("u")
     mine = weighted.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(over))).withColumn("size", F.sum("tf").over(over))
-    # a row for each word of a template: bounded by the templates
-    alike = mine.join(F.broadcast(vectors), "word").groupBy("u", "size", "norm", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot")).withColumn("similarity", F.col("dot") / F.col("norm")).where(F.col("similarity") >= least)
-    best_of = alike.groupBy("u", "size").agg(F.min(F.struct((-F.round("similarity", 9)).alias("s"), "name", "similarity")).alias("m")).select("u", "size", "m.name", "m.similarity")
+    # a unit's words meet those of the templates once, whatever number of templates has them; what is gathered is bounded by the templates
+    met = mine.join(F.broadcast(vectors), "word").groupBy("u", "size", "norm").agg(F.collect_list(F.struct("w", "tw")).alias("words"))
+    dots = F.aggregate("words", F.array_repeat(F.lit(0.0), len(templates)), lambda sums, x: F.zip_with(sums, x["tw"], lambda a, b: a + x["w"] * b))
+    alike = F.transform("dots", lambda dot, i: F.struct((-F.round(dot / F.col("norm"), 9)).alias("s"), F.get(names, i).alias("name"), (dot / F.col("norm")).alias("similarity"), dot.alias("dot")))
+    most = F.array_min(F.filter(alike, lambda x: (x["dot"] > 0) & (x["similarity"] >= least)))
+    best_of = met.select("u", "size", "norm", dots.alias("dots")).select("u", "size", most.alias("m")).where("m is not null").select("u", "size", "m.name", "m.similarity")
     scored = units.select(*by, "whole", "u").join(size_checked(materialize(best_of, "units")), "u")
     spdx = F.regexp_extract("unit", SPDX, 1)
     tagged = lines.where(spdx != "").select(*by, "whole", F.lit(0).alias("size"), spdx.alias("name"), F.lit(1.0).alias("similarity"))

@@ -1008,3 +1008,22 @@ def test_licence_units_of_many_files_are_scored_once(spark, monkeypatch):
         got = licences.scan(files).collect()
         assert len(got) == n and {r.licence for r in got} == {licences.TEMPLATES[0][0]}
     assert len(sizes) == 2 and sizes[0] == sizes[1] > 0
+
+
+def test_licence_words_meet_the_templates_once(spark, monkeypatch):
+    """A word that many templates have is one row of what units are joined with, and every template is still compared."""
+    from millrace.llm import licences
+
+    held, plain = [], licences.F.broadcast
+
+    def told(df):
+        if "word" in df.columns:
+            held.append((df.count(), df.select("word").distinct().count()))
+        return plain(df)
+
+    monkeypatch.setattr(licences.F, "broadcast", told)
+    same = [(f"L{i}", f"this file is under the terms of licence number {w}") for i, w in enumerate(("one", "two", "three"))]
+    files = spark.createDataFrame([(f"src/a{i}.c", f"{notice}\n\nint x{i};") for i, (_, notice) in enumerate(same)], "path string, text string")
+    got = {r.path: r.licence for r in licences.scan(files, templates=same).collect()}
+    assert got == {f"src/a{i}.c": name for i, (name, _) in enumerate(same)}
+    assert held and all(rows == words for rows, words in held)

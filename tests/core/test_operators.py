@@ -308,3 +308,33 @@ def test_entry_and_catalogue(spark, sf):
     assert set(entry.oracle_sql()) <= set(names) and entry.entry(spark).count() > 0
     for name in ("J18_pivot", "A24_component_stats", "X01_embed", "S05_qrels", "W06_difficulty_band"):
         assert names[name](spark, sf).count() > 0
+
+
+def _shuffled_rows(spark, df) -> int:
+    """Rows written to shuffles while df is collected."""
+    sc, g = spark.sparkContext, spark.sparkContext._gateway
+    empty = g.jvm.java.util.ArrayList()
+
+    def total() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(empty, False, False, g.new_array(g.jvm.double, 0), empty)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    df.collect()
+    return total() - before
+
+
+def test_sampling_shuffles_what_it_keeps(spark):
+    """Each row's draws stay together: the result is that of ranking them all, without as many shuffled rows."""
+    import hashlib
+
+    n, rows = 3, spark.createDataFrame([(i, i) for i in range(200)], "row long, doc long")
+    related = rows.unionByName(rows.select("row", ((F.col("doc") + 1) % 200).alias("doc")))
+    sampled = L.sampled(rows, rows.select("doc"), related, n, seed=4)
+    want = set()
+    for i in range(200):
+        drawn = dict.fromkeys(int(hashlib.md5(f"4|{i}|0|{s}".encode()).hexdigest()[:8], 16) % 200 for s in range(n * 16))
+        want |= {(i, doc, at + 1) for at, doc in enumerate([x for x in drawn if x not in (i, (i + 1) % 200)][:n])}
+    assert {tuple(r) for r in sampled.collect()} == want
+    assert _shuffled_rows(spark, sampled) < 200 * 12

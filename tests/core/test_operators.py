@@ -338,3 +338,19 @@ def test_sampling_shuffles_what_it_keeps(spark):
         want |= {(i, doc, at + 1) for at, doc in enumerate([x for x in drawn if x not in (i, (i + 1) % 200)][:n])}
     assert {tuple(r) for r in sampled.collect()} == want
     assert _shuffled_rows(spark, sampled) < 200 * 12
+
+
+def test_rarest_token_shuffles_a_rows_first_ones(spark):
+    posts = spark.createDataFrame([(i, f"t{j}") for i in range(20) for j in range(i % 2, 200)], "row long, token string")
+    freq = posts.groupBy("token").agg(F.count("*").alias("df"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        third = L.rarest_token(posts, freq, 3)
+        assert {(r.row, r.token) for r in third.collect()} == {(i, "t100" if i % 2 else "t10") for i in range(20)}
+        assert _shuffled_rows(spark, third) < 1.5 * posts.count()
+    finally:
+        spark.conf.set(key, was)
+    short = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "row long, token string")
+    assert {tuple(r) for r in L.rarest_token(short, short.groupBy("token").agg(F.count("*").alias("df")), 5).collect()} == {(1, "a"), (2, "a")}

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Records that an embedding job has as Python values at a time.
+ROWS = 1024
+
+
 def check_dims(vectors: DataFrame, vec: str = "embedding") -> int:
     """The one dimension of a set; an error if there are several."""
     lo, hi = vectors.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
@@ -93,15 +98,20 @@ def complete(spark: SparkSession, path: str, expected: int) -> bool:
 
 
 def embed(records: DataFrame, backend: Backend, row: str = "row_idx", text: str = "text", batch: int = 32) -> DataFrame:
-    """(row_idx, embedding, n_tokens, success, error): batches first, then item by item where a batch fails."""
+    """(row_idx, embedding, n_tokens, success, error): batches first, then item by item where a batch fails.
+
+    A worker holds the texts and vectors of some ROWS records as Python values, however many Spark hands it at once.
+    """
     schema = "row_idx long, embedding array<float>, n_tokens long, success boolean, error string"
+    rows = max(batch, ROWS // batch * batch)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        kinds = [pa.int64(), pa.list_(pa.float32()), pa.int64(), pa.bool_(), pa.string()]
         backend.load()
-        for pdf in batches:
-            items = [{"row_idx": r, "text": t if isinstance(t, str) else None} for r, t in zip(pdf["row_idx"], pdf["text"])]
+        for whole in (x.slice(at, rows) for x in batches for at in range(0, x.num_rows, rows)):
+            items = [{"row_idx": r, "text": t if isinstance(t, str) else None} for r, t in zip(*(whole.column(i).to_pylist() for i in range(2)))]
             out = []
             for i in range(0, len(items), batch):
                 part = items[i : i + batch]
@@ -118,10 +128,10 @@ def embed(records: DataFrame, backend: Backend, row: str = "row_idx", text: str
                             errors[k] = str(e)
                 for k, (x, e) in enumerate(zip(part, errors)):
                     v = vectors.get(k)
-                    out.append((x["row_idx"], v, len((x["text"] or "").split()), v is not None, e))
-            yield pd.DataFrame(out, columns=["row_idx", "embedding", "n_tokens", "success", "error"])
+                    out.append((x["row_idx"], None if v is None else np.asarray(v, dtype=np.float32), len((x["text"] or "").split()), v is not None, e))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], [f.split()[0] for f in schema.split(", ")])
 
-    return records.select(F.col(row).cast("long").alias("row_idx"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return records.select(F.col(row).cast("long").alias("row_idx"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def merged(ids: DataFrame, embedded: DataFrame, dims: int) -> DataFrame:

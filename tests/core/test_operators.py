@@ -354,3 +354,18 @@ def test_rarest_token_shuffles_a_rows_first_ones(spark):
         spark.conf.set(key, was)
     short = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "row long, token string")
     assert {tuple(r) for r in L.rarest_token(short, short.groupBy("token").agg(F.count("*").alias("df")), 5).collect()} == {(1, "a"), (2, "a")}
+
+
+def test_embedding_jobs_hold_few_records(spark):
+    """However many records a worker is handed at once, it makes Python values of ROWS at most."""
+    import pyarrow as pa
+
+    class Handed:
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, schema: run
+
+    n = 3 * E.ROWS + 5
+    run = E.embed(Handed(), E.HashedWords(4))
+    got = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["a b" if i % 7 else None for i in range(n)])], ["row_idx", "text"])])))
+    assert max(x.num_rows for x in got) == E.ROWS and [r for x in got for r in x.column(0).to_pylist()] == list(range(n))
+    assert [x for b in got for x in b.column(3).to_pylist()] == [bool(i % 7) for i in range(n)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
-from millrace.storage import materialize, size_checked
+from millrace.storage import materialize, new_path, opened
 
 
 def logit_scale(temperature: float, least: float = 0.01) -> float:
@@ -84,6 +84,8 @@ def collapse(vectors: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame
 
 #: Vectors of a tile, and pivots that vectors are dealt to by nearness at most.
 TILE, PIVOTS = 4096, 256
+#: Tiles that a task opens, one after the other.
+MEETINGS = 16
 
 
 def _top(a, b, same: bool) -> float:
@@ -143,7 +145,9 @@ def maxima(unit: DataFrame, tile: int = TILE) -> tuple[DataFrame, int, int]:
         return pa.table({"pivot": pa.array([pivot], pa.int32()), "part": table.column("part").slice(0, 1), "radius": [radius], "top": [float(_top(x, x, True))], "rows": pa.array([x.tobytes()], pa.binary())})
 
     dealt = placed.withColumn("part", F.pmod(F.hash("h"), parts).cast("int"))
-    tiles = materialize(dealt.groupBy("pivot", "part").applyInArrow(pack, "pivot int, part int, radius double, top double, rows binary"), "tiles")
+    made, path = dealt.groupBy("pivot", "part").applyInArrow(pack, "pivot int, part int, radius double, top double, rows binary"), new_path(spark, "tiles")
+    made.write.partitionBy("pivot", "part").parquet(path)
+    tiles = spark.read.schema(made.schema).parquet(path)
     told = tiles.select("pivot", "part", "radius", "top").orderBy("pivot", "part").collect()
     best = max(r.top for r in told)
     at = held[[r.pivot for r in told]]
@@ -155,16 +159,25 @@ def maxima(unit: DataFrame, tile: int = TILE) -> tuple[DataFrame, int, int]:
     own = tiles.where(F.col("top") > float("-inf")).select("top")
     if not len(i):
         return own, len(told), every
-    names = [(r.pivot, r.part) for r in told]
-    wanted = spark.createDataFrame([(int(t), *names[k]) for t, pair in enumerate(zip(i, j)) for k in pair], "t long, pivot int, part int")
-
-    def meet(table):
+    # a tile opens those that it meets, MEETINGS in a task; half of its pairs are the other tile's task
+    names = [f"pivot={r.pivot}/part={r.part}" for r in told]
+    others: dict[int, list[int]] = {}
+    for x, y in zip(i.tolist(), j.tolist()):
+        a, b = (y, x) if (x + y) % 2 else (x, y)
+        others.setdefault(a, []).append(b)
+    wanted = [(names[a], [names[b] for b in bs[at : at + MEETINGS]]) for a, bs in others.items() for at in range(0, len(bs), MEETINGS)]
+
+    def meet(batches):
         import pyarrow as pa
 
-        a, b = (np.frombuffer(x.as_py()).reshape(-1, d) for x in table.column("rows"))
-        return pa.table({"top": [float(_top(a, b, False))]})
+        record = opened(path, ["rows"])
+        get = lambda name: np.frombuffer(record(name)["rows"]).reshape(-1, d)
+        for batch in batches:
+            for one in batch.to_pylist():
+                own_rows = get(one["tile"])
+                yield pa.RecordBatch.from_arrays([pa.array([float(_top(own_rows, get(name), False)) for name in one["met"]], pa.float64())], ["top"])
 
-    met = tiles.select("pivot", "part", "rows").join(size_checked(wanted), ["pivot", "part"]).select("t", "rows").groupBy("t").applyInArrow(meet, "top double")
+    met = spark.createDataFrame(wanted, "tile string, met array<string>").repartition(min(len(wanted), 2000)).mapInArrow(meet, "top double")
     return own.unionByName(met), len(told) + len(i), every
 
 

@@ -369,3 +369,15 @@ def test_embedding_jobs_hold_few_records(spark):
     got = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["a b" if i % 7 else None for i in range(n)])], ["row_idx", "text"])])))
     assert max(x.num_rows for x in got) == E.ROWS and [r for x in got for r in x.column(0).to_pylist()] == list(range(n))
     assert [x for b in got for x in b.column(3).to_pylist()] == [bool(i % 7) for i in range(n)]
+
+
+def test_tiles_of_the_largest_cosine_are_opened_not_shuffled(spark):
+    """Pairs of tiles shuffle no tile: what is dealt out are their names, a row for some of a tile's partners."""
+    rng = np.random.default_rng(5)
+    u = rng.normal(size=(240, 8))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    top, read, every = C.maxima(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "k long, u array<double>"), tile=20)
+    assert read > 60 and _shuffled_rows(spark, top) < 40
+    scores = u @ u.T
+    np.fill_diagonal(scores, -np.inf)
+    assert top.agg(F.max("top")).first()[0] == pytest.approx(scores.max(), abs=1e-12)

@@ -381,3 +381,12 @@ def test_tiles_of_the_largest_cosine_are_opened_not_shuffled(spark):
     scores = u @ u.T
     np.fill_diagonal(scores, -np.inf)
     assert top.agg(F.max("top")).first()[0] == pytest.approx(scores.max(), abs=1e-12)
+
+
+def test_rounds_of_blocks_share_an_index(spark, sf, monkeypatch):
+    from millrace.plans import catalogue
+
+    made, plain = [], catalogue.X.indexed
+    monkeypatch.setattr(catalogue.X, "indexed", lambda *a, **k: made.append(1) or plain(*a, **k))
+    catalogue.QUERIES["U07_merged_rounds"][0](spark, sf)
+    assert len(made) == 1
